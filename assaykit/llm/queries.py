@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, secrets, token_counts
+from . import chat, fingerprints, media, mixing, pieces, quality, secrets, token_counts
 from .common import documents
 
 
@@ -26,6 +26,20 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(every, "conv_id")).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(documents(spark, sf_dir).select("doc_id", "text"), tokenizer("piece_bpe_32k.model"))
+
+
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_neighbours(documents(spark, sf_dir))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.classify(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(documents(spark, sf_dir).select("doc_id", "text"), tokenizer("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
@@ -45,7 +59,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op7_token_counts, op8_secret_scans, op9_media_columns, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_sentencepiece, op3_document_fingerprints, op5_quality_classifier, op7_token_counts, op8_secret_scans, op9_media_columns, op10_source_mixing)}
 
 
 _ESC = r"regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\1\\|', 'g')"
