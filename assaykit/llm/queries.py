@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, media, mixing, pieces, quality, secrets, token_counts
+from . import chat, fingerprints, jaccard, media, mixing, pieces, quality, secrets, token_counts
 from .common import documents
 
 
@@ -34,6 +34,10 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_neighbours(documents(spark, sf_dir))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -59,7 +63,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_sentencepiece, op3_document_fingerprints, op5_quality_classifier, op7_token_counts, op8_secret_scans, op9_media_columns, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_sentencepiece, op3_document_fingerprints, op4_ngram_jaccard_join, op5_quality_classifier, op7_token_counts, op8_secret_scans, op9_media_columns, op10_source_mixing)}
 
 
 _ESC = r"regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\1\\|', 'g')"
