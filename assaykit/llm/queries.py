@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, jaccard, media, mixing, pieces, quality, secrets, token_counts
+from . import chat, fingerprints, jaccard, media, mixing, pieces, quality, repeats, secrets, token_counts
 from .common import documents
 
 
@@ -44,6 +44,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(documents(spark, sf_dir).select("doc_id", "text"), tokenizer("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
@@ -63,7 +67,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_sentencepiece, op3_document_fingerprints, op4_ngram_jaccard_join, op5_quality_classifier, op7_token_counts, op8_secret_scans, op9_media_columns, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_sentencepiece, op3_document_fingerprints, op4_ngram_jaccard_join, op5_quality_classifier, op6_suffix_array_dedup, op7_token_counts, op8_secret_scans, op9_media_columns, op10_source_mixing)}
 
 
 _ESC = r"regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\1\\|', 'g')"
