@@ -72,7 +72,7 @@ class Merger:
         seq = np.repeat(np.arange(len(words)), lens)
         done = lens.copy()
         none = np.int64(len(self.made))
-        while len(sym) > 1:
+        while len(sym):
             key = sym[:-1] * self.size + sym[1:]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             rank = np.where((self.keys[at] == key) & (seq[:-1] == seq[1:]), self.ranks[at], none)
