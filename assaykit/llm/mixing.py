@@ -126,7 +126,7 @@ def blocks(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     rows = rows.withColumn("pass", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("start", F.col("at") + F.col("pass") * F.col("source_size"))
     rows = rows.withColumn("end", F.least(F.col("start") + F.col("size"), F.col("quota")))
     first = F.expr("greatest(0, start * n_slots div quota - 1)")
-    last = F.expr("least(n_slots - 1, (end - 1) * n_slots div quota + 1)")
+    last = F.expr("least(n_slots - 1, end * n_slots div quota + 1)")
     rows = rows.withColumn("rank", F.explode_outer(F.when((F.col("start") < F.col("end")) & (F.col("n_slots") > 0), F.sequence(first, last))))
     rows = rows.withColumn("from_word", F.expr("greatest(rank * quota div n_slots, start) - start")).withColumn("to_word", F.expr("least((rank + 1) * quota div n_slots, end) - start"))
     rows = rows.where("rank is null or from_word < to_word")
@@ -147,18 +147,16 @@ def apply_mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     A document without words can't be taken in part and stays once.
     """
     key = ["doc_id", "source", "size"]
-    counts = (
+    name = F.to_json(F.struct(*key))
+    taken = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("to_word") - F.col("from_word"))), F.lit(0))
+    times = (
         blocks(docs, slots)
-        .groupBy(*key, "bucket", "row", "pass")
-        .agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("to_word") - F.col("from_word"))), F.lit(0)).alias("w"))
-        .groupBy(*key, "bucket", "row")
-        .agg(F.sum((F.col("w") * 2 >= F.greatest(F.col("size"), F.lit(1))).cast("int")).alias("times"))
+        .groupBy(*key, "bucket", "row", "pass").agg(taken.alias("w"))
+        .groupBy(*key, "bucket", "row").agg(F.sum((F.col("w") * 2 >= F.col("size")).cast("int")).alias("times"))
         .withColumn("times", F.when(F.col("size") == 0, 1).otherwise(F.col("times")))
-        .withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("bucket", "row")))
-        .select(*[F.col(c).alias(f"_{c}") for c in key], "times", F.col("nth").alias("_nth"))
-    )
-    # Repeated rows get their own place: equal (doc_id, source, size) are numbered on both sides.
-    x = docs.withColumn("_n", word_count("text"))
-    x = x.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", "source", "_n").orderBy("doc_id")))
-    met = x.join(counts, x["doc_id"].eqNullSafe(counts["_doc_id"]) & x["source"].eqNullSafe(counts["_source"]) & (x["_n"] == counts["_size"]) & (x["_r"] == counts["_nth"]))
-    return met.where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[docs[c] for c in docs.columns])
+        .groupBy(name.alias("_k")).agg(F.array_sort(F.collect_list("times")).alias("_times"))
+    )
+    # Repeated rows share a name; they take their names' counts in order.
+    x = docs.withColumn("_k", F.to_json(F.struct("doc_id", "source", word_count("text").alias("size")))).join(times, "_k")
+    x = x.withColumn("_times", F.element_at("_times", F.row_number().over(Window.partitionBy("_k").orderBy("text"))))
+    return x.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
