@@ -1,21 +1,59 @@
-"""The corpus pipeline: quality, near duplicates, secrets, mixing, encoding."""
+"""The corpus pipeline: quality, near duplicates, secrets, mixing, encoding.
+
+Each stage takes and returns whole tables. All but the last return the columns of
+documents: the classifier drops what it rejects, the join keeps one document of
+each group, the scan replaces each secret in a text by [SECRET], the mix repeats or
+drops documents as its schedule takes them, and the last stage encodes the texts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from assaykit.llm import mixing, secrets
+from assaykit.llm import jaccard, mixing, pieces, quality, secrets
 from assaykit.llm.common import cut, documents
+from assaykit.llm.queries import tokenizer
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
-
-#: SQL can't express the classifier or the encoder; tests compare with brute force.
+#: SQL can't express the classifier or the encoder; a test compares the pipeline with brute force.
 ORACLE_SQL = None
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.classify(docs, model, drop_text=False).where("predicted = 1").select(docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.one_of_each(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = secrets.scan(docs).withColumn("text", F.col("redacted"))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    return clean.select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.apply_mix(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode(docs, tokenizer("piece_bpe_32k.model"), keep_ids=True)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", keep_one_of_each),
+    ("secret scans", redact_secrets),
+    ("mixing sources", mix_sources),
+    ("piece encoding", encode_pieces),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for _, stage in STAGES:
