@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ("scoring", "comparing")
+
+
+def _all(name: str) -> dict:
+    return {k: v for m in MODULES for k, v in getattr(importlib.import_module(f"assaykit.plans.{m}"), name).items()}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return _all("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _all("SQL")
