@@ -183,8 +183,32 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, width: i
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def _sizes_fit(m: Column, n: Column, percent: int) -> Column:
-    return (m * 100 >= n * percent) & (n * 100 >= m * percent)
+def _base(n: Column, percent: int) -> Column:
+    """Length of the prefix in which any link shares at least one token."""
+    return (n - F.ceil(n * percent / F.lit(100.0) - 1e-9) + 1).cast("int")
+
+
+def _need(m: Column, n: Column, percent: int) -> Column:
+    """Least intersection of two linked sets of these sizes."""
+    return F.ceil((m + n) * percent / F.lit(100.0 + percent) - 1e-9)
+
+
+def _may_link(percent: int) -> Column:
+    """Whether two sets whose first common token has these places may link: by sizes, and by what follows the places.
+
+    A pair that links passes at its first common token, which both base prefixes hold.
+    """
+    m, n = F.col("n_x"), F.col("n_y")
+    return (m * 100 >= n * percent) & (n * 100 >= m * percent) & (F.least(m - F.col("pos_x"), n - F.col("pos_y")) >= _need(m, n, percent))
+
+
+def _matched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share as many prefix tokens as the shallower of the two requires, and may still reach the intersection they need."""
+    x, y = (classes.select(F.col("rep").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "depth", "tokens")]) for side in "ab")
+    hits = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    rest = F.greatest(*[F.col(f"n_{s}") - F.size(f"tokens_{s}") for s in "ab"])
+    met = pairs.join(x, "a").join(y, "b").withColumn("hits", hits)
+    return met.where((F.col("hits") >= F.least("depth_a", "depth_b")) & (F.col("hits") + rest >= _need(F.col("n_a"), F.col("n_b"), percent))).select("a", "b")
 
 
 def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -193,7 +217,8 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     sets = cut(classed(docs, token_sketch(docs), percent, width))
     keyed = sets.where("n > 0 and doc_id is not null")
     classes = keyed.groupBy("n", "set_key").agg(F.min("doc_id").alias("rep"), F.first("depth").alias("depth"), F.first("tokens").alias("tokens"))
-    postings = classes.select("rep", "n", "depth", F.posexplode("tokens").alias("pos", "token"))
+    classes = cut(classes)
+    postings = classes.select("rep", "n", F.posexplode(F.slice("tokens", 1, _base(F.col("n"), percent))).alias("pos", "token"))
     same = Window.partitionBy("token")
     shared = cut(postings.repartition(parts(spark), "token").withColumn("size", F.count("*").over(same)).withColumn("lead", F.min("rep").over(same)).where("size > 1"))
     release(spark)
@@ -201,9 +226,9 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     found = None
     stars = shared.where((F.col("size") > HOT) & (F.col("rep") != F.col("lead")))
     if stars.limit(1).count():
-        leads = shared.where(F.col("rep") == F.col("lead")).select("token", F.col("n").alias("m")).dropDuplicates(["token"])
-        near = stars.join(leads, "token").where(_sizes_fit(F.col("m"), F.col("n"), percent)).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-        found = cut(verified(cut(near), docs, percent, width))
+        leads = shared.where(F.col("rep") == F.col("lead")).select("token", F.col("n").alias("n_x"), F.col("pos").alias("pos_x"))
+        near = stars.withColumnsRenamed({"n": "n_y", "pos": "pos_y"}).join(leads, "token").where(_may_link(percent)).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+        found = cut(verified(_matched(cut(near), classes, percent), docs, percent, width))
         group = components(found).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
         shared = cut(shared.join(group, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")))
     else:
@@ -211,18 +236,10 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
 
     # Groups that lie in one component already have nothing left to compare.
     mixed = shared.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    side = shared.join(mixed, "token", "left_semi").select("token", "rep", "n", "depth", "pos", "comp")
+    side = shared.join(mixed, "token", "left_semi").select("token", "rep", "n", "pos", "comp")
     x, y = (side.select("token", *[F.col(c).alias(f"{c}_{k}") for c in side.columns if c != "token"]) for k in "xy")
-    need = F.ceil((F.col("n_x") + F.col("n_y")) * percent / F.lit(100.0 + percent) - 1e-9)
-    rest = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
-    pairs = (
-        x.join(y, "token")
-        .where((F.col("rep_x") < F.col("rep_y")) & (F.col("comp_x") != F.col("comp_y")))
-        .where(_sizes_fit(F.col("n_x"), F.col("n_y"), percent) & (F.least("pos_x", "pos_y") + rest >= need))
-        .groupBy(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).agg(F.count("*").alias("hits"), F.min(F.least("depth_x", "depth_y")).alias("depth"))
-        .where("hits >= depth").select("a", "b")
-    )
-    pairs = cut(pairs)
+    pairs = x.join(y, "token").where((F.col("rep_x") < F.col("rep_y")) & (F.col("comp_x") != F.col("comp_y")) & _may_link(percent)).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
+    pairs = cut(_matched(cut(pairs), classes, percent))
     release(spark)
     links = verified(pairs, docs, percent, width)
     links = cut(links.union(found) if found is not None else links)
@@ -238,6 +255,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat the doc_id of a kept document, one stays.
     """
-    kept = join(docs).where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    single = docs.where("doc_id is not null").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return single.where("_n = 1").drop("_n").join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    kept = join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    single = docs.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return single.where("_n = 1").select(docs.columns).unionByName(docs.where("doc_id is null"))
