@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import mix64, slices, texts_of
 
-KEEP, LEVELS, ROUNDS = 64, 6, 3
+KEEP, LEVELS, ROUNDS, CELLS = 64, 6, 3, 1 << 14
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.array([pow(0xD6E8FEB86659FD93, i, 1 << 64) for i in range(4096)], np.uint64)
 _TOP = np.uint64(1 << 36)
@@ -81,6 +81,11 @@ def _level(x: np.ndarray, first: np.ndarray, level: int) -> tuple[np.ndarray, np
     return mix64(np.add.reduceat(terms, at) + salt), first[at], again, owner
 
 
+def _sorted_set(parts: list[np.ndarray]) -> np.ndarray:
+    x = np.sort(np.concatenate(parts))
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def sketches(texts: list[str]) -> list[np.ndarray]:
     """Sorted ranks of each text's fingerprint; texts of a batch are parsed together."""
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -91,9 +96,8 @@ def sketches(texts: list[str]) -> list[np.ndarray]:
     x = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
     first = np.zeros(len(x), bool)
     first[np.concatenate([[0], np.cumsum(lens[whole])[:-1]])] = True
-    # A text of m names has about m / 8 in ranks' weight; four times KEEP of them pass this bound.
-    bound = np.minimum(float(1 << 36), KEEP * 4 * 8 / lens[whole] * (1 << 32))
-    bound = np.where(lens[whole] < 4 * 8 * KEEP, float(1 << 36), bound).astype(np.uint64)
+    # A text of m names has about m / 5.5 ranks in weight; twice KEEP of them, and some, pass this bound.
+    bound = np.where(lens[whole] < 12 * KEEP, float(1 << 36), KEEP * 12 / lens[whole] * (1 << 32)).astype(np.uint64)
     found, rest = [], []
     for level in range(1, LEVELS + 1):
         x, first, again, owner = _level(x, first, level)
@@ -107,15 +111,15 @@ def sketches(texts: list[str]) -> list[np.ndarray]:
         low = rank < bound[doc]
         key = doc.astype(np.uint64) << np.uint64(36) | rank
         found.append(key[low])
-        rest.append(key[~low])
-    keys = np.unique(np.concatenate(found))
+        rest.append(key)
+    keys = _sorted_set(found)
     edges = np.searchsorted(keys, np.arange(len(whole) + 1).astype(np.uint64) << np.uint64(36)).tolist()
     every: np.ndarray | None = None
     for k, doc in enumerate(whole.tolist()):
         own = keys[edges[k] : edges[k + 1]][:KEEP]
         if len(own) < KEEP and bound[k] < _TOP:
             if every is None:
-                every = np.unique(np.concatenate([keys, *rest]))
+                every = _sorted_set(rest)
             low = np.uint64(k) << np.uint64(36)
             own = every[np.searchsorted(every, low) : np.searchsorted(every, low + _TOP)][:KEEP]
         out[doc] = own & (_TOP - np.uint64(1))
@@ -166,32 +170,45 @@ def edited(text: str, following: str) -> str:
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _ranged(rows: DataFrame, n: int) -> DataFrame:
+    """Adds place: about n ranges of key in its order, with about as many rows each.
+
+    Keys fall into CELLS equal intervals; the counts of the intervals, at most CELLS
+    numbers, make the ranges. Null doc_ids fall into the first.
+    """
+    lo, hi = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if lo is None or lo == hi:
+        return rows.withColumn("place", F.lit(0))
+    cell = F.floor((F.col("doc_id").cast("double") - float(lo)) / (float(hi) - float(lo)) * (CELLS - 1)).cast("int")
+    rows = rows.withColumn("cell", F.coalesce(F.greatest(F.lit(0), F.least(cell, F.lit(CELLS - 1))), F.lit(0)))
+    counts = sorted((r["cell"], r["count"]) for r in rows.groupBy("cell").count().collect())
+    total, before, places = sum(c for _, c in counts), 0, []
+    for c, m in counts:
+        places.append((c, before * n // total))
+        before += m
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(places, "cell int, place int")), "cell").drop("cell")
+
+
 def with_neighbours(docs: DataFrame) -> DataFrame:
     """Columns of EDITED: every document with its edited text's and next document's likeness.
 
-    Documents are dealt into doc_id ranges (bounds from approximate quantiles) and
-    sorted there; the first document of each range also goes to the range before,
+    Documents are dealt into doc_id ranges of about equal row counts and sorted there; the first document of each range also goes to the range before,
     so each task sees every document's successor. One shuffle of the texts.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    n = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = sorted(set(rows.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)))
-    place = F.lit(0)
-    if bounds:
-        edges = F.array(*[F.lit(int(b)).cast("long") for b in bounds])
-        place = F.size(F.filter(edges, lambda b: b <= F.col("key")))
-    rows = rows.withColumn("place", place)
+    n = 8 * max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = _ranged(rows, n)
     # One number a range, at most n of them: which key starts it, and who gets it as well.
     begun = sorted((r["place"], r["key"]) for r in rows.groupBy("place").agg(F.min("key").alias("key")).collect())
     if not begun:
         return spark.createDataFrame([], EDITED)
     before = {key: begun[i - 1][0] for i, (_, key) in enumerate(begun)}
-    also = F.create_map(*[x for k, v in before.items() for x in (F.lit(k).cast("long"), F.lit(v))])
+    firsts = spark.createDataFrame([(int(k), int(v)) for k, v in before.items()], "key long, before int")
     own = rows.withColumn("extra", F.lit(False))
     # Of the rows with a range's first key only the smallest text is needed.
-    lead = rows.where(F.col("key").isin([k for _, k in begun])).groupBy("key", "doc_id").agg(F.min("text").alias("text")).withColumn("place", also[F.col("key")]).withColumn("extra", F.lit(True))
-    dealt = own.unionByName(lead.select(own.columns)).repartition(max(8, n // 2), "place").sortWithinPartitions("place", "extra", "key", "text").select("place", "extra", "doc_id", "text")
+    lead = rows.join(F.broadcast(firsts), "key").groupBy("key", "doc_id").agg(F.min("text").alias("text"), F.first("before").alias("place")).withColumn("extra", F.lit(True))
+    dealt = own.unionByName(lead.select(own.columns)).repartition(n // 4, "place").sortWithinPartitions("place", "extra", "key", "text").select("place", "extra", "doc_id", "text")
     names = [f.split()[0] for f in EDITED.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
