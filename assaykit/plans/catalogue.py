@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("scoring", "comparing")
+MODULES = ("scoring", "comparing", "flows")
 
 
 def _all(name: str) -> dict:
