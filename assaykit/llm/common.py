@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -39,11 +41,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of frames that are no longer referenced."""
-    import gc
+    """Let Spark's cleaner drop shuffle files of frames that are no longer referenced.
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    The cleaner acts on what a collection has found, and that can free more.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def parts(spark: SparkSession, least: int = 8) -> int:

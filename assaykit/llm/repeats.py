@@ -37,12 +37,12 @@ from pyspark.sql import functions as F
 from .common import cut, mix64, parts, release, slices
 from .jaccard import _power
 
-LENGTH, GRAM = 100, 40
+LENGTH, GRAM = 100, 48
 SMALL_SIDE = 100_000
 _FIRST = -(1 << 63)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-# A place: 20 bits of the text's hash, 31 of the offset, 6 of the number of windows, 6 of the anchor in the phrase.
-_TAG, _AT, _MANY = 43, 12, 6
+# A place: 20 bits of the text's hash, 29 of the offset, 7 of the number of windows, 7 of the anchor in the phrase.
+_TAG, _AT, _MANY = 43, 14, 7
 _HIT = "key long, sig long, doc long, place long, settled boolean"
 
 
@@ -101,7 +101,7 @@ def phrases(w: Window, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarr
     start, end = change[good], end[good]
     a, many = anchor[start], end - start
     text = np.searchsorted(w.begin, start, "right") - 1
-    sig = mix64(w.name(start, end + length - 1) + (many << 6 | (a - start)).astype(np.uint64) * _ODD)
+    sig = mix64(w.name(start, end + length - 1) + (many << 7 | (a - start)).astype(np.uint64) * _ODD)
     return text, start - w.begin[text], many, a - start, names[a], sig
 
 
@@ -196,10 +196,10 @@ def suffixes(docs: DataFrame, asked: DataFrame, length: int = LENGTH) -> DataFra
             lists = batch.column("places")
             places = lists.flatten().to_numpy()
             text = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            many = places >> _MANY & 63
+            many = places >> _MANY & 127
             each = np.repeat(np.arange(len(places)), many)
             step = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
-            at = (places >> _AT & (1 << 31) - 1)[each] + step
+            at = (places >> _AT & (1 << 29) - 1)[each] + step
             start = at + w.begin[text[each]]
             name = w.name(start, start + length)
             place = (places >> _TAG)[each] << _TAG | at << _AT | 1 << _MANY
@@ -235,7 +235,7 @@ def later(rows: DataFrame) -> DataFrame:
 def covered(spans: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc, tag, starts, ends: the covered stretches of each text, merged."""
     tag = F.shiftrightunsigned("place", _TAG)
-    dealt = spans.select("doc", tag.alias("tag"), F.shiftrightunsigned("place", _AT).bitwiseAND((1 << 31) - 1).alias("at"), F.shiftrightunsigned("place", _MANY).bitwiseAND(63).alias("many"))
+    dealt = spans.select("doc", tag.alias("tag"), F.shiftrightunsigned("place", _AT).bitwiseAND((1 << 29) - 1).alias("at"), F.shiftrightunsigned("place", _MANY).bitwiseAND(127).alias("many"))
     dealt = dealt.repartition(parts(spans.sparkSession), "doc", "tag").sortWithinPartitions("doc", "tag", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
