@@ -177,3 +177,103 @@ def with_retries(cases: DataFrame, run: Callable[[DataFrame, int], DataFrame], r
             break
         todo = cases.join(again.select("case_id"), "case_id", "left_semi")
     return settled
+
+
+def item_requests(cases: DataFrame, evaluator: str, items: Column, question: Column, most: int | None, config: Config | None = None) -> DataFrame:
+    """One request for each of a case's first ``most`` items (chunks, tool calls, steps, claims); the question may use the column item."""
+    config = config or Config()
+    kept = F.slice(items, 1, most) if most else items
+    rows = cases.withColumn("run_no", F.col("run_no") if "run_no" in cases.columns else F.lit(1)).withColumn("_items", kept)
+    rows = rows.select("*", F.posexplode("_items").alias("q_ord", "item"))
+    rows = rows.select("case_id", "run_no", F.lit(evaluator).alias("evaluator"), "q_ord", F.lit(True).alias("expect_yes"), question.alias("prompt"))
+    return rows.withColumn("prompt_key", call_hash(F.col("prompt"), config, F.col("run_no")))
+
+
+def context_precision(cases: DataFrame, chunks: str = "context_chunks", most: int = 8) -> DataFrame:
+    """Requests whether each of the first chunks helps to answer; a single text is one chunk."""
+    q = F.concat(F.lit("Question: "), F.col("input"), F.lit("\nPassage: "), F.col("item"), F.lit("\nDoes the passage help to answer? Answer yes or no."))
+    return item_requests(cases, "context_precision", F.col(chunks), q, most)
+
+
+def tool_arguments(cases: DataFrame, calls: str = "calls", most: int = 8) -> DataFrame:
+    q = F.concat(F.lit("Task: "), F.col("input"), F.lit("\nCall: "), F.to_json("item"), F.lit("\nAre the arguments right? Answer yes or no."))
+    return item_requests(cases, "tool_argument_accuracy", F.col(calls), q, most)
+
+
+def tool_necessity(cases: DataFrame, calls: str = "calls", most: int = 8) -> DataFrame:
+    """Each call with the names of the calls before it."""
+    with_prior = F.transform(F.slice(F.col(calls), 1, most), lambda c, i: F.struct(c["name"].alias("name"), F.array_join(F.transform(F.slice(F.col(calls), F.lit(1), F.greatest(i, F.lit(0))), lambda x: x["name"]), ", ").alias("prior")))
+    q = F.concat(F.lit("Task: "), F.col("input"), F.lit("\nCalls so far: "), F.col("item.prior"), F.lit("\nCall: "), F.col("item.name"), F.lit("\nWas it needed? Answer yes or no."))
+    return item_requests(cases, "tool_call_necessity", with_prior, q, None)
+
+
+def step_faithfulness(cases: DataFrame, steps: str = "steps", most: int = 8) -> DataFrame:
+    q = F.concat(F.lit("Task: "), F.col("input"), F.lit("\nStep: "), F.to_json("item"), F.lit("\nDoes the step follow from what is known? Answer yes or no."))
+    return item_requests(cases, "step_faithfulness", F.col(steps), q, most)
+
+
+def rubric(cases: DataFrame, name: str, criteria: list[tuple[str, bool]], config: Config | None = None) -> DataFrame:
+    """Requests for a rubric of one's own."""
+    QUESTIONS[name] = tuple(criteria)
+    return requests(cases, [name], config)
+
+
+def check_questions(criterion: str, judge: Judge, n: int = 3, most: int = 10) -> list[str]:
+    """Yes-no questions that a judge makes of a criterion, once, on the driver; the criterion itself when it makes none."""
+    import json
+    import re
+
+    try:
+        found = json.loads(re.search(r"\[.*\]", judge([f"Write {n} yes-no questions that test: {criterion}\nAnswer with a JSON list of strings."])[0], re.S)[0])
+    except (TypeError, ValueError):
+        found = []
+    return [q for q in found if isinstance(q, str) and q.strip()][:most] or [f"Does the reply meet this: {criterion}?"]
+
+
+def draws(cases: DataFrame, criterion: str, n: int = 2) -> DataFrame:
+    """Requests for numeric grades, drawn n times; draws are never shared."""
+    rows = cases.select("case_id", "input", "output", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("run_no"))
+    prompt = F.concat(F.lit(f"Grade from 0 to 10: {criterion}\nInput: "), F.col("input"), F.lit("\nReply: "), F.col("output"))
+    return rows.select("case_id", "run_no", F.lit("g_eval").alias("evaluator"), prompt.alias("prompt")).withColumn("prompt_key", call_hash(F.col("prompt"), Config(cache=False), F.col("run_no")))
+
+
+def mean_grade(answered: DataFrame) -> DataFrame:
+    return answered.groupBy("case_id", "evaluator").agg(F.avg(numeric_score(F.coalesce("reply", F.lit("")))).alias("score"))
+
+
+def first_user_turn(conversation: str = "conversation") -> Column:
+    """The goal of a conversation: its first user turn."""
+    return F.try_element_at(F.filter(F.col(conversation), lambda m: m["role"] == "user"), F.lit(1))["content"]
+
+
+def rendered(conversation: str = "conversation") -> Column:
+    return F.array_join(F.transform(F.col(conversation), lambda m: F.concat(F.upper(m["role"]), F.lit(": "), F.coalesce(m["content"], F.lit("")))), "\n")
+
+
+def retention_scores(scored: DataFrame, cases: DataFrame) -> DataFrame:
+    """Knowledge retention is 1 for conversations without a user turn."""
+    told = cases.select("case_id", first_user_turn().isNotNull().alias("told"))
+    return scored.join(told, "case_id").withColumn("score", F.when(F.col("told"), F.col("score")).otherwise(1.0)).drop("told")
+
+
+def efficiency_scores(scored: DataFrame, unrecovered: DataFrame) -> DataFrame:
+    """0.2 off, not below 0, where an error was not recovered from."""
+    bad = unrecovered.select("case_id", F.lit(True).alias("_bad")).dropDuplicates(["case_id"])
+    return scored.join(bad, "case_id", "left").withColumn("score", F.when(F.col("_bad"), F.greatest(F.lit(0.0), F.col("score") - 0.2)).otherwise(F.col("score"))).drop("_bad")
+
+
+def sentences(c: Column, least: int = 20) -> Column:
+    """Sentences of at least ``least`` characters."""
+    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: F.length(s) >= least)
+
+
+def consistency(cases: DataFrame, samples: str = "samples", most: int = 6, per: int = 5) -> DataFrame:
+    """Requests whether the reply's first sentences agree with the first samples."""
+    pairs = F.flatten(F.transform(F.slice(sentences(F.col("output")), 1, most), lambda s: F.transform(F.slice(F.col(samples), 1, per), lambda t: F.struct(s.alias("s"), t.alias("t")))))
+    q = F.concat(F.lit("Claim: "), F.col("item.s"), F.lit("\nText: "), F.col("item.t"), F.lit("\nAre they consistent? Answer yes or no."))
+    return item_requests(cases, "self_consistency", pairs, q, None)
+
+
+def resample(scored: DataFrame, low: float = 0.3, high: float = 0.7) -> DataFrame:
+    """Cases whose score is too close to call: more samples are worth drawing."""
+    return scored.where((F.col("score") > low) & (F.col("score") < high)).select("case_id")

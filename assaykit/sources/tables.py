@@ -63,7 +63,7 @@ def cases_csv(spark: SparkSession, path: str) -> DataFrame:
     for c in ("expected_output", "context", "tags"):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
-    tags = F.filter(F.transform(F.split(F.coalesce("tags", F.lit("")), ","), F.trim), lambda t: t != "")
+    tags = F.filter(F.transform(F.split(F.coalesce("tags", F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != "")
     return df.select("input", F.nullif("expected_output", F.lit("")).alias("expected_output"), F.nullif("context", F.lit("")).alias("context"), tags.alias("tags"))
 
 
