@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by a shared-prefix forward pass.
 
 A text becomes marked words: marks (U+2581) followed by other characters; no piece
-of the vocabulary crosses a word's start, so words encode on their own. A batch's
+of the vocabulary crosses a word's start, nor holds certain single characters such
+as line breaks, so words encode on their own. A batch's
 distinct words are sorted, which walks their trie depth-first: each word starts
 from the forward states of the prefix that it shares with the word before.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,9 @@ from pyspark.sql import types as T
 from .common import slices, texts_of
 
 MARK = "▁"
-WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHE, PAIRS, LONG = 1 << 18, 1 << 20, 200
+CACHE, PAIRS, LONG = 1 << 19, 1 << 20, 200
+#: Stand-ins for piece ids: a string that only ends pieces, and the start of a word. Other characters count down from -1.
+_ENDS, _START = 1 << 30, 1 << 21
 
 
 class Encoder:
@@ -73,10 +76,21 @@ class Encoder:
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("a piece crosses words")
         self.piece_bytes = texts
-        self.longest = max(map(len, self.id))
+        self.prepare()
+
+    def prepare(self) -> None:
+        """Tables that the forward pass needs, from the pieces' ids and scores."""
+        self.name = {i: p for p, i in self.id.items()} | {_START: ""}
+        # Every ending of every piece: a candidate grows to the left only while it can still become a piece.
+        self.tail = {p[k:]: _ENDS for p in self.id for k in range(1, len(p))} | self.id
+        self.value = {i: self.score[p] for p, i in self.id.items()}
         self.least = min(self.score.values()) - 10
-        self.words: dict[str, np.ndarray] = {}
-        self.stable: dict[tuple[str, str], bool] = {}
+        self.words: dict[str, bytes] = {}
+        self.stable: dict[int, bool] = {}
+        # ASCII characters that stand in no longer piece never merge: words end there as well.
+        joined = {c for p in self.id if len(p) > 1 for c in p}
+        alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joined)
+        self.word = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]+" if alone else ""))
 
     def merged(self, s: str) -> list[str]:
         """Pair merging from single characters: best score first, leftmost among equals."""
@@ -91,72 +105,84 @@ class Encoder:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def holds(self, left: str, right: str) -> bool:
+    def string(self, i: int) -> str:
+        return self.name[i] if i >= 0 else chr(-1 - i)
+
+    def holds(self, left: int, right: int) -> bool:
         """Whether merging two neighbouring pieces' characters gives back these two."""
-        known = self.stable.get((left, right))
-        if known is None:
-            if len(self.stable) >= PAIRS:
-                self.stable.clear()
-            known = self.stable[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+        a, b = self.string(left), self.string(right)
+        if len(self.stable) >= PAIRS:
+            self.stable.clear()
+        known = self.stable[left << 22 | right + (1 << 21)] = self.merged(a + b) == ([a, b] if a else [b])
         return known
 
     def forward(self, word: str, states: list) -> None:
-        """Extend the states of a prefix over the rest of a word. A state is (last piece's start, last piece, score)."""
+        """Extend the states of a prefix over the rest of a word. A state is (last piece's start, its id, score)."""
+        tail, stable = self.tail, self.stable
         for end in range(len(states), len(word) + 1):
-            if self.unigram:
-                best = None
-                for start in range(max(0, end - self.longest), end):
-                    piece = word[start:end]
-                    score = self.score.get(piece)
-                    if score is None and start == end - 1:
-                        score = self.least
-                    if score is not None and (best is None or states[start][2] + score > best[2]):
-                        best = (start, piece, states[start][2] + score)
-                states.append(best)
-                continue
-            for start in range(max(0, end - self.longest), end):
-                piece = word[start:end]
-                if piece in self.score or start == end - 1:
+            best = None
+            for start in range(end - 1, -1, -1):
+                i = tail.get(word[start:end], None)
+                if i is None or i == _ENDS:
+                    if start == end - 1:
+                        char = -1 - ord(word[start])
+                        if self.unigram:
+                            best = (start, char, states[start][2] + self.least)
+                        elif self.holds(states[start][1], char):
+                            best = (start, char, 0.0)
+                            break
+                    if i is None:
+                        break
+                elif self.unigram:
+                    total = states[start][2] + self.value[i]
+                    if best is None or total > best[2]:
+                        best = (start, i, total)
+                else:
                     left = states[start][1]
-                    if self.holds(left, piece):
-                        states.append((start, piece, 0.0))
+                    known = stable.get(left << 22 | i + (1 << 21))
+                    if known or known is None and self.holds(left, i):
+                        best = (start, i, 0.0)
                         break
+            states.append(best)
 
-    def segments(self, states: list) -> list[str]:
+    def segments(self, states: list) -> list[int]:
+        """Piece ids, and negative numbers for characters that are no pieces."""
         out, end = [], len(states) - 1
         while end:
-            start, piece, _ = states[end]
-            out.append(piece)
-            end = start
-        return out[::-1]
-
-    def ids(self, pieces: list[str]) -> list[int]:
-        out = []
-        for p in pieces:
-            if (i := self.id.get(p)) is not None:
+            end, i, _ = states[end]
+            out.append(i)
+        out.reverse()
+        return out
+
+    def ids(self, found: list[int]) -> list[int]:
+        if not found or min(found) >= 0:
+            return found
+        out: list[int] = []
+        for i in found:
+            if i >= 0:
                 out.append(i)
             elif self.fallback:
-                out += [self.bytes[b] for b in p.encode()]
+                out += [self.bytes[b] for b in chr(-1 - i).encode()]
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
         return out
 
     def learn(self, words: set[str]) -> None:
-        states: list = [(0, "", 0.0)]
+        states: list = [(0, _START, 0.0)]
         before = ""
         for w in sorted(words):
-            n, most = 0, min(len(before), len(w))
-            while n < most and before[n] == w[n]:
-                n += 1
+            n = min(len(before), len(w))
+            while before[:n] != w[:n]:
+                n -= 1
             del states[n + 1 :]
             self.forward(w, states)
-            self.words[w] = np.array(self.ids(self.segments(states)), np.int32).tobytes()
+            self.words[w] = array("i", self.ids(self.segments(states))).tobytes()
             before = w
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Piece ids of each text; unknown words of all the texts go through one forward pass."""
         mark = MARK if self.prefix else ""
-        split = [WORD.findall(mark + t.replace(" ", MARK)) if t else [] for t in texts]
+        split = [self.word.findall(mark + t.replace(" ", MARK)) if t else [] for t in texts]
         todo = {w for s in split for w in s if w not in self.words}
         if len(self.words) + len(todo) > CACHE:
             self.words.clear()

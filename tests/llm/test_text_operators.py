@@ -76,8 +76,10 @@ def test_pieces_match_the_library(spark, sf_dir, docs, empty, monkeypatch):
 
 def test_unigram_forward_pass_is_viterbi():
     encoder = pieces.Encoder.__new__(pieces.Encoder)
-    encoder.unigram, encoder.longest, encoder.least = True, 4, -20.0
+    encoder.unigram, encoder.fallback = True, False
     encoder.score = {"a": -3.0, "b": -3.0, "ab": -4.0, "abc": -9.0, "c": -2.5, "bc": -3.1, "aabc": -8.0}
+    encoder.id = {p: i for i, p in enumerate(encoder.score)}
+    encoder.prepare()
     rng = random.Random(3)
 
     def best(w):
@@ -86,12 +88,12 @@ def test_unigram_forward_pass_is_viterbi():
         return max((encoder.score.get(w[:k], encoder.least if k == 1 else -1e9) + best(w[k:]) for k in range(1, min(4, len(w)) + 1)))
 
     words = sorted({"".join(rng.choice("abcz") for _ in range(rng.randint(1, 9))) for _ in range(80)})
-    states, before = [(0, "", 0.0)], ""
+    states, before = [(0, pieces._START, 0.0)], ""
     for w in words:
         n = next((i for i, (p, q) in enumerate(zip(before, w, strict=False)) if p != q), min(len(before), len(w)))
         del states[n + 1 :]
         encoder.forward(w, states)
-        assert "".join(encoder.segments(states)) == w
+        assert "".join(map(encoder.string, encoder.segments(states))) == w
         assert states[-1][2] == pytest.approx(best(w))
         before = w
 
