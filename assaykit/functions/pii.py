@@ -73,6 +73,10 @@ DPDP = {
     "in_vehicle_reg": r"\b[A-Z]{2}[-\s]?\d{1,2}[-\s]?[A-Z]{1,3}[-\s]?\d{4}\b",
     "in_ration_card": r"\b(?:Ration\s+Card[:\s#]*)[A-Z0-9]{8,16}\b",
 }
+#: Patterns whose every match holds a digit; texts without one needn't be searched.
+WITH_DIGIT = frozenset([*BASE, *HIPAA, *GDPR, *CCPA, *DPDP]) - {"email", "health_plan_number", "vin", "device_identifier", "npi_dea_license", "certificate_number", "url", "patient_name", "in_ration_card"}
+#: What every match of these holds.
+WITH_MARK = {"email": "@", "url": "://"}
 JURISDICTIONS = {"gdpr": GDPR, "ccpa": CCPA, "pipeda": {}, "hipaa": HIPAA, "dpdp": DPDP}
 CASE_SENSITIVE = (
     "eu_vat iban uk_ni_number es_dni es_nie it_codice_fiscale fr_nir pl_pesel se_personnummer dk_cpr ie_ppsn fi_hetu "
@@ -184,7 +188,11 @@ def found(text: Column, name: str, pattern: str, strict: bool = True) -> Column:
     """Matches of one pattern: its group where it has one, checked where a check exists."""
     group = re.compile(pattern).groups
     flags = "(?U)" if name in CASE_SENSITIVE else "(?iU)"
-    hits = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(flags + pattern), F.lit(1 if group else 0))
+    text = F.coalesce(text, F.lit(""))
+    hits = F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(1 if group else 0))
+    if pattern in (BASE | HIPAA | GDPR | CCPA | DPDP).values() and (name in WITH_DIGIT or name in WITH_MARK):
+        worth = F.contains(text, F.lit(WITH_MARK[name])) if name in WITH_MARK else text.rlike(r"(?U)\d")
+        hits = F.when(worth, hits).otherwise(F.array().cast("array<string>"))
     return F.filter(hits, CHECKS[name]) if strict and name in CHECKS else hits
 
 
