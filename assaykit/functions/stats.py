@@ -153,3 +153,16 @@ def credible(passes: int, n: int, confidence: float = 0.95, draws: int = 10_000,
         shares.append(x / (x + gamma(b)))
     shares.sort()
     return round(shares[int(half * draws)], 4), round(shares[min(int((1 - half) * draws), draws - 1)], 4)
+
+
+def cluster_bootstrap_counts(values: Sequence[tuple[float, int]], confidence: float = 0.95, draws: int = 2000, seed: int = 0) -> tuple[float, float]:
+    """The cluster interval from distinct values with counts: resampling cases draws multinomial counts, so its cost doesn't follow the number of cases."""
+    import numpy as np
+
+    v, n = np.array([x for x, _ in values], float), np.array([c for _, c in values])
+    m = int(n.sum())
+    if len(set(v.tolist())) == 1:
+        return wilson_value(float(v[0]) * m, m, confidence)
+    means = np.sort(np.random.default_rng(seed).multinomial(m, n / m, draws) @ v / m)
+    low, high = np.quantile(means, [(1 - confidence) / 2, (1 + confidence) / 2])
+    return float(low), float(high)
