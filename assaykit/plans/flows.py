@@ -69,7 +69,8 @@ def shape_inference(spark, sf_dir):
 
 
 @query(f"""WITH {_SUMMARY}, h AS (SELECT CASE WHEN v > 30 THEN 'conversation' WHEN c > 40 THEN 'rag' ELSE 'qa' END AS shape FROM s)
-    SELECT shape, unnest(range(4))::INT AS "rank", unnest(CASE shape WHEN 'conversation' THEN ['conversation_relevance', 'knowledge_retention', 'conversation_completeness', 'not_empty'] WHEN 'rag' THEN ['faithfulness', 'hallucination', 'context_precision', 'not_empty'] ELSE ['answer_accuracy', 'relevance', 'not_empty'] END) AS evaluator FROM h""")
+    , l AS (SELECT shape, CASE shape WHEN 'conversation' THEN ['conversation_relevance', 'knowledge_retention', 'conversation_completeness', 'not_empty'] WHEN 'rag' THEN ['faithfulness', 'hallucination', 'context_precision', 'not_empty'] ELSE ['answer_accuracy', 'relevance', 'not_empty'] END AS e FROM h)
+    SELECT shape, unnest(range(len(e)))::INT AS "rank", unnest(e) AS evaluator FROM l""")
 def recommendations(spark, sf_dir):
     return gates.recommendations(gates.shape(gates.trace_summary(_traces(spark, sf_dir))))
 

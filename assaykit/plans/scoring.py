@@ -35,7 +35,6 @@ def _simple(score: str, threshold: float) -> str:
     return _ONE.format(s=f"round(({score})::DOUBLE, 6)", t=threshold)
 
 
-_FREE = [ev.not_empty(), ev.word_count(1, 200), ev.contains(["the", "que", "und", "de"], match_any=True), ev.starts_with("the")]
 _WORDS = r"len(list_filter(regexp_split_to_array(output, '\s+'), lambda x: x <> ''))"
 _FREE_SQL = f"""long AS (SELECT case_id, turn, tags, unnest([
         {{'evaluator': 'not_empty', 'score': CASE WHEN trim(output, ' \n') <> '' THEN 1.0 ELSE 0.0 END}},

@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from assaykit.plans import catalogue
@@ -16,8 +17,10 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def plain(v):
     v = v.tolist() if hasattr(v, "tolist") else v
-    if v is None or isinstance(v, float) and math.isnan(v):
+    if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and math.isnan(v):
         return None
+    if isinstance(v, float) and v.is_integer():
+        return int(v)
     return str(v)[:19].replace("T", " ").replace(" 00:00:00", "") if hasattr(v, "isoformat") else v
 
 
