@@ -26,11 +26,11 @@ def _reports(spark, sf_dir):
     """Two snapshots of orders: a case is a customer's priority, its status that of the order."""
     o = table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "P", "skipped").when(F.col("o_orderstatus") == "F", "passed").otherwise(F.when(F.col("o_totalprice") > 300000, "judge_error").otherwise("failed_quality"))
-    cases = o.select(F.concat_ws("/", F.col("o_custkey").cast("string"), "o_orderpriority").alias("case_input"), F.col("o_orderkey").alias("case_index"), status.alias("status"), F.round(F.col("o_totalprice") / 1000, 2).alias("score"), (F.col("o_orderkey") % 2).alias("half"))
+    cases = o.select(F.concat_ws("/", F.col("o_custkey").cast("string"), "o_orderpriority").alias("case_input"), F.col("o_orderkey").alias("case_index"), status.alias("status"), F.floor(F.col("o_totalprice") / 1000).cast("double").alias("score"), (F.col("o_orderkey") % 2).alias("half"))
     return (cases.where(f"half = {i}").drop("half") for i in (0, 1))
 
 
-_PAIRED = """r AS (SELECT concat_ws('/', o_custkey::VARCHAR, o_orderpriority) AS case_input, o_orderkey AS case_index, o_orderkey % 2 AS half, round(o_totalprice / 1000, 2) AS score,
+_PAIRED = """r AS (SELECT concat_ws('/', o_custkey::VARCHAR, o_orderpriority) AS case_input, o_orderkey AS case_index, o_orderkey % 2 AS half, floor(o_totalprice / 1000)::DOUBLE AS score,
         CASE WHEN o_orderstatus = 'P' THEN 'skipped' WHEN o_orderstatus = 'F' THEN 'passed' WHEN o_totalprice > 300000 THEN 'judge_error' ELSE 'failed_quality' END AS status FROM orders),
     n AS (SELECT *, row_number() OVER (PARTITION BY half, case_input ORDER BY case_index) AS occurrence FROM r),
     pairs AS (SELECT case_input, occurrence, b.status AS base_status, p.status AS new_status, b.score AS base_score, p.score AS new_score,
