@@ -55,7 +55,7 @@ def near_pairs(df: DataFrame, key: str, tokens: str, threshold: float = JACCARD)
     return met.join(u, "a").join(v, "b").withColumn("similarity", sim).where(F.col("similarity") >= threshold).select("a", "b", "similarity").unionByName(copies)
 
 
-def accepted(df: DataFrame, key: str, tokens: str, threshold: float = JACCARD, rounds: int = 50) -> DataFrame:
+def accepted(df: DataFrame, key: str, tokens: str, threshold: float = JACCARD) -> DataFrame:
     """Adds kept: greedy acceptance in key order, each row against the rows kept before it.
 
     A row is kept if none of the kept rows before it is alike. Rounds settle rows
@@ -70,15 +70,11 @@ def accepted(df: DataFrame, key: str, tokens: str, threshold: float = JACCARD, r
     member = cut(sets.join(first, "s").select("k", "rep"))
     pairs = cut(near_pairs(df, key, tokens, threshold).join(member.where("k = rep").select(F.col("k").alias("a")), "a", "left_semi").join(member.where("k = rep").select(F.col("k").alias("b")), "b", "left_semi").select("a", "b"))
     state = cut(pairs.select(F.col("b").alias("k")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
-    for _ in range(rounds):
+    while state.where("kept is null").limit(1).count():
         before = pairs.join(state.select(F.col("k").alias("a"), F.col("kept").alias("a_kept"), F.lit(True).alias("open")), "a", "left")
         before = before.withColumn("a_kept", F.when(F.col("open"), F.col("a_kept")).otherwise(True))
         seen = before.groupBy("b").agg(F.bool_or(F.coalesce("a_kept", F.lit(False))).alias("hit"), F.bool_and(F.col("a_kept").isNotNull()).alias("all_known"))
         state = cut(state.join(seen, F.col("k") == F.col("b")).select("k", F.when(F.col("hit"), False).when(F.col("all_known"), True).alias("kept")))
-        if not state.where("kept is null").limit(1).count():
-            break
-    else:
-        raise ValueError(f"a chain of alike rows is longer than {rounds}")
     out = member.join(state, member["rep"] == state["k"], "left").select(member["k"], (F.col("rep") == member["k"]).alias("_own"), F.coalesce("kept", F.lit(True)).alias("_kept"))
     return df.join(out.select(F.col("k").alias(key), (F.col("_own") & F.col("_kept")).alias("kept")), key)
 

@@ -84,19 +84,28 @@ def misses(rows: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def called(calls: DataFrame, judge: Judge, attempts: int = 3) -> DataFrame:
-    """prompt_key, reply, error: one call each; a failing batch is tried again, then gives its error."""
+    """prompt_key, reply, error: one call each. A batch that keeps failing is asked prompt by prompt, so one bad prompt spoils only its own row."""
+
+    def tried(prompts: list[str], times: int) -> tuple[list[str] | None, str | None]:
+        error = None
+        for _ in range(times):
+            try:
+                return list(judge(prompts)), None
+            except Exception as e:  # noqa: BLE001
+                error = f"{type(e).__name__}: {e}"
+        return None, error
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            replies: list[str | None] = []
-            error = None
-            for _ in range(attempts):
-                try:
-                    replies, error = list(judge(pdf["prompt"].tolist())), None
-                    break
-                except Exception as e:  # noqa: BLE001
-                    error = f"{type(e).__name__}: {e}"
-            yield pd.DataFrame({"prompt_key": pdf["prompt_key"], "reply": replies if error is None else None, "error": error})
+            prompts = pdf["prompt"].tolist()
+            replies, error = tried(prompts, attempts)
+            if replies is not None and len(replies) == len(prompts):
+                rows = [(r, None) for r in replies]
+            elif len(prompts) == 1:
+                rows = [(None, error or "a reply is missing")]
+            else:
+                rows = [(r[0] if r else None, e) for r, e in (tried([p], 1) for p in prompts)]
+            yield pd.DataFrame({"prompt_key": pdf["prompt_key"], "reply": [r for r, _ in rows], "error": [e for _, e in rows]})
 
     return calls.mapInPandas(run, "prompt_key string, reply string, error string")
 

@@ -317,14 +317,14 @@ def report_json(spark, sf_dir):
     return sinks.report_json(cases, report.summary(cases))
 
 
-def _streamed(spark, df, make, mode):
+def _streamed(spark, df, make, mode, by=()):
     """A bounded replay of a frame through a streaming query."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         cut(spark.range(1))
         folder = spark.conf.get("spark.checkpoint.dir")
     at = f"{folder.rstrip('/')}/assaykit/stream-{uuid.uuid4().hex}"
-    df.repartition(4).write.parquet(f"{at}/in")
+    df.repartition(4, *by).write.parquet(f"{at}/in")
     return trials.drain(make(trials.replay(spark, f"{at}/in")), f"s{uuid.uuid4().hex}", mode, f"{at}/checkpoint")
 
 
@@ -340,6 +340,14 @@ def stream_costs(spark, sf_dir):
     return _streamed(spark, _calls(spark, sf_dir), trials.cost_totals, "complete")
 
 
+@query(f"""WITH {RUNS}, s AS (SELECT case_id, count(*) OVER w AS n, sum(passed::INT) OVER w AS p FROM runs WINDOW w AS (PARTITION BY case_id ORDER BY run_no))
+    SELECT case_id, min(n) AS stop_at FROM s WHERE n >= 2 AND (pow(1.6, p) * pow(0.4, n - p) >= 16 OR pow(0.4, p) * pow(1.6, n - p) >= 16) GROUP BY case_id""")
+def stream_sprt(spark, sf_dir):
+    """Each case's trials arrive in one file's order: a case lies in one partition of the replay."""
+    rows = runs(spark, sf_dir).select("case_id", "run_no", "passed")
+    return _streamed(spark, rows, trials.sequential_stops, "append", ["case_id"])
+
+
 @query("""WITH c AS (SELECT user_id AS suite, event_id AS seq, value / 1000 AS cost_usd FROM events) SELECT suite, seq, coalesce(sum(cost_usd) OVER (PARTITION BY suite ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 1.0, false) AS stop FROM c""")
 def budget_stop(spark, sf_dir):
     calls = table(spark, sf_dir, "events").select(F.col("user_id").alias("suite"), F.col("event_id").alias("seq"), (F.col("value") / 1000).alias("cost_usd"))

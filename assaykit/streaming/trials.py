@@ -13,8 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def replay(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -49,34 +48,25 @@ def over_budget(calls: DataFrame, limit: float, order: str = "seq") -> DataFrame
     return calls.withColumn("stop", F.coalesce(F.sum("cost_usd").over(w) >= limit, F.lit(False)))
 
 
-class _Sequential(StatefulProcessor):
-    """State of a case: passes, trials, and whether the test has stopped."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("trial", T._parse_datatype_string("passes long, n long, stopped boolean"))
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:
-        passes, n, stopped = self.state.get() if self.state.exists() else (0, 0, False)
-        out = []
-        if not stopped:
-            batch = pd.concat(list(rows)).sort_values("run_no")
-            for ok in batch["passed"]:
-                passes, n = passes + bool(ok), n + 1
-                fails = n - passes
-                if n >= 2 and max(1.6**passes * 0.4**fails, 0.4**passes * 1.6**fails) >= 16:
-                    out.append((key[0], n))
-                    stopped = True
-                    break
-            self.state.update((passes, n, stopped))
-        yield pd.DataFrame(out, columns=["case_id", "stop_at"])
-
-    def close(self) -> None:
-        pass
+def _sequential(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Counts a case's passes and trials until its test stops; emits the stop once."""
+    passes, n, stopped = state.get if state.exists else (0, 0, False)
+    rows = pd.concat(list(batches))
+    if stopped:
+        return
+    for ok in rows.sort_values("run_no")["passed"]:
+        passes, n = passes + int(bool(ok)), n + 1
+        fails = n - passes
+        if n >= 2 and max(1.6**passes * 0.4**fails, 0.4**passes * 1.6**fails) >= 16:
+            stopped = True
+            yield pd.DataFrame({"case_id": [key[0]], "stop_at": [n]})
+            break
+    state.update((passes, n, stopped))
 
 
 def sequential_stops(trials: DataFrame) -> DataFrame:
     """case_id, stop_at: emitted once, at the trial after which a case's sequential test stops."""
-    return trials.groupBy("case_id").transformWithStateInPandas(statefulProcessor=_Sequential(), outputStructType="case_id long, stop_at long", outputMode="Append", timeMode="None")
+    return trials.groupBy("case_id").applyInPandasWithState(_sequential, "case_id long, stop_at long", "passes long, n long, stopped boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
