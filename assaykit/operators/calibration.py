@@ -56,8 +56,11 @@ def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     Ranks come from counts per distinct value: the global order runs over distinct
     values in ranges, their totals first, so no task sorts all rows.
     """
+    from ..sources.tables import cut
+
     by = df.groupBy(value).agg(F.count("*").alias("_n"))
-    by = by.repartitionByRange(F.col(value)).withColumn("_part", F.spark_partition_id())
+    # Written once, so that both uses below see the same ranges.
+    by = cut(by.repartitionByRange(F.col(value)).withColumn("_part", F.spark_partition_id()))
     local = by.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_part").orderBy(value)))
     heads = local.groupBy("_part").agg(F.sum("_n").alias("_size")).withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranks = local.join(F.broadcast(heads.select("_part", "_before")), "_part").select(value, (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name))

@@ -25,10 +25,10 @@ def well_formed(inp: str = "input", expected: str = "expected_output", metadata:
 
 
 def exact_duplicates(df: DataFrame, inp: str, order: str) -> DataFrame:
-    """Adds duplicate_of: the first row with the same loosely normalised text, null for that row itself."""
-    w = Window.partitionBy(text.loose(F.col(inp)))
-    first = F.min(order).over(w)
-    return df.withColumn("duplicate_of", F.when(first != F.col(order), first))
+    """order, duplicate_of: the first row with the same loosely normalised text, null for that row itself. Digests travel, not texts."""
+    marked = df.select(order, F.sha2(text.loose(F.coalesce(F.col(inp), F.lit(""))), 256).alias("_h"))
+    first = marked.groupBy("_h").agg(F.min(order).alias("_first"))
+    return marked.join(first, "_h").select(order, F.when(F.col("_first") != F.col(order), F.col("_first")).alias("duplicate_of"))
 
 
 def near_pairs(df: DataFrame, key: str, tokens: str, threshold: float = JACCARD) -> DataFrame:
