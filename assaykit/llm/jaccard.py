@@ -95,7 +95,7 @@ def token_sketch(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             names = np.concatenate(shingles(texts_of(batch)))
             total += np.bincount((names >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
         if total.any():
@@ -144,7 +144,7 @@ def classed(docs: DataFrame, counts: np.ndarray, percent: int = PERCENT, width:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             rows = []
             for names in shingles(texts_of(batch), width):
                 u = np.unique(names)
@@ -167,7 +167,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, width: i
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "y", 2 << 20):
+        for batch in slices(batches, "y", 1 << 20):
             a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))
             place = {t: i for i, t in enumerate(dict.fromkeys(t or "" for t in [*x, *y]))}
             sets = [np.unique(s) for s in shingles([*place], width)]

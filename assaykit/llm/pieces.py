@@ -16,7 +16,7 @@ Characters that the vocabulary lacks become their bytes' pieces, or the unknown
 Defined cases: null and empty texts have no pieces and decode to the empty text;
 repeated rows are encoded each; extra columns stay; a literal U+2581 decodes as a
 space, as in the library. Words longer than ``LONG`` characters are encoded without
-being cached. Memory: the caches are emptied at fixed numbers of entries.
+being cached. Memory: the caches have fixed numbers of entries, the word cache two halves by age.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from .common import slices, texts_of
 
 MARK = "▁"
-CACHE, PAIRS, LONG = 1 << 19, 1 << 20, 200
+CACHE, PAIRS, LONG = 1 << 17, 1 << 18, 200
 #: Stand-ins for piece ids: a string that only ends pieces, and the start of a word. Other characters count down from -1.
 _ENDS, _START = 1 << 30, 1 << 21
 
@@ -86,6 +86,7 @@ class Encoder:
         self.value = {i: self.score[p] for p, i in self.id.items()}
         self.least = min(self.score.values()) - 10
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.stable: dict[int, bool] = {}
         # ASCII characters that stand in no longer piece never merge: words end there as well.
         joined = {c for p in self.id if len(p) > 1 for c in p}
@@ -183,10 +184,17 @@ class Encoder:
         """Piece ids of each text; unknown words of all the texts go through one forward pass."""
         mark = MARK if self.prefix else ""
         split = [self.word.findall(mark + t.replace(" ", MARK)) if t else [] for t in texts]
-        todo = {w for s in split for w in s if w not in self.words}
-        if len(self.words) + len(todo) > CACHE:
-            self.words.clear()
-            todo = {w for s in split for w in s}
+        if len(self.words) > CACHE:
+            # Words that come again move back from the older half; the others go with the next turn.
+            self.older, self.words = self.words, {}
+        words, older = self.words, self.older
+        todo = set()
+        for w in {w for s in split for w in s}:
+            if w not in words:
+                if (ids := older.get(w)) is not None:
+                    words[w] = ids
+                else:
+                    todo.add(w)
         self.learn(todo)
         known = self.words.__getitem__
         out = [np.frombuffer(b"".join(map(known, s)), np.int32) for s in split]
