@@ -12,11 +12,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
+BATCH, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def ship(spark: SparkSession) -> None:
-    """Once a context: on one machine workers get the package's folder on their path, elsewhere a ZIP of it."""
+    """Once a context: on one machine workers get the package's folder on their path, elsewhere a ZIP of it.
+
+    Arrow batches stay small unless the session says otherwise: both sides hold several
+    of them for each running task, outside the JVM's heap.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH) == BATCH_DEFAULT:
+        spark.conf.set(BATCH, "4m")
     if getattr(sc, "_assaykit", False):
         return
     if sc.master.startswith("local"):
