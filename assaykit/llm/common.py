@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -67,7 +68,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Split Arrow batches so that the text column of each piece stays near most_bytes."""
+    """Split Arrow batches so that the text column of each piece stays near most_bytes.
+
+    Workers serve many tasks, and idle ones stay: what the tasks before left free
+    goes back to the system at the start, and this task's at the end.
+    """
+    _trim()
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -78,6 +84,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
         edges = [0, *cuts.tolist(), n]
         for a, b in zip(edges, edges[1:], strict=False):
             yield batch.slice(a, b - a)
+    _trim()
+
+
+def _trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -48,7 +48,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least n of each."""
     if len(_powers.get("up", ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = -(-n // (1 << 18)) << 18
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             x = np.full(size, base, np.uint64)
             x[0] = 1

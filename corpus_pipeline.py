@@ -8,6 +8,7 @@ drops documents as its schedule takes them, and the last stage encodes the texts
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,20 +17,35 @@ from pyspark.sql import functions as F
 from assaykit.llm import jaccard, mixing, pieces, quality, secrets
 from assaykit.llm.common import cut, documents
 from assaykit.llm.queries import tokenizer
+from assaykit.session import ship
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: SQL can't express the classifier or the encoder; a test compares the pipeline with brute force.
 ORACLE_SQL = None
 
 
+def staged(f: Stage) -> Stage:
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, docs, sf_dir)
+
+    return run
+
+
+@staged
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.classify(docs, model, drop_text=False).where("predicted = 1").select(docs.columns)
 
 
+@staged
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard.one_of_each(docs)
 
 
+@staged
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     clean = secrets.scan(docs).withColumn("text", F.col("redacted"))
     if "n_chars" in docs.columns:
@@ -37,15 +53,17 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return clean.select(docs.columns)
 
 
+@staged
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.apply_mix(docs)
 
 
+@staged
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, tokenizer("piece_bpe_32k.model"), keep_ids=True)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", keep_quality),
     ("n-gram Jaccard join", keep_one_of_each),
     ("secret scans", redact_secrets),
