@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from assaykit.llm import chat, fingerprints, media, pieces, quality, secrets, token_counts
+from assaykit.llm import chat, fingerprints, media, pieces, quality, secret_nulls, secrets, token_counts
 from assaykit.llm.queries import tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, score double"
@@ -128,6 +128,35 @@ def test_secret_battery_finds_random_runs_and_leaves_words_alone(spark, sf_dir):
     assert secrets.discoveries([], []) == []
 
 
+@pytest.mark.parametrize(("name", "n", "alone", "of_five"), [("base62", 20, 80, 60), ("base62", 24, 90, 70), ("base62", 32, 95, 85), ("lower36", 24, 80, 60), ("lower36", 32, 90, 75), ("letters52", 32, 85, 65)])
+def test_secret_recall_by_length_and_number_of_candidates(name, n, alone, of_five):
+    rng = random.Random(n)
+    for others, least in ((0, alone), (4, of_five)):
+        hits = 0
+        for _ in range(100):
+            token = "".join(rng.choices(secrets.ALPHABETS[name], k=n))
+            text = " ".join([*(secret_nulls.ordinary(rng, rng.randint(20, 40), secrets.ALPHABETS["base62"]) for _ in range(others)), token])
+            hits += any(e == len(text) for _, _, e in secrets.random_spans(text, []))
+        assert hits >= least
+
+
+def test_secret_battery_keeps_its_rate_on_ordinary_runs():
+    rng = random.Random(2)
+    for name in ("lower26", "letters52", "lower36", "base62", "base64url"):
+        runs = [secret_nulls.ordinary(rng, rng.choice((20, 26, 45)), secrets.ALPHABETS[name]) for _ in range(600)]
+        assert sum(bool(secrets.random_spans(t, [])) for t in runs) <= 18
+    assert secret_nulls.calibrated("base62", 24) == secret_nulls.NULLS["base62"][secret_nulls.LENGTHS.index(24)]
+
+
+def test_secret_candidates_are_split_at_marks_and_base_spans():
+    token, other = "q7Zt2LxV9bRk4WmY8cNs3HdP6fGj", "R5vX1uKe7MzQ2aTw9LoB4yCi"
+    text = f"see docs/guide/{token}/index and {'0123456789abcdef' * 2}{other} here"
+    got = [text[s:e] for s, _, e in secrets.random_spans(text, secrets.base_spans(text))]
+    assert len(got) == 2 and token in got[0] and got[1] in other
+    assert secrets.redacted(text, sorted(secrets.base_spans(text) + secrets.random_spans(text, secrets.base_spans(text)))).count("[SECRET]") >= 2
+    assert secrets.random_spans("number 31415926535897932384626433", []) == []
+
+
 def test_redaction_covers_overlapping_spans():
     assert secrets.redacted("ab secret cd", [(3, 0, 9), (4, 2, 7)]) == "ab [SECRET] cd"
     assert secrets.redacted("abcdef", [(0, 0, 3), (2, 2, 6)]) == "[SECRET]"
