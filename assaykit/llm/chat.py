@@ -11,13 +11,16 @@ string survives in them; removing one backslash restores the input. A line break
 in a role becomes ``<\\n>`` after the same rule for ``<``, backslashes, ``n>``.
 
 Defined cases: null role or text is empty; turns sort by turn, then role, then
-text, nulls first, repeated rows stay; a record whose fingerprint no layout has
-gets null turns; an empty table gives an empty result; extra columns of a turn
-table are ignored, since only required paths are matched there.
+text, nulls first, repeated rows stay; fields that no layout lists (columns, keys of
+a record or of its turns) are ignored, for tables and records alike; a null field or
+an empty list counts as present and gives an empty text or no turns; a record that no
+layout fits gets null turns and stays as a conversation of 0 turns with a status. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -66,17 +69,34 @@ def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
 
 def value_paths(value: Any, at: str = "") -> set[str]:
     if isinstance(value, dict):
-        return {p for k, v in value.items() if v is not None for p in value_paths(v, f"{at}.{k}" if at else k)}
+        return {p for k, v in value.items() for p in value_paths(v, f"{at}.{k}" if at else k)}
     if isinstance(value, list):
         return {p for v in value for p in value_paths(v, f"{at}[]")} or {f"{at}[]"}
     return {at}
 
 
+@functools.cache
 def registry() -> dict[str, dict[str, Any]]:
     """Each layout under the fingerprints of its required paths with any of its optional ones."""
     return {fingerprint([*x["need"], *more]): x for x in LAYOUTS for n in range(len(x["may"]) + 1) for more in combinations(x["may"], n)}
 
 
+def layout_of(value: dict[str, Any]) -> tuple[dict[str, Any] | None, str]:
+    """The layout that fits a record, and the fingerprint of the paths it knows; of all paths where none fits.
+
+    Layouts are tried in their order, rows last: first by paths that are there, then
+    with empty or null lists in place of their items' paths.
+    """
+    have, known = value_paths(value), registry()
+    empty = {at for p in have if _dig(value, at := p.removesuffix("[]")) in ([], None)}
+    for stands in (set(), empty):
+        for layout in sorted(LAYOUTS, key=lambda x: "row" in x):
+            there = have | {p for p in layout["need"] if "[]" in p and p.split("[]")[0] in stands}
+            if layout is known.get(fp := fingerprint(there & {*layout["need"], *layout["may"]})):
+                return layout, fp
+    return None, fingerprint(have)
+
+
 def _dig(value: Any, path: str) -> Any:
     for k in path.split("."):
         value = value.get(k) if isinstance(value, dict) else None
@@ -89,7 +109,13 @@ def turns_of(record: Any, layout: dict[str, Any]) -> list[dict[str, str]]:
     turns = []
     if "list" in layout:
         items, role, text = layout["list"]
-        turns = [{"role": ROLES.get(word(x.get(role)), word(x.get(role))), "text": word(x.get(text))} for x in _dig(record, items) or []]
+        found = _dig(record, items)
+        for x in found if isinstance(found, list) else []:
+            x = x if isinstance(x, dict) else {text: x}
+            turns.append({"role": ROLES.get(word(x.get(role)), word(x.get(role))), "text": word(x.get(text))})
+    if "row" in layout:
+        _, role, text = layout["row"]
+        turns = [{"role": word(record.get(role)), "text": word(record.get(text))}]
     for role, fields in (*layout.get("fields", ()), *layout.get("then", ())):
         if found := [word(v) for f in fields if (v := _dig(record, f)) not in (None, "")]:
             turns.append({"role": role, "text": "\n\n".join(found)})
@@ -99,33 +125,38 @@ def turns_of(record: Any, layout: dict[str, Any]) -> list[dict[str, str]]:
 
 
 def canonical_turns(df: DataFrame, record: str = "record") -> DataFrame:
-    """Adds layout, schema_fp and turns to a table with one JSON record a row."""
+    """Adds layout, schema_fp, turns and status (ok, empty, unmatched, unreadable) to a table with one JSON record a row."""
 
-    @F.pandas_udf(f"struct<layout:string,schema_fp:string,turns:{TURNS}>")
+    @F.pandas_udf(f"struct<layout:string,schema_fp:string,turns:{TURNS},status:string>")
     def parse(col: pd.Series) -> pd.DataFrame:
-        known, out = registry(), []
+        out = []
         for raw in col:
             try:
                 value = json.loads(raw) if raw is not None else None
-            except ValueError:
+            except (ValueError, RecursionError):
                 value = None
-            fp = fingerprint(value_paths(value)) if isinstance(value, dict) else None
-            layout = known.get(fp)
-            out.append((layout and layout["name"], fp, turns_of(value, layout) if layout else None))
-        return pd.DataFrame(out, columns=["layout", "schema_fp", "turns"])
+            layout, fp = layout_of(value) if isinstance(value, dict) else (None, None)
+            turns = turns_of(value, layout) if layout else None
+            status = "unreadable" if fp is None else "unmatched" if turns is None else "ok" if turns else "empty"
+            out.append((layout and layout["name"], fp, turns, status))
+        return pd.DataFrame(out, columns=["layout", "schema_fp", "turns", "status"])
 
-    return df.withColumn("_p", parse(F.col(record))).select("*", "_p.layout", "_p.schema_fp", "_p.turns").drop("_p")
+    return df.withColumn("_p", parse(F.col(record))).select("*", "_p.layout", "_p.schema_fp", "_p.turns", "_p.status").drop("_p")
 
 
 def turn_rows(df: DataFrame, key: str) -> DataFrame:
-    """key, turn, role, text from a table: of turn rows by its schema's fingerprint, or of records that hold turns."""
+    """key, turn, role, text, status from a table: of turn rows by its schema's fingerprint, or of records that hold turns.
+
+    A record without turns is one row of nulls whose status says why.
+    """
     if "turns" in df.columns:
-        return df.select(key, F.posexplode("turns").alias("turn", "_t")).select(key, F.col("turn").cast("long"), "_t.role", "_t.text")
+        why = F.col("status") if "status" in df.columns else F.when(F.col("turns").isNull(), "unmatched").when(F.size("turns") == 0, "empty").otherwise("ok")
+        return df.select(key, why.alias("status"), F.posexplode_outer("turns").alias("turn", "_t")).select(key, F.col("turn").cast("long"), "_t.role", "_t.text", "status")
     have = set(schema_paths(df.schema))
     for fp, layout in registry().items():
         if "row" in layout and fp == fingerprint(have & {*layout["need"], *layout["may"]}):
             turn, role, text = layout["row"]
-            return df.select(key, F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+            return df.select(key, F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"), F.lit("ok").alias("status"))
     raise ValueError(f"no layout has the field paths {sorted(have)}")
 
 
@@ -135,22 +166,23 @@ def _escaped(c: Column, role: bool = False) -> Column:
 
 
 def format_chats(rows: DataFrame, key: str) -> DataFrame:
-    """One row a conversation: key, formatted, n_turns, loss_spans (code points, end exclusive).
+    """One row a conversation: key, formatted, n_turns, loss_spans (code points, end exclusive), status.
 
-    Rows are dealt by key and sorted; the mapper joins one conversation at a time
+    Records without turns are no turns; their statuses are the conversation's. Rows are dealt by key and sorted; the mapper joins one conversation at a time
     and holds no more than that conversation and a batch.
     """
-    schema = T.StructType([rows.schema[key], *T._parse_datatype_string("formatted string, n_turns long, loss_spans array<struct<start:long,end:long>>")])
+    schema = T.StructType([rows.schema[key], *T._parse_datatype_string("formatted string, n_turns long, loss_spans array<struct<start:long,end:long>>, status string")])
     piece = F.concat(F.lit(START), _escaped(F.col("role"), True), F.lit("\n"))
     dealt = (
         rows.withColumn("head", piece).withColumn("body", _escaped(F.col("text"))).withColumn("loss", F.coalesce(F.col("role") == "assistant", F.lit(False)))
-        .repartition(parts(rows.sparkSession), key).sortWithinPartitions(key, "turn", "role", "text").select(key, "head", "body", "loss")
+        .repartition(parts(rows.sparkSession), key).sortWithinPartitions(key, "turn", "role", "text").select(key, "head", "body", "loss", "status")
     )
-    arrow = pa.schema([("formatted", pa.string()), ("n_turns", pa.int64()), ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+    arrow = pa.schema([("formatted", pa.string()), ("n_turns", pa.int64()), ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("status", pa.string())])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Any] = []
         at, pieces, spans, n = object(), [], [], 0
+        why: set[str] = set()
         size = length = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -162,23 +194,26 @@ def format_chats(rows: DataFrame, key: str) -> DataFrame:
         kind = None
         for batch in batches:
             kind = batch.schema.field(key).type
-            for k, head, body, loss in zip(*(batch.column(c).to_pylist() for c in (key, "head", "body", "loss")), strict=True):
+            for k, head, body, loss, status in zip(*(batch.column(c).to_pylist() for c in (key, "head", "body", "loss", "status")), strict=True):
                 if k != at:
-                    if n:
-                        held.append((at, "".join(pieces), n, spans))
+                    if why:
+                        held.append((at, "".join(pieces), n, spans, ",".join(sorted(why - {"ok"})) or "ok"))
                         size += length
                         if size > 4_000_000 or len(held) >= 5000:
                             yield from flush()
                             size = 0
-                    at, pieces, spans, n, length = k, [], [], 0, 0
+                    at, pieces, spans, n, length, why = k, [], [], 0, 0, set()
+                why.add(status)
+                if status != "ok":
+                    continue
                 length += len(head)
                 if loss:
                     spans.append({"start": length, "end": length + len(body)})
                 length += len(body) + len(END) + 1
                 pieces += (head, body, END, "\n")
                 n += 1
-        if n:
-            held.append((at, "".join(pieces), n, spans))
+        if why:
+            held.append((at, "".join(pieces), n, spans, ",".join(sorted(why - {"ok"})) or "ok"))
         yield from flush()
 
     return dealt.mapInArrow(join, schema)

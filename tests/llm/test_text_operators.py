@@ -310,3 +310,28 @@ def test_chat_layouts(spark):
     assert len({r.schema_fp for r in got.values() if r.schema_fp}) == 8
     with pytest.raises(ValueError, match="no layout"):
         chat.turn_rows(spark.createDataFrame([(1, 2)], "conv_id long, other long"), "conv_id")
+
+
+def test_chat_records_with_extra_null_and_no_fields_stay(spark):
+    import json
+
+    records = [
+        {"id": 7, "source": "x", "metadata": {"a": [1]}, "messages": [{"role": "user", "content": "q", "name": "n"}, {"role": "assistant", "content": None, "tool_calls": [{"id": 1}]}]},
+        {"messages": [{"role": "user", "content": None}]},
+        {"messages": [], "id": 1},
+        {"instruction": "q", "output": "a", "input": None, "tags": []},
+        {"id": 3, "prompt": {"messages": [{"role": "user", "content": "q"}], "n": 1}, "response": "a"},
+        {"messages": [{"role": "user", "content": "q"}, "bare"], "text": None},
+        {"turn": 0, "role": "user", "text": "q", "lang": "en"},
+        {"unknown": 1},
+        {"messages": None},
+    ]
+    rows = [(i, json.dumps(r)) for i, r in enumerate(records)] + [(9, None), (10, "not json"), (11, '{"messages": ["q"]}')]
+    formatted = chat.format_chats(chat.turn_rows(chat.canonical_turns(spark.createDataFrame(rows, "conv_id long, record string")), "conv_id"), "conv_id")
+    got = {r.conv_id: (chat.parse_chat(r.formatted), r.n_turns, r.status) for r in formatted.collect()}
+    plain = [("user", "q"), ("assistant", "a")]
+    assert got[0] == ([("user", "q"), ("assistant", "")], 2, "ok") and got[1] == ([("user", "")], 1, "ok")
+    assert got[3] == got[4] == (plain, 2, "ok") and got[5] == ([("user", "q"), ("", "bare")], 2, "ok") and got[6] == ([("user", "q")], 1, "ok")
+    assert [got[i] for i in (2, 7, 8, 9, 10, 11)] == [([], 0, s) for s in ("empty", "unmatched", "empty", "unreadable", "unreadable", "unmatched")]
+    digests = {r.conv_id: r.n_turns for r in chat.chat_digests(formatted).collect()}
+    assert len(digests) == 12 and digests[7] == 0
