@@ -80,3 +80,14 @@ def test_reliability_gate(spark):
     with pytest.raises(suite.GateFailure, match="unknown"):
         authoring.gate_reliability(cases, 9, 0.1)
     assert report.pass_k(cases, 2).first().pass_hat_k == 1.0
+
+
+def test_contrast_twins_read_whole_answers(spark, sf_dir):
+    from assaykit.plans import authored, base
+
+    said = {r.case_id: r for r in base.turn_pairs(spark, sf_dir).collect()}
+    got = authored.contrast_twins(spark, sf_dir).collect()
+    assert any(len(said[r.case_id].output) > 40 for r in got)
+    for r in got:
+        prompt = f"Question: {said[r.case_id].input}\nRight answer: {said[r.case_id].output}\nWrite a wrong answer that looks right."
+        assert r.bad_output == f"wrong {len(prompt)}"
