@@ -11,7 +11,9 @@ postings / l), and a pair is verified only if it shares the smaller l of the two
 
 Large posting groups don't emit all their pairs: first each member is compared with
 the group's smallest member alone, links found there form components, and pairs
-inside one component are not compared again. Verification recomputes both sets from
+inside one component are not compared again: ``join`` returns classes and components,
+which such links can't change. ``links`` compares all and returns every link between
+classes; ``with_link_counts`` adds each document's number of links. Verification recomputes both sets from
 whole texts and tests 100 * intersection >= 80 * union.
 
 Defined cases: null and empty texts, and texts without words, have 0 shingles and
@@ -211,8 +213,8 @@ def _matched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return met.where((F.col("hits") >= F.least("depth_a", "depth_b")) & (F.col("hits") + rest >= _need(F.col("n_a"), F.col("n_b"), percent))).select("a", "b")
 
 
-def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id of every row."""
+def _posted(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets of all rows, classes of equal sets, and the base prefixes' postings of tokens that classes share."""
     spark = docs.sparkSession
     sets = cut(classed(docs, token_sketch(docs), percent, width))
     keyed = sets.where("n > 0 and doc_id is not null")
@@ -222,7 +224,42 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     same = Window.partitionBy("token")
     shared = cut(postings.repartition(parts(spark), "token").withColumn("size", F.count("*").over(same)).withColumn("lead", F.min("rep").over(same)).where("size > 1"))
     release(spark)
+    return sets, classes, shared
+
+
+def _met(x: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of representatives that share a token of postings and may link, with the columns of both."""
+    a, b = (x.select("token", *[F.col(c).alias(f"{c}_{k}") for c in x.columns if c != "token"]) for k in "xy")
+    return a.join(b, "token").where((F.col("rep_x") < F.col("rep_y")) & _may_link(percent)).withColumns({"a": F.col("rep_x"), "b": F.col("rep_y")})
+
+
+def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """a, b: every pair of linked classes, by their representatives, a < b.
+
+    Unlike join(), which needs components only, it compares all members of large
+    groups, so its cost follows the number of pairs, up to the square of a group.
+    """
+    _, classes, shared = _posted(docs, percent, width)
+    pairs = cut(_met(shared.select("token", "rep", "n", "pos"), percent).select("a", "b").distinct())
+    return verified(cut(_matched(pairs, classes, percent)), docs, percent, width)
+
+
+def with_link_counts(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """The rows of join() and n_links: with how many other documents each links, those with an equal set among them."""
+    rows = cut(join(docs, percent, width))
+    members = rows.where("n_shingles > 0 and doc_id is not null").select("class_id", "doc_id").distinct().groupBy("class_id").agg(F.count("*").alias("size"))
+    pairs = cut(links(docs, percent, width))
+    both = pairs.union(pairs.select("b", "a")).toDF("class_id", "other")
+    far = both.join(members.toDF("other", "far"), "other").groupBy("class_id").agg(F.sum("far").alias("far"))
+    counts = members.join(far, "class_id", "left").select("class_id", (F.col("size") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+    none = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    return rows.join(counts, "class_id", "left").select(*rows.columns, F.when(~none, F.col("n_links")).otherwise(0).alias("n_links"))
+
 
+def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id of every row."""
+    spark = docs.sparkSession
+    sets, classes, shared = _posted(docs, percent, width)
     found = None
     stars = shared.where((F.col("size") > HOT) & (F.col("rep") != F.col("lead")))
     if stars.limit(1).count():
@@ -237,8 +274,7 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     # Groups that lie in one component already have nothing left to compare.
     mixed = shared.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     side = shared.join(mixed, "token", "left_semi").select("token", "rep", "n", "pos", "comp")
-    x, y = (side.select("token", *[F.col(c).alias(f"{c}_{k}") for c in side.columns if c != "token"]) for k in "xy")
-    pairs = x.join(y, "token").where((F.col("rep_x") < F.col("rep_y")) & (F.col("comp_x") != F.col("comp_y")) & _may_link(percent)).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
+    pairs = _met(side, percent).where(F.col("comp_x") != F.col("comp_y")).select("a", "b").distinct()
     pairs = cut(_matched(cut(pairs), classes, percent))
     release(spark)
     links = verified(pairs, docs, percent, width)

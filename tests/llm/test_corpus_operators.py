@@ -81,6 +81,24 @@ def test_jaccard_join_with_one_large_group(spark, hot, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_jaccard_links_inside_large_groups(spark):
+    """All pairs of a group of near copies, linked or not, and each document's number of links."""
+    rng = random.Random(12)
+    base, rows = [f"w{rng.randint(0, 500)}" for _ in range(90)], varied(15)
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.choice((0, 1, 1, 2, 3))):
+            words[rng.randrange(90)] = f"v{rng.randint(0, 10**6)}"
+        rows.append((1000 + i, " ".join(words)))
+    sets = {d: shingle_set(t) for d, t in rows}
+    linked = lambda x, y: bool(sets[x]) and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])
+    rep = {d: min(e for e in sets if sets[e] == s) for d, s in sets.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(rep[x], rep[y]) for x in sets for y in sets if rep[x] < rep[y] and linked(x, y)}
+    assert {(r.a, r.b) for r in jaccard.links(docs).collect()} == want
+    assert {r.doc_id: r.n_links for r in jaccard.with_link_counts(docs).collect()} == {x: sum(linked(x, y) for y in sets if x != y) for x in sets}
+
+
 def test_jaccard_join_edges(spark):
     schema = "doc_id long, text string, n long, rep long"
     rows = [(1, "a b c d e f", 1, 1), (1, "a b c d e f", 1, 1), (2, "A b c d e f", 2, 2), (None, "a b c d e f", 3, 3), (None, None, 0, 0), (5, None, 0, 0)]
