@@ -18,7 +18,7 @@ whole texts and tests 100 * intersection >= 80 * union.
 
 Defined cases: null and empty texts, and texts without words, have 0 shingles and
 link with nothing; fewer than five words count as one shingle; rows with one doc_id
-are one document that has all their links; a null doc_id has a null component;
+are one document that has all their links and one component; a null doc_id has a null component;
 extra columns are ignored. An empty table gives an empty result.
 """
 
@@ -245,7 +245,7 @@ def links(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFr
 
 
 def with_link_counts(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """The rows of join() and n_links: with how many other documents each links, those with an equal set among them."""
+    """The rows of join() and n_links: with how many other documents each row's own set links, those with an equal set among them."""
     rows = cut(join(docs, percent, width))
     members = rows.where("n_shingles > 0 and doc_id is not null").select("class_id", "doc_id").distinct().groupBy("class_id").agg(F.count("*").alias("size"))
     pairs = cut(links(docs, percent, width))
@@ -256,6 +256,16 @@ def with_link_counts(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH
     return rows.join(counts, "class_id", "left").select(*rows.columns, F.when(~none, F.col("n_links")).otherwise(0).alias("n_links"))
 
 
+def _same_ids(sets: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """doc_id, rep, first (smallest rep of the doc_id) of doc_ids with different sets; None where there are none."""
+    key = F.xxhash64("set_key")
+    many = cut(sets.where("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo < hi").select("doc_id"))
+    if not many.limit(1).count():
+        return None
+    held = sets.where("n > 0").join(many, "doc_id", "left_semi").join(classes.select("n", "set_key", "rep"), ["n", "set_key"]).select("doc_id", "rep").distinct()
+    return cut(held.join(held.groupBy("doc_id").agg(F.min("rep").alias("first")), "doc_id"))
+
+
 def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id of every row."""
     spark = docs.sparkSession
@@ -278,11 +288,18 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     pairs = cut(_matched(cut(pairs), classes, percent))
     release(spark)
     links = verified(pairs, docs, percent, width)
-    links = cut(links.union(found) if found is not None else links)
-    linked = components(links)
+    links = links.union(found) if found is not None else links
+    same_ids = _same_ids(sets, classes)
+    if same_ids is not None:
+        links = links.union(same_ids.where("rep != first").select("first", "rep"))
+    linked = components(cut(links))
 
     class_of = classes.select("n", "set_key", "rep").join(linked, F.col("rep") == F.col("node"), "left").select("n", "set_key", "rep", F.coalesce("component", "rep").alias("comp"))
     every = sets.select("doc_id", "n", "set_key").join(class_of, ["n", "set_key"], "left")
+    if same_ids is not None:
+        # A row without shingles goes with the other rows of its doc_id.
+        alike = same_ids.groupBy("doc_id").agg(F.min("first").alias("node")).join(linked, "node", "left").select("doc_id", F.coalesce("component", "node").alias("other"))
+        every = every.join(alike, "doc_id", "left").withColumn("comp", F.coalesce("comp", "other"))
     return every.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
 
 

@@ -109,6 +109,15 @@ def test_jaccard_join_edges(spark):
     assert jaccard.join(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_jaccard_rows_of_one_id_are_one_document(spark):
+    one, two = "a b c d e f g", "q r s t u v w"
+    rows = [(5, one), (7, one), (7, two), (9, two), (7, ""), (11, ""), (12, None), (12, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in jaccard.join(docs).collect()}
+    assert got == {(5, 5), (7, 5), (9, 5), (11, 11), (12, 12)}
+    assert sorted(r.doc_id for r in jaccard.one_of_each(docs).collect()) == [5, 11, 12]
+
+
 def test_prefix_never_drops_a_link():
     """Any two sets over the bound share the smaller required number of prefix tokens."""
     import numpy as np
