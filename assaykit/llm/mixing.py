@@ -1,22 +1,29 @@
 """Mixing sources to target weights by a low-discrepancy schedule, with DataFrame operations only.
 
-``mix`` gives every source (by code point, null last) a weight from a repeating
+``targets`` gives every source (by code point, null last) a weight from a repeating
 pattern, shares ``share`` times the corpus size among the sources by weight, and
 stops a source at ``most`` times its own size, resharing the excess until none is
-above. A schedule of ``slots`` slots maps golden-ratio points through the
-cumulative targets, so that any run of consecutive slots holds sources in close
-to their target shares; slots are ranked within their source, and the r-th slot
-of a source takes the r-th of that source's equal-token blocks. Blocks are laid
-over the source's documents in a shuffled order (digest of doc_id), repeated.
-
-Defined cases: a null text has size 0; documents of size 0 take 0; null sources
-form one source, last in order; repeated rows are documents of their own; an
-empty table gives an empty result. Extra columns are dropped by ``mix`` and kept
-by ``apply_mix``.
-
-Scale: texts never shuffle. Per-source order comes from 4096 digest buckets per
-source, so a source with a third of all rows is spread over 4096 groups; the
-prefix sum over buckets reads one pre-aggregated row per (source, bucket).
+above. ``schedule`` maps the golden-ratio points of ``slots`` slots through the
+cumulative targets: each slot belongs to the source whose interval holds its point,
+and slots are ranked within their source. All slots are of one length, the targets'
+sum over the number of slots, so a source gives as many words as it has slots: any
+run of consecutive slots, and so the whole mix, holds the sources close to their
+target shares (within a few slots of ``slots``), without any slot knowing the others.
+The r-th slot of a source takes the r-th block of that length of the source's stream:
+its documents in a shuffled order (digest of doc_id), read up to ``most`` times.
+
+Defined cases: a null text has size 0; documents of size 0 take 0 and ``apply_mix``
+keeps them once; null sources form one source, last in order; repeated rows are
+documents of their own; a source whose target is below a slot's length may get no
+slot; blocks past the end of a source's last reading are cut; an empty table gives an
+empty result. ``mix`` drops extra columns; ``apply_mix`` keeps all columns, whatever
+their names, as it carries each row as one struct.
+
+Scale: per-source order comes from 4096 digest buckets per source, so a source with a
+third of all rows is spread over 4096 groups; prefix sums over buckets read one
+pre-aggregated row per (source, bucket), sums over sources one row per source, and the
+schedule's size is a parameter. ``mix`` shuffles sizes, never texts. ``apply_mix``
+moves each text once, straight to the place of its slot.
 """
 
 from __future__ import annotations
@@ -24,19 +31,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_count
+from .common import cut, parts, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
-MOST = 2.0
-SLOTS = 1 << 14
+MOST = 2
+SLOTS = 1 << 17
 GOLDEN = 0.6180339887498949
+#: (source, bucket) rows that are sent to all executors at most; beyond, they are joined by a shuffle.
+SMALL_SIDE = 400_000
+
+
+def _digest(doc_id: str) -> Column:
+    return F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and the shuffled place (bucket, digest) of each document."""
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    return docs.select("doc_id", "source", word_count("text").alias("size"), digest.alias("digest")).withColumn("bucket", F.substring("digest", 1, 3))
+    return docs.select("doc_id", "source", word_count("text").alias("size"), _digest("doc_id").alias("digest")).withColumn("bucket", F.substring("digest", 1, 3))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -66,72 +78,84 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return t.select("source", "source_size", "ord", "weight", target.alias("target"))
 
 
+def planned(plan: DataFrame) -> DataFrame:
+    """Adds each source's interval: quota (its target in whole words), before (the quotas of the sources before it) and total."""
+    ordered = Window.orderBy("ord")
+    q = plan.withColumn("quota", F.round("target").cast("long"))
+    return q.withColumn("before", F.sum("quota").over(ordered) - F.col("quota")).withColumn("total", F.sum("quota").over(Window.partitionBy()))
+
+
 def schedule(plan: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """slot, source, rank and the number of slots of each source, from the targets.
+    """slot, ord, rank: which source each slot reads, and which of the source's slots it is.
 
-    Slot n has the point frac((n + 0.5) * golden ratio); the point falls into one
-    source's interval of the cumulative targets. Points and interval starts are
-    sorted together and each point takes the last start before it, so no source
-    is compared with every slot. The number of slots is a parameter, whatever
-    the input; a source that no point meets gets one extra slot at the end.
+    Slot n has the point frac((n + 0.5) * golden ratio). Points and interval starts
+    are sorted together and each point takes the last start before it, so no source
+    is compared with every slot.
     """
-    spark = plan.sparkSession
-    whole, ordered = Window.partitionBy(), Window.orderBy("ord")
-    starts = plan.where("target > 0").withColumn("at", (F.sum("target").over(ordered) - F.col("target")) / F.sum("target").over(whole))
-    points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") + 0.5) * F.lit(GOLDEN)).alias("u")).select("slot", (F.col("u") - F.floor("u")).alias("at"))
+    starts = plan.where("quota > 0").select((F.col("before") / F.col("total")).alias("at"), "ord")
+    points = plan.sparkSession.range(slots).select(F.col("id").alias("slot"), ((F.col("id") + 0.5) * F.lit(GOLDEN)).alias("u")).select("slot", (F.col("u") - F.floor("u")).alias("at"))
     both = points.select("at", F.lit(1).alias("kind"), "slot", F.lit(None).cast("int").alias("ord")).unionByName(
         starts.select("at", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("slot"), "ord")
     )
-    met = both.withColumn("ord", F.last("ord", ignorenulls=True).over(Window.orderBy("at", "kind", "ord", "slot").rowsBetween(Window.unboundedPreceding, 0))).where("kind = 1").select("slot", "ord")
-    missed = starts.join(met.select("ord").distinct(), "ord", "left_anti").select((F.lit(slots) + F.col("ord")).cast("long").alias("slot"), "ord")
-    each = Window.partitionBy("ord")
-    return met.unionByName(missed).withColumn("rank", F.row_number().over(each.orderBy("slot")) - 1).withColumn("n_slots", F.count("*").over(each))
+    last = F.last("ord", ignorenulls=True).over(Window.orderBy("at", "kind", "slot").rowsBetween(Window.unboundedPreceding, 0))
+    met = both.withColumn("ord", last).where("kind = 1 and ord is not null").select("slot", "ord")
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("ord").orderBy("slot")) - 1)
 
 
-def placed(sizes: DataFrame) -> DataFrame:
-    """Adds the number of words of the same source that stand before each document, and its row in its bucket."""
-    key = ["source", "bucket"]
+def _plan(docs: DataFrame, slots: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sizes of all documents, ranked slots, and one row per source with its n_slots and amount of words."""
+    sizes = cut(sized(docs))
+    plan = cut(planned(targets(sizes)))
+    slot = cut(schedule(plan, slots))
+    n = slot.groupBy("ord").agg(F.count("*").alias("n_slots"))
+    # A block's words are [rank * total / slots, (rank + 1) * total / slots), whole numbers by rounding down.
+    amount = F.expr(f"least(n_slots * total div {slots}, {MOST} * source_size)")
+    per = plan.join(F.broadcast(n), "ord", "left").withColumn("n_slots", F.coalesce("n_slots", F.lit(0)))
+    return sizes, slot, per.withColumn("amount", amount).select("source", "ord", "source_size", "target", "total", "n_slots", "amount")
+
+
+def _buckets(sizes: DataFrame, per: DataFrame) -> DataFrame:
+    """One row per (source, bucket) that has documents: base, the words of its source before it, and the source's row."""
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    by = sizes.groupBy(*key).agg(F.sum("size").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy(*key).orderBy("digest", "doc_id", "size")
-    x, y = sizes.alias("x"), by.alias("y")
-    return (
-        x.join(y, (F.col("x.source").eqNullSafe(F.col("y.source"))) & (F.col("x.bucket") == F.col("y.bucket")))
-        .select("x.*", "y.base")
-        .withColumn("at", F.col("base") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-        .withColumn("row", F.row_number().over(inside))
-        .drop("base", "digest")
-    )
+    by = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    return by.alias("b").join(per.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source"))).select("b.*", *[f"p.{c}" for c in per.columns if c != "source"])
+
 
+def _joined(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Rows with source and bucket, and the other columns of their bucket's row."""
+    small = buckets.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
+    x, y = rows.alias("x"), (F.broadcast(buckets) if small else buckets).alias("y")
+    met = x.join(y, F.col("x.source").eqNullSafe(F.col("y.source")) & (F.col("x.bucket") == F.col("y.bucket")))
+    return met.select("x.*", *[f"y.{c}" for c in buckets.columns if c not in ("source", "bucket")])
 
-def quota(plan: DataFrame) -> DataFrame:
-    """Whole words that each source gives: its target rounded, at most its cap."""
-    return plan.withColumn("quota", F.least(F.round("target").cast("long"), F.floor(F.lit(MOST) * F.col("source_size")).cast("long")))
+
+def _rank_of(word: str, slots: int) -> str:
+    """The source's block that a word of its stream lies in, or the one before it."""
+    return f"({word} * {slots} div greatest(total, 1))"
 
 
 def blocks(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """Every document with the blocks that read it: a row for each (document, pass, slot), one with a null slot for a document that no slot reads.
 
-    The r-th of a source's n slots takes words [r * quota / n, (r + 1) * quota / n)
-    of the source's stream, which repeats. The blocks that a document meets follow
-    by arithmetic; they are joined to the ranked slots. Columns: doc_id, source,
-    size, source_size, target, bucket, row, slot, pass, from_word, to_word.
+    The blocks that a document meets follow by arithmetic and are joined to the ranked
+    slots. Columns: doc_id, source, size, source_size, target, bucket, row, slot, pass,
+    from_word, to_word.
     """
-    sizes = cut(sized(docs))
-    plan = cut(quota(targets(sizes)))
-    slot = cut(schedule(plan, slots))
-    per = slot.groupBy("ord").agg(F.count("*").alias("n_slots")).join(plan, "ord", "right").withColumn("n_slots", F.coalesce("n_slots", F.lit(0)))
-    d, p = placed(sizes).alias("d"), per.alias("p")
-    rows = d.join(p, F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", "p.ord", "p.source_size", "p.target", "p.quota", "p.n_slots")
-    rows = rows.withColumn("pass", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("start", F.col("at") + F.col("pass") * F.col("source_size"))
-    rows = rows.withColumn("end", F.least(F.col("start") + F.col("size"), F.col("quota")))
-    first = F.expr("greatest(0, start * n_slots div quota - 1)")
-    last = F.expr("least(n_slots - 1, end * n_slots div quota + 1)")
-    rows = rows.withColumn("rank", F.explode_outer(F.when((F.col("start") < F.col("end")) & (F.col("n_slots") > 0), F.sequence(first, last))))
-    rows = rows.withColumn("from_word", F.expr("greatest(rank * quota div n_slots, start) - start")).withColumn("to_word", F.expr("least((rank + 1) * quota div n_slots, end) - start"))
-    rows = rows.where("rank is null or from_word < to_word")
+    sizes, slot, per = _plan(docs, slots)
+    inside = Window.partitionBy("source", "bucket").orderBy("digest", "doc_id", "size")
+    rows = (
+        _joined(sizes, _buckets(sizes, per))
+        .withColumn("at", F.col("base") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+        .withColumn("row", F.row_number().over(inside))
+        .withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1))))
+        .withColumn("start", F.col("at") + F.col("pass") * F.col("source_size"))
+        .withColumn("end", F.least(F.col("start") + F.col("size"), F.col("amount")))
+    )
+    met = F.sequence(F.expr(_rank_of("start", slots)), F.expr(_rank_of("end", slots)) + 1)
+    rows = rows.withColumn("rank", F.explode_outer(F.when((F.col("start") < F.col("end")) & (F.col("n_slots") > 0), met)))
+    rows = rows.withColumn("from_word", F.expr(f"greatest(rank * total div {slots}, start) - start")).withColumn("to_word", F.expr(f"least((rank + 1) * total div {slots}, end) - start"))
     keep = ["doc_id", "source", "size", "source_size", "target", "bucket", "row", "slot", "pass", "from_word", "to_word"]
-    return rows.join(slot.select("ord", "rank", "slot"), ["ord", "rank"], "left").select(*keep)
+    return rows.where("rank is null or from_word < to_word").join(F.broadcast(slot), ["ord", "rank"], "left").select(*keep)
 
 
 def mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -142,21 +166,25 @@ def mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """The documents as the mix takes them: whole, once for each pass that takes at least half of their words.
+    """The documents as the mix takes them, in the order of their slots: whole, once for each pass that takes at least half of their words.
 
-    A document without words can't be taken in part and stays once.
+    A document stands at the slot that reads its first word; one without words can't be
+    taken in part and stays once. Partition k of the result holds the k-th part of the
+    slots, in order; a bucket of documents goes with the slot of its first word.
     """
-    key = ["doc_id", "source", "size"]
-    name = F.to_json(F.struct(*key))
-    taken = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("to_word") - F.col("from_word"))), F.lit(0))
-    times = (
-        blocks(docs, slots)
-        .groupBy(*key, "bucket", "row", "pass").agg(taken.alias("w"))
-        .groupBy(*key, "bucket", "row").agg(F.sum((F.col("w") * 2 >= F.col("size")).cast("int")).alias("times"))
-        .withColumn("times", F.when(F.col("size") == 0, 1).otherwise(F.col("times")))
-        .groupBy(name.alias("_k")).agg(F.array_sort(F.collect_list("times")).alias("_times"))
+    sizes, slot, per = _plan(docs, slots)
+    n = parts(docs.sparkSession)
+    every = _buckets(sizes, per).withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1)))).withColumn("first", F.expr("base + pass * source_size"))
+    every = every.where("pass = 0 or first < amount").withColumn("rank", F.expr(f"least(n_slots - 1, {_rank_of('first', slots)})"))
+    placed = every.join(F.broadcast(slot), ["ord", "rank"], "left").withColumn("part", F.expr(f"cast(coalesce(slot, 0) * {n} div {slots} as int)"))
+    placed = cut(placed.select("source", "bucket", "pass", "first", "part", "ord"))
+    rows = docs.select(F.struct("*").alias("whole"), "source", word_count("text").alias("size"), _digest("doc_id").alias("digest")).withColumn("bucket", F.substring("digest", 1, 3))
+    dealt = _joined(rows, placed).repartitionById(n, F.col("part")).join(per.select("ord", "total", "n_slots", "amount"), "ord")
+    inside = Window.partitionBy("part", "source", "bucket", "pass").orderBy("digest", "whole.doc_id", "size", F.xxhash64("whole.text"))
+    dealt = (
+        dealt.withColumn("start", F.col("first") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+        .withColumn("given", F.least(F.col("start") + F.col("size"), F.col("amount")) - F.col("start"))
+        .where("if(size = 0, pass = 0, given * 2 >= size)")
+        .withColumn("rank", F.expr(f"least(n_slots - 1, {_rank_of('start', slots)})"))
     )
-    # Repeated rows share a name; they take their names' counts in order.
-    x = docs.withColumn("_k", F.to_json(F.struct("doc_id", "source", word_count("text").alias("size")))).join(times, "_k")
-    x = x.withColumn("_times", F.element_at("_times", F.row_number().over(Window.partitionBy("_k").orderBy("text"))))
-    return x.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    return dealt.join(F.broadcast(slot), ["ord", "rank"], "left").sortWithinPartitions("part", "slot", "start", "whole.doc_id").select("whole.*")

@@ -236,6 +236,21 @@ def brute_targets(sizes):
     return target
 
 
+def brute_amounts(sizes, slots):
+    """source -> words: golden-ratio points counted per interval of the targets, times the slots' length."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    quota = {s: int(brute_targets(sizes)[s] + 0.5) for s in order}
+    total, ends, at = sum(quota.values()), [], 0
+    for s in order:
+        at += quota[s]
+        ends.append((at / total, s))
+    met = Counter()
+    for n in range(slots):
+        u = (n + 0.5) * 0.6180339887498949
+        met[next(s for end, s in ends if u - int(u) < end)] += 1
+    return {s: min(met[s] * total // slots, 2 * sizes[s]) for s in order}
+
+
 def test_mixing(spark):
     rng = random.Random(2)
     rows = [(i, " ".join("w" for _ in range(rng.randint(0, 40))), rng.choice(["b", "a", "é", "Z", None, "a"])) for i in range(500)]
@@ -251,17 +266,42 @@ def test_mixing(spark):
     for r in got:
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source]) and 0 <= r.taken <= 2 * r.size
         taken[r.source] += r.taken
-    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+    amount = brute_amounts(sizes, 512)
+    assert taken == Counter(amount)
+    # A source's slots differ from its share by a few, and the schedule alone decides how much is taken.
+    assert all(abs(taken[s] - want[s]) <= 4 * sum(want.values()) / 512 + 2 for s in sizes)
+    coarse = mixing.mix(docs, slots=7).groupBy("source").agg(F.sum("taken").alias("n")).collect()
+    assert Counter({r.source: r.n for r in coarse}) == Counter(brute_amounts(sizes, 7)) != taken
     again = mixing.mix(docs.repartition(7), slots=512).collect()
     assert Counter((r.doc_id, r.taken) for r in again) == Counter((r.doc_id, r.taken) for r in got)
     kept = mixing.apply_mix(docs, slots=512)
     times = Counter(r.doc_id for r in kept.collect())
     assert kept.columns == docs.columns and all(0 <= n <= 4 for n in times.values())
+    assert {r["size"] for r in kept.collect()} == {"clash"}
+    odd = docs.withColumnsRenamed({"size": "slot"}).withColumns({c: F.lit(7) for c in ("_k", "_times", "_copy", "whole", "ord", "rank", "part", "bucket", "digest")})
+    assert mixing.apply_mix(odd, slots=512).columns == odd.columns and mixing.apply_mix(odd, slots=512).count() == sum(times.values())
+
+
+def test_mixed_documents_stand_in_slot_order(spark):
+    """Any stretch of the output holds the sources in about their shares."""
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.randint(1, 30), rng.choice("aaaabbcd")) for i in range(4000)]
+    mixed = mixing.apply_mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)).collect()
+    words = [(r.source, len(r.text.split())) for r in mixed]
+    whole = Counter()
+    for s, n in words:
+        whole[s] += n
+    for a in range(0, len(words), len(words) // 4):
+        part = Counter()
+        for s, n in words[a : a + len(words) // 4]:
+            part[s] += n
+        if sum(part.values()) > sum(whole.values()) / 8:
+            assert all(abs(part[s] / sum(part.values()) - n / sum(whole.values())) < 0.03 for s, n in whole.items())
 
 
 def test_mix_schedule_has_low_discrepancy(spark):
     rows = [(i, s, n) for i, (s, n) in enumerate([("a", 100), ("b", 300), ("c", 50), ("d", 900)])]
-    plan = mixing.quota(mixing.targets(spark.createDataFrame(rows, "doc_id long, source string, size long")))
+    plan = mixing.planned(mixing.targets(spark.createDataFrame(rows, "doc_id long, source string, size long")))
     share = {r.ord: r.target for r in plan.collect()}
     total = sum(share.values())
     slots = mixing.schedule(plan, 1000).orderBy("slot").collect()
@@ -269,7 +309,11 @@ def test_mix_schedule_has_low_discrepancy(spark):
     for n, r in enumerate(slots, 1):
         seen[r.ord] += 1
         assert all(abs(seen[o] - n * t / total) < 6 for o, t in share.items())
-    assert all(r.rank < r.n_slots for r in slots)
+    assert [r.slot for r in slots] == list(range(1000))
+    ranks = defaultdict(list)
+    for r in slots:
+        ranks[r.ord].append(r["rank"])
+    assert all(x == list(range(len(x))) for x in ranks.values())
 
 
 def test_mixing_edges(spark):
@@ -306,11 +350,10 @@ def test_pipeline_matches_brute_force(spark, sf_dir):
     sizes = Counter()
     for d in docs:
         sizes[d["source"]] += size[d["doc_id"]]
-    target, at, want = brute_targets(sizes), Counter(), Counter()
+    amount, at, want = brute_amounts(sizes, mixing.SLOTS), Counter(), Counter()
     for d in sorted(docs, key=lambda d: hashlib.md5(str(d["doc_id"]).encode()).hexdigest()):
         n, s = size[d["doc_id"]], d["source"]
-        whole = min(int(target[s] + 0.5), 2 * sizes[s])
-        times = sum(2 * max(0, min(n, whole - at[s] - k * sizes[s])) >= n for k in (0, 1)) if n else 1
+        times = sum(2 * max(0, min(n, amount[s] - at[s] - k * sizes[s])) >= n for k in (0, 1)) if n else 1
         at[s] += n
         if times:
             want[d["doc_id"]] = times
