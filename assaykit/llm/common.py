@@ -15,7 +15,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+_BASE = 0xD6E8FEB86659FD93
+_powers: dict[str, np.ndarray] = {}
+#: Pieces in which the counts of a sketch travel.
+SEGMENTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,6 +70,50 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the rolling hashes' base and of its inverse modulo 2**64, at least n of each."""
+    if len(_powers.get("up", ())) < n:
+        size = -(-n // (1 << 18)) << 18
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            _powers[name] = np.multiply.accumulate(x)
+    return _powers["up"], _powers["down"]
+
+
+def count_sketch(texts: DataFrame, names: Callable[[pa.RecordBatch], np.ndarray], bits: int, most_bytes: int = 1 << 20) -> np.ndarray:
+    """How often the names of all rows fall into each of 2**bits buckets, by their top bits.
+
+    Each task adds up its own rows and sends fixed segments; segments are added as they
+    stream in, so the driver gets 2**bits numbers, whatever the input.
+    """
+    wide = (1 << bits) // SEGMENTS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.int64)
+        for batch in slices(batches, "text", most_bytes):
+            total += np.bincount((names(batch) >> np.uint64(64 - bits)).astype(np.int64), minlength=len(total))
+        if total.any():
+            rows = [(i, total[i * wide : (i + 1) * wide].tobytes()) for i in range(SEGMENTS)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["segment", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(raw.as_buffer(), np.int64)
+                sums[i] = sums[i] + x if i in sums else x
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["segment", "counts"])
+
+    kind = "segment int, counts binary"
+    found = texts.mapInArrow(count, kind).repartition(SEGMENTS, "segment").mapInArrow(add, kind).toArrow()
+    total = np.zeros(1 << bits, np.int64)
+    for i, raw in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+        total[i * wide : (i + 1) * wide] = np.frombuffer(raw, np.int64)
+    return total
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Split Arrow batches so that the text column of each piece stays near most_bytes.
 

@@ -33,36 +33,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, mix64, parts, release, slices, texts_of
+from .common import count_sketch, cut, mix64, parts, power, release, slices, texts_of
 from .components import components
 
 WIDTH, PERCENT = 5, 80
-SKETCH_BITS, SEGMENTS = 20, 64
+SKETCH_BITS = 20
 DEEPEST, VERIFY_COST, HOT = 8, 50.0, 16
 SMALL_SIDE = 100_000
-_BASE = 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PLACES = mix64(np.arange(1, WIDTH + 1).astype(np.uint64)) | np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    if len(_powers.get("up", ())) < n:
-        size = -(-n // (1 << 18)) << 18
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
-    return _powers["up"], _powers["down"]
 
 
 def shingles(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
     """Names of each text's shingles, in order and with repeats."""
     raw = "\n".join(texts).encode().lower() + b"\n"
     b = np.frombuffer(raw, np.uint8)
-    up, down = _power(len(b) + 1)
+    up, down = power(len(b) + 1)
     sums = np.zeros(len(b) + 1, np.uint64)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
     inside = ~_SPACE[b]
@@ -89,36 +76,9 @@ def shingles(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
 
 
 def token_sketch(docs: DataFrame) -> np.ndarray:
-    """Shingle counts over all documents by hash bucket: 2**SKETCH_BITS numbers.
-
-    Each task adds up its own rows and sends fixed segments; segments are added as they stream in.
-    """
-    wide = (1 << SKETCH_BITS) // SEGMENTS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in slices(batches, "text", 1 << 20):
-            names = np.concatenate(shingles(texts_of(batch)))
-            total += np.bincount((names >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        if total.any():
-            rows = [(i, total[i * wide : (i + 1) * wide].tobytes()) for i in range(SEGMENTS)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["segment", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(raw.as_buffer(), np.int64)
-                sums[i] = sums[i] + x if i in sums else x
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["segment", "counts"])
-
-    kind = "segment int, counts binary"
-    found = docs.select("text").mapInArrow(count, kind).repartition(SEGMENTS, "segment").mapInArrow(add, kind).toArrow()
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
-    for i, raw in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
-        total[i * wide : (i + 1) * wide] = np.frombuffer(raw, np.int64)
-    return np.minimum(total, (1 << 32) - 1).astype(np.uint32)
+    """Shingle counts over all documents by hash bucket: 2**SKETCH_BITS numbers."""
+    counts = count_sketch(docs.select("text"), lambda batch: np.concatenate(shingles(texts_of(batch))), SKETCH_BITS)
+    return np.minimum(counts, (1 << 32) - 1).astype(np.uint32)
 
 
 def needed(n: int, percent: int = PERCENT) -> int:

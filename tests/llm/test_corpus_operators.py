@@ -207,6 +207,31 @@ def test_repeats_over_many_batches(spark):
     assert got == brute_removed(rows)
 
 
+def test_repeats_with_hot_triggers(spark, monkeypatch):
+    """All phrases by ranges of the suffix array instead of by trigger; and the sketch finds a stock line."""
+    rows = repeating(9)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(repeats, "hot_triggers", lambda docs, length: __import__("numpy").ones(1 << repeats.SKETCH_BITS, bool))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove(docs).collect()}
+    assert got == brute_removed(rows)
+    monkeypatch.undo()
+    rng = random.Random(1)
+    word = lambda n: "".join(rng.choice("abcdefghijklm nop") for _ in range(n))
+    line = word(70)
+    stock = [(i, word(60) + line + word(60)) for i in range(3000)]
+    dealt = repeats.parsed(repeats.identified(spark.createDataFrame(stock, "doc_id long, text string").repartition(4)))
+    assert dealt.where("state = 2").count() >= 1500
+    assert dealt.groupBy("key").count().agg(F.max("count")).first()[0] <= 200
+
+
+def test_repeats_of_texts_with_one_doc_id(spark):
+    rng = random.Random(4)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(120))
+    rows = [(i % 2 or None, f"{i} " * 40 + shared) for i in range(40)]
+    got = [r.n_removed for r in repeats.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == 40 and sum(n >= 120 for n in got) == 39
+
+
 def test_repeats_edges(spark):
     rng = random.Random(0)
     text = "".join(rng.choice("abcdefgh ") for _ in range(150))
