@@ -15,7 +15,9 @@ text, nulls first, repeated rows stay; fields that no layout lists (columns, key
 a record or of its turns) are ignored, for tables and records alike; a null field or
 an empty list counts as present and gives an empty text or no turns; a record that no
 layout fits gets null turns and stays as a conversation of 0 turns with a status. An
-empty table gives an empty result.
+empty table gives an empty result. A column of the table that is named like one of the
+result's (layout, schema_fp, turns, status, parsed) stays as input_NAME. Rows that
+repeat a key are turns of one conversation.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parts
+from .common import apart, parts
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -141,7 +143,9 @@ def canonical_turns(df: DataFrame, record: str = "record") -> DataFrame:
             out.append((layout and layout["name"], fp, turns, status))
         return pd.DataFrame(out, columns=["layout", "schema_fp", "turns", "status"])
 
-    return df.withColumn("_p", parse(F.col(record))).select("*", "_p.layout", "_p.schema_fp", "_p.turns", "_p.status").drop("_p")
+    table = apart(df.select(F.col(record).alias(record), *[c for c in df.columns if c != record]), ("layout", "schema_fp", "turns", "status", "parsed"))
+    found = table.withColumn("parsed", parse(table[0]))
+    return found.select(*table.columns, "parsed.layout", "parsed.schema_fp", "parsed.turns", "parsed.status")
 
 
 def turn_rows(df: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ import gc
 import tempfile
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -141,6 +141,36 @@ def _trim() -> None:
         trim(0)
 
 
+def renames(columns: Iterable[str], added: Iterable[str]) -> dict[str, str]:
+    """New names for columns of a table whose names, in any case, an operator's own columns need.
+
+    One rule for all operators that add columns to a table: the operator's columns have
+    their documented names, and a clashing column of the table stays as input_NAME, with
+    as many input_ as make it free.
+    """
+    columns, own = list(columns), {a.lower() for a in added}
+    taken, out = own | {c.lower() for c in columns}, {}
+    for c in columns:
+        if c.lower() in own:
+            new = f"input_{c}"
+            while new.lower() in taken:
+                new = f"input_{new}"
+            taken.add(new.lower())
+            out[c] = new
+    return out
+
+
+def apart(df: DataFrame, added: Iterable[str]) -> DataFrame:
+    """The table with clashing columns renamed."""
+    return df.withColumnsRenamed(renames(df.columns, added))
+
+
+def restored(out: DataFrame, columns: Iterable[str], added: Iterable[str]) -> DataFrame:
+    """The columns that a table had before an operator added its own."""
+    new = renames(columns, added)
+    return out.select(*[F.col(new.get(c, c)).alias(c) for c in columns])
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return ["" if x is None else x for x in batch.column(column).to_pylist()]
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, slices, texts_of
+from .common import apart, mix64, renames, slices, texts_of
 
 KEEP, LEVELS, ROUNDS, CELLS = 64, 6, 3, 1 << 14
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -149,8 +149,10 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprint(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the column fingerprint to a table."""
-    kept = [c for c in df.columns if c != "fingerprint"]
+    """Adds the column fingerprint to a table; one that is there stays as input_fingerprint."""
+    clash = renames(df.columns, ("fingerprint",))
+    df, text = apart(df, ("fingerprint",)), clash.get(text, text)
+    kept = df.columns
     schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("fingerprint", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ merge result exactly if each neighbouring pair, merged on its own, stays that pa
 Characters that the vocabulary lacks become their bytes' pieces, or the unknown piece.
 
 Defined cases: null and empty texts have no pieces and decode to the empty text;
-repeated rows are encoded each; extra columns stay; a literal U+2581 decodes as a
+repeated rows are encoded each; extra columns stay, those named like an added one as input_NAME; a literal U+2581 decodes as a
 space, as in the library. Words longer than ``LONG`` characters are encoded without
 being cached. Memory: the caches have fixed numbers of entries, the word cache two halves by age.
 """
@@ -25,13 +25,14 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices, texts_of
+from .common import apart, renames, slices, texts_of
 
 MARK = "▁"
 CACHE, PAIRS, LONG = 1 << 17, 1 << 18, 200
@@ -42,10 +43,11 @@ _ENDS, _START = 1 << 30, 1 << 21
 class Encoder:
     """Pieces of a model file, and the forward pass over sorted words."""
 
-    def __init__(self, path: str):
+    def __init__(self, model: str | bytes):
+        """From a model file's path or its bytes."""
         import sentencepiece
 
-        own = sentencepiece.SentencePieceProcessor(model_file=path)
+        own = sentencepiece.SentencePieceProcessor(**({"model_file": model} if isinstance(model, str) else {"model_proto": model}))
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         spec = pb.ModelProto()
@@ -210,15 +212,24 @@ class Encoder:
         return raw.decode("utf-8", "replace")
 
 
+ADDED = "n_pieces long, pieces_sha256 string, decoded_sha256 string, round_trip boolean, piece_ids array<int>"
+
+
 def encode(df: DataFrame, path: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
-    """Adds n_pieces, pieces_sha256 (of little-endian 32-bit ids), decoded_sha256, round_trip, and with keep_ids piece_ids; the text goes."""
-    added = T._parse_datatype_string("n_pieces long, pieces_sha256 string, decoded_sha256 string, round_trip boolean" + (", piece_ids array<int>" if keep_ids else ""))
-    kept = [c for c in df.columns if c != text and c not in added.names]
+    """Adds n_pieces, pieces_sha256 (of little-endian 32-bit ids), decoded_sha256, round_trip, and with keep_ids piece_ids; the text goes.
+
+    The model file is read on the driver and sent to the tasks.
+    """
+    added = T.StructType(T._parse_datatype_string(ADDED).fields[: None if keep_ids else -1])
+    clash = renames(df.columns, added.names)
+    df, text = apart(df, added.names), clash.get(text, text)
+    kept = [c for c in df.columns if c != text]
     schema = T.StructType([*[df.schema[c] for c in kept], *added])
     types = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int32())]
+    model = df.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(model.value)
         for batch in slices(batches, text, 2 << 20):
             texts = texts_of(batch, text)
             cols: list[list] = [[] for _ in added]

@@ -15,7 +15,8 @@ Everything else reads all rows.
 Defined cases: null and empty texts are scored like any other, by the few
 indicators they have; without labelled rows of both classes every score is the
 share of label 1, or 0.5; of several labels for one doc_id the lowest counts;
-repeated rows get equal scores; extra columns stay.
+repeated rows get equal scores; extra columns stay, those named like an added one as
+input_NAME; a doc_id of any type is compared with the labels' as text.
 """
 
 from __future__ import annotations
@@ -30,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, texts_of
+from .common import apart, renames, slices, texts_of
 
 BITS, LONGEST, SAMPLE = 16, 4, 8000
 THRESHOLD = 0.3
+ADDED = ("score", "predicted", "held_out")
 _EXTRA = 64
 
 
@@ -176,7 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def classify(docs: DataFrame, model: Model, text: str = "text", drop_text: bool = True) -> DataFrame:
     """Adds held_out, score and predicted to all documents."""
     added = T._parse_datatype_string("score double, predicted int")
-    kept = [c for c in docs.columns if c not in ("score", "predicted", "held_out") and not (drop_text and c == text)]
+    clash = renames(docs.columns, ADDED)
+    docs, text = apart(docs, ADDED), clash.get(text, text)
+    kept = [c for c in docs.columns if not (drop_text and c == text)]
     schema = T.StructType([*[docs.schema[c] for c in kept], *added])
     weights = docs.sparkSession.sparkContext.broadcast(model._replace(weights=model.weights.astype(np.float64)))
 

@@ -400,3 +400,72 @@ def remove(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = False) -> D
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols][: len(names)], names=names)
 
     return joined.mapInArrow(run, schema)
+
+
+def _numbered(df: DataFrame, *cols: str) -> DataFrame:
+    """Adds order: numbers that grow as the rows do by cols. Rows are sorted in ranges, so no task sees them all."""
+    ranged = df.repartitionByRange(parts(df.sparkSession), *cols).sortWithinPartitions(*cols)
+    return cut(ranged.withColumn("order", F.monotonically_increasing_id()))
+
+
+def whole_phrases(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc, nth, at, many, phrase): each text as phrases that start at places of their own and reach ``length`` bytes into the next.
+
+    Bytes are one higher and each text ends with byte 0. No phrase, nor what is left of
+    one after some of its own places, is the start of another such string: its last
+    window is the first one with another trigger, and that is a matter of content.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            raw, out = _raw(batch), []
+            text, at, *_ = phrases(Window(raw), length)
+            edges = np.searchsorted(text, np.arange(len(raw) + 1))
+            for t, (doc, b) in enumerate(zip(batch.column("doc").to_pylist(), raw, strict=True)):
+                starts = [0, *at[edges[t] : edges[t + 1]].tolist()[1:]]
+                shown = bytes(x + 1 for x in b) + b"\0"
+                for nth, (a, z) in enumerate(zip(starts, [*starts[1:], len(b)], strict=True)):
+                    out.append((doc, nth, a, z - a, shown[a : z + length] if z < len(b) else shown[a:]))
+            if out:
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=["doc", "nth", "at", "many", "phrase"])
+
+    return docs.select("doc", "text").distinct().mapInArrow(run, "doc long, nth long, at long, many long, phrase binary")
+
+
+def parse_order(parse: DataFrame) -> DataFrame:
+    """(doc, nth, rank): the parse's suffix array, from (doc, nth, name), names in the order of their phrases.
+
+    Each round doubles how many phrases a rank compares; it ends when none splits any
+    more. Suffixes that are equal to their texts' ends share a rank.
+    """
+    now, reach, kinds = parse.select("doc", "nth", F.col("name").alias("rank")), 1, -1
+    while (found := now.select("rank").distinct().count()) != kinds:
+        kinds = found
+        then = now.select("doc", (F.col("nth") - reach).alias("nth"), F.col("rank").alias("next"))
+        both = cut(now.join(then, ["doc", "nth"], "left").withColumn("next", F.coalesce("next", F.lit(-1))))
+        ranks = _numbered(both.select("rank", "next").distinct(), "rank", "next")
+        now, reach = cut(both.join(ranks, ["rank", "next"]).select("doc", "nth", F.col("order").alias("rank"))), 2 * reach
+    return now
+
+
+def corpus_order(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc_id, at, order): every byte's suffix of every text, numbered in the order of the suffixes to their texts' ends.
+
+    The dictionary's suffixes are sorted by their bytes once, however often their phrases
+    occur; places of equal dictionary suffixes follow the rank of the parse's suffix after
+    them; equal suffixes follow their places in the corpus. Rows with one doc_id and text
+    count once. Its cost follows the dictionary and the number of places, so it suits
+    text that repeats much; ``remove`` needs no whole order and doesn't call it.
+    """
+    own = identified(docs)
+    held = cut(whole_phrases(own, length))
+    names = _numbered(held.select("phrase").distinct(), "phrase").withColumnRenamed("order", "name")
+    parse = cut(held.join(names, "phrase").select("doc", "nth", "at", "many", "name"))
+    tails = held.where("many > 0").select("phrase", "many").distinct().join(names, "phrase").select("name", "phrase", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("step"))
+    tails = tails.select("name", "step", F.expr("substring(phrase, cast(step as int) + 1)").alias("tail"))
+    array = tails.join(_numbered(tails.select("tail").distinct(), "tail"), "tail").select("name", "step", F.col("order").alias("tail"))
+    after = parse_order(parse).select("doc", (F.col("nth") - 1).alias("nth"), F.col("rank").alias("after"))
+    placed = parse.join(after, ["doc", "nth"], "left").join(array, "name").select("tail", F.coalesce("after", F.lit(-1)).alias("after"), "doc", (F.col("at") + F.col("step")).alias("at"))
+    ids = own.select("doc", "doc_id").distinct()
+    return _numbered(placed, "tail", "after", "doc", "at").join(ids, "doc").select("doc_id", "at", "order")

@@ -14,7 +14,8 @@ shuffle; a borderline run can be missed among many candidates that it passes alo
 Digits alone are no candidates: ordinary numbers are as uniform as random ones.
 
 Defined cases: null and empty texts have no spans; repeated rows are scanned
-each; ties at one start sort by kind as listed; extra columns stay.
+each; ties at one start sort by kind as listed; extra columns stay, those named like
+an added one as input_NAME.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices, texts_of
+from .common import apart, renames, slices, texts_of
 from .secret_nulls import null_of
 
 KINDS = ("assign", "access", "hex", "random")
@@ -182,7 +183,9 @@ FOUND = "n_assign long, n_access long, n_hex long, base_sha256 string, spans str
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds the columns of FOUND; redacted is null for a null text."""
     added = T._parse_datatype_string(FOUND)
-    kept = [c for c in df.columns if c not in added.names]
+    clash = renames(df.columns, added.names)
+    df, text = apart(df, added.names), clash.get(text, text)
+    kept = df.columns
     schema = T.StructType([*[df.schema[c] for c in kept], *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ has a mergeable pair, that sequence's lowest-rank pair at all its places from th
 left. The surviving symbols are the tokens.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows are
-counted each; extra columns stay. Long texts are cut at chunk bounds only, so a
+counted each; extra columns stay, those named like an added one as input_NAME. Long texts are cut at chunk bounds only, so a
 count never depends on batches. Memory: the chunk cache is emptied at a fixed
 number of entries, and a batch of chunks is merged in pieces of bounded size.
 """
@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices, texts_of
+from .common import apart, renames, slices, texts_of
 
 #: Fixed value: the white space that the vocabulary's split pattern means.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -34,6 +35,7 @@ CHUNK = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE = 1 << 18
 PIECE = 1 << 18
+ADDED = ("n_bytes", "n_tokens")
 
 
 def byte_letters() -> dict[str, int]:
@@ -46,9 +48,9 @@ def byte_letters() -> dict[str, int]:
 class Merger:
     """Merge table of a byte-level BPE vocabulary, and counts by synchronous merging."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, vocabulary: str | bytes):
+        """From a vocabulary file's path or its bytes."""
+        spec = json.loads(Path(vocabulary).read_bytes() if isinstance(vocabulary, str) else vocabulary)
         vocab = spec["model"]["vocab"]
         self.size = np.int64(len(vocab) + 1)
         self.of_byte = np.zeros(256, np.int64)
@@ -125,12 +127,18 @@ class Merger:
 
 
 def count_tokens(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Adds n_bytes and n_tokens to a table with a text column, which goes."""
-    kept = [c for c in df.columns if c not in (text, "n_bytes", "n_tokens")]
+    """Adds n_bytes and n_tokens to a table with a text column, which goes.
+
+    The vocabulary file is read on the driver and sent to the tasks.
+    """
+    clash = renames(df.columns, ADDED)
+    df, text = apart(df, ADDED), clash.get(text, text)
+    kept = [c for c in df.columns if c != text]
+    file = df.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
     schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = Merger(path)
+        merger = Merger(file.value)
         for batch in slices(batches, text, 2 << 20):
             texts = texts_of(batch, text)
             n_bytes = pa.array([len(t.encode()) for t in texts], pa.int64())

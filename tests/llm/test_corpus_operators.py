@@ -220,10 +220,22 @@ def test_repeats_with_hot_triggers(spark, monkeypatch):
     line = word(70)
     stock = [(i, word(60) + line + word(60)) for i in range(3000)]
     dealt = repeats.parsed(repeats.identified(spark.createDataFrame(stock, "doc_id long, text string").repartition(4)))
-    assert dealt.where("state = 2").count() >= 1500
+    assert dealt.where("state = 2").count() >= 1000
     assert dealt.groupBy("key").count().agg(F.max("count")).first()[0] <= 200
 
 
+def test_corpus_order_is_the_suffix_array(spark):
+    rng = random.Random(5)
+    block = "".join(rng.choice("abcé ") for _ in range(260))
+    texts = [block * 3, block * 2 + "x" + block, block[40:] + block, "a" * 700, "short", "", None, "short", block[:150], "".join(rng.choice("ab") for _ in range(400))]
+    rows = list(enumerate(texts))
+    raw = {i: (t or "").encode() for i, t in rows}
+    want = sorted(((i, a) for i, b in raw.items() for a in range(len(b))), key=lambda x: (raw[x[0]][x[1] :], x))
+    got = repeats.corpus_order(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).orderBy("order").collect()
+    assert [(r.doc_id, r.at) for r in got] == want
+    assert repeats.corpus_order(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_repeats_of_texts_with_one_doc_id(spark):
     rng = random.Random(4)
     shared = "".join(rng.choice("abcdefgh ") for _ in range(120))
