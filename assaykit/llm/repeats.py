@@ -293,7 +293,7 @@ def sorted_suffixes(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     Those of hot triggers are taken apart first and sent by ranges of the order.
     """
     n, hot = parts(rows.sparkSession), rows.where("hot")
-    order = ("part", "suffix", "doc", "place")
+    order = ("suffix", "doc", "place")
     cold = suffixes(rows.where("not hot").repartition(n, "key"), None, length).sortWithinPartitions(*order)
     if not hot.limit(1).count():
         return cold
