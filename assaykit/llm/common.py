@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -44,17 +43,6 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of frames that are no longer referenced.
-
-    The cleaner acts on what a collection has found, and that can free more.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def parts(spark: SparkSession, least: int = 8) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

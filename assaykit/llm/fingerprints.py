@@ -9,8 +9,12 @@ interior phrases at any offset, on every level.
 
 A fingerprint is the ``KEEP`` smallest ranks over the set of (level, phrase)
 names and, for runs, (level, phrase, place in the run), with phrases of the first
-level (about three characters) weighing 1/16 of the others. The likeness of two fingerprints is the share of their union's
-``KEEP`` smallest ranks that both hold: weighted Jaccard of the phrase sets.
+level (about three characters) weighing 1/16 of the others. The likeness of two fingerprints
+is the share of their union's ``KEEP`` smallest ranks that both hold. It estimates the
+weighted Jaccard j of the phrase sets with a standard error of sqrt(j (1 - j) / KEEP),
+0.06 at most. Phrases across an edit's ends differ, so short texts fall below what their
+characters share: with the last quarter replaced (j = 0.6 of characters), about 0.60 at
+5,000 characters, 0.50 at 200, 0.40 at 50.
 
 Defined cases: null and empty texts have the empty fingerprint, alike with itself
 alone; equal texts have equal fingerprints; equal doc_ids sort by text; null
@@ -23,6 +27,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +35,7 @@ from pyspark.sql import types as T
 
 from .common import apart, mix64, renames, slices, texts_of
 
-KEEP, LEVELS, ROUNDS, CELLS = 64, 6, 3, 1 << 14
+KEEP, LEVELS, ROUNDS = 64, 6, 3
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.array([pow(0xD6E8FEB86659FD93, i, 1 << 64) for i in range(4096)], np.uint64)
 _TOP = np.uint64(1 << 36)
@@ -173,22 +178,19 @@ EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 
 def _ranged(rows: DataFrame, n: int) -> DataFrame:
-    """Adds place: about n ranges of key in its order, with about as many rows each.
+    """Adds place: at most n ranges of key in its order, with about as many rows each, however the keys are spread.
 
-    Keys fall into CELLS equal intervals; the counts of the intervals, at most CELLS
-    numbers, make the ranges. Null doc_ids fall into the first.
+    The bounds are quantiles of the keys of all rows, from a summary whose size is set by n.
     """
-    lo, hi = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if lo is None or lo == hi:
-        return rows.withColumn("place", F.lit(0))
-    cell = F.floor((F.col("doc_id").cast("double") - float(lo)) / (float(hi) - float(lo)) * (CELLS - 1)).cast("int")
-    rows = rows.withColumn("cell", F.coalesce(F.greatest(F.lit(0), F.least(cell, F.lit(CELLS - 1))), F.lit(0)))
-    counts = sorted((r["cell"], r["count"]) for r in rows.groupBy("cell").count().collect())
-    total, before, places = sum(c for _, c in counts), 0, []
-    for c, m in counts:
-        places.append((c, before * n // total))
-        before += m
-    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(places, "cell int, place int")), "cell").drop("cell")
+    shares = ",".join(repr(i / n) for i in range(1, n))
+    found = rows.agg(F.expr(f"percentile_approx(key, cast(split('{shares}', ',') as array<double>), {max(10_000, 4 * n)})")).first()[0]
+    bounds = rows.sparkSession.sparkContext.broadcast(np.unique(np.array(found or [], np.int64)))
+
+    @F.pandas_udf("int")
+    def place(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds.value, key.to_numpy(), "right").astype(np.int32))
+
+    return rows.withColumn("place", place("key"))
 
 
 def with_neighbours(docs: DataFrame) -> DataFrame:

@@ -6,8 +6,10 @@ sets share one order, rarest first, by a count sketch over all documents (a fixe
 number of buckets, so its size does not follow the input; it decides order and cost,
 never results). Two sets that link share at least l tokens among their first
 ``n - ceil(0.8 n) + l``, for every l: each class lengthens its prefix to the l with
-the least estimated cost (postings read, plus candidates verified at most
-postings / l), and a pair is verified only if it shares the smaller l of the two.
+the least estimated cost: of comparing that prefix with those of the classes it meets,
+and of verifying the candidates that are left, at most postings / l. A pair is verified
+only if it shares the smaller l of the two. Classes meet by the tokens of the prefix for
+l = 1, which any link shares; the longer prefixes are compared whole when two have met.
 
 Large posting groups don't emit all their pairs: first each member is compared with
 the group's smallest member alone, links found there form components, and pairs
@@ -19,7 +21,8 @@ whole texts and tests 100 * intersection >= 80 * union.
 Defined cases: null and empty texts, and texts without words, have 0 shingles and
 link with nothing; fewer than five words count as one shingle; rows with one doc_id
 are one document that has all their links and one component; a null doc_id has a null component;
-extra columns are ignored. An empty table gives an empty result.
+extra columns are ignored, and kept by ``one_of_each`` whatever their names. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,12 +36,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import count_sketch, cut, mix64, parts, power, release, slices, texts_of
+from .common import count_sketch, cut, mix64, power, slices, texts_of
 from .components import components
 
 WIDTH, PERCENT = 5, 80
 SKETCH_BITS = 20
-DEEPEST, VERIFY_COST, HOT = 8, 50.0, 16
+DEEPEST, COMPARE_COST, VERIFY_COST, HOT = 16, 0.02, 50.0, 16
 SMALL_SIDE = 100_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -95,8 +98,8 @@ def prefix(tokens: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> tu
     deep = min(DEEPEST, least)
     lists = np.cumsum(np.maximum(counts[order[: base + deep - 1]].astype(np.float64) - 1, 0))
     depth = np.arange(1, deep + 1)
-    read = lists[base - 1 : base - 1 + deep]
-    best = int(np.argmin(read + VERIFY_COST * read / depth + depth))
+    met, read = lists[base - 1], lists[base - 1 : base - 1 + deep]
+    best = int(np.argmin(met * (base + depth) * COMPARE_COST + VERIFY_COST * read / depth + depth))
     return best + 1, tokens[order[: base + best]]
 
 
@@ -175,16 +178,14 @@ def _matched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _posted(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sets of all rows, classes of equal sets, and the base prefixes' postings of tokens that classes share."""
-    spark = docs.sparkSession
     sets = cut(classed(docs, token_sketch(docs), percent, width))
     keyed = sets.where("n > 0 and doc_id is not null")
     classes = keyed.groupBy("n", "set_key").agg(F.min("doc_id").alias("rep"), F.first("depth").alias("depth"), F.first("tokens").alias("tokens"))
     classes = cut(classes)
     postings = classes.select("rep", "n", F.posexplode(F.slice("tokens", 1, _base(F.col("n"), percent))).alias("pos", "token"))
-    same = Window.partitionBy("token")
-    shared = cut(postings.repartition(parts(spark), "token").withColumn("size", F.count("*").over(same)).withColumn("lead", F.min("rep").over(same)).where("size > 1"))
-    release(spark)
-    return sets, classes, shared
+    # Counted with map-side sums and joined back, so that a frequent token is split where adaptive execution splits skewed joins.
+    sizes = postings.groupBy("token").agg(F.count("*").alias("size"), F.min("rep").alias("lead")).where("size > 1")
+    return sets, classes, cut(postings.join(sizes, "token"))
 
 
 def _met(x: DataFrame, percent: int) -> DataFrame:
@@ -228,7 +229,6 @@ def _same_ids(sets: DataFrame, classes: DataFrame) -> DataFrame | None:
 
 def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id of every row."""
-    spark = docs.sparkSession
     sets, classes, shared = _posted(docs, percent, width)
     found = None
     stars = shared.where((F.col("size") > HOT) & (F.col("rep") != F.col("lead")))
@@ -246,7 +246,6 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     side = shared.join(mixed, "token", "left_semi").select("token", "rep", "n", "pos", "comp")
     pairs = _met(side, percent).where(F.col("comp_x") != F.col("comp_y")).select("a", "b").distinct()
     pairs = cut(_matched(cut(pairs), classes, percent))
-    release(spark)
     links = verified(pairs, docs, percent, width)
     links = links.union(found) if found is not None else links
     same_ids = _same_ids(sets, classes)
@@ -255,7 +254,9 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     linked = components(cut(links))
 
     class_of = classes.select("n", "set_key", "rep").join(linked, F.col("rep") == F.col("node"), "left").select("n", "set_key", "rep", F.coalesce("component", "rep").alias("comp"))
-    every = sets.select("doc_id", "n", "set_key").join(class_of, ["n", "set_key"], "left")
+    # Rows without shingles have no class; apart, they don't meet in one join key.
+    bare = sets.where("n = 0").select("n", "set_key", "doc_id").withColumns({"rep": F.lit(None).cast("long"), "comp": F.lit(None).cast("long")})
+    every = sets.where("n > 0").select("doc_id", "n", "set_key").join(class_of, ["n", "set_key"], "left").select(*bare.columns).union(bare)
     if same_ids is not None:
         # A row without shingles goes with the other rows of its doc_id.
         alike = same_ids.groupBy("doc_id").agg(F.min("first").alias("node")).join(linked, "node", "left").select("doc_id", F.coalesce("component", "node").alias("other"))
@@ -268,6 +269,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat the doc_id of a kept document, one stays.
     """
-    kept = join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    single = docs.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return single.where("_n = 1").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    kept = join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    # A row travels as one struct, so its columns may have any names.
+    rows = docs.select(F.struct("*").alias("whole"), F.col("doc_id").cast("long").alias("key"))
+    first = F.row_number().over(Window.partitionBy("key").orderBy("whole.text"))
+    single = rows.join(kept, "key", "left_semi").withColumn("nth", first).where("nth = 1")
+    return single.select("whole.*").unionByName(docs.where("doc_id is null"))

@@ -31,12 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import apart, renames, slices, texts_of
+from .common import apart, mix64, power, renames, slices, texts_of
 
-BITS, LONGEST, SAMPLE = 16, 4, 8000
+#: Longest n-grams of shapes, characters and words, and bits of their hashes.
+SHAPES, CHARS, WORDS = 4, 4, 2
+SHAPE_BITS, CHAR_BITS, WORD_BITS = 16, 17, 17
+KINDS = ("shapes", "chars", "words")
+SAMPLE = 8000
 THRESHOLD = 0.3
 ADDED = ("score", "predicted", "held_out")
 _EXTRA = 64
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _classes() -> np.ndarray:
@@ -59,29 +64,53 @@ def _classes() -> np.ndarray:
     return table
 
 
+def _bucket(names: np.ndarray, bits: int) -> np.ndarray:
+    return (mix64(names) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 class Features:
-    """Indicator features of texts, as one flag array that is used again for each text."""
+    """Indicator features of texts, as one flag array that is used again for each text.
 
-    size = (1 << BITS) + _EXTRA
+    ``kinds`` says which n-grams count: of shapes, of lower-cased characters, of
+    lower-cased words between white space. The others' flags stay unset.
+    """
 
-    def __init__(self) -> None:
+    size = (1 << SHAPE_BITS) + (1 << CHAR_BITS) + (1 << WORD_BITS) + _EXTRA
+
+    def __init__(self, kinds: tuple[str, ...] = KINDS) -> None:
+        self.kinds = kinds
         self.table = _classes()
         self.flags = np.zeros(self.size, bool)
 
+    def grams(self, x: np.ndarray, longest: int, base: int, bits: int) -> None:
+        """Set the flags of the n-grams of a row of symbols, n up to longest."""
+        h = np.zeros(len(x) + 1, np.uint64)
+        for n in range(1, min(longest, len(x)) + 1):
+            h = h[: len(x) - n + 1] * _ODD + x[n - 1 :] + np.uint64(n)
+            self.flags[base + _bucket(h, bits)] = True
+
     def of(self, text: str) -> np.ndarray:
         flags = self.flags
         flags[:] = False
-        points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-        x = self.table[np.minimum(points, 0x2FFF)]
-        h = np.zeros(len(x), np.uint32)
-        for n in range(1, LONGEST + 1):
-            if len(x) < n:
-                break
-            h = h[: len(x) - n + 1] * np.uint32(0x9E3779B1) + (x[n - 1 :] + np.uint32(n)) * np.uint32(0x85EBCA6B)
-            flags[(h ^ h >> np.uint32(15)) >> np.uint32(32 - BITS)] = True
+        base = 0
+        if "shapes" in self.kinds:
+            points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+            self.grams(self.table[np.minimum(points, 0x2FFF)].astype(np.uint64), SHAPES, base, SHAPE_BITS)
+        base += 1 << SHAPE_BITS
+        points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+        if "chars" in self.kinds:
+            self.grams(points.astype(np.uint64), CHARS, base, CHAR_BITS)
+        base += 1 << CHAR_BITS
+        if "words" in self.kinds:
+            inside = (self.table[np.minimum(points, 0x2FFF)] & ~np.uint32(1)) != 4
+            edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+            start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            up, down = power(len(points) + 1)
+            sums = np.append(np.uint64(0), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], dtype=np.uint64))
+            self.grams(mix64((sums[end] - sums[start]) * down[start]), WORDS, base, WORD_BITS)
+        base += 1 << WORD_BITS
         lines = [s for s in text.split("\n") if s]
         words = text.split()
-        base = 1 << BITS
         flags[base + min(15, int(16 * (1 - len(set(lines)) / max(1, len(lines)))))] = True
         flags[base + 16 + min(15, int(16 * len(set(words)) / max(1, len(words))))] = True
         flags[base + 32 + min(15, len(words).bit_length())] = True

@@ -58,7 +58,7 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.store(documents(spark, sf_dir).select("doc_id", "text"))
+    return media.store(documents(spark, sf_dir).select("doc_id", "text"), keep_media=True)
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -335,3 +335,220 @@ def test_chat_records_with_extra_null_and_no_fields_stay(spark):
     assert [got[i] for i in (2, 7, 8, 9, 10, 11)] == [([], 0, s) for s in ("empty", "unmatched", "empty", "unreadable", "unreadable", "unmatched")]
     digests = {r.conv_id: r.n_turns for r in chat.chat_digests(formatted).collect()}
     assert len(digests) == 12 and digests[7] == 0
+
+
+M64 = (1 << 64) - 1
+
+
+def finalised(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor & M64
+    return x ^ x >> 31
+
+
+def plain_fingerprint(text):
+    """The parse in plain loops: one name at a time, no arrays."""
+    odd, base, names, ranks = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, [ord(c) for c in text], set()
+    for level in range(1, fingerprints.LEVELS + 1):
+        wide = (1 << 32) - 1 if level == 1 else M64
+        runs, k = [], 0
+        while k < len(names):
+            n = next((m for m in range(k, len(names)) if names[m] != names[k]), len(names)) - k
+            if level > 1:
+                ranks |= {finalised((names[k] + place * odd) & M64) >> 32 for place in range(1, n)}
+            name = names[k] if n == 1 else finalised((names[k] + n * odd) & M64) & wide
+            runs.append(name)
+            k += n
+        label = runs
+        for _ in range(fingerprints.ROUNDS):
+            fresh = []
+            for k, x in enumerate(label):
+                differ = x ^ (label[k - 1] if k else x ^ 1)
+                low = (differ & -differ).bit_length() - 1
+                fresh.append((low << 1 | x >> low & 1) & 255)
+            label = fresh
+        starts = [k for k, x in enumerate(label) if k == 0 or label[k - 1] < x and (k + 1 == len(label) or label[k + 1] < x)]
+        phrases = [runs[a:z] for a, z in zip(starts, [*starts[1:], len(runs)], strict=True)]
+        names = [finalised((sum(x * pow(base, min(i + 1, 4095), 1 << 64) for i, x in enumerate(p)) + level * odd) & M64) for p in phrases]
+        ranks |= {(x >> 32) << (4 if level == 1 else 0) for x in names}
+    return sorted(ranks)[: fingerprints.KEEP]
+
+
+def test_fingerprints_match_a_plain_parse(spark, sf_dir):
+    rng = random.Random(11)
+    texts = [t for t in corpus(spark, sf_dir, 60) if len(t) < 4000][:30] + ["a", "ab" * 90, "aaaa bbbb" * 30, "é漢😀" * 20, "x" * 300]
+    texts += ["".join(rng.choice("abc  d\n") for _ in range(rng.randint(1, 900))) for _ in range(20)]
+    for t, s in zip(texts, fingerprints.sketches(texts), strict=True):
+        assert s.tolist() == plain_fingerprint(t), t[:40]
+
+
+def test_fingerprint_ranges_hold_equal_shares_whatever_the_ids(spark):
+    for ids in ([*range(3000), 1 << 60], [hash_id * 7919**3 % (1 << 61) for hash_id in range(3000)], [5] * 10 + [*range(100, 2000)]):
+        rows = spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string").withColumnRenamed("doc_id", "key")
+        sizes = sorted(r["count"] for r in fingerprints._ranged(rows, 16).groupBy("place").count().collect())
+        assert len(sizes) >= 15 and sizes[-1] <= 2 * len(ids) / 16
+
+
+def test_near_edited_finds_edited_texts():
+    """Recall of texts with a replaced quarter at a likeness of 0.3, against unrelated texts."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    for n, low in ((900, 0.45), (60, 0.3)):
+        texts = [" ".join(word() for _ in range(n)) for _ in range(60)]
+        new = [fingerprints.edited(a, b) for a, b in zip(texts, texts[1:], strict=False)]
+        near = [fingerprints.likeness(a, b) for a, b in zip(fingerprints.sketches(texts), fingerprints.sketches(new), strict=False)]
+        far = [fingerprints.likeness(a, b) for a, b in zip(fingerprints.sketches(texts), fingerprints.sketches(texts[1:]), strict=False)]
+        assert np.mean([x >= 0.3 for x in near]) >= 0.95 and np.mean(near) > low and max(far) < 0.3
+
+
+def plain_indicators(text):
+    """(kind, n, bucket) of every n-gram, one at a time."""
+    odd, found = 0x9E3779B97F4A7C15, set()
+
+    def grams(kind, x, longest, bits):
+        for n in range(1, longest + 1):
+            for k in range(len(x) - n + 1):
+                h = 0
+                for j in range(n):
+                    h = (h * odd + x[k + j] + j + 1) & M64
+                found.add((kind, finalised(h) >> 64 - bits))
+
+    table = quality._classes()
+    grams("shapes", [int(table[min(ord(c), 0x2FFF)]) for c in text], quality.SHAPES, quality.SHAPE_BITS)
+    low = text.lower()
+    grams("chars", [ord(c) for c in low], quality.CHARS, quality.CHAR_BITS)
+    space = lambda c: int(table[min(ord(c), 0x2FFF)]) in (4, 5)
+    words = "".join(" " if space(c) else c for c in low).split(" ")
+    names = [finalised(sum((ord(c) + 1) * pow(0xD6E8FEB86659FD93, i, 1 << 64) for i, c in enumerate(w)) & M64) for w in words if w]
+    grams("words", names, quality.WORDS, quality.WORD_BITS)
+    return found
+
+
+def test_quality_indicators_match_plain_loops():
+    features = quality.Features()
+    ends = {"shapes": 0, "chars": 1 << quality.SHAPE_BITS, "words": (1 << quality.SHAPE_BITS) + (1 << quality.CHAR_BITS)}
+    top = features.size - 64
+    for t in ["", "a", "Hello, wörld! 12", "one\ttwo\n one  two", "x " * 40, "漢字 é😀 <b>", "\x1c odd\x85space"]:
+        got = {int(i) for i in np.flatnonzero(features.of(t)) if i < top}
+        assert got == {ends[k] + b for k, b in plain_indicators(t)}, t
+        assert len(np.flatnonzero(features.flags)) - len(got) == 4
+
+
+def test_quality_score_is_the_linear_model():
+    rng = np.random.default_rng(5)
+    model = quality.Model(rng.normal(size=quality.Features.size), 1.7, -0.2)
+    flags = quality.Features().of("some words, and more words")
+    on = np.flatnonzero(flags)
+    margin = 1.7 * sum(model.weights[i] for i in on) / len(on) ** 0.5 - 0.2
+    assert model.score(flags) == pytest.approx(1 / (1 + np.exp(-margin)))
+
+
+def test_secret_battery_matches_plain_loops():
+    rng = random.Random(8)
+    for name, letters in secrets.ALPHABETS.items():
+        for n in (20, 33, 64):
+            s = "".join(rng.choices(letters, k=n))
+            x = [letters.index(c) for c in s]
+            k = len(letters)
+            chi = sum((x.count(v) - n / k) ** 2 / (n / k) for v in range(k))
+            dof = k - 1
+            z = ((chi / dof) ** (1 / 3) - (1 - 2 / (9 * dof))) / (2 / (9 * dof)) ** 0.5
+            mean = sum(x) / n
+            serial = sum((a - mean) * (b - mean) for a, b in zip(x, x[1:], strict=False)) / max(sum((a - mean) ** 2 for a in x), 1e-9)
+            got = secrets.battery(s, name)
+            assert got[0] == pytest.approx(z) and got[2] == pytest.approx(abs(serial) * n**0.5)
+            rate, spread = secrets.CHANGES[name]
+            assert got[1] == pytest.approx(abs(secrets.class_changes(s, name) - rate * (n - 1)) / (spread * (n - 1) ** 0.5))
+    kind = lambda c: "A" if c.isupper() else "a" if c.islower() else "0"
+    for s in ("aB3dE", "abcDEF123", "A1b2C3"):
+        c = [("a" if i + 1 < len(s) and s[i + 1].islower() and not s[i - 1 : i].isupper() else "A") if kind(x) == "A" else kind(x) for i, x in enumerate(s)]
+        assert secrets.class_changes(s, "base62") == sum(a != b for a, b in zip(c, c[1:], strict=False))
+
+
+def plain_stream(media_bytes):
+    """(payload, stamps, packets that begin at a random-access point) byte by byte, by the standard's syntax alone."""
+    tables, pieces, stamps, access = {}, [], [], []
+    pat = pmt = None
+    for at in range(0, len(media_bytes), 188):
+        p = media_bytes[at : at + 188]
+        assert p[0] == 0x47
+        pid, begins, control = (p[1] & 0x1F) << 8 | p[2], p[1] >> 6 & 1, p[3] >> 4 & 3
+        body, flags = 4, 0
+        if control & 2:
+            body, flags = 5 + p[4], p[5] if p[4] else 0
+        if not control & 1:
+            continue
+        data = p[body:]
+        if pid == 0 and pat is None:
+            section = data[1 + data[0] :]
+            pat = (section[10] & 0x1F) << 8 | section[11]
+        elif pid == pat and pmt is None:
+            section = data[1 + data[0] :]
+            skip = 12 + ((section[10] & 0x0F) << 8 | section[11])
+            pmt = (section[skip + 1] & 0x1F) << 8 | section[skip + 2]
+        elif pid == pmt:
+            tables.setdefault("seen", []).append(p[3] & 15)
+            if begins:
+                pieces.append(b"")
+                access += [len(tables["seen"]) - 1] * (flags >> 6 & 1)
+            pieces[-1] += data
+    out = b""
+    for pes in pieces:
+        assert pes[:3] == b"\0\0\1"
+        length, head = pes[4] << 8 | pes[5], 9 + pes[8]
+        if pes[7] & 0x80:
+            s = pes[9:14]
+            stamps.append((s[0] >> 1 & 7) << 30 | s[1] << 22 | s[2] >> 1 << 15 | s[3] << 7 | s[4] >> 1)
+        out += pes[head : 6 + length]
+    counters = tables["seen"]
+    assert all((a + 1) % 16 == b for a, b in zip(counters, counters[1:], strict=False))
+    return out, stamps, access
+
+
+def test_media_bytes_read_by_an_independent_parser():
+    for text in ("", "a", "é" * 700, "word " * 9000):
+        made = media.pack(media.payload_of(text))
+        s = media.unpack(made)
+        assert plain_stream(made) == (s.payload, s.stamps, s.random_access) and s.payload == media.payload_of(text)
+
+
+def test_media_takes_a_repeated_packet_once():
+    good = media.pack(media.payload_of("word " * 9000))
+    for k in (2, 3, 9):
+        twice = good[: 188 * (k + 1)] + good[188 * k :]
+        s = media.unpack(twice)
+        assert (s.payload, s.gaps) == (media.unpack(good).payload, 0)
+    # A packet without payload, as encoders send for the clock alone.
+    bare = bytes([0x47, media.MEDIA_PID >> 8, media.MEDIA_PID & 255, 0x20, 183]) + b"\x00" + b"\xff" * 182
+    s = media.unpack(good[: 188 * 4] + bare + good[188 * 4 :])
+    assert (s.payload, s.gaps) == (media.unpack(good).payload, 0)
+
+
+def test_clashing_columns_stay_under_another_name(spark, sf_dir):
+    """One rule for all operators that add columns."""
+    import corpus_pipeline
+
+    model = quality.Model(np.zeros(quality.Features.size), 1.0, 0.0)
+    piece, bpe = tokenizer("piece_bpe_32k.model"), tokenizer("byte_bpe_50k.json")
+    calls = {
+        "n_pieces round_trip piece_ids": lambda d: pieces.encode(d, piece, keep_ids=True),
+        "n_bytes N_TOKENS input_n_bytes": lambda d: token_counts.count_tokens(d, bpe),
+        "spans redacted n_hex": secrets.scan,
+        "media feature n_bytes": lambda d: media.store(d, keep_media=True),
+        "score Predicted held_out": lambda d: quality.classify(d, model),
+        "fingerprint": fingerprints.fingerprint,
+    }
+    for names, call in calls.items():
+        names = names.split()
+        table = spark.createDataFrame([(1, "some text", *(f"own {n}" for n in names))], ", ".join(["doc_id long, text string", *(f"`{n}` string" for n in names)]))
+        out = call(table).first().asDict()
+        assert sorted(v for v in out.values() if isinstance(v, str) and v.startswith("own ")) == sorted(f"own {n}" for n in names)
+        assert len({k.lower() for k in out}) == len(out)
+    records = spark.createDataFrame([(1, '{"prompt": "q", "completion": "a"}', "x", "y", "z")], "conv_id long, record string, layout string, turns string, _p string")
+    row = chat.canonical_turns(records).first()
+    assert (row.layout, row.input_layout, row.input_turns, row["_p"]) == ("prompt", "x", "y", "z") and len(row.turns) == 2
+    odd = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30).selectExpr("*", *(f"concat('own ', doc_id) as {c}" for c in ("score", "spans", "redacted", "size", "slot", "n", "key", "whole", "component_id")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, sf_dir)
+        assert out.columns == odd.columns
+        assert all(v == f"own {r.doc_id}" for r in out.collect() for v in r[5:])
