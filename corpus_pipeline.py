@@ -3,7 +3,9 @@
 Each stage takes and returns whole tables. All but the last return the columns of
 documents: the classifier drops what it rejects, the join keeps one document of
 each group, the scan replaces each secret in a text by [SECRET], the mix repeats or
-drops documents as its schedule takes them, and the last stage encodes the texts.
+drops documents as its schedule takes them, in the order of its slots, and the last stage
+encodes the texts. Extra columns go through whatever their names; the last stage renames
+those that clash with its own to input_NAME.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.llm import jaccard, mixing, pieces, quality, secrets
-from assaykit.llm.common import cut, documents
+from assaykit.llm.common import cut, documents, restored
 from assaykit.llm.queries import tokenizer
 from assaykit.session import ship
 
@@ -37,7 +39,7 @@ def staged(f: Stage) -> Stage:
 @staged
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.classify(docs, model, drop_text=False).where("predicted = 1").select(docs.columns)
+    return restored(quality.classify(docs, model, drop_text=False).where("predicted = 1"), docs.columns, quality.ADDED)
 
 
 @staged
@@ -47,10 +49,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @staged
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = secrets.scan(docs).withColumn("text", F.col("redacted"))
+    found = secrets.scan(docs).withColumn("text", F.col("redacted"))
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
-    return clean.select(docs.columns)
+        found = found.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    return restored(found, docs.columns, [f.split()[0] for f in secrets.FOUND.split(", ")])
 
 
 @staged
