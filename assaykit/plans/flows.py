@@ -193,7 +193,60 @@ def obfuscate(spark, sf_dir):
     return generate.obfuscated(turn_pairs(spark, sf_dir), "case_id", "input").withColumn("text", F.sha2("text", 256))
 
 
-@query()
+def _draw(key: str, label: str, n: object) -> str:
+    return f"(('0x' || substr(md5({key} || ':{label}'), 1, 8))::BIGINT % ({n}))"
+
+
+def _slip(w: str, key: str, v: str) -> str:
+    x, y = f"x{v}", f"y{v}"
+    at = lambda i: f"substr({y}.w, {y}.a + {i}, 1)"
+    least = f"CASE WHEN length({x}.w) > 4 THEN 3 ELSE 2 END"
+    return f"""list_transform([{{'w': {w}, 'k': {key}}}], lambda {x}: list_transform([{{'w': {x}.w, 'a': {_draw(f"{x}.k", "at", f"length({x}.w) - 1")}, 'q': {_draw(f"{x}.k", "slip", least)}}}],
+        lambda {y}: substr({y}.w, 1, {y}.a) || CASE {y}.q WHEN 0 THEN {at(2)} || {at(1)} WHEN 1 THEN {at(1)} || {at(1)} || {at(2)} ELSE {at(2)} END || substr({y}.w, {y}.a + 3))[1])[1]"""
+
+
+def _cells(name: str, cells: str, place: str, most: int, edit: str) -> str:
+    """One mutation as a row per case: cells c with 1-based places i, those drawn edited under the key k."""
+    chosen = f"list_transform(ranked[1:{_draw('key', 'places', most)} + 1], lambda x: x.i)"
+    return f"""{name} AS (SELECT case_index, s, expected, key, '{name}' AS mutation, CASE WHEN len(ranked) > 0 THEN array_to_string(list_transform(row, lambda c, i:
+            CASE WHEN list_contains({chosen}, i - 1) THEN {edit} ELSE c END), '') END AS mutant
+        FROM (SELECT *, list_sort(list_transform(list_filter(range(len(row)), lambda i: regexp_matches(row[i + 1], '{place}')), lambda i: {{'h': md5(key || ':' || i), 'i': i}})) AS ranked
+              FROM (SELECT *, regexp_extract_all(s, '{cells}') AS row FROM (SELECT *, '0:' || case_index || ':{name}:0' AS key FROM t))))"""
+
+
+_K, _OWN = "(key || ':' || (i - 1))", "aceijopsxyABCEHKMOPTX"
+_HALF = lambda odd: f"array_to_string(list_transform(string_split(c, ''), lambda z, j: CASE WHEN (j - 1) % 2 = {odd} THEN upper(z) ELSE lower(z) END), '')"
+_FIRST, _SECOND = _HALF(_draw(_K, "half", 2)), _HALF("1 - " + _draw(_K, "half", 2))
+_RECASED = f"CASE WHEN {_draw(_K, 'style', 2)} = 0 THEN CASE WHEN c = upper(c) THEN lower(c) ELSE upper(c) END WHEN {_FIRST} <> c THEN {_FIRST} ELSE {_SECOND} END"
+_ONCE = _slip("c", f"({_K} || ':a')", "1")
+_SLIPS = f"CASE WHEN {_draw(_K, 'twice', 2)} = 1 THEN {_slip(_ONCE, f'({_K} || {chr(39)}:b{chr(39)})', '2')} ELSE {_ONCE} END"
+_SITE = r"\b(is not|cannot|is|can|not)\b"
+_BARE = r"regexp_replace(s, '[.!?](\s*)\z', '\1')"
+
+MUTANTS = f"""t AS (SELECT case_id AS case_index, coalesce(input, '') AS s, output AS expected FROM pairs),
+    {_cells("typo_noise", "[A-Za-z]+|[^A-Za-z]+", "^[A-Za-z]{5}", 1, _SLIPS)},
+    {_cells("case_noise", "[A-Za-z]+|[^A-Za-z]+", "^[A-Za-z]{2}", 2, _RECASED)},
+    {_cells("unicode_confusable", f"[{_OWN}]|[^{_OWN}]+", f"^[{_OWN}]", 3, f"translate(c, '{_OWN}', 'асеіјорѕхуАВСЕНКМОРТХ')")},
+    {_cells("whitespace_noise", " |[^ ]+", "^ $", 1, f"CASE WHEN {_draw(_K, 'tab', 2)} = 0 THEN '  ' ELSE chr(9) END")},
+    spaced AS (SELECT * REPLACE (CASE WHEN trim(s) <> '' THEN CASE WHEN {_draw("key", "end", 3)} = 0 OR mutant IS NULL THEN s || '  ' ELSE mutant END END AS mutant) FROM whitespace_noise),
+    punctuation_strip AS (SELECT case_index, s, expected, key, 'punctuation_strip' AS mutation,
+            CASE WHEN bare <> s AND (plain = s OR {_draw("key", "which", 2)} = 0) THEN bare WHEN plain <> s THEN plain END AS mutant
+        FROM (SELECT *, '0:' || case_index || ':punctuation_strip:0' AS key, {_BARE} AS bare, replace(s, ',', '') AS plain FROM t)),
+    negation_flip AS (SELECT case_index, s, expected, '' AS key, 'negation_flip' AS mutation, CASE WHEN len(sites) = 1 THEN CASE sites[1]
+            WHEN 'is not' THEN regexp_replace(s, '\\bis not\\b', 'is') WHEN 'cannot' THEN regexp_replace(s, '\\bcannot\\b', 'can') WHEN 'is' THEN regexp_replace(s, '\\bis\\b', 'is not')
+            WHEN 'can' THEN regexp_replace(s, '\\bcan\\b', 'cannot') ELSE regexp_replace(s, ' ?\\bnot\\b', '') END END AS mutant
+        FROM (SELECT *, regexp_extract_all(s, '{_SITE}') AS sites FROM t)),
+    every AS (SELECT *, mutation = 'negation_flip' AS flip, list_position(['typo_noise', 'whitespace_noise', 'case_noise', 'unicode_confusable', 'punctuation_strip', 'negation_flip'], mutation) AS ord
+        FROM (FROM typo_noise SELECT case_index, s, expected, mutation, mutant UNION ALL FROM spaced SELECT case_index, s, expected, mutation, mutant
+            UNION ALL FROM case_noise SELECT case_index, s, expected, mutation, mutant UNION ALL FROM unicode_confusable SELECT case_index, s, expected, mutation, mutant
+            UNION ALL FROM punctuation_strip SELECT case_index, s, expected, mutation, mutant UNION ALL FROM negation_flip SELECT case_index, s, expected, mutation, mutant)
+        WHERE mutant <> s),
+    fine AS (SELECT *, trim(mutant) <> '' AND (flip OR coalesce(trim(expected) <> '', false)) AS ok FROM every)"""
+
+
+@query(f"""WITH {PAIRS}, {MUTANTS}
+    SELECT case_index, mutation, 0 AS attempt, mutant, CASE WHEN flip THEN 'flip' ELSE 'invariant' END AS expectation,
+           CASE WHEN NOT ok THEN 'malformed' WHEN row_number() OVER (PARTITION BY mutant, ok ORDER BY case_index, ord) > 1 THEN 'duplicate' ELSE 'accepted' END AS bucket FROM fine""")
 def mutate_cases(spark, sf_dir):
     p = turn_pairs(spark, sf_dir).select(F.col("case_id").alias("case_index"), "input", F.col("output").alias("expected_output"))
     return generate.mutated(p).select("case_index", "mutation", "attempt", "mutant", "expectation", "bucket")

@@ -296,14 +296,52 @@ def test_generation(spark):
         generate.grid(spark, {k: range(20) for k in "abc"})
 
 
-def test_mutators_never_touch_digits():
-    import random
+def _mutants(spark, name, texts, per_case=1, seed=0):
+    cases = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "case_index long, input string, expected_output string")
+    found = {}
+    for r in generate.mutated(cases, [name], seed, per_case).collect():
+        found.setdefault(texts[r.case_index], []).append(r.mutant)
+    return found
+
 
+def test_mutators_change_what_they_may_and_nothing_else(spark):
     said = "Order 12345 cannot ship, because item 678 is late."
-    for name, f in generate.MUTATIONS.items():
-        for k in range(50):
-            out = f(said, random.Random(f"{name}{k}"))
-            assert out is None or [c for c in out if c.isdigit()] == [c for c in said if c.isdigit()]
+    for name in generate.MUTATIONS:
+        for out in _mutants(spark, name, [said], 40).get(said, []):
+            assert out != said and [c for c in out if c.isdigit()] == [c for c in said if c.isdigit()]
+    typos = _mutants(spark, "typo_noise", ["The refund window is thirty days.", "1234567890 999 42", "a b c d", ""], 30)
+    assert set(typos) == {"The refund window is thirty days."} and len(set(typos["The refund window is thirty days."])) > 10
+    assert all(abs(len(t) - 33) <= 2 and sum(a != b for a, b in zip(t.split(), "The refund window is thirty days.".split(), strict=True)) == 1 for t in typos["The refund window is thirty days."])
+    spaces = _mutants(spark, "whitespace_noise", ["hello world again", "   ", "word"], 20)
+    assert set(spaces) == {"hello world again", "word"} and all("".join(t.split()) == "helloworldagain" for t in spaces["hello world again"])
+    assert {"\t" in t for t in spaces["hello world again"]} == {True, False} and set(spaces["word"]) == {"word  "}
+    case = _mutants(spark, "case_noise", ["please cancel my order", "123 456", "AB"], 20)
+    assert set(case) == {"please cancel my order", "AB"} and all(t.lower() == k.lower() for k, v in case.items() for t in v)
+    looks = _mutants(spark, "unicode_confusable", ["payment account", "000 111"], 20)
+    assert set(looks) == {"payment account"} and all(len(t) == 15 and 1 <= sum(a != b for a, b in zip(t, "payment account", strict=True)) <= 3 for t in looks["payment account"])
+    marks = _mutants(spark, "punctuation_strip", ["Is this, then, so? ", "no punctuation here", "one, two", "End."], 10)
+    assert set(marks["Is this, then, so? "]) == {"Is this, then, so ", "Is this then so? "} and set(marks) == {"Is this, then, so? ", "one, two", "End."}
+    flips = {"The plan is active.": "The plan is not active.", "The plan is not active.": "The plan is active.", "You cannot do this thing": "You can do this thing", "I can": "I cannot", "Do not go": "Do go"}
+    got = _mutants(spark, "negation_flip", [*flips, "This is fine and that is not fine.", "Hello there friend"])
+    assert got == {k: [v] for k, v in flips.items()}
+    assert _mutants(spark, "typo_noise", list(typos), 3, 1) != _mutants(spark, "typo_noise", list(typos), 3, 2)
+
+
+def test_templates(spark):
+    axes = {"item": ["a laptop", "a phone", "some shoes"], "when": ["yesterday", "in March"]}
+    said = "Refund for {item} bought {when}"
+    rows = generate.from_template(spark, said, axes, expected_output="policy for {item}").collect()
+    assert len(rows) == 6 and {r.bucket for r in rows} == {"accepted"} and "policy for a phone" in {r.expected_output for r in rows}
+    assert "Refund for some shoes bought in March" in {r.input for r in rows}
+    few, again = (generate.from_template(spark, said, axes, n=3, seed=1).collect() for _ in "ab")
+    assert few == again and len(few) == 3 and all(r.expected_output is None for r in few)
+    assert generate.from_template(spark, said, {"item": ["x", "x"], "when": ["y"]}).where("bucket = 'duplicate'").count() == 1
+    assert generate.from_template(spark, "{a}", {"a": [" "]}).first().bucket == "malformed"
+    for template, have, why in ((said, {"item": ["x"]}, "no axis values"), ("{item}", {"item": ["x"], "extra": ["y"]}, "do not appear"), ("{item}", {"item": []}, "no axis values")):
+        with pytest.raises(ValueError, match=why):
+            generate.from_template(spark, template, have)
+    with pytest.raises(ValueError, match="sample"):
+        generate.from_template(spark, "{item}", {"item": ["x"]}, sample="grid")
 
 
 def test_case_and_trace_readers(spark, tmp_path):
