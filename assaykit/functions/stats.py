@@ -121,7 +121,7 @@ def bootstrap_mean(scores: Sequence[float], confidence: float = 0.95, draws: int
 
 
 def cluster_bootstrap(values: Sequence[float], confidence: float = 0.95, draws: int = 2000, seed: int = 0) -> tuple[float, float]:
-    """Interval of the mean of per-case estimates, cases resampled; a score interval where all are equal."""
+    """Interval of the mean of per-case estimates, cases resampled; a score interval where all are equal. It holds the mean itself."""
     m = len(values)
     if min(values) == max(values):
         return wilson_value(values[0] * m, m, confidence)
@@ -133,7 +133,8 @@ def cluster_bootstrap(values: Sequence[float], confidence: float = 0.95, draws:
         i = int(place)
         return means[i] + (means[min(i + 1, draws - 1)] - means[i]) * (place - i)
 
-    return at((1 - confidence) / 2), at((1 + confidence) / 2)
+    point = sum(values) / m
+    return min(point, at((1 - confidence) / 2)), max(point, at((1 + confidence) / 2))
 
 
 def credible(passes: int, n: int, confidence: float = 0.95, draws: int = 10_000, seed: int = 42) -> tuple[float, float]:
@@ -155,14 +156,31 @@ def credible(passes: int, n: int, confidence: float = 0.95, draws: int = 10_000,
     return round(shares[int(half * draws)], 4), round(shares[min(int((1 - half) * draws), draws - 1)], 4)
 
 
-def cluster_bootstrap_counts(values: Sequence[tuple[float, int]], confidence: float = 0.95, draws: int = 2000, seed: int = 0) -> tuple[float, float]:
-    """The cluster interval from distinct values with counts: resampling cases draws multinomial counts, so its cost doesn't follow the number of cases."""
+def _resampled_means(values: Sequence[tuple[float, int]], draws: int, seed: int):
+    """Sorted means of resamples of (value, count) pairs: counts are drawn, so the cost doesn't follow the number of cases."""
     import numpy as np
 
     v, n = np.array([x for x, _ in values], float), np.array([c for _, c in values])
     m = int(n.sum())
-    if len(set(v.tolist())) == 1:
-        return wilson_value(float(v[0]) * m, m, confidence)
-    means = np.sort(np.random.default_rng(seed).multinomial(m, n / m, draws) @ v / m)
+    return np.sort(np.random.default_rng(seed).multinomial(m, n / m, draws) @ v / m), float(v @ n / m), m
+
+
+def bootstrap_mean_counts(values: Sequence[tuple[float, int]], confidence: float = 0.95, draws: int = 2000, seed: int = 42) -> tuple[float, float]:
+    """The percentile interval of ``bootstrap_mean`` from distinct values with counts, in a random stream of its own."""
+    m = sum(n for _, n in values)
+    if m < 2:
+        return (values[0][0], values[0][0]) if m else (0.0, 1.0)
+    means, _, _ = _resampled_means(values, draws, seed)
+    low, high = int((1 - confidence) / 2 * draws), int((1 + confidence) / 2 * draws) - 1
+    return round(float(means[low]), 4), round(float(means[high]), 4)
+
+
+def cluster_bootstrap_counts(values: Sequence[tuple[float, int]], confidence: float = 0.95, draws: int = 2000, seed: int = 0) -> tuple[float, float]:
+    """The cluster interval from distinct values with counts; it holds the mean itself."""
+    import numpy as np
+
+    means, point, m = _resampled_means(values, draws, seed)
+    if len({x for x, _ in values}) == 1:
+        return wilson_value(point * m, m, confidence)
     low, high = np.quantile(means, [(1 - confidence) / 2, (1 + confidence) / 2])
-    return float(low), float(high)
+    return min(point, float(low)), max(point, float(high))

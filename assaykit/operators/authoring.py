@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources.tables import cut
+from ..storage import cut
 from . import gates, judge
 
 #: Ways in which an adversarial case can try to make a model fail.

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import stats
+from .ranks import counted
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -51,26 +54,16 @@ def kappa(pairs: DataFrame, a: str, b: str, by: list[str] | None = None) -> Data
 
 
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Adds the rank of each value, ties sharing their mean rank.
-
-    Ranks come from counts per distinct value: the global order runs over distinct
-    values in ranges, their totals first, so no task sorts all rows.
-    """
-    from ..sources.tables import cut
-
-    by = df.groupBy(value).agg(F.count("*").alias("_n"))
-    # Written once, so that both uses below see the same ranges.
-    by = cut(by.repartitionByRange(F.col(value)).withColumn("_part", F.spark_partition_id()))
-    local = by.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_part").orderBy(value)))
-    heads = local.groupBy("_part").agg(F.sum("_n").alias("_size")).withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranks = local.join(F.broadcast(heads.select("_part", "_before")), "_part").select(value, (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name))
-    return df.join(ranks, value)
+    """Adds the rank of each value, ties sharing their mean rank; ranks come from counts per distinct value."""
+    return df.join(counted(df, value).select(value, (F.col("before") + (F.col("n") + 1) / 2.0).alias(name)), value)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Rank correlation with mean ranks for ties; n and rho."""
+    """Rank correlation with mean ranks for ties: n, rho and its two-sided p-value, from the t statistic's normal approximation (good from 30 rows on)."""
     ranked = average_rank(average_rank(df.select(a, b), a, "_ra"), b, "_rb")
-    return ranked.agg(F.count("*").alias("n"), F.corr("_ra", "_rb").alias("rho"))
+    g = ranked.agg(F.count("*").alias("n"), F.corr("_ra", "_rb").alias("rho"))
+    t = F.abs(F.col("rho")) * F.sqrt(F.col("n") - 2) / F.sqrt(1 - F.col("rho") * F.col("rho"))
+    return g.withColumn("p_value", F.when(F.abs("rho") >= 1, 0.0).otherwise(stats.tail(t)))
 
 
 def threshold_for(entries: DataFrame, wanted: DataFrame, fallback: float = 0.7) -> DataFrame:

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..storage import cut
 
 #: Metadata fields that can hold an expected behaviour.
 BEHAVIOUR_KEYS = ("expected_behavior", "expected_behaviour", "expected_response", "expected")
 JACCARD = 0.85
+#: Hash buckets of token counts; their number decides order and cost, never results.
+BUCKETS = 1 << 14
 
 
 def _filled(c: Column) -> Column:
@@ -35,18 +38,27 @@ def near_pairs(df: DataFrame, key: str, tokens: str, threshold: float = JACCARD)
     """(a, b, similarity) with a < b of rows whose token arrays, as sets, are alike enough.
 
     Rows with equal sets are one class, paired through their first row alone: links
-    between copies follow from class members. Tokens sort rarest first, and pairs
-    meet on a token of both prefixes only. Empty sets are alike and form one class.
+    between copies follow from class members. Tokens sort rarest first, by counts in
+    BUCKETS hash buckets, so that each row orders its own set and no token but those of
+    prefixes is shuffled; pairs meet on a token of both prefixes only, by its hash, and
+    whole sets decide. Empty sets are alike and form one class.
     """
     sets = df.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(tokens)).alias("s"))
     sets = sets.withColumn("h", F.sha2(F.to_json("s"), 256))
     rep = sets.groupBy("h").agg(F.min("k").alias("a"), F.first("s").alias("s"))
     copies = sets.select(F.col("k").alias("b"), "h").join(rep.select("h", "a"), "h").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
-    rep = rep.where(F.size("s") > 0).select(F.col("a").alias("k"), "s")
-    counts = rep.select(F.explode("s").alias("t")).groupBy("t").agg(F.count("*").alias("c"))
-    ranked = rep.select("k", F.explode("s").alias("t"), F.size("s").alias("n")).join(counts, "t")
-    place = F.row_number().over(Window.partitionBy("k").orderBy("c", "t"))
-    short = ranked.withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).where("c > 1")
+    rep = cut(rep.where(F.size("s") > 0).select(F.col("a").alias("k"), "s"))
+    name = lambda t: F.xxhash64(t)
+    bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
+    counts = rep.select(F.explode("s").alias("t")).groupBy(bucket(name("t")).alias("b")).agg(F.count("*").alias("c"))
+    # One row of at most BUCKETS numbers, for every task.
+    sketch = counts.agg(F.map_from_entries(F.collect_list(F.struct("b", "c"))).alias("m")).select(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("m"))
+    n = F.size("s")
+    ranked = F.array_sort(F.transform("s", lambda t: F.struct(F.element_at("m", bucket(name(t)) + 1).alias("c"), name(t).alias("t"))))
+    # A token that is alone in its bucket is in one set.
+    prefix = F.slice(ranked, F.lit(1), (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
+    short = rep.join(F.broadcast(sketch)).select("k", n.alias("n"), F.posexplode(prefix).alias("p", "x")).where("x.c > 1").select("k", "n", (F.col("p") + 1).alias("p"), "x.t")
+    short = cut(short)
     x, y = (short.select("t", F.col("k").alias(f"k{i}"), F.col("n").alias(f"n{i}"), F.col("p").alias(f"p{i}")) for i in "xy")
     fits = (F.least("nx", "ny") >= F.greatest("nx", "ny") * threshold - 1e-9) & (F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) + 1 >= (F.col("nx") + F.col("ny")) * threshold / (1 + threshold) - 1e-9)
     met = x.join(y, "t").where((F.col("kx") < F.col("ky")) & fits).select(F.col("kx").alias("a"), F.col("ky").alias("b")).distinct()
@@ -63,9 +75,7 @@ def accepted(df: DataFrame, key: str, tokens: str, threshold: float = JACCARD) -
     most n rounds; each round is cut, so lineage stays short. Rows with equal sets
     all follow their first row.
     """
-    from ..sources.tables import cut
-
-    sets = df.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(tokens)).alias("s"))
+    sets = df.select(F.col(key).alias("k"), F.sha2(F.to_json(F.array_sort(F.array_distinct(tokens))), 256).alias("s"))
     first = sets.groupBy("s").agg(F.min("k").alias("rep"))
     member = cut(sets.join(first, "s").select("k", "rep"))
     pairs = cut(near_pairs(df, key, tokens, threshold).join(member.where("k = rep").select(F.col("k").alias("a")), "a", "left_semi").join(member.where("k = rep").select(F.col("k").alias("b")), "b", "left_semi").select("a", "b"))

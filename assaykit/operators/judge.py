@@ -36,6 +36,7 @@ QUESTIONS: dict[str, tuple[tuple[str, bool], ...]] = {
     "conversation_relevance": (("Does the reply fit the conversation?", True), ("Does it answer the last turn?", True), ("Does it ignore earlier turns?", False), ("Does it change the subject?", False)),
     "knowledge_retention": (("Does the reply use what the user said before?", True), ("Does it ask again for known facts?", False), ("Does it contradict earlier turns?", False)),
     "conversation_completeness": (("Was the user's goal met?", True), ("Is a request unanswered?", False), ("Was help offered where the goal was out of reach?", True), ("Did the conversation end early?", False)),
+    "agent_memory": (("Does the agent use what it learned in earlier steps?", True), ("Does the agent ask for what it already knows?", False), ("Does the agent mix up earlier results?", False)),
     "turn_consistency": (("Are the replies consistent with each other?", True), ("Does a reply take back an earlier one?", False), ("Is the role kept?", True)),
 }
 #: Pass marks that differ from 0.7.
@@ -67,10 +68,10 @@ def call_hash(prompt: Column, config: Config, draw: Column | None = None) -> Col
     return F.sha2(F.to_json(F.array(*parts, prompt)), 256)
 
 
-def requests(cases: DataFrame, evaluators: list[str], config: Config | None = None, context: str = "input") -> DataFrame:
-    """One row a question of each (case, run): evaluator, q_ord, expect_yes, prompt and prompt_key."""
-    config = config or Config()
-    items = [F.struct(F.lit(e).alias("evaluator"), F.lit(i).alias("q_ord"), F.lit(q).alias("question"), F.lit(good).alias("expect_yes")) for e in evaluators for i, (q, good) in enumerate(QUESTIONS[e])]
+def requests(cases: DataFrame, evaluators: list[str], config: Config | None = None, context: str = "input", questions: dict[str, tuple[tuple[str, bool], ...]] | None = None) -> DataFrame:
+    """One row a question of each (case, run): evaluator, q_ord, expect_yes, prompt and prompt_key. ``questions`` adds to the fixed ones."""
+    config, known = config or Config(), QUESTIONS | (questions or {})
+    items = [F.struct(F.lit(e).alias("evaluator"), F.lit(i).alias("q_ord"), F.lit(q).alias("question"), F.lit(good).alias("expect_yes")) for e in evaluators for i, (q, good) in enumerate(known[e])]
     run = F.col("run_no") if "run_no" in cases.columns else F.lit(1)
     rows = cases.select("case_id", run.alias("run_no"), F.col(context).alias("_c"), F.col("output").alias("_o"), F.explode(F.array(*items)).alias("q")).select("case_id", "run_no", "q.*", "_c", "_o")
     prompt = F.concat(F.lit("Input: "), F.coalesce("_c", F.lit("")), F.lit("\nReply: "), F.coalesce("_o", F.lit("")), F.lit("\nQuestion: "), F.col("question"), F.lit("\nAnswer yes or no."))
@@ -112,7 +113,7 @@ def called(calls: DataFrame, judge: Judge, attempts: int = 3) -> DataFrame:
 
 def ask(rows: DataFrame, judge: Judge, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Requests with their replies, and the new cache entries; calls are stored before use, as they cost money."""
-    from ..sources.tables import cut
+    from ..storage import cut
 
     cache = cache if cache is not None else rows.sparkSession.createDataFrame([], "prompt_key string, reply string")
     new = cut(called(misses(rows, cache), judge))
@@ -149,6 +150,41 @@ def claims_score(claims: DataFrame, most: int = 10) -> DataFrame:
     return g.select("case_id", F.when(F.col("asked") == 0, 1.0).when(~bad, F.col("good") / F.col("read")).alias("score"), F.when(bad, "judge gave no usable verdicts").alias("judge_error"))
 
 
+def claim_requests(cases: DataFrame, ask_: Judge, most: int = 10, cache: DataFrame | None = None) -> DataFrame:
+    """Faithfulness, first stage: one request for each of the claims that a judge finds in a reply, and whether the context supports it.
+
+    The judge is asked once a reply for a JSON list of claims; of each list the first
+    ``most`` count. A reply without readable claims has a row with a null claim_no.
+    """
+    prompt = F.concat(F.lit("List the factual claims of this reply as a JSON list of strings.\nReply: "), F.coalesce("output", F.lit("")))
+    rows = cases.select("case_id", F.coalesce("context", F.lit("")).alias("context"), prompt.alias("prompt")).withColumn("prompt_key", call_hash(F.col("prompt"), Config()))
+    listed, _ = ask(rows, ask_, cache)
+    claims = listed.select("case_id", "context", F.posexplode_outer(F.slice(json_list(F.col("reply")), 1, most)).alias("claim_no", "claim"))
+    prompt = F.when(F.col("claim").isNotNull(), F.concat(F.lit("Context: "), "context", F.lit("\nClaim: "), "claim", F.lit("\nDoes the context support the claim? Answer yes or no.")))
+    return claims.select("case_id", "claim_no", "claim", prompt.alias("prompt")).withColumn("prompt_key", call_hash(F.col("prompt"), Config()))
+
+
+def faithfulness(cases: DataFrame, ask_: Judge, most: int = 10, cache: DataFrame | None = None) -> DataFrame:
+    """case_id, score, judge_error: both stages, claims found and each put to the judge once; a reply without claims is faithful."""
+    from ..storage import cut
+
+    claims = cut(claim_requests(cases, ask_, most, cache))
+    answered, _ = ask(claims.where("prompt is not null"), ask_, cache)
+    none = claims.where("prompt is null").select("case_id", F.lit(None).cast("int").alias("claim_no"), F.lit(None).cast("string").alias("reply"))
+    return claims_score(answered.select("case_id", "claim_no", "reply").unionByName(none), most)
+
+
+def memory_requests(cases: DataFrame, config: Config | None = None) -> DataFrame:
+    """Agent memory: three questions of the trace, and whether each recalled fact was told before (column facts: told or null)."""
+    return requests(cases, ["agent_memory"], config, "trace")
+
+
+def memory_scores(scored: DataFrame, recalled: DataFrame) -> DataFrame:
+    """The mean of the questions' score and, as a fourth, the share of recalled facts that were told; cases without recalled facts keep the questions' score."""
+    share = recalled.groupBy("case_id").agg(F.avg(F.col("told").cast("double")).alias("_share"))
+    return scored.join(share, "case_id", "left").withColumn("score", F.when(F.col("_share").isNull(), F.col("score")).otherwise((F.col("score") * 3 + F.col("_share")) / 4)).drop("_share")
+
+
 def numeric_score(reply: Column, scale: float = 10.0) -> Column:
     """First number of a reply over the scale, within 0 and 1; 0 when there is none."""
     return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(F.expr("1.0") * F.regexp_extract(reply, r"(\d+(?:\.\d+)?)", 1).try_cast("double"), F.lit(scale)))), F.lit(0.0))
@@ -174,7 +210,7 @@ def backoff(attempt: int, base: float = 1.0, factor: float = 2.0, most: float =
 
 def with_retries(cases: DataFrame, run: Callable[[DataFrame, int], DataFrame], retry_on: tuple[str, ...] = ("judge_error",), attempts: int = 3) -> DataFrame:
     """Runs all cases, then again those whose status is to be retried, at most ``attempts`` times in all; adds attempt."""
-    from ..sources.tables import cut
+    from ..storage import cut
 
     settled, todo = None, cases
     for i in range(attempts):
@@ -223,8 +259,7 @@ def step_faithfulness(cases: DataFrame, steps: str = "steps", most: int = 8) ->
 
 def rubric(cases: DataFrame, name: str, criteria: list[tuple[str, bool]], config: Config | None = None) -> DataFrame:
     """Requests for a rubric of one's own."""
-    QUESTIONS[name] = tuple(criteria)
-    return requests(cases, [name], config)
+    return requests(cases, [name], config, questions={name: tuple(criteria)})
 
 
 def check_questions(criterion: str, judge: Judge, n: int = 3, most: int = 10) -> list[str]:
@@ -255,6 +290,13 @@ def first_user_turn(conversation: str = "conversation") -> Column:
     return F.try_element_at(F.filter(F.col(conversation), lambda m: m["role"] == "user"), F.lit(1))["content"]
 
 
+def rendered_trace(trace: str = "agent_trace") -> Column:
+    """An agent trace (array of steps with thought, tool_calls of name and arguments, and output) as text, a line each."""
+    call = lambda t: F.concat(F.lit("  CALL "), t["name"], F.lit("("), F.coalesce(t["arguments"], F.lit("")), F.lit(")"))
+    lines = lambda s, i: F.array_compact(F.concat(F.array(F.concat(F.lit("STEP "), (i + 1).cast("string"), F.coalesce(F.concat(F.lit(": "), s["thought"]), F.lit("")))), F.coalesce(F.transform(s["tool_calls"], call), F.array().cast("array<string>")), F.array(F.concat(F.lit("  OUTPUT "), s["output"]))))
+    return F.array_join(F.flatten(F.transform(F.col(trace), lines)), "\n")
+
+
 def rendered(conversation: str = "conversation") -> Column:
     return F.array_join(F.transform(F.col(conversation), lambda m: F.concat(F.upper(m["role"]), F.lit(": "), F.coalesce(m["content"], F.lit("")))), "\n")
 

@@ -135,7 +135,7 @@ def match(base: DataFrame, live: DataFrame, unscannable: DataFrame | None = None
 
     def tier(left: DataFrame, key: list[str], static: bool | None, status: str, label: Column, confidence: Column, nearest: bool, same_file_first: bool = False) -> DataFrame:
         nonlocal taken, settled
-        from ..sources.tables import cut
+        from ..storage import cut
 
         open_live = v.join(taken.select(F.col("live_id").alias("id")), "id", "left_anti")
         if static is not None:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from .ranks import at_rank, counted
 
 EVALUATED = ("passed", "failed_quality")
 ERRORS = ("model_error", "judge_error", "evaluator_error", "timeout")
@@ -96,27 +97,35 @@ def errors_by_kind(cases: DataFrame) -> DataFrame:
 
 def percentiles(cases: DataFrame, points: tuple[int, ...] = (10, 25, 50, 75, 90)) -> DataFrame:
     """Interpolated score percentiles over all cases, as rows."""
-    values = F.percentile("score", F.array(*[F.lit(p / 100) for p in points]))
-    names = F.array(*[F.lit(p) for p in points])
-    return cases.agg(values.alias("v")).select(F.inline(F.arrays_zip(names.alias("percentile"), F.col("v").alias("score")))).select("percentile", F.round("score", 4).alias("score"))
+    at = lambda p: F.lit(p / 100) * (F.col("size") - 1)
+    value = lambda rank: F.max(F.when(at_rank(rank), F.col("score")))
+    found = counted(cases, "score").agg(*[f for p in points for f in (value(F.floor(at(p))).alias(f"low{p}"), value(F.ceil(at(p))).alias(f"high{p}"), F.max(at(p) - F.floor(at(p))).alias(f"rest{p}"))])
+    row = lambda p: F.struct(F.lit(p).alias("percentile"), F.round(F.col(f"low{p}") + (F.col(f"high{p}") - F.col(f"low{p}")) * F.col(f"rest{p}"), 4).alias("score"))
+    return found.select(F.inline(F.array(*[row(p) for p in points])))
 
 
 def nearest_rank(df: DataFrame, value: str, share: float) -> DataFrame:
-    """The order statistic at index round_half_even(share * (n - 1)), without interpolation.
-
-    The exact percentile function interpolates between the values at floor and ceil;
-    asked for the share that lies on the rank itself it returns that value.
-    """
-    n = df.where(F.col(value).isNotNull()).count()
-    rank = round(share * (n - 1)) if n else 0
-    return df.agg(F.percentile(value, F.lit(rank / (n - 1) if n > 1 else 0.0)).alias(value))
+    """The order statistic at index round_half_even(share * (n - 1)), without interpolation; null for no rows."""
+    return counted(df, value).agg(F.max(F.when(at_rank(F.bround(F.lit(share) * (F.col("size") - 1))), F.col(value))).alias(value))
 
 
 def lower_order_statistic(groups: DataFrame, key: str, value: str, share: float) -> DataFrame:
     """key, n and the value at index floor(share * (n - 1)) of each group."""
-    w = Window.partitionBy(key)
-    ranked = groups.withColumn("i", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    return ranked.where(F.col("i") == F.floor(F.lit(share) * (F.col("n") - 1))).select(key, "n", value)
+    return counted(groups, value, (key,)).where(at_rank(F.floor(F.lit(share) * (F.col("size") - 1)))).select(key, F.col("size").alias("n"), value)
+
+
+def failed(cases: DataFrame) -> DataFrame:
+    """Evaluated cases that did not pass."""
+    return cases.where("status = 'failed_quality'")
+
+
+def passed(cases: DataFrame) -> DataFrame:
+    return cases.where("status = 'passed'")
+
+
+def sampled(cases: DataFrame, n: int, seed: int = 0, key: str = "case_id") -> DataFrame:
+    """n cases chosen by a seeded hash of their key, the same ones whatever the partitions."""
+    return cases.orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256), key).limit(n)
 
 
 def by_tag(cases: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..sources.tables import cut
+from ..storage import cut
 from . import compare, evaluators, judge, report
 from .evaluators import Evaluator
 
@@ -44,19 +44,29 @@ class Suite:
     purpose: str = ""
 
     def outputs(self, cases: DataFrame, model: Model, runs: int = 1) -> DataFrame:
-        """case_id, run_no, output, latency_ms, model_error: each case asked ``runs`` times; a failing batch is asked case by case."""
+        """case_id, run_no, output, latency_ms, model_error: each case asked ``runs`` times.
+
+        A batch is one call, and its cases share its time; a failing batch is asked case by case.
+        """
+
+        def timed(inputs: list[str]) -> tuple[list[str] | None, float, str | None]:
+            began, out, error = time.perf_counter(), None, None
+            try:
+                out = list(model(inputs))
+                error = None if len(out) == len(inputs) else "an output is missing"
+            except Exception as e:  # noqa: BLE001
+                error = f"{type(e).__name__}: {e}"
+            return out if error is None else None, (time.perf_counter() - began) * 1000, error
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                rows = []
-                for case, no, inp in zip(pdf["case_id"], pdf["run_no"], pdf["input"], strict=True):
-                    began = time.perf_counter()
-                    try:
-                        out, error = model([inp])[0], None
-                    except Exception as e:  # noqa: BLE001
-                        out, error = "", f"{type(e).__name__}: {e}"
-                    rows.append((case, no, out, (time.perf_counter() - began) * 1000, error))
-                yield pd.DataFrame(rows, columns=["case_id", "run_no", "output", "latency_ms", "model_error"])
+                inputs = pdf["input"].tolist()
+                out, ms, error = timed(inputs)
+                if out is not None or len(inputs) == 1:
+                    rows = [(o, ms / len(inputs), error) for o in out or [""]]
+                else:
+                    rows = [(o[0] if o else "", ms, e) for o, ms, e in (timed([x]) for x in inputs)]
+                yield pd.DataFrame({"case_id": pdf["case_id"], "run_no": pdf["run_no"], "output": [r[0] for r in rows], "latency_ms": [r[1] for r in rows], "model_error": [r[2] for r in rows]})
 
         asked = cases.select("case_id", "input", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run_no"))
         return cut(asked.mapInPandas(run, "case_id long, run_no int, output string, latency_ms double, model_error string"))

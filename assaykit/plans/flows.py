@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import audit, gates, generate, judge, lineage
 from ..operators import evaluators as ev
+from ..operators.ranks import numbered
 from ..sources import sinks
-from ..sources.tables import cut
+from ..storage import cut, new_path
 from ..streaming import trials
 from .base import PAIRS, RUNS, rounded, runs, table, turn_pairs
 
@@ -57,9 +55,9 @@ _SUMMARY = f"""{_TRACES}, s AS (SELECT count(*) AS "count", 100.0 * count(*) FIL
     100.0 * count(*) FILTER (length(expected_output) > 0) / count(*) AS e, 100.0 * count(*) FILTER (turns > 5) / count(*) AS v, sum(length(input)) // count(*) AS avg_i, sum(length(output)) // count(*) AS avg_o FROM traces)"""
 
 
-@query(f"""WITH {_SUMMARY} SELECT "count", round(i, 4) AS has_input_pct, round(o, 4) AS has_output_pct, round(c, 4) AS has_context_pct, round(e, 4) AS has_expected_output_pct, round(v, 4) AS has_conversation_pct, avg_i::BIGINT AS avg_input_chars, avg_o::BIGINT AS avg_output_chars FROM s""")
+@query(f"""WITH {_SUMMARY} SELECT "count", round(i, 4) AS has_input_pct, round(o, 4) AS has_output_pct, round(c, 4) AS has_context_pct, round(e, 4) AS has_expected_output_pct, 0.0::DOUBLE AS has_expected_tool_calls_pct, 0.0::DOUBLE AS has_images_pct, 0.0::DOUBLE AS has_schema_pct, round(v, 4) AS has_conversation_pct, avg_i::BIGINT AS avg_input_chars, avg_o::BIGINT AS avg_output_chars FROM s""")
 def trace_summary(spark, sf_dir):
-    s = gates.trace_summary(_traces(spark, sf_dir)).drop("has_expected_tool_calls_pct", "has_images_pct", "has_schema_pct")
+    s = gates.trace_summary(_traces(spark, sf_dir))
     return rounded(s, *[c for c in s.columns if c.startswith("has_")], places=4)
 
 
@@ -330,19 +328,35 @@ def control_coverage(spark, sf_dir):
     return c.select("control_id", F.coalesce(F.size("evaluators"), F.lit(0)).cast("long").alias("n"), "covered")
 
 
-@query("""SELECT unnest(range(40))::BIGINT AS line_no, CASE unnest(range(40)) WHEN 7 THEN 'tampered' WHEN 8 THEN 'chain_broken' WHEN 21 THEN 'chain_broken' ELSE 'ok' END AS verdict""")
+@query("""WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_orderkey % 97 = 5 AS bad FROM orders),
+    k AS (SELECT *, row_number() OVER (ORDER BY i) - 1 AS line_no, lag(i) OVER (ORDER BY i) AS li, lag(bad) OVER (ORDER BY i) AS lbad FROM o WHERE o_orderkey % 101 <> 7)
+    SELECT line_no::BIGINT AS line_no, 'o' || o_orderkey AS record_id, CASE WHEN bad THEN 'tampered' WHEN i = 0 OR li = i - 1 AND NOT lbad THEN 'ok' ELSE 'chain_broken' END AS verdict FROM k""")
 def hash_chain_verify(spark, sf_dir):
-    """A log of 41 records with a changed field in the eighth and one removed record."""
-    lines = audit.chained([{"record_id": f"r{i}", "summary": {"passed": i}} for i in range(41)])
-    lines[7] = lines[7].replace('"passed":7', '"passed":8')
-    del lines[21]
-    return audit.verify_chain(spark.createDataFrame(list(enumerate(lines)), "line_no long, value string")).select("line_no", "verdict")
+    """A log with a record for every order, of which some were changed afterwards and some removed."""
+    import json
+
+    def link(batches):
+        import pandas as pd
+
+        prev = audit.GENESIS
+        for pdf in batches:
+            lines = audit.chained([{"record_id": f"o{k}", "total": t} for k, t in zip(pdf["o_orderkey"], pdf["cents"], strict=True)], prev)
+            if lines:
+                prev = json.loads(lines[-1])["record_hash"]
+                yield pd.DataFrame({"o_orderkey": pdf["o_orderkey"], "value": lines})
+
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    # A log has one writer; checking it has many readers.
+    log = cut(orders.orderBy("o_orderkey").coalesce(1).mapInPandas(link, "o_orderkey long, value string"))
+    changed = F.when(F.col("o_orderkey") % 97 == 5, F.regexp_replace("value", '"total":', '"total":1')).otherwise(F.col("value"))
+    kept = numbered(log.where("o_orderkey % 101 != 7").withColumn("value", changed), "o_orderkey", name="line_no")
+    return audit.verify_chain(kept).select("line_no", "record_id", "verdict")
 
 
 @query(f"""WITH {PAIRS}, n AS (SELECT row_number() OVER (ORDER BY case_id) - 1 AS i, input, output FROM pairs), d AS (SELECT i, sha256('{{"context":null,"expected_output":' || to_json(output)::VARCHAR || ',"input":' || to_json(input)::VARCHAR || '}}') AS h FROM n),
     b AS (SELECT i // 4096 AS block, sha256(string_agg(h, chr(10) ORDER BY i)) AS h, count(*) AS n FROM d GROUP BY block) SELECT CAST(sum(n) AS BIGINT) AS cases, sha256(string_agg(h, chr(10) ORDER BY block)) AS cases_hash FROM b""")
 def cases_hash(spark, sf_dir):
-    p = turn_pairs(spark, sf_dir).withColumn("case_index", F.row_number().over(Window.orderBy("case_id")) - 1)
+    p = numbered(turn_pairs(spark, sf_dir), "case_id", name="case_index")
     return audit.cases_hash(p.select("case_index", "input", F.col("output").alias("expected_output"), F.lit(None).cast("string").alias("context")))
 
 
@@ -372,13 +386,9 @@ def report_json(spark, sf_dir):
 
 def _streamed(spark, df, make, mode, by=()):
     """A bounded replay of a frame through a streaming query."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        cut(spark.range(1))
-        folder = spark.conf.get("spark.checkpoint.dir")
-    at = f"{folder.rstrip('/')}/assaykit/stream-{uuid.uuid4().hex}"
+    at = new_path(spark)
     df.repartition(4, *by).write.parquet(f"{at}/in")
-    return trials.drain(make(trials.replay(spark, f"{at}/in")), f"s{uuid.uuid4().hex}", mode, f"{at}/checkpoint")
+    return trials.drain(make(trials.replay(spark, f"{at}/in")), mode, f"{at}/checkpoint")
 
 
 @query("SELECT CAST(time_bucket(INTERVAL 1 DAY, ts) AS DATE) AS day, count(*) AS n, count(*) FILTER (value <= 100 AND value >= 0.2) AS passed FROM events GROUP BY day")

@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
-BATCH, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
@@ -22,7 +22,7 @@ def ship(spark: SparkSession) -> None:
     of them for each running task, outside the JVM's heap.
     """
     sc = spark.sparkContext
-    if spark.conf.get(BATCH) == BATCH_DEFAULT:
+    if BATCH not in spark.conf.getAll:
         spark.conf.set(BATCH, "4m")
     if getattr(sc, "_assaykit", False):
         return

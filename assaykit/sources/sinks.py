@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from xml.sax.saxutils import escape, quoteattr
+from xml.sax.saxutils import quoteattr
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import numbered
+
 #: Characters that XML 1.0 doesn't allow.
 NOT_XML = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{D800}-\x{DFFF}\x{FFFE}\x{FFFF}]"
 
@@ -35,18 +37,33 @@ def xml_text(c: Column) -> Column:
     return F.regexp_replace(c, NOT_XML, "")
 
 
+def junit_lines(rows: DataFrame, suite: str) -> DataFrame:
+    """seq and line of a JUnit document: its head, an element for each row by (case_id, evaluator), its end."""
+    quoted = lambda c: F.concat(F.lit('"'), _escaped(c, True), F.lit('"'))
+    name = quoted(F.concat(F.col("case_id").cast("string"), F.lit(":"), F.col("evaluator")))
+    head = F.concat(F.lit(f"  <testcase classname={quoteattr(suite)} name="), name)
+    said = F.concat(head, F.lit("><"), "verb", F.lit(" message="), quoted(F.col("message")), F.lit(">"), _escaped(F.col("message")), F.lit("</"), "verb", F.lit("></testcase>"))
+    body = numbered(rows.select("case_id", "evaluator", F.when(F.col("verb") == "pass", F.concat(head, F.lit("/>"))).otherwise(said).alias("line")), "case_id", "evaluator", name="seq", start=1)
+    counts = rows.agg(F.count("*").alias("n"), *[F.count_if(F.col("verb") == v).alias(v) for v in ("failure", "error", "skipped")])
+    top = F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<testsuite name={quoteattr(suite)} tests="'), "n", F.lit('" failures="'), "failure", F.lit('" errors="'), "error", F.lit('" skipped="'), "skipped", F.lit('">'))
+    ends = counts.select(F.inline(F.array(F.struct(F.lit(0).cast("long").alias("seq"), top.alias("line")), F.struct((F.col("n") + 1).alias("seq"), F.lit("</testsuite>").alias("line")))))
+    return body.select("seq", "line").unionByName(ends)
+
+
+def _escaped(c: Column, attribute: bool = False) -> Column:
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *([('"', "&quot;"), ("\n", "&#10;"), ("\t", "&#9;"), ("\r", "&#13;")] if attribute else [])):
+        c = F.replace(c, F.lit(mark), F.lit(name))
+    return c
+
+
+def write_junit(rows: DataFrame, suite: str, path: str) -> None:
+    """The document as one text file in a folder. Ranges are sorted apart; one task streams them, in order, into the file."""
+    junit_lines(rows, suite).orderBy("seq").select("line").coalesce(1).write.text(path)
+
+
 def junit_xml(rows: DataFrame, suite: str) -> str:
-    """A JUnit document of a report, small by nature; rows are read from the driver one partition at a time."""
-    parts, counts = [], {"failure": 0, "error": 0, "skipped": 0}
-    for r in rows.orderBy("case_id", "evaluator").toLocalIterator():
-        head = f"<testcase classname={quoteattr(suite)} name={quoteattr(f'{r.case_id}:{r.evaluator}')}"
-        if r.verb == "pass":
-            parts.append(f"  {head}/>")
-        else:
-            counts[r.verb] += 1
-            parts.append(f"  {head}><{r.verb} message={quoteattr(r.message)}>{escape(r.message)}</{r.verb}></testcase>")
-    top = f'<testsuite name={quoteattr(suite)} tests="{len(parts)}" failures="{counts["failure"]}" errors="{counts["error"]}" skipped="{counts["skipped"]}">'
-    return "\n".join(['<?xml version="1.0" encoding="UTF-8"?>', top, *parts, "</testsuite>", ""])
+    """The document as a string, for reports that fit one; ``write_junit`` has no such bound."""
+    return "\n".join([r["line"] for r in junit_lines(rows, suite).orderBy("seq").toLocalIterator()] + [""])
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -65,4 +82,5 @@ def stamped(lines: DataFrame, chosen: Column, stamp: Column) -> DataFrame:
 
 
 def sequence(df: DataFrame, order: str) -> DataFrame:
-    return df.withColumn("seq", F.row_number().over(Window.orderBy(order)))
+    """Adds seq, from 1 on, in the given order."""
+    return numbered(df, order, name="seq", start=1)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import numbered
+
 CASE = "input string, expected_output string, context string, conversation array<struct<role:string,content:string>>, metadata string, tags array<string>"
 #: Names that a trace's fields may have, first that is filled wins.
 ALIASES = {
@@ -18,20 +17,6 @@ ALIASES = {
 TRACE_CAP = 10_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A frame written as Parquet to the shared folder and read again, so that lineage ends at files all executors see."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="assaykit-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/assaykit/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no (from 0, in file order over sorted file names) and value of text files.
 
@@ -49,12 +34,12 @@ def cases_jsonl(spark: SparkSession, path: str) -> DataFrame:
     field = lambda k: F.get_json_object("value", f"$.{k}")
     listed = F.from_json(field("context"), "array<string>")
     context = F.when(field("context").startswith("["), F.array_join(listed, "\n\n")).otherwise(field("context"))
-    made = lines.select(
-        F.row_number().over(Window.orderBy("line_no")).alias("case_index"), field("input").alias("input"), field("expected_output").alias("expected_output"), context.alias("context"),
+    made = numbered(lines, "line_no", name="case_index").select(
+        "case_index", field("input").alias("input"), field("expected_output").alias("expected_output"), context.alias("context"),
         F.coalesce(field("context").startswith("["), F.lit(False)).alias("context_is_list"), F.from_json(field("conversation"), "array<struct<role:string,content:string>>").alias("conversation"),
         field("metadata").alias("metadata"), F.coalesce(F.from_json(field("tags"), "array<string>"), F.array().cast("array<string>")).alias("tags"),
     )
-    return made.withColumn("case_index", (F.col("case_index") - 1).cast("long"))
+    return made
 
 
 def cases_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -75,8 +60,8 @@ def cases(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"cases are read from .jsonl and .csv, not {path}")
 
 
-def traces(spark: SparkSession, path: str, cap: int = TRACE_CAP) -> DataFrame:
-    """Traces with aliases folded, in file order, the first ``cap`` that have an input.
+def traces(spark: SparkSession, path: str, cap: int | None = TRACE_CAP) -> DataFrame:
+    """Traces with aliases folded, in file order, the first ``cap`` that have an input; all with a cap of None.
 
     Lines that start with // or # are comments. A malformed last line is left out
     (a log may still be written); a malformed line before it is an error.
@@ -91,7 +76,8 @@ def traces(spark: SparkSession, path: str, cap: int = TRACE_CAP) -> DataFrame:
         "line_no", *[pick(k).alias(k) for k in ALIASES], F.get_json_object("value", "$.expected_output").alias("expected_output"), F.from_json(F.get_json_object("value", "$.expected_tool_calls"), "array<string>").alias("expected_tool_calls"),
         F.from_json(F.get_json_object("value", "$.conversation"), "array<struct<role:string,content:string>>").alias("conversation"), F.get_json_object("value", "$.metadata").alias("metadata"),
     )
-    return t.where("input is not null").orderBy("line_no").limit(cap)
+    t = t.where("input is not null").orderBy("line_no")
+    return t if cap is None else t.limit(cap)
 
 
 RESULT = "array<struct<name:string,score:double,passed:boolean,reason:string>>"
@@ -108,7 +94,9 @@ def is_report(value: Column) -> Column:
 def report_files(spark: SparkSession, path: str) -> DataFrame:
     """path, file_index, value and valid of all JSON files under a folder; order by path."""
     raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    return raw.select("path", (F.row_number().over(Window.orderBy("path")) - 1).alias("file_index"), "value", is_report(F.col("value")).alias("valid"))
+    # Paths are numbered without the files' texts; each file is read again where it lies.
+    order = numbered(raw.select("path"), "path", name="file_index")
+    return raw.join(order, "path").select("path", "file_index", "value", is_report(F.col("value")).alias("valid"))
 
 
 def report_cases(files: DataFrame) -> DataFrame:

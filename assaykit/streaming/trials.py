@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..storage import new_path
+
 
 def replay(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """A bounded stream over Parquet files."""
@@ -36,8 +38,9 @@ def cost_totals(calls: DataFrame) -> DataFrame:
 
 
 def recorder_totals(observations: DataFrame) -> DataFrame:
-    """Count and first and last sighting of each prompt rendering."""
-    return observations.groupBy("anchor", "fingerprint").agg(F.count("*").alias("count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    """Count, first and last sighting and, where observations name cases, the set of case_uids of each prompt rendering."""
+    users = [F.array_sort(F.collect_set("case_uid")).alias("case_uids")] if "case_uid" in observations.columns else []
+    return observations.groupBy("anchor", "fingerprint").agg(F.count("*").alias("count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), *users)
 
 
 def over_budget(calls: DataFrame, limit: float, order: str = "seq") -> DataFrame:
@@ -69,17 +72,30 @@ def sequential_stops(trials: DataFrame) -> DataFrame:
     return trials.groupBy("case_id").applyInPandasWithState(_sequential, "case_id long, stop_at long", "passes long, n long, stopped boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a bounded stream to its end into a table in memory; for small results such as window rates."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, mode: str, checkpoint: str) -> DataFrame:
+    """Runs a bounded stream to its end into Parquet under the shared folder.
+
+    Appended rows go to the file sink; in complete mode each trigger's whole result
+    replaces the one before.
+    """
+    path = new_path(stream.sparkSession)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        q = writer.format("parquet").start(path)
+    elif mode == "complete":
+        q = writer.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(path)).start()
+    else:
+        raise ValueError(f"a stream is drained in append or complete mode, not {mode!r}")
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
 def append_chain(stream: DataFrame, path: str, checkpoint: str):
-    """Writes payloads (seq, payload JSON) of a stream to a hash-chained log, one small file a batch, in seq order.
+    """Writes payloads (seq, payload JSON) of a stream to a hash-chained log, one file a batch, in seq order.
 
-    A log has one writer: each batch's payloads, which are one append, link to the last line before.
+    A log has one writer: each batch's payloads, which are one append, link to the last
+    line before. One task streams a batch's payloads in order; the driver sees the last
+    line's hash alone.
     """
     import json
 
@@ -92,9 +108,18 @@ def append_chain(stream: DataFrame, path: str, checkpoint: str):
         except Exception:  # noqa: BLE001 - the first batch finds no log
             last = []
         at, prev = (last[0]["line_no"] + 1, json.loads(last[0]["value"])["record_hash"]) if last else (0, GENESIS)
-        payloads = [json.loads(r["payload"]) for r in batch.orderBy("seq").toLocalIterator()]
-        lines = chained(payloads, prev)
-        if lines:
-            spark.createDataFrame([(at + i, x) for i, x in enumerate(lines)], "line_no long, value string").coalesce(1).write.mode("append").parquet(path)
+
+        def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            line, before = at, prev
+            for pdf in batches:
+                lines = chained([json.loads(p) for p in pdf["payload"]], before)
+                if lines:
+                    before = json.loads(lines[-1])["record_hash"]
+                    yield pd.DataFrame({"line_no": range(line, line + len(lines)), "value": lines})
+                    line += len(lines)
+
+        linked = batch.select("seq", "payload").orderBy("seq").coalesce(1).mapInPandas(link, "line_no long, value string")
+        if not batch.isEmpty():
+            linked.write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

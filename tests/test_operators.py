@@ -452,9 +452,9 @@ def test_streams_match_batches(spark, tmp_path):
     rows = [(i % 3, i // 3 + 1, f"2024-01-01 0{i % 8}:10:00", i % 3 != 1) for i in range(36)]
     df = spark.createDataFrame(rows, "case_id long, run_no int, ts string, passed boolean").withColumn("ts", F.col("ts").cast("timestamp"))
     df.repartition(3).write.parquet(str(tmp_path / "in"))
-    got = trials.drain(trials.pass_rate(trials.replay(spark, str(tmp_path / "in"))), "rates", "complete", str(tmp_path / "c1"))
+    got = trials.drain(trials.pass_rate(trials.replay(spark, str(tmp_path / "in"))), "complete", str(tmp_path / "c1"))
     assert sorted(got.collect()) == sorted(trials.pass_rate(df).collect())
-    late = trials.drain(trials.pass_rate(trials.replay(spark, str(tmp_path / "in"), 10)), "rates2", "append", str(tmp_path / "c2"))
+    late = trials.drain(trials.pass_rate(trials.replay(spark, str(tmp_path / "in"), 10)), "append", str(tmp_path / "c2"))
     assert set(late.collect()) <= set(trials.pass_rate(df).collect())
 
 
@@ -462,7 +462,7 @@ def test_sequential_stops_match_the_batch_form(spark, tmp_path):
     rows = [(c, n, (c == 1) or (c == 3 and n % 2 == 0)) for c in (1, 2, 3) for n in range(1, 11)]
     df = spark.createDataFrame(rows, "case_id long, run_no int, passed boolean")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    got = trials.drain(trials.sequential_stops(trials.replay(spark, str(tmp_path / "in"), 10)), "stops", "append", str(tmp_path / "c"))
+    got = trials.drain(trials.sequential_stops(trials.replay(spark, str(tmp_path / "in"), 10)), "append", str(tmp_path / "c"))
     want = report.sprt(df).where("stop_at is not null")
     assert sorted((r.case_id, r.stop_at) for r in got.collect()) == sorted((r.case_id, r.stop_at) for r in want.collect())
 
