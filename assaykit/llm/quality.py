@@ -1,15 +1,15 @@
 """Quality classifier: naive Bayes support vectors on n-gram indicators.
 
-Characters map to shape classes (letters by case, digits, white space, each ASCII
-mark its own); the indicators are hashed shape n-grams of length 1 to 4 of the
-whole text, plus indicators for how much of a text repeats its own lines and word
-shapes. Indicators are scaled by the log ratio of their class frequencies and by
+The indicators are hashed n-grams of the whole text: of lower-cased characters (1 to
+4), of lower-cased words (1 to 2), and of shape classes (1 to 4; letters by case,
+digits, white space, each ASCII mark its own), plus indicators for how much of a text
+repeats its own lines and words. Indicators are scaled by the log ratio of their class frequencies and by
 the text's norm, and a linear model is fitted to them under hinge loss by dual
 coordinate descent. A logistic curve, fitted on training rows that the model did
 not see, turns margins into scores.
 
 The fit uses at most ``SAMPLE`` labelled rows, those with the smallest digest of
-doc_id; that bound is what the driver holds (at most 2**16 feature bits a row).
+doc_id; that bound is what the driver holds (at most 2**16 features of two bytes a row).
 Everything else reads all rows.
 
 Defined cases: null and empty texts are scored like any other, by the few
@@ -35,7 +35,7 @@ from .common import apart, mix64, power, renames, slices, texts_of
 
 #: Longest n-grams of shapes, characters and words, and bits of their hashes.
 SHAPES, CHARS, WORDS = 4, 4, 2
-SHAPE_BITS, CHAR_BITS, WORD_BITS = 16, 17, 17
+SHAPE_BITS, CHAR_BITS, WORD_BITS = 14, 14, 14
 KINDS = ("shapes", "chars", "words")
 SAMPLE = 8000
 THRESHOLD = 0.3
@@ -75,6 +75,7 @@ class Features:
     lower-cased words between white space. The others' flags stay unset.
     """
 
+    #: Below 2**16, so that an index takes two bytes.
     size = (1 << SHAPE_BITS) + (1 << CHAR_BITS) + (1 << WORD_BITS) + _EXTRA
 
     def __init__(self, kinds: tuple[str, ...] = KINDS) -> None:
@@ -132,17 +133,19 @@ def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: floa
     """Dual coordinate descent for hinge loss; returns weights over raw indicators, ratio included."""
     w = np.zeros(len(ratio))
     alpha = np.zeros(len(rows))
-    values = [ratio[i] / math.sqrt(len(i)) for i in rows]
-    square = np.array([float(v @ v) for v in values]) + 1e-12
+    # A row's values are made when it is visited, so that memory holds its indexes alone.
+    value = lambda k: ratio[rows[k]] / math.sqrt(len(rows[k]))
+    square = np.array([float(v @ v) for v in map(value, range(len(rows)))]) + 1e-12
     rng = np.random.default_rng(7)
     for _ in range(rounds):
         moved = 0.0
         for k in rng.permutation(len(rows)):
-            gradient = y[k] * float(w[rows[k]] @ values[k]) - 1
+            v = value(k)
+            gradient = y[k] * float(w[rows[k]] @ v) - 1
             new = min(max(alpha[k] - gradient / square[k], 0.0), cost)
             if (step := new - alpha[k]) != 0.0:
                 alpha[k] = new
-                w[rows[k]] += step * y[k] * values[k]
+                w[rows[k]] += step * y[k] * v
                 moved = max(moved, abs(step))
         if moved < 1e-3 * cost:
             break
@@ -196,12 +199,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def indexes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in slices(batches, "text"):
-            sets = [np.flatnonzero(features.of(t)).astype(np.int32).tobytes() for t in texts_of(batch)]
+            sets = [np.flatnonzero(features.of(t)).astype(np.uint16).tobytes() for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(sets, pa.binary())], names=["doc_id", "quality", "f"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(indexes, "doc_id long, quality int, f binary")
-    held = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "f").limit(sample).toArrow()
-    return fit([np.frombuffer(b, np.int32) for b in held.column("f").to_pylist()], np.array(held.column("quality").to_pylist(), np.int64))
+    held = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "f").limit(sample).select("quality", "f").toArrow()
+    index = [np.frombuffer(x.as_buffer(), np.uint16) for x in held.column("f")]
+    return fit(index, np.array(held.column("quality").to_pylist(), np.int64))
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text", drop_text: bool = True) -> DataFrame:
