@@ -233,3 +233,105 @@ def gate_reliability(cases: DataFrame, k: int, least: float) -> None:
     low, _ = stats.cluster_bootstrap_counts([(r["v"], r["n"]) for r in values])
     if low < least:
         raise suite.GateFailure(f"all-of-{k} may be as low as {low:.4f}, below {least}")
+
+
+def write_baseline(sites: DataFrame, path: str, version: int = 1) -> None:
+    """Writes a baseline as one JSON document and puts it in place in one step; a reader sees the old or the new one.
+
+    A baseline holds the prompt sites of one code base, so it is one row.
+    """
+    from .lineage import SITE
+
+    names = [f.split()[0] for f in SITE.split(", ")]
+    records = F.array_sort(F.collect_list(F.struct(*names)))
+    spark, fresh = sites.sparkSession, f"{path.rstrip('/')}.new"
+    document = sites.agg(records.alias("records")).select(F.to_json(F.struct(F.lit(version).alias("schema_version"), "records"), {"ignoreNullFields": "false"}).alias("value"))
+    document.coalesce(1).write.mode("overwrite").text(fresh)
+    at, new = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh))
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(at, True)
+    if not files.rename(new, at):
+        raise OSError(f"{path} could not be replaced")
+
+
+PROVENANCE_VERSION = 1
+
+
+def provenance_status(metadata: Column, version: int = PROVENANCE_VERSION) -> Column:
+    """unstamped, ok, unreadable or unreadable_newer of a case's metadata (a JSON text): malformed stamps never fail a read."""
+    stamp = F.get_json_object(metadata, "$.provenance")
+    number, targets = F.get_json_object(stamp, "$.schema_version"), F.get_json_object(stamp, "$.targets")
+    object_ = F.startswith(F.ltrim(stamp), F.lit("{"))
+    whole = number.rlike("^-?[0-9]+$") & ~stamp.rlike('"schema_version"\\s*:\\s*"')
+    listed = targets.isNull() | F.startswith(targets, F.lit("["))
+    has = F.coalesce(F.startswith(F.ltrim(metadata), F.lit("{")), F.lit(False)) & stamp.isNotNull()
+    return F.when(~has, "unstamped").when(~F.coalesce(object_ & whole, F.lit(False)), "unreadable").when(number.cast("long") > version, "unreadable_newer").when(~listed, "unreadable").otherwise("ok")
+
+
+def validation_verdict(results: DataFrame) -> DataFrame:
+    """status, cases, informative and validated of per-case statuses: NOTHING_VALIDATED where no grader ran on any case, BROKEN where one is broken, else OK."""
+    s = F.col("status")
+    g = results.agg(F.count("*").alias("cases"), F.count_if(s == "unvalidatable").alias("_none"), F.count_if(s == "broken").alias("_broken"), F.count_if(s == "ok").alias("informative"))
+    nothing = (F.col("cases") > 0) & (F.col("_none") == F.col("cases"))
+    return g.select(F.when(nothing, "NOTHING_VALIDATED").when(F.col("_broken") > 0, "BROKEN").otherwise("OK").alias("status"), "cases", "informative", (F.col("cases") - F.col("_none")).alias("validated"))
+
+
+def drift_report(verdicts: DataFrame, added: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """name, value lines of a drift report: site counts, and counts of case verdicts where cases (from ``lineage.rollup``) are given."""
+    counts = verdict_counts(verdicts, added)
+    rows = counts.select(F.inline(F.array(*[F.struct(F.lit(f"sites.{c}").alias("name"), F.col(c).alias("value")) for c in counts.columns])))
+    if cases is not None:
+        rows = rows.unionByName(cases.groupBy(F.concat(F.lit("cases."), "status").alias("name")).agg(F.count("*").alias("value")))
+    return rows
+
+
+def drift_text(report: DataFrame, style: str = "text") -> str:
+    """A drift report, a few dozen lines by nature, as text, Markdown or JSON."""
+    rows = sorted((r["name"], r["value"]) for r in report.collect())
+    if style == "json":
+        out: dict[str, dict[str, int]] = {}
+        for name, n in rows:
+            group, _, kind = name.partition(".")
+            out.setdefault(group, {})[kind] = n
+        return json.dumps(out, sort_keys=True, separators=(",", ":"))
+    if style == "markdown":
+        return "\n".join(["| count | n |", "|---|---|", *[f"| {name} | {n} |" for name, n in rows], ""])
+    if style != "text":
+        raise ValueError(f"unknown style {style!r}")
+    return "\n".join(f"{name}: {n}" for name, n in rows) + "\n"
+
+
+def trace_cases(traces: DataFrame, key: str) -> DataFrame:
+    """Cases of traces: the input, the logged output as what is expected, the context, with the trace's key in the metadata; traces without an input give none."""
+    filled = F.length(text.strip(F.coalesce("input", F.lit("")))) > 0
+    meta = F.to_json(F.struct(F.struct(F.col(key).cast("string").alias("trace_id"), F.lit("trace").alias("kind")).alias("generation")))
+    return traces.where(filled).select(key, "input", F.coalesce("expected_output", "output").alias("expected_output"), "context", meta.alias("metadata"))
+
+
+#: Tiers, the most telling first.
+TIERS = ("primary", "secondary", "guardrail")
+
+
+def merged_recommendations(heuristic: DataFrame, judged: DataFrame, most: int = 6, buildable: Column | None = None) -> DataFrame:
+    """rank, evaluator, tier, source of two sets of recommendations (evaluator, tier, rank): judged ones win, tiers go in order, the first ``most`` stay.
+
+    Evaluators that can't be built (column buildable over evaluator) are left out before
+    the count. A product's recommendations are a few rows.
+    """
+    order = F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.col("tier"))
+    both = judged.select("evaluator", "tier", "rank", F.lit("judged").alias("source")).unionByName(heuristic.select("evaluator", "tier", "rank", F.lit("heuristic").alias("source")))
+    both = both.where(buildable) if buildable is not None else both
+    best = both.groupBy("evaluator").agg(F.max_by(F.struct("tier", "rank", "source"), F.struct(F.col("source"), -F.col("rank"))).alias("b")).select("evaluator", "b.*")
+    ranked = best.withColumn("nth", F.row_number().over(Window.orderBy(order, F.col("source").desc(), "rank", "evaluator")))
+    return ranked.where(F.col("nth") <= most).select((F.col("nth") - 1).alias("rank"), "evaluator", "tier", "source")
+
+
+def exported_talks(said: DataFrame, personas: DataFrame) -> DataFrame:
+    """Simulated conversations as cases: name, input (the first user turn), conversation as JSON, metadata with goal, stop and turns."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.when(F.col("role") == "user", 0).otherwise(1).alias("side"), "role", "content")))
+    talk = said.where("content is not null and content != ''").groupBy("name").agg(turns.alias("t"))
+    talk = talk.select("name", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("conversation"))
+    both = talk.join(talk_summary(said), "name").join(personas.select("name", "goal"), "name")
+    meta = F.to_json(F.struct("goal", "stop", "turns", "goal_met"))
+    first = F.try_element_at(F.filter("conversation", lambda m: m["role"] == "user"), F.lit(1))["content"]
+    return both.select("name", first.alias("input"), F.to_json("conversation").alias("conversation"), meta.alias("metadata"))

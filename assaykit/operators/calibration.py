@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -29,7 +31,11 @@ def confusion(rows: DataFrame, said: str = "passed", truth: str = "label") -> Da
     return _rates(g)
 
 
-def sweep(rows: DataFrame, thresholds: list[float], score: str = "score", truth: str = "label") -> DataFrame:
+#: Thresholds that a sweep tries unless told otherwise.
+GRID = tuple(x / 100 for x in range(30, 95, 5))
+
+
+def sweep(rows: DataFrame, thresholds: Sequence[float] = GRID, score: str = "score", truth: str = "label") -> DataFrame:
     """One row a threshold. Each row meets the thresholds below its score by an index, not by a join:
     counts per number of thresholds reached are summed from above."""
     reached = sum((F.when(F.col(score) >= t, 1).otherwise(0) for t in thresholds), F.lit(0))
@@ -83,3 +89,47 @@ def recommended_thresholds(scores: DataFrame, floor: float = 0.5, least: int = 3
     q = lower_order_statistic(scores, "evaluator", "score", 0.25).where(F.col("n") >= least)
     value = F.when(F.col("evaluator").isin(*primary), F.greatest(F.lit(floor), F.col("score"))).otherwise(F.col("score")) if primary else F.col("score")
     return q.select("evaluator", "n", F.round(value, 2).alias("threshold"))
+
+
+class CalibrationMissing(LookupError):
+    """No calibrated threshold under a strict policy."""
+
+
+POLICIES = ("silent", "warn", "strict")
+#: Environment variables that pin the version and the policy of a run.
+VERSION_VARIABLE, POLICY_VARIABLE = "ASSAYKIT_CALIBRATION_VERSION", "ASSAYKIT_CALIBRATION_POLICY"
+ENTRY = "evaluator string, model string, aliases array<string>, threshold double, dataset string, n long, f1 double, measured_at string"
+
+
+def versions(spark: SparkSession, folder: str) -> DataFrame:
+    """label and entries of the calibration files NAME.json under a folder, newest label first."""
+    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).text(folder)
+    label = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.json)?(?:/part-[^/]*)?$", 1)
+    return raw.select(label.alias("label"), F.from_json(F.get_json_object("value", "$.entries"), f"array<struct<{ENTRY.replace(' string', ':string').replace(' array', ':array').replace(' double', ':double').replace(' long', ':long')}>>").alias("entries")).orderBy(F.desc("label"))
+
+
+def table_of(found: DataFrame, version: str | None = None) -> DataFrame:
+    """Entries of one version of ``versions``: the asked one, else the environment's, else the newest."""
+    import os
+
+    version = os.environ.get(VERSION_VARIABLE) or None if version is None else version
+    labels = sorted(r["label"] for r in found.select("label").collect())
+    if version == "" or version is not None and version not in labels or not labels:
+        raise FileNotFoundError(f"no calibration version {version!r}, only {labels}")
+    return found.where(F.col("label") == (version or labels[-1])).select(F.inline("entries"))
+
+
+def resolved(entries: DataFrame, wanted: DataFrame, policy: str | None = None, fallback: float = 0.7) -> DataFrame:
+    """``threshold_for`` under a policy for pairs without an entry: silent takes the fallback, warn marks it (column warning), strict raises."""
+    import os
+
+    policy = policy or os.environ.get(POLICY_VARIABLE) or "warn"
+    if policy not in POLICIES:
+        raise ValueError(f"unknown policy {policy!r}, expected one of {POLICIES}")
+    out = threshold_for(entries, wanted, fallback)
+    if policy == "strict":
+        missing = out.where("not calibrated").select("evaluator", "model").distinct().orderBy("evaluator", "model").limit(5).collect()
+        if missing:
+            raise CalibrationMissing(", ".join(f"{r['evaluator']} by {r['model']}" for r in missing))
+    said = F.when(~F.col("calibrated"), F.concat(F.lit("no calibration of "), "evaluator", F.lit(" by "), "model")) if policy == "warn" else F.lit(None).cast("string")
+    return out.withColumn("warning", said)

@@ -171,3 +171,59 @@ def hardness(shots: DataFrame, low: float = 0.5, high: float = 1.0) -> DataFrame
 def accounting(rows: DataFrame, bucket: str = "bucket") -> DataFrame:
     """generated, accepted and dropped counts; accepted and the dropped add up to generated."""
     return rows.agg(F.count("*").alias("generated"), F.count_if(F.col(bucket) == "accepted").alias("accepted"), F.count_if(F.col(bucket) == "malformed").alias("dropped_malformed"), F.count_if(F.col(bucket) == "duplicate").alias("dropped_duplicate"))
+
+
+#: Signals of each kind of input, in order; a signal of another kind is never reported as fine.
+SIGNALS = {
+    "bootstrap": ("trace_count", "field_completeness", "near_duplicate_ratio", "pii_secret_density"),
+    "generate": ("document_length", "near_duplicate_ratio", "pii_secret_density"),
+    "cases": ("case_count", "well_formed_rate"),
+}
+#: Bounds below which a signal warns.
+LEAST = {"trace_count": 20, "output": 0.8, "context": 0.5, "near_duplicate_ratio": 0.7, "document_length": 200, "case_count": 1, "well_formed_rate": 0.8}
+
+
+def unique_fraction(rows: DataFrame, key: str, c: str) -> DataFrame:
+    """n and fraction: the share of texts that greedy acceptance in key order keeps, by words between white space; 1 for no rows."""
+    words = rows.select(F.col(key).alias("k"), text.words(text.folded(F.coalesce(F.col(c), F.lit("")))).alias("w"))
+    return accepted(words, "k", "w").agg(F.count("*").alias("n"), F.coalesce(F.avg(F.col("kept").cast("double")), F.lit(1.0)).alias("fraction"))
+
+
+def assess(rows: DataFrame, kind: str, key: str) -> DataFrame:
+    """signal, measured, tier (ok or warn) of a table of traces, of a source document's paragraphs, or of cases.
+
+    bootstrap takes rows of key, input, output and context; generate takes rows of key
+    (the paragraphs' order) and text, all of one document; cases takes rows of key,
+    input, expected_output and metadata. Near duplicates are counted over all rows, not
+    over a sample. Detections of personal data and keys are a fact to look at, so any
+    makes a warning. ``verdict`` sums the signals up.
+    """
+    from ..functions import pii
+
+    if kind not in SIGNALS:
+        raise ValueError(f"unknown kind {kind!r}, expected one of {sorted(SIGNALS)}")
+    value = lambda name, measured, ok: F.struct(F.lit(name).alias("signal"), measured.cast("double").alias("measured"), F.when(F.coalesce(ok, F.lit(False)), "ok").otherwise("warn").alias("tier"))
+    least = lambda name, measured: value(name, measured, measured >= LEAST[name])
+    if kind == "cases":
+        g = rows.agg(F.count("*").alias("n"), F.avg(well_formed().cast("double")).alias("rate"))
+        return g.select(F.inline(F.array(least("case_count", F.col("n")), least("well_formed_rate", F.coalesce("rate", F.lit(0.0))))))
+    said = F.concat_ws(" ", "input", "output", "context") if kind == "bootstrap" else F.col("text")
+    alike = unique_fraction(rows, key, "input" if kind == "bootstrap" else "text").withColumnRenamed("n", "compared")
+    share = lambda c: F.coalesce(F.avg(_filled(F.col(c)).cast("double")), F.lit(0.0))
+    found = F.size(pii.scan(F.coalesce(said, F.lit(""))))
+    if kind == "bootstrap":
+        g = rows.withColumn("_found", found).agg(F.count("*").alias("n"), share("output").alias("out"), share("context").alias("ctx"), F.count("context").alias("with_ctx"), F.coalesce(F.avg("_found"), F.lit(0.0)).alias("density"))
+        full = (F.col("out") >= LEAST["output"]) & ((F.col("with_ctx") == 0) | (F.col("ctx") >= LEAST["context"]))
+        first = [least("trace_count", F.col("n")), value("field_completeness", F.col("out"), full)]
+    else:
+        # Paragraphs are joined by a blank line again when the document's length is taken.
+        g = rows.withColumn("_found", found).agg(F.count("*").alias("n"), (F.coalesce(F.sum(F.length("text")), F.lit(0)) + 2 * F.greatest(F.count("*") - 1, F.lit(0))).alias("chars"), F.coalesce(F.sum("_found"), F.lit(0)).alias("density"))
+        first = [least("document_length", F.col("chars"))]
+    both = g.join(F.broadcast(alike))
+    return both.select(F.inline(F.array(*first, least("near_duplicate_ratio", F.col("fraction")), value("pii_secret_density", F.col("density"), F.col("density") == 0))))
+
+
+def verdict(findings: DataFrame) -> DataFrame:
+    """verdict (PROCEED or WARN), flagged and measured: how many signals warn, of how many."""
+    g = findings.agg(F.count_if(F.col("tier") == "warn").alias("flagged"), F.count("*").alias("measured"))
+    return g.select(F.when(F.col("flagged") > 0, "WARN").otherwise("PROCEED").alias("verdict"), "flagged", "measured")

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -84,6 +84,32 @@ def misses(rows: DataFrame, cache: DataFrame) -> DataFrame:
     return rows.select("prompt_key", "prompt").dropDuplicates(["prompt_key"]).join(cache.select("prompt_key"), "prompt_key", "left_anti")
 
 
+def cache_stats(rows: DataFrame, cache: DataFrame) -> DataFrame:
+    """requests, calls (distinct), hits and misses of requests against a cache."""
+    keys = rows.groupBy("prompt_key").agg(F.count("*").alias("n")).join(cache.select("prompt_key", F.lit(True).alias("held")).dropDuplicates(["prompt_key"]), "prompt_key", "left")
+    return keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("requests"), F.count("*").alias("calls"), F.count("held").alias("hits"), F.count_if(F.col("held").isNull()).alias("misses"))
+
+
+CACHE = "prompt_key string, reply string, created_at double"
+
+
+def stored_cache(spark: SparkSession, path: str, now: float | None = None, ttl: float | None = None) -> DataFrame:
+    """Live entries (prompt_key, reply) of a cache folder, the newest of a key. A cache is advisory: one that can't be read is empty."""
+    try:
+        held = spark.read.schema(CACHE).parquet(path)
+        held.limit(1).count()
+    except Exception:  # noqa: BLE001 - any failure means that calls are made
+        held = spark.createDataFrame([], CACHE)
+    if ttl is not None and now is not None:
+        held = held.where(F.col("created_at") >= now - ttl)
+    return held.groupBy("prompt_key").agg(F.max_by("reply", "created_at").alias("reply"))
+
+
+def store_replies(new: DataFrame, path: str, now: float) -> None:
+    """Appends new entries of ``ask`` to a cache folder."""
+    new.select("prompt_key", "reply", F.lit(float(now)).alias("created_at")).write.mode("append").parquet(path)
+
+
 def called(calls: DataFrame, judge: Judge, attempts: int = 3) -> DataFrame:
     """prompt_key, reply, error: one call each. A batch that keeps failing is asked prompt by prompt, so one bad prompt spoils only its own row."""
 
@@ -144,7 +170,7 @@ def json_list(reply: Column) -> Column:
 
 def claims_score(claims: DataFrame, most: int = 10) -> DataFrame:
     """Faithfulness of (case_id, claim_no, reply) rows: supported share of the first claims; a case without claims is faithful."""
-    kept = claims.where(F.col("claim_no") < most).withColumn("ok", text.verdict(F.col("reply")))
+    kept = claims.where(F.col("claim_no").isNull() | (F.col("claim_no") < most)).withColumn("ok", text.verdict(F.col("reply")))
     g = kept.groupBy("case_id").agg(F.count("claim_no").alias("asked"), F.count("ok").alias("read"), F.count_if("ok").alias("good"))
     bad = (F.col("asked") > 0) & ((F.col("read") == 0) | ((F.col("asked") - F.col("read")) * 2 > F.col("asked")))
     return g.select("case_id", F.when(F.col("asked") == 0, 1.0).when(~bad, F.col("good") / F.col("read")).alias("score"), F.when(bad, "judge gave no usable verdicts").alias("judge_error"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import authoring, lineage
-from .base import table, turn_pairs
+from ..storage import cut
+from .base import PAIRS, table, turn_pairs
 from .flows import _TRACES, _sites, _traces
 
 QUERIES: dict = {}
@@ -70,26 +72,98 @@ def _writer(prompts):
     return out
 
 
-@query()
+def _written_sql(prompts: str) -> str:
+    """What ``_writer`` and the gates make of prompts (case_id, p), in SQL."""
+    return f"""WITH {prompts}, w AS (SELECT case_id, p, list_filter(regexp_split_to_array(replace(replace(p, '"', ''), chr(92), ''), '\\s+'), lambda x: x <> '') AS w FROM prompts),
+    c AS (SELECT case_id, p, coalesce(array_to_string(w[greatest(len(w) - 29, 1):greatest(len(w) - 24, 0)], ' '), '') || '?' AS a, coalesce(array_to_string(w[greatest(len(w) - 23, 1):greatest(len(w) - 18, 0)], ' '), '') || '?' AS b FROM w),
+    i AS (SELECT case_id, 0 AS item_no, a AS input, NULL AS expected_output, 'refuse' AS expected_behavior FROM c UNION ALL SELECT case_id, 1, b, CASE WHEN length(p) % 3 <> 0 THEN 'x' END, NULL FROM c),
+    n AS (SELECT *, expected_output IS NOT NULL OR expected_behavior IS NOT NULL AS good, array_to_string(list_filter(regexp_split_to_array(replace(lower(input), 'ß', 'ss'), '\\s+'), lambda x: x <> ''), ' ') AS k FROM i)
+    SELECT case_id, item_no, input, expected_output, expected_behavior, CASE WHEN NOT good THEN 'malformed' WHEN row_number() OVER (PARTITION BY k, good ORDER BY case_id, item_no) > 1 THEN 'duplicate' ELSE 'accepted' END AS bucket FROM n"""
+
+
+_MODES = ", ".join(f"'{m}'" for m in authoring.FAILURE_MODES)
+
+
+@query(_written_sql(PAIRS + f""", prompts AS (SELECT case_id, 'Write 5 inputs that could make a model fail by ' || unnest([{_MODES}]) || '.' || chr(10) || 'Source: ' || input || chr(10) || 'Answer with a JSON list of {{"input", "expected_behavior"}}.' AS p FROM pairs)"""))
 def adversarial_cases(spark, sf_dir):
+    """All failure modes over all requests."""
     seeds = turn_pairs(spark, sf_dir).select("case_id", "input")
-    return authoring.written(authoring.adversarial_prompts(seeds, ("jailbreak", "off_topic")), _writer)
+    return authoring.written(authoring.adversarial_prompts(seeds), _writer)
 
 
-@query()
+@query(_written_sql("""prompts AS (SELECT item_id AS case_id, 'Write 3 questions with answers from the text.' || chr(10) || 'Text: ' || text || chr(10) || 'Answer with a JSON list of {"input", "expected_output"}.' AS p FROM benchmark WHERE length(text) <= 3000)"""))
 def document_questions(spark, sf_dir):
-    return authoring.written(authoring.question_prompts(table(spark, sf_dir, "benchmark"), "item_id", "text"), _writer)
+    return authoring.written(authoring.question_prompts(table(spark, sf_dir, "benchmark").where("length(text) <= 3000"), "item_id", "text"), _writer)
 
 
-@query()
-def contrast_twins(spark, sf_dir):
-    cases = turn_pairs(spark, sf_dir).select("case_id", "input", F.col("output").alias("expected_output"))
-    return authoring.contrast_pairs(cases, lambda ps: ["wrong " + str(len(p)) for p in ps])
+_TALLY = lambda c, w: f"((length({c}) - length(replace({c}, '{w}', ''))) // {len(w)})"
 
 
-@query()
+@query(f"""WITH RECURSIVE t AS (SELECT s_name AS name, 'spend ' || s_acctbal AS goal, '' AS so_far, 0 AS turn, NULL::VARCHAR AS stop FROM supplier
+    UNION ALL SELECT name, goal, CASE WHEN done THEN so_far ELSE said || chr(10) || 'ASSISTANT: ' || CASE WHEN length(said) % 11 = 0 THEN 'Sorry, no.' ELSE 'reply ' || {_TALLY("said", "ASSISTANT:")} END END, turn + 1,
+        CASE WHEN done THEN 'goal_reached' WHEN length(said) % 11 = 0 THEN 'refusal' WHEN turn = 3 THEN 'max_turns' END
+    FROM (SELECT *, {_TALLY("p", "USER:")} >= 1 + length(p) % 3 AS done, so_far || chr(10) || 'USER: request ' || {_TALLY("p", "USER:")} AS said FROM (SELECT *, 'You are ' || name || '. Goal: ' || goal || chr(10) || so_far || chr(10) || 'Next message, or DONE.' AS p FROM t WHERE stop IS NULL)))
+    SELECT name, (turn - (stop = 'goal_reached')::INT)::BIGINT AS turns, stop, stop = 'goal_reached' AS goal_met FROM t WHERE stop IS NOT NULL""")
 def simulated_talks(spark, sf_dir):
     people = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.concat(F.lit("spend "), F.col("s_acctbal").cast("string")).alias("goal"))
     user = lambda ps: ["DONE" if p.count("USER:") >= 1 + len(p) % 3 else f"request {p.count('USER:')}" for p in ps]
     bot = lambda ps: ["Sorry, no." if len(p) % 11 == 0 else f"reply {p.count('ASSISTANT:')}" for p in ps]
     return authoring.talk_summary(authoring.simulated(people, user, bot))
+
+
+_GREEDY = f"""t AS (SELECT conv_id, list_sort(list_distinct(list_filter(regexp_split_to_array(replace(lower(coalesce(input, '')), 'ß', 'ss'), '\\s+'), lambda x: x <> ''))) AS s FROM traces), r AS (SELECT *, min(conv_id) OVER (PARTITION BY s) AS rep FROM t),
+    w AS (SELECT conv_id, len(s) AS n, unnest(s) AS x FROM r WHERE rep = conv_id), i AS (SELECT a.conv_id AS a, b.conv_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM w a JOIN w b ON a.x = b.x AND a.conv_id < b.conv_id GROUP BY ALL),
+    p AS (SELECT b, list_concat([b], list(a ORDER BY a)) AS x FROM i WHERE c::DOUBLE / (na + nb - c) >= 0.85 GROUP BY b),
+    d AS (SELECT list_reduce(list(x ORDER BY b), lambda acc, y: CASE WHEN len(list_filter(y[2:], lambda z: NOT list_contains(acc, z))) > 0 THEN list_append(acc, y[1]) ELSE acc END, []::BIGINT[]) AS dropped FROM p),
+    u AS (SELECT avg((conv_id = rep AND NOT coalesce(list_contains((SELECT dropped FROM d), conv_id), false))::INT) AS f FROM r)"""
+_GATE = f"""{_TRACES}, {_GREEDY}, g AS (SELECT count(*) AS n, avg(coalesce(length(trim(output, ' \n')) > 0, false)::INT) AS o, avg(coalesce(length(trim(context, ' \n')) > 0, false)::INT) AS c, count(context) AS wc,
+    avg(coalesce(length(trim(input, ' \n')) > 0 AND (length(trim(expected_output, ' \n')) > 0 OR expects), false)::INT) AS wf FROM traces)"""
+
+
+@query(f"""WITH {_GATE} SELECT 'trace_count' AS signal, round(n::DOUBLE, 6) AS measured, CASE WHEN n >= 20 THEN 'ok' ELSE 'warn' END AS tier FROM g
+    UNION ALL SELECT 'field_completeness', round(o, 6), CASE WHEN o >= 0.8 AND (wc = 0 OR c >= 0.5) THEN 'ok' ELSE 'warn' END FROM g
+    UNION ALL SELECT 'near_duplicate_ratio', round(f, 6), CASE WHEN f >= 0.7 THEN 'ok' ELSE 'warn' END FROM u
+    UNION ALL SELECT 'case_count', n, 'ok' FROM g UNION ALL SELECT 'well_formed_rate', round(wf, 6), CASE WHEN wf >= 0.8 THEN 'ok' ELSE 'warn' END FROM g""")
+def input_gate(spark, sf_dir):
+    """The signals of traces and of cases; detections of personal data have queries of their own."""
+    from ..operators import gates
+
+    t = _traces(spark, sf_dir)
+    found = gates.assess(t, "bootstrap", "conv_id").where("signal != 'pii_secret_density'").unionByName(gates.assess(t, "cases", "conv_id"))
+    return found.select("signal", F.round("measured", 6).alias("measured"), "tier")
+
+
+@query("""WITH p AS (SELECT count(*) AS n, CAST(sum(length(text)) + 2 * (count(*) - 1) AS DOUBLE) AS c FROM benchmark) SELECT 'document_length' AS signal, c AS measured, CASE WHEN c >= 200 THEN 'ok' ELSE 'warn' END AS tier FROM p""")
+def document_gate(spark, sf_dir):
+    """The benchmark passages as the paragraphs of one source document."""
+    from ..operators import gates
+
+    return gates.assess(table(spark, sf_dir, "benchmark"), "generate", "item_id").where("signal = 'document_length'")
+
+
+@query(f"""WITH {_TRACES} SELECT conv_id, input, coalesce(expected_output, output) AS expected_output, context, '{{"generation":{{"trace_id":"' || conv_id || '","kind":"trace"}}}}' AS metadata FROM traces WHERE length(trim(coalesce(input, ''), ' \n')) > 0""")
+def trace_cases(spark, sf_dir):
+    return authoring.trace_cases(_traces(spark, sf_dir), "conv_id")
+
+
+@query("""WITH a AS (SELECT unnest(['faithfulness', 'relevance', 'vqa_faithfulness', 'not_empty']) AS e, unnest(['primary', 'secondary', 'primary', 'guardrail']) AS t, unnest([0, 1, 2, 3]) AS r)
+    SELECT unnest([0, 1, 2, 3])::INT AS "rank", unnest(['faithfulness', 'relevance', 'coherence', 'not_empty']) AS evaluator, unnest(['primary', 'primary', 'secondary', 'guardrail']) AS tier, unnest(['heuristic', 'judged', 'judged', 'heuristic']) AS source""")
+def merged_recommendations(spark, sf_dir):
+    """Heuristic and judged recommendations; one evaluator can't be built, one is moved to another tier by the judge."""
+    own = spark.createDataFrame([("faithfulness", "primary", 0), ("relevance", "secondary", 1), ("vqa_faithfulness", "primary", 2), ("not_empty", "guardrail", 3)], "evaluator string, tier string, rank int")
+    judged = spark.createDataFrame([("relevance", "primary", 1), ("coherence", "secondary", 2)], "evaluator string, tier string, rank int")
+    out = authoring.merged_recommendations(own, judged, 6, F.col("evaluator") != "vqa_faithfulness")
+    order = F.row_number().over(Window.orderBy(F.col("tier") != "primary", F.col("tier") != "secondary", "evaluator")) - 1
+    return out.select(order.cast("int").alias("rank"), "evaluator", "tier", "source")
+
+
+@query("""WITH s AS (SELECT CASE page_id % 10 WHEN 2 THEN 'removed' WHEN 3 THEN 'changed' WHEN 5 THEN 'changed' WHEN 9 THEN 'unknown' ELSE 'unchanged' END AS status, page_id // 3 AS case_id, page_id % 10 AS k FROM pages),
+    r AS (SELECT case_id, CASE WHEN bool_and(status = 'removed') THEN 'removed' WHEN bool_or(status IN ('changed', 'removed')) THEN 'changed' WHEN bool_or(status = 'unknown') THEN 'unknown' ELSE 'unchanged' END AS status FROM s GROUP BY case_id),
+    g AS (SELECT count(*) FILTER (k NOT IN (2, 3, 5, 7, 9)) AS unchanged, count(*) FILTER (k = 7) AS moved, count(*) FILTER (k IN (3, 5)) AS changed, count(*) FILTER (k = 5) AS formatting_only, count(*) FILTER (k = 2) AS removed, count(*) FILTER (k = 9) AS unknown FROM s)
+    SELECT unnest(['sites.unchanged', 'sites.moved', 'sites.changed', 'sites.formatting_only', 'sites.removed', 'sites.unknown', 'sites.unscannable', 'sites.added']) AS name, unnest([unchanged, moved, changed, formatting_only, removed, unknown, 0, 0]) AS value FROM g
+    UNION ALL SELECT 'cases.' || status, count(*) FROM r GROUP BY status""")
+def drift_report(spark, sf_dir):
+    base, live = _sites(spark, sf_dir, False), _sites(spark, sf_dir, True)
+    v = cut(lineage.match(base, live))
+    cases = lineage.rollup(v.select(F.floor(F.col("id") / 3).alias("case_id"), "status"))
+    return authoring.drift_report(v, lineage.added(base, live, v), cases)

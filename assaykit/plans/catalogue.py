@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("scoring", "comparing", "flows", "authored")
+MODULES = ("scoring", "comparing", "flows", "authored", "judging", "reading", "personal")
 
 
 def _all(name: str) -> dict:

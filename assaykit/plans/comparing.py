@@ -105,11 +105,12 @@ def experiment_compare(spark, sf_dir):
 
 
 @query("""WITH v AS (SELECT CASE event_type WHEN 'click' THEN 'A' WHEN 'view' THEN 'B is better' WHEN 'error' THEN 'All equal' WHEN 'signup' THEN ' a.' ELSE 'Tie' END AS reply FROM events)
-    SELECT count(*) FILTER (reply IN ('A', ' a.')) AS wins_a, count(*) FILTER (reply = 'B is better') AS wins_b, count(*) FILTER (reply IN ('All equal', 'Tie')) AS ties FROM v""")
+    , w AS (SELECT count(*) FILTER (reply IN ('A', ' a.')) AS wins_a, count(*) FILTER (reply = 'B is better') AS wins_b, count(*) FILTER (reply IN ('All equal', 'Tie')) AS ties FROM v)
+    SELECT *, round(""" + _sql_tail("sqrt(pow(abs(wins_a - wins_b) - 1, 2)::DOUBLE / (wins_a + wins_b))") + """, 5) AS p_value FROM w""")
 def pairwise_sign_test(spark, sf_dir):
     t = F.col("event_type")
     reply = F.when(t == "click", "A").when(t == "view", "B is better").when(t == "error", "All equal").when(t == "signup", " a.").otherwise("Tie")
-    return compare.pairwise(table(spark, sf_dir, "events").select(reply.alias("reply"))).drop("p_value")
+    return rounded(compare.pairwise(table(spark, sf_dir, "events").select(reply.alias("reply"))), "p_value", places=5)
 
 
 def _labelled(spark, sf_dir):
@@ -134,19 +135,18 @@ def calibrate_confusion(spark, sf_dir):
     return calibration.confusion(_labelled(spark, sf_dir).withColumn("passed", F.col("score") >= 0.95))
 
 
-_SWEPT = f"""{_LABELLED}, t AS (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.97, 0.99])::DOUBLE AS threshold), c AS (SELECT threshold, {_CELLS.format(s='score >= threshold')} FROM l, t WHERE evaluator = 'few_marks' GROUP BY threshold),
+_SWEPT = f"""{_LABELLED}, t AS (SELECT unnest([0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9])::DOUBLE AS threshold), c AS (SELECT threshold, {_CELLS.format(s='score >= threshold')} FROM l, t WHERE evaluator = 'few_marks' GROUP BY threshold),
     s AS (SELECT *, {_RATES} FROM c)"""
-_STEPS = [0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.97, 0.99]
 
 
 @query(f"WITH {_SWEPT} SELECT * FROM s")
 def threshold_sweep(spark, sf_dir):
-    return calibration.sweep(_labelled(spark, sf_dir).where("evaluator = 'few_marks'"), _STEPS)
+    return calibration.sweep(_labelled(spark, sf_dir).where("evaluator = 'few_marks'"))
 
 
 @query(f"WITH {_SWEPT} SELECT threshold, f1 FROM s ORDER BY f1 DESC, threshold LIMIT 1")
 def best_threshold(spark, sf_dir):
-    return calibration.best_threshold(calibration.sweep(_labelled(spark, sf_dir).where("evaluator = 'few_marks'"), _STEPS)).select("threshold", "f1")
+    return calibration.best_threshold(calibration.sweep(_labelled(spark, sf_dir).where("evaluator = 'few_marks'"))).select("threshold", "f1")
 
 
 @query(f"""WITH {_LABELLED}, w AS (SELECT doc_id, bool_or(score >= 0.95) FILTER (evaluator = 'few_marks') AS a, bool_or(score >= 0.95) FILTER (evaluator = 'few_capitals') AS b FROM l GROUP BY doc_id),
@@ -158,10 +158,10 @@ def cohens_kappa(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS x, rank() OVER (ORDER BY length(lang || source)) + (count(*) OVER (PARTITION BY length(lang || source)) - 1) / 2.0 AS y FROM documents)
-    SELECT count(*) AS n, round(corr(x, y), 6) AS rho FROM r""")
+    , c AS (SELECT count(*) AS n, corr(x, y) AS rho FROM r) SELECT n, round(rho, 6) AS rho, round(""" + _sql_tail("abs(rho) * sqrt(n - 2) / sqrt(1 - rho * rho)") + """, 5) AS p_value FROM c""")
 def spearman(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("n_chars", F.length(F.concat("lang", "source")).alias("m"))
-    return rounded(calibration.spearman(d, "n_chars", "m"), "rho")
+    return rounded(rounded(calibration.spearman(d, "n_chars", "m"), "rho"), "p_value", places=5)
 
 
 @query(f"""WITH {_LABELLED}, k AS (SELECT evaluator, score, row_number() OVER (PARTITION BY evaluator ORDER BY score) - 1 AS i, count(*) OVER (PARTITION BY evaluator) AS n FROM l)
@@ -190,11 +190,11 @@ def _pattern(name):
 
 
 QUERIES["pii_email"] = _pattern("email")
-SQL["pii_email"] = r"""SELECT doc_id, len(regexp_extract_all(text, '(?i)\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b'))::BIGINT AS n FROM documents WHERE n > 0"""
+SQL["pii_email"] = f"SELECT doc_id, len(regexp_extract_all(text, '(?i){pii.BASE['email']}'))::BIGINT AS n FROM documents WHERE n > 0"
 QUERIES["pii_ipv4"] = _pattern("ip_address")
-SQL["pii_ipv4"] = r"""SELECT doc_id, len(regexp_extract_all(text, '\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b'))::BIGINT AS n FROM documents WHERE n > 0"""
+SQL["pii_ipv4"] = f"SELECT doc_id, len(regexp_extract_all(text, '(?i){pii.BASE['ip_address']}'))::BIGINT AS n FROM documents WHERE n > 0"
 QUERIES["pii_phone_us"] = _pattern("phone_us")
-SQL["pii_phone_us"] = r"""SELECT doc_id, len(regexp_extract_all(text, '\b(?:\+?1[-.\s]?)?\(?[2-9]\d{2}\)?[-.\s]?[2-9]\d{2}[-.\s]?\d{4}\b'))::BIGINT AS n FROM documents WHERE n > 0"""
+SQL["pii_phone_us"] = f"SELECT doc_id, len(regexp_extract_all(text, '(?i){pii.BASE['phone_us']}'))::BIGINT AS n FROM documents WHERE n > 0"
 QUERIES["pii_card_luhn"] = _pattern("credit_card")
 SQL["pii_card_luhn"] = r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b(?:4\d{3}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}|5[1-5]\d{2}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}|3[47]\d{2}[-\s]?\d{6}[-\s]?\d{5}|6011[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4})\b')) AS s FROM documents),
     d AS (SELECT doc_id, s, reverse(regexp_replace(s, '\D', '', 'g')) AS r FROM m),

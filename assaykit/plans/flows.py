@@ -103,11 +103,6 @@ def near_dup_pairs(spark, sf_dir):
     return rounded(gates.near_pairs(_tokened(spark, sf_dir), "doc_id", "tokens"), "similarity")
 
 
-@query()
-def near_dup_greedy(spark, sf_dir):
-    return gates.accepted(_tokened(spark, sf_dir), "doc_id", "tokens").select("doc_id", "kept")
-
-
 def _rule_judge(prompts):
     """A judge by rule: the reply's length in words decides, every seventh is unreadable."""
     out = []
@@ -376,14 +371,6 @@ def junit_rows(spark, sf_dir):
     return sinks.junit_rows(cases)
 
 
-@query()
-def report_json(spark, sf_dir):
-    from ..operators import report
-
-    cases = report.fold_runs(runs(spark, sf_dir))
-    return sinks.report_json(cases, report.summary(cases))
-
-
 def _streamed(spark, df, make, mode, by=()):
     """A bounded replay of a frame through a streaming query."""
     at = new_path(spark)
