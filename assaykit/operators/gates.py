@@ -52,7 +52,8 @@ def near_pairs(df: DataFrame, key: str, tokens: str, threshold: float = JACCARD)
     bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
     counts = rep.select(F.explode("s").alias("t")).groupBy(bucket(name("t")).alias("b")).agg(F.count("*").alias("c"))
     # One row of at most BUCKETS numbers, for every task.
-    sketch = counts.agg(F.map_from_entries(F.collect_list(F.struct("b", "c"))).alias("m")).select(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("m"))
+    every = df.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
+    sketch = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", F.coalesce("c", F.lit(0)).alias("c")))), lambda x: x["c"]).alias("m"))
     n = F.size("s")
     ranked = F.array_sort(F.transform("s", lambda t: F.struct(F.element_at("m", bucket(name(t)) + 1).alias("c"), name(t).alias("t"))))
     # A token that is alone in its bucket is in one set.

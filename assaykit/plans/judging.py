@@ -177,11 +177,11 @@ def rendered_traces(spark, sf_dir):
     return g.select("case_id", F.sha2(judge.rendered_trace(), 256).alias("rendered"))
 
 
-_SCORES = "s AS (SELECT user_id AS case_id, event_type AS evaluator, round(avg(value) / 200, 6) AS score FROM events GROUP BY ALL)"
+_SCORES = "s AS (SELECT user_id AS case_id, event_type AS evaluator, avg(value) / 200 AS score FROM events GROUP BY ALL)"
 
 
 def _scores(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("case_id"), F.col("event_type").alias("evaluator")).agg(F.round(F.avg("value") / 200, 6).alias("score"))
+    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("case_id"), F.col("event_type").alias("evaluator")).agg((F.avg("value") / 200).alias("score"))
 
 
 @query(f"""WITH {_SCORES}, b AS (SELECT DISTINCT user_id AS case_id FROM events WHERE event_type = 'error' AND value > 150)
