@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -136,6 +138,19 @@ def restored(out: DataFrame, columns: Iterable[str], added: Iterable[str]) -> Da
     return out.select(*[F.col(new.get(c, c)).alias(c) for c in columns])
 
 
+_kept: dict[tuple[type, bytes], Any] = {}
+
+
+def kept(kind: Callable[[bytes], Any], model: bytes) -> Any:
+    """What a model file gives, once a worker process: tasks that follow in it share its tables and caches, which are bounded. One of each kind is kept."""
+    key = (kind, hashlib.sha256(model).digest())
+    if key not in _kept:
+        for old in [k for k in _kept if k[0] is kind]:
+            del _kept[old]
+        _kept[key] = kind(model)
+    return _kept[key]
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return ["" if x is None else x for x in batch.column(column).to_pylist()]
 

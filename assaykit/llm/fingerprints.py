@@ -18,7 +18,9 @@ characters share: with the last quarter replaced (j = 0.6 of characters), about
 
 Defined cases: null and empty texts have the empty fingerprint, alike with itself
 alone; equal texts have equal fingerprints; equal doc_ids sort by text; null
-doc_ids come first; a table of one row has itself as the next document.
+doc_ids come first; a table of one row has itself as the next document; rows of one
+doc_id lie in one range and are streamed there. Extra columns are ignored by
+``with_neighbours`` and kept by ``fingerprint``.
 """
 
 from __future__ import annotations

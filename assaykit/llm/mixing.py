@@ -175,11 +175,12 @@ def apply_mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     sizes, slot, per = _plan(docs, slots)
     n = parts(docs.sparkSession)
     every = _buckets(sizes, per).withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1)))).withColumn("first", F.expr("base + pass * source_size"))
-    every = every.where("pass = 0 or first < amount").withColumn("rank", F.expr(f"least(n_slots - 1, {_rank_of('first', slots)})"))
-    placed = every.join(F.broadcast(slot), ["ord", "rank"], "left").withColumn("part", F.expr(f"cast(coalesce(slot, 0) * {n} div {slots} as int)"))
-    placed = cut(placed.select("source", "bucket", "pass", "first", "part", "ord"))
+    every = every.withColumn("met", F.col("first") < F.col("amount")).where("pass = 0 or met").withColumn("rank", F.expr(f"least(n_slots - 1, {_rank_of('first', slots)})"))
+    # Of buckets that no slot reads only documents without words stay; they go anywhere.
+    part = F.expr(f"cast(if(met, coalesce(slot, 0) * {n} div {slots}, pmod(xxhash64(source, bucket), {n})) as int)")
+    placed = cut(every.join(F.broadcast(slot), ["ord", "rank"], "left").withColumn("part", part).select("source", "bucket", "pass", "first", "part", "ord", "met"))
     rows = docs.select(F.struct("*").alias("whole"), "source", word_count("text").alias("size"), _digest("doc_id").alias("digest")).withColumn("bucket", F.substring("digest", 1, 3))
-    dealt = _joined(rows, placed).repartitionById(n, F.col("part")).join(per.select("ord", "total", "n_slots", "amount"), "ord")
+    dealt = _joined(rows, placed).where("met or size = 0 and pass = 0").drop("met").repartitionById(n, F.col("part")).join(per.select("ord", "total", "n_slots", "amount"), "ord")
     inside = Window.partitionBy("part", "source", "bucket", "pass").orderBy("digest", "whole.doc_id", "size", F.xxhash64("whole.text"))
     dealt = (
         dealt.withColumn("start", F.col("first") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))

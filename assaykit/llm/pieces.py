@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import apart, renames, slices, texts_of
+from .common import apart, kept, renames, slices, texts_of
 
 MARK = "▁"
 CACHE, PAIRS, LONG = 1 << 17, 1 << 18, 200
@@ -223,13 +223,13 @@ def encode(df: DataFrame, path: str, text: str = "text", keep_ids: bool = False)
     added = T.StructType(T._parse_datatype_string(ADDED).fields[: None if keep_ids else -1])
     clash = renames(df.columns, added.names)
     df, text = apart(df, added.names), clash.get(text, text)
-    kept = [c for c in df.columns if c != text]
-    schema = T.StructType([*[df.schema[c] for c in kept], *added])
+    own = [c for c in df.columns if c != text]
+    schema = T.StructType([*[df.schema[c] for c in own], *added])
     types = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int32())]
     model = df.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model.value)
+        encoder = kept(Encoder, model.value)
         for batch in slices(batches, text, 2 << 20):
             texts = texts_of(batch, text)
             cols: list[list] = [[] for _ in added]
@@ -238,6 +238,6 @@ def encode(df: DataFrame, path: str, text: str = "text", keep_ids: bool = False)
                 row = (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == t, ids)
                 for c, v in zip(cols, row, strict=False):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(c, k) for c, k in zip(cols, types, strict=False)]], names=[*kept, *added.names])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], *[pa.array(c, k) for c, k in zip(cols, types, strict=False)]], names=[*own, *added.names])
 
-    return df.select(*kept, text).mapInArrow(run, schema)
+    return df.select(*own, text).mapInArrow(run, schema)
