@@ -102,8 +102,46 @@ def lock_diff(saved: dict, now: dict) -> list[str]:
     return said + [f"{k} changed" for k in ("judge", "cases") if saved[k] != now[k]]
 
 
+#: A programme without dependencies that checks a package it lies in.
+VERIFIER = '''import hashlib, json, pathlib, sys
+
+here = pathlib.Path(sys.argv[1] if len(sys.argv) > 1 else __file__).resolve()
+here = here.parent if here.is_file() else here
+want = json.loads((here / "manifest.json").read_text())
+bad = [n for n, sha in want.items() if not (here / n).is_file() or hashlib.sha256((here / n).read_bytes()).hexdigest() != sha]
+print("\\n".join(f"changed or missing: {n}" for n in bad) or "all files are as packed")
+sys.exit(bool(bad))
+'''
+
+
+def host_facts() -> dict[str, str]:
+    """Package, Python and platform of the process that writes a record."""
+    import platform
+
+    import pyspark
+
+    return {"python": platform.python_version(), "pyspark": pyspark.__version__, "system": platform.system().lower()}
+
+
+def git_facts(folder: str) -> dict[str, str]:
+    """Commit and branch of a working copy, from its files alone; nothing where there is none."""
+    from pathlib import Path
+
+    at = next((p for p in (Path(folder).resolve(), *Path(folder).resolve().parents) if (p / ".git").is_dir()), None)
+    if at is None:
+        return {}
+    head = (at / ".git" / "HEAD").read_text().strip()
+    if not head.startswith("ref: "):
+        return {"commit": head}
+    name, own = head[5:], at / ".git" / head[5:]
+    packed = at / ".git" / "packed-refs"
+    found = own.read_text().strip() if own.is_file() else next((x.split()[0] for x in packed.read_text().splitlines() if x.endswith(" " + name)), "") if packed.is_file() else ""
+    return {"branch": name.removeprefix("refs/heads/"), **({"commit": found} if found else {})}
+
+
 def package(files: dict[str, bytes]) -> bytes:
-    """A ZIP of evidence files with a manifest of their hashes; equal input gives equal bytes."""
+    """A ZIP of evidence files with a manifest of their hashes and a programme that checks them; equal input gives equal bytes."""
+    files = {**files, "verify.py": VERIFIER.encode()}
     manifest = {n: hashlib.sha256(b).hexdigest() for n, b in sorted(files.items())}
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:

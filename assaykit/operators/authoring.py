@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import BaselineError
 from ..functions import text
 from ..storage import cut
 from . import gates, judge
@@ -105,13 +106,33 @@ def question_prompts(docs: DataFrame, key: str, c: str, n: int = 3, width: int =
     return ch.select(F.col(key).alias("case_id"), "start", "chunk", F.concat(F.lit(f"Write {n} {ask}.\nText: "), F.col("chunk"), F.lit('\nAnswer with a JSON list of {"input", "expected_output"}.')).alias("prompt"))
 
 
-def contrast_pairs(cases: DataFrame, ask: judge.Judge) -> DataFrame:
-    """case_id, pair_id, bad_output: a wrong answer for each case, kept if it isn't the right one."""
+def contrast_pairs(cases: DataFrame, ask: judge.Judge, check: judge.Judge | None = None, most: int | None = None) -> DataFrame:
+    """case_id, pair_id, bad_output: a wrong answer for each case, kept if it isn't the right one.
+
+    With ``check`` a second call must say that the answer is wrong; with ``most`` only
+    that many cases, by a hash of their key, are asked about: a budget of calls.
+    """
     prompt = F.concat(F.lit("Question: "), F.col("input"), F.lit("\nRight answer: "), F.col("expected_output"), F.lit("\nWrite a wrong answer that looks right."))
-    rows = cases.where("expected_output is not null").select("case_id", "expected_output", prompt.alias("prompt"))
+    rows = cases.where("expected_output is not null").select("case_id", "input", "expected_output", prompt.alias("prompt"))
+    if most is not None:
+        rows = rows.orderBy(F.sha2(F.col("case_id").cast("string"), 256)).limit(most)
     answered, _ = judge.ask(rows.withColumn("prompt_key", judge.call_hash(F.col("prompt"), judge.Config())), ask)
     differs = text.loose(text.folded(F.col("reply"))) != text.loose(text.folded(F.col("expected_output")))
-    return answered.where("reply is not null").where(differs).select("case_id", F.sha2(F.col("case_id").cast("string"), 256).alias("pair_id"), F.col("reply").alias("bad_output"))
+    made = answered.where("reply is not null").where(differs).select("case_id", "input", F.col("reply").alias("bad_output"))
+    if check is not None:
+        asked = F.concat(F.lit("Question: "), F.col("input"), F.lit("\nAnswer: "), F.col("bad_output"), F.lit("\nIs this answer wrong? Answer yes or no."))
+        rows = made.select("case_id", "bad_output", asked.alias("prompt"))
+        seen, _ = judge.ask(rows.withColumn("prompt_key", judge.call_hash(F.col("prompt"), judge.Config())), check)
+        made = seen.where(F.coalesce(text.verdict(F.col("reply")), F.lit(False)))
+    return made.select("case_id", F.sha2(F.col("case_id").cast("string"), 256).alias("pair_id"), "bad_output")
+
+
+def estimated_costs(prompts: DataFrame, prices: DataFrame, reply_tokens: int = 400) -> DataFrame:
+    """model, calls, tokens and cost_usd of requests (model, prompt) at four characters a token; an unpriced model has a null cost."""
+    size = F.ceil(F.length("prompt") / 4)
+    g = prompts.groupBy("model").agg(F.count("*").alias("calls"), F.sum(size).alias("_in"), (F.count("*") * reply_tokens).alias("_out"))
+    cost = (F.col("_in") * F.col("input_per_million") + F.col("_out") * F.col("output_per_million")) / 1e6
+    return g.join(prices, "model", "left").select("model", "calls", (F.col("_in") + F.col("_out")).alias("tokens"), F.round(cost, 6).alias("cost_usd"))
 
 
 def affordable(prompts: DataFrame, price_per_million: float, budget: float, reply_tokens: int = 400) -> bool:
@@ -174,10 +195,6 @@ def exit_code(counts: dict[str, int], fail_on: tuple[str, ...] = (), warned: boo
     return 1 if any(counts.get(k, 0) for k in fail_on) else 2 if warned else 0
 
 
-class BaselineError(ValueError):
-    """A baseline that can't be used, with the reason: unreadable, not_object, future or empty."""
-
-
 def baseline(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
     """Records of a baseline file, numbered in order."""
     raw = spark.read.option("wholetext", True).text(path).first()
@@ -335,3 +352,23 @@ def exported_talks(said: DataFrame, personas: DataFrame) -> DataFrame:
     meta = F.to_json(F.struct("goal", "stop", "turns", "goal_met"))
     first = F.try_element_at(F.filter("conversation", lambda m: m["role"] == "user"), F.lit(1))["content"]
     return both.select("name", first.alias("input"), F.to_json("conversation").alias("conversation"), meta.alias("metadata"))
+
+
+def bootstrap(traces: DataFrame, key: str, path: str, scores: DataFrame | None = None) -> dict[str, int]:
+    """Starts a suite from traces: writes cases, recommendations, the input gate's findings and, from scores (evaluator, score), thresholds under a folder.
+
+    Each part is a folder of JSON lines; the counts of lines come back. The gate warns, it
+    never stops the writing.
+    """
+    from . import calibration
+
+    parts = {
+        "cases": trace_cases(traces, key),
+        "recommendations": gates.recommendations(gates.shape(gates.trace_summary(traces))),
+        "findings": gates.assess(traces, "bootstrap", key),
+    }
+    if scores is not None:
+        parts["thresholds"] = calibration.recommended_thresholds(scores)
+    for name, rows in parts.items():
+        rows.write.mode("overwrite").json(f"{path.rstrip('/')}/{name}")
+    return {name: traces.sparkSession.read.text(f"{path.rstrip('/')}/{name}").count() for name in parts}

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import CalibrationMissing
 from ..functions import stats
 from .ranks import counted
 
@@ -91,10 +92,6 @@ def recommended_thresholds(scores: DataFrame, floor: float = 0.5, least: int = 3
     return q.select("evaluator", "n", F.round(value, 2).alias("threshold"))
 
 
-class CalibrationMissing(LookupError):
-    """No calibrated threshold under a strict policy."""
-
-
 POLICIES = ("silent", "warn", "strict")
 #: Environment variables that pin the version and the policy of a run.
 VERSION_VARIABLE, POLICY_VARIABLE = "ASSAYKIT_CALIBRATION_VERSION", "ASSAYKIT_CALIBRATION_POLICY"

@@ -52,16 +52,24 @@ def adjusted(df: DataFrame, p: str = "p_value", within: list[str] | None = None)
 
 
 def compare_runs(a: DataFrame, b: DataFrame, on: str = "evaluator") -> DataFrame:
-    """Per evaluator (n, passed, avg_score of two runs): deltas, two-rate test, adjusted p, effect and verdict."""
+    """Per evaluator (n, passed, avg_score of two runs): deltas, score intervals of both rates, two-rate test, adjusted p, effect and verdict."""
     side = lambda df, s: df.select(on, *[F.col(c).alias(f"{c}_{s}") for c in ("n", "passed", "avg_score")])
     x = side(a, "a").join(side(b, "b"), on)
     p, q = F.col("passed_a") / F.col("n_a"), F.col("passed_b") / F.col("n_b")
     x = x.withColumn("delta", q - p).withColumn("z", stats.two_rates_z(p, F.col("n_a"), q, F.col("n_b"))).withColumn("p_value", stats.two_rates_p(p, F.col("n_a"), q, F.col("n_b")))
+    for s in "ab":
+        low, high = stats.wilson(F.col(f"passed_{s}"), F.col(f"n_{s}"))
+        x = x.withColumn(f"low_{s}", low).withColumn(f"high_{s}", high)
     x = adjusted(x.withColumn("h", stats.effect_h(p, q)))
     moved = F.col("p_adjusted") < 0.05
     return x.withColumn("verdict", F.when(moved & (F.col("delta") > 0), "improved").when(moved & (F.col("delta") < 0), "regressed").otherwise("no significant change"))
 
 
+def exit_code(pairs: DataFrame) -> int:
+    """1 if any paired case regressed, else 0."""
+    return int(bool(pairs.where("direction = 'regressed'").limit(1).count()))
+
+
 def pairwise(verdicts: DataFrame, reply: str = "reply", strict: bool = True) -> DataFrame:
     """Wins of A and B, ties and the sign-test p-value from replies.
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pii, text
@@ -27,6 +27,9 @@ RESULT = "struct<evaluator:string,evaluator_ord:int,score:double,passed:boolean,
 STOP_WORDS = ("the", "a", "an", "is", "are", "was", "were", "in", "on", "at", "of", "to", "and", "or", "for")
 
 
+_TYPES = {str: "string", int: "long", float: "double", bool: "boolean", list: "array<string>"}
+
+
 @dataclass(frozen=True)
 class Evaluator:
     name: str
@@ -35,6 +38,11 @@ class Evaluator:
     skip: Column | None = None
     reason: Column | None = None
 
+    def evaluate(self, spark: SparkSession, **fields: Any) -> Any:
+        """The result of one case, given as fields (output, expected_output, ...); for tables use ``score``."""
+        one = spark.createDataFrame([fields], ", ".join(f"{k} {_TYPES[type(v)] if v is not None else 'string'}" for k, v in fields.items()))
+        return score(one, [self], []).first()
+
 
 def output(c: str = "output") -> Column:
     return F.coalesce(F.col(c), F.lit(""))

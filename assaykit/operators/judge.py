@@ -110,6 +110,22 @@ def store_replies(new: DataFrame, path: str, now: float) -> None:
     new.select("prompt_key", "reply", F.lit(float(now)).alias("created_at")).write.mode("append").parquet(path)
 
 
+def paced(judge: Judge, per_second: float) -> Judge:
+    """A judge that starts at most so many batches a second in each task."""
+    import time
+
+    last = [0.0]
+
+    def asked(prompts: list[str]) -> list[str]:
+        wait = last[0] + 1 / per_second - time.monotonic()
+        if wait > 0:
+            time.sleep(wait)
+        last[0] = time.monotonic()
+        return judge(prompts)
+
+    return asked
+
+
 def called(calls: DataFrame, judge: Judge, attempts: int = 3) -> DataFrame:
     """prompt_key, reply, error: one call each. A batch that keeps failing is asked prompt by prompt, so one bad prompt spoils only its own row."""
 

@@ -234,6 +234,15 @@ def bindings(recordings: DataFrame) -> DataFrame:
     return recordings.select(F.explode("case_uids").alias("case_uid"), "anchor", "fingerprint", "loose_fingerprint", "count")
 
 
+def bound(cases: DataFrame, proposed: DataFrame, least: int = 1) -> DataFrame:
+    """Cases (case_uid, targets: array of anchor and fingerprint) with proposed bindings added that were seen at least so often; an anchor that a case has keeps its target."""
+    new = proposed.where(F.col("count") >= least).groupBy("case_uid").agg(F.array_sort(F.collect_set(F.struct("anchor", "fingerprint"))).alias("_new"))
+    both = cases.join(new, "case_uid", "left").withColumn("_new", F.coalesce("_new", F.array().cast("array<struct<anchor:string,fingerprint:string>>")))
+    held = F.transform("targets", lambda t: t["anchor"])
+    fresh = F.filter("_new", lambda t: ~F.array_contains(held, t["anchor"]))
+    return both.withColumn("targets", F.concat("targets", fresh)).drop("_new")
+
+
 def site_diff(base: DataFrame, head: DataFrame) -> DataFrame:
     """Sites by call_site_id: modified, added, removed or dynamic."""
     x = base.select("call_site_id", F.col("fingerprint").alias("f0"), F.col("is_dynamic").alias("d0")).join(head.select("call_site_id", F.col("fingerprint").alias("f1"), F.col("is_dynamic").alias("d1")), "call_site_id", "full_outer")

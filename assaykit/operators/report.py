@@ -114,6 +114,23 @@ def lower_order_statistic(groups: DataFrame, key: str, value: str, share: float)
     return counted(groups, value, (key,)).where(at_rank(F.floor(F.lit(share) * (F.col("size") - 1)))).select(key, F.col("size").alias("n"), value)
 
 
+def failing(cases: DataFrame, results: DataFrame, evaluator: str) -> DataFrame:
+    """Cases that a named evaluator failed."""
+    return cases.join(results.where((F.col("evaluator") == evaluator) & ~F.col("passed")).select("case_id"), "case_id", "left_semi")
+
+
+def rendered(summary: DataFrame, evaluators: DataFrame | None = None) -> str:
+    """A report for a terminal: the summary's line, then one for each evaluator (evaluator, n, avg_score, pass_rate), worst first."""
+    s = summary.first()
+    lines = [f"{s['passed']} of {s['evaluated']} passed ({s['pass_rate']:.1%}, {s['pass_rate_low']:.1%} to {s['pass_rate_high']:.1%}), {s['errors']} errors, {s['skipped']} skipped, mean score {s['avg_score']:.3f}"]
+    if s["runs_per_case"] > 1:
+        lines.append(f"{s['flaky_count']} flaky, stability {s['stability']:.1%} over {s['runs_per_case']} runs")
+    for r in evaluators.orderBy("pass_rate", "evaluator").collect() if evaluators is not None else ():
+        bar = "#" * round(20 * r["pass_rate"])
+        lines.append(f"{r['evaluator']:<28} {bar:<20} {r['pass_rate']:6.1%}  score {r['avg_score']:.3f}  n {r['n']}")
+    return "\n".join(lines) + "\n"
+
+
 def failed(cases: DataFrame) -> DataFrame:
     """Evaluated cases that did not pass."""
     return cases.where("status = 'failed_quality'")

@@ -16,25 +16,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import GateFailure
 from ..functions import stats, text
 from ..storage import cut
 from . import compare, evaluators, judge, report
+from .ranks import numbered
 from .evaluators import Evaluator
 
 Model = Callable[[list[str]], list[str]]
 
 
-class GateFailure(SystemExit):
-    """A report that misses its thresholds; uncaught, it ends the process with code 1."""
-
-    def __init__(self, said: str):
-        super().__init__(1)
-        self.said = said
-
-    def __str__(self) -> str:
-        return self.said
-
-
 @dataclass
 class Suite:
     name: str
@@ -105,6 +96,13 @@ class Suite:
         return folded, report.fold_results(long), report.summary(folded)
 
 
+def replayed(cases: DataFrame, logged: DataFrame, case_order: str = "case_id", log_order: str = "seq") -> DataFrame:
+    """case_id, run_no, output: the n-th logged output for the n-th case, both in their own order; cases beyond the log have none."""
+    x = numbered(cases.select("case_id", case_order) if case_order != "case_id" else cases.select("case_id"), case_order, name="nth")
+    y = numbered(logged.select(log_order, "output"), log_order, name="nth").select("nth", "output")
+    return x.join(y, "nth").select("case_id", F.lit(1).alias("run_no"), "output")
+
+
 def enforce(summary: DataFrame, fail_threshold: float | None = None, max_error_rate: float | None = None) -> None:
     """Raises for a report of errors alone, then for its error rate, then for its pass rate. Write reports before."""
     s = summary.first()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pii
 from ..operators import calibration, compare
-from .base import RUNS, rounded, runs, table
+from .base import RUNS, rounded, runs, sql_wilson, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -99,9 +99,9 @@ def bh_adjust(spark, sf_dir):
     return rounded(compare.compare_runs(*_halves(spark, sf_dir)).select("evaluator", "p_value", "p_adjusted"), "p_value", "p_adjusted", places=5)
 
 
-@query(f"WITH {_HALVES} SELECT evaluator, n_a, n_b, round(q - p, 6) AS delta, round(2 * asin(sqrt(q)) - 2 * asin(sqrt(p)), 4) AS h, CASE WHEN p_adjusted < 0.05 AND q > p THEN 'improved' WHEN p_adjusted < 0.05 AND q < p THEN 'regressed' ELSE 'no significant change' END AS verdict FROM j")
+@query(f"WITH {_HALVES} SELECT evaluator, n_a, n_b, round(q - p, 6) AS delta, round({sql_wilson("(p * n_a)", "n_a")[0]}, 6) AS low_a, round({sql_wilson("(p * n_a)", "n_a")[1]}, 6) AS high_a, round({sql_wilson("(q * n_b)", "n_b")[0]}, 6) AS low_b, round({sql_wilson("(q * n_b)", "n_b")[1]}, 6) AS high_b, round(2 * asin(sqrt(q)) - 2 * asin(sqrt(p)), 4) AS h, CASE WHEN p_adjusted < 0.05 AND q > p THEN 'improved' WHEN p_adjusted < 0.05 AND q < p THEN 'regressed' ELSE 'no significant change' END AS verdict FROM j")
 def experiment_compare(spark, sf_dir):
-    return rounded(compare.compare_runs(*_halves(spark, sf_dir)).select("evaluator", "n_a", "n_b", "delta", "h", "verdict"), "delta")
+    return rounded(compare.compare_runs(*_halves(spark, sf_dir)).select("evaluator", "n_a", "n_b", "delta", "low_a", "high_a", "low_b", "high_b", "h", "verdict"), "delta", "low_a", "high_a", "low_b", "high_b")
 
 
 @query("""WITH v AS (SELECT CASE event_type WHEN 'click' THEN 'A' WHEN 'view' THEN 'B is better' WHEN 'error' THEN 'All equal' WHEN 'signup' THEN ' a.' ELSE 'Tie' END AS reply FROM events)

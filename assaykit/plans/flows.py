@@ -407,3 +407,23 @@ def budget_stop(spark, sf_dir):
 @query(f"WITH {RUNS} SELECT case_id, count(*) AS shots, round(count(*) FILTER (NOT passed OR model_error IS NOT NULL)::DOUBLE / count(*), 6) AS failure_rate, count(*) FILTER (NOT passed OR model_error IS NOT NULL)::DOUBLE / count(*) BETWEEN 0.5 AND 1.0 AS in_band FROM runs GROUP BY case_id")
 def hardness(spark, sf_dir):
     return rounded(gates.hardness(runs(spark, sf_dir)), "failure_rate")
+
+
+@query("SELECT event_type AS anchor, sha256((user_id % 20)::VARCHAR) AS fingerprint, count(*) AS \"count\", min(ts) AS first_seen, max(ts) AS last_seen, count(DISTINCT user_id) AS cases FROM events GROUP BY ALL")
+def stream_recorder(spark, sf_dir):
+    """Sightings of prompt renderings, with the cases that they were seen in, over a replayed stream."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("anchor"), F.sha2((F.col("user_id") % 20).cast("string"), 256).alias("fingerprint"), "ts", F.col("user_id").cast("string").alias("case_uid"))
+    out = _streamed(spark, rows, trials.recorder_totals, "complete")
+    return out.select("anchor", "fingerprint", "count", "first_seen", "last_seen", F.size("case_uids").cast("long").alias("cases"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS BIGINT) AS line_no, 'ok' AS verdict FROM supplier")
+def stream_chain(spark, sf_dir):
+    """Payloads of a stream appended to a hash-chained log over several triggers; the whole chain holds, and its last hash was anchored."""
+    at, seen = new_path(spark), []
+    s = table(spark, sf_dir, "supplier")
+    s.select(F.col("s_suppkey").alias("seq"), F.to_json(F.struct(F.concat(F.lit("r"), F.col("s_suppkey").cast("string")).alias("record_id"), F.col("s_name").alias("name"))).alias("payload")).repartition(3).write.parquet(f"{at}/in")
+    trials.append_chain(trials.replay(spark, f"{at}/in"), f"{at}/log", f"{at}/checkpoint", lambda line, sha: seen.append((line, sha))).awaitTermination()
+    log = spark.read.parquet(f"{at}/log")
+    assert len(seen) >= 1 and seen[-1][0] == log.agg(F.max("line_no")).first()[0]
+    return audit.verify_chain(log).select("line_no", "verdict")

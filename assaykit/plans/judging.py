@@ -360,3 +360,73 @@ def validation_verdicts(spark, sf_dir):
     status = F.element_at(F.array(*[F.lit(s) for s in ("ok", "broken", "no_discrimination", "unvalidatable")]), (F.col("p_partkey") % 4 + 1).cast("int"))
     mixed = table(spark, sf_dir, "part").select(status.alias("status"))
     return authoring.validation_verdict(mixed).union(authoring.validation_verdict(mixed.select(F.lit("unvalidatable").alias("status")))).union(authoring.validation_verdict(mixed.where("false")))
+
+
+@query(f"""WITH {PAIRS}, n AS (SELECT case_id, row_number() OVER (ORDER BY case_id) AS k FROM pairs), l AS (SELECT p_name AS output, row_number() OVER (ORDER BY p_partkey DESC) AS k FROM part)
+    SELECT case_id, output FROM n JOIN l USING (k)""")
+def replayed_outputs(spark, sf_dir):
+    """The n-th logged output for the n-th case."""
+    log = table(spark, sf_dir, "part").select((-F.col("p_partkey")).alias("seq"), F.col("p_name").alias("output"))
+    return suite.replayed(turn_pairs(spark, sf_dir), log).select("case_id", "output")
+
+
+@query(f"""WITH {PAIRS} SELECT case_id, conv_id FROM pairs WHERE NOT ({_N} BETWEEN 20 AND 60)""")
+def cases_failing(spark, sf_dir):
+    from ..operators import report
+
+    p = turn_pairs(spark, sf_dir)
+    return report.failing(p, ev.score(p, [ev.not_empty(), ev.word_count(20, 60)], ["case_id"]), "word_count").select("case_id", "conv_id")
+
+
+@query(f"""WITH {PAIRS}, m AS (SELECT 'model-' || turn % 3 AS model, input FROM pairs), g AS (SELECT model, count(*) AS calls, CAST(sum(ceil(length(input) / 4.0)) AS BIGINT) AS a, count(*) * 400 AS b FROM m GROUP BY model)
+    SELECT model, calls, (a + b)::BIGINT AS tokens, CASE model WHEN 'model-2' THEN NULL ELSE round((a * 2.0::DOUBLE + b * 8.0::DOUBLE) / 1e6, 6) END AS cost_usd FROM g""")
+def estimated_costs(spark, sf_dir):
+    from ..operators import authoring
+
+    prices = spark.createDataFrame([("model-0", 2.0, 8.0), ("model-1", 2.0, 8.0)], "model string, input_per_million double, output_per_million double")
+    prompts = turn_pairs(spark, sf_dir).select(F.concat(F.lit("model-"), (F.col("turn") % 3).cast("string")).alias("model"), F.col("input").alias("prompt"))
+    return authoring.estimated_costs(prompts, prices)
+
+
+@query("""SELECT user_id, array_to_string(list_concat(list_filter(['b', 'c', 'd'], lambda x: NOT (x = 'b' AND user_id % 2 = 0 OR x = 'c')), list_filter(['b', 'c', 'e'], lambda x: x <> 'b' OR user_id % 2 = 0)), ',') AS anchors FROM (SELECT DISTINCT user_id FROM events)""")
+def merged_targets(spark, sf_dir):
+    """Targets of cases united; new ones stand in for old ones of their anchor."""
+    from ..operators import authoring
+
+    t = lambda *names: F.array(*[F.struct(F.lit(n).alias("anchor"), F.lit(1).alias("v")) for n in names])
+    new = F.when(F.col("user_id") % 2 == 0, t("b", "c", "e")).otherwise(t("c", "e"))
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    return users.select("user_id", F.array_join(F.transform(authoring.merge_targets(t("b", "c", "d"), new), lambda x: x["anchor"]), ",").alias("anchors"))
+
+
+@query("SELECT count(DISTINCT s_nationkey) AS n FROM supplier")
+def unmapped_evaluators(spark, sf_dir):
+    """Evaluators that no control names: nations of suppliers against an empty mapping, and against a full one."""
+    from ..operators import audit
+
+    used = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("evaluator"))
+    none = audit.unmapped(used.where("false"), used).agg(F.count("*").alias("n"))
+    assert audit.unmapped(used, used).count() == 0
+    return none
+
+
+@query("""SELECT p_partkey::VARCHAR AS trace_id, 'question ' || p_partkey AS input, CASE WHEN p_partkey % 2 = 0 THEN 'answer' END AS output FROM part""")
+def imported_traces(spark, sf_dir):
+    """Traces of a store with pages, as many as there are parts, read as a data source."""
+    from ..sources.importers import imported
+
+    return imported(spark, _Shelf(table(spark, sf_dir, "part").count())).select("trace_id", "input", "output")
+
+
+class _Shelf:
+    """A store of n numbered traces in pages of 64."""
+
+    def __init__(self, n):
+        self.n = n
+
+    def pages(self):
+        return [str(i) for i in range(0, self.n, 64)]
+
+    def page(self, name):
+        for i in range(int(name), min(int(name) + 64, self.n)):
+            yield {"trace_id": str(i), "input": f"question {i}", "output": "answer" if i % 2 == 0 else None, "other": "x"}

@@ -232,3 +232,54 @@ def prompt_fingerprints(spark, sf_dir):
     """Strict and loose fingerprints of all ASCII documents (SQL has no NFC); others are in the tests."""
     d = table(spark, sf_dir, "documents").where(r"text is not null and text rlike '^[\\x20-\\x7e\\n\\t]*\\z'")
     return d.select("doc_id", lineage.fingerprints(F.col("text")).alias("f")).select("doc_id", "f.*")
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS line_no, 'r' || o_orderkey AS run_id, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS pass_rate, o_custkey AS total FROM orders ORDER BY line_no DESC LIMIT 40")
+def read_experiments_jsonl(spark, sf_dir):
+    """The newest forty runs of a log with a run for each order, one with a missing field in three, after a broken line."""
+    o = table(spark, sf_dir, "orders")
+    line = F.to_json(F.struct(F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("run_id"), F.lit("nightly").alias("experiment"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("pass_rate"), F.col("o_custkey").alias("total")))
+    path = _file(o.select("o_orderkey", line.alias("value")), "o_orderkey", ".jsonl")
+    return tables.experiments_jsonl(spark, path, 40).select("line_no", "run_id", "pass_rate", "total")
+
+
+@query("""WITH p AS (SELECT DISTINCT user_id, event_type FROM events), g AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)
+    SELECT user_id::VARCHAR AS case_uid, string_agg(a, ',' ORDER BY k, a) AS anchors FROM (SELECT DISTINCT user_id, 0 AS k, 'click' AS a FROM events UNION ALL SELECT user_id, 1, event_type FROM g WHERE n >= 2 AND event_type <> 'click') GROUP BY user_id""")
+def bound_cases(spark, sf_dir):
+    """Every case holds a target for clicks; renderings seen twice or more add theirs."""
+    e = table(spark, sf_dir, "events")
+    seen = e.groupBy(F.col("event_type").alias("anchor"), F.sha2(F.col("user_id").cast("string"), 256).alias("fingerprint")).agg(F.lit("").alias("loose_fingerprint"), F.count("*").alias("count"), F.collect_set(F.col("user_id").cast("string")).alias("case_uids"))
+    cases = e.select(F.col("user_id").cast("string").alias("case_uid")).distinct().withColumn("targets", F.array(F.struct(F.lit("click").alias("anchor"), F.lit("own").alias("fingerprint"))))
+    out = lineage.bound(cases, lineage.bindings(seen), 2)
+    return out.select("case_uid", F.array_join(F.transform("targets", lambda t: t["anchor"]), ",").alias("anchors"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'write to [REDACTED:email] or call' ELSE 'nothing to hide ' || doc_id END AS text FROM documents""")
+def sanitised_traces(spark, sf_dir):
+    from ..functions import pii
+
+    k = F.col("doc_id")
+    said = F.when(k % 2 == 0, F.concat(F.lit("write to u"), k.cast("string"), F.lit("@mail.example or call"))).otherwise(F.concat(F.lit("nothing to hide "), k.cast("string")))
+    d = table(spark, sf_dir, "documents").select("doc_id", said.alias("text"))
+    return pii.sanitised(pii.sanitised(d, "text", "redact"), "text", "strict")
+
+
+@query(f"""WITH {CASES}, g AS (SELECT count(*) AS total, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status IN ('passed', 'failed_quality')) AS evaluated, count(*) FILTER (status IN ('model_error', 'judge_error')) AS errors, count(*) FILTER (status = 'skipped') AS skipped FROM cases)
+    SELECT row_number() OVER (ORDER BY case_id) AS seq, '<tr class="' || status || '"><td>' || case_id || '</td><td>' || status || '</td>' AS line FROM cases
+    UNION ALL SELECT 0, '<!DOCTYPE html><meta charset=utf-8><title>a &lt; b</title><h1>a &lt; b</h1><p>' || passed || ' of ' || evaluated || ' passed, ' || errors || ' errors, ' || skipped || ' skipped</p><table>' FROM g UNION ALL SELECT total + 1, '</table>' FROM g""")
+def html_report(spark, sf_dir):
+    """The lines of a report's page, without the numbers that engines round apart."""
+    cases = report.fold_runs(runs(spark, sf_dir))
+    lines = sinks.html_lines(cases, report.summary(cases), "a < b")
+    return lines.select("seq", F.regexp_replace("line", r"(?<=</td>)<td>[0-9,.]*</td><td>[0-9,.]*</td></tr>$", "").alias("line"))
+
+
+@query("""WITH t AS (SELECT conv_id, count(*) FILTER (role = 'user' AND length(trim(text, ' \n')) > 0 AND turn = m) AS n FROM (SELECT *, min(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS m FROM conversations) GROUP BY conv_id)
+    SELECT unnest(['cases', 'findings', 'thresholds']) AS part, unnest([CAST(sum(least(n, 1)) AS BIGINT), 4, 2]) AS lines FROM t""")
+def bootstrap_files(spark, sf_dir):
+    """A suite started from traces: as many cases as traces with an input, four findings, thresholds of two evaluators."""
+    from .flows import _traces
+
+    scores = table(spark, sf_dir, "events").where("event_type in ('click', 'view')").select(F.col("event_type").alias("evaluator"), (F.col("value") / 200).alias("score"))
+    counts = authoring.bootstrap(_traces(spark, sf_dir), "conv_id", new_path(spark), scores)
+    return spark.createDataFrame([(k, v) for k, v in counts.items() if k != "recommendations"], "part string, lines long")

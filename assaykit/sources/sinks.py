@@ -56,6 +56,22 @@ def _escaped(c: Column, attribute: bool = False) -> Column:
     return c
 
 
+def html_lines(cases: DataFrame, summary: DataFrame, title: str) -> DataFrame:
+    """seq and line of an HTML page of a report: its numbers, then a table row a case (case_id, status, score, latency_ms), in order."""
+    cell = lambda c: F.concat(F.lit("<td>"), _escaped(F.coalesce(c.cast("string"), F.lit(""))), F.lit("</td>"))
+    row = F.concat(F.lit('<tr class="'), "status", F.lit('">'), cell(F.col("case_id")), cell(F.col("status")), cell(F.format_string("%.4f", "score")), cell(F.format_string("%.1f", "latency_ms")), F.lit("</tr>"))
+    body = numbered(cases.select("case_id", row.alias("line")), "case_id", name="seq", start=1)
+    said = F.format_string("%d of %d passed, %d errors, %d skipped", "passed", "evaluated", "errors", "skipped")
+    top = F.concat(F.lit("<!DOCTYPE html><meta charset=utf-8><title>"), _escaped(F.lit(title)), F.lit("</title><h1>"), _escaped(F.lit(title)), F.lit("</h1><p>"), said, F.lit("</p><table>"))
+    ends = summary.select(F.inline(F.array(F.struct(F.lit(0).cast("long").alias("seq"), top.alias("line")), F.struct((F.col("total") + 1).alias("seq"), F.lit("</table>").alias("line")))))
+    return body.select("seq", "line").unionByName(ends)
+
+
+def write_html(cases: DataFrame, summary: DataFrame, title: str, path: str) -> None:
+    """The page as one text file in a folder, streamed by one task."""
+    html_lines(cases, summary, title).orderBy("seq").select("line").coalesce(1).write.text(path)
+
+
 def write_junit(rows: DataFrame, suite: str, path: str) -> None:
     """The document as one text file in a folder. Ranges are sorted apart; one task streams them, in order, into the file."""
     junit_lines(rows, suite).orderBy("seq").select("line").coalesce(1).write.text(path)

@@ -112,6 +112,13 @@ def experiment_history(log: DataFrame, n: int = 20) -> DataFrame:
     return log.orderBy(F.desc("seq")).limit(n)
 
 
+def experiments_jsonl(spark: SparkSession, path: str, n: int = 20) -> DataFrame:
+    """The last n runs of a JSON Lines log, newest first by place in the file: line_no, run_id, experiment, pass_rate, total, passed; lines that are no objects go."""
+    field = lambda k: F.get_json_object("value", f"$.{k}")
+    good = numbered_lines(spark, path).where(F.try_parse_json("value").isNotNull() & F.startswith(F.ltrim("value"), F.lit("{")))
+    return good.select("line_no", field("run_id").alias("run_id"), field("experiment").alias("experiment"), field("pass_rate").try_cast("double").alias("pass_rate"), field("total").try_cast("long").alias("total"), field("passed").try_cast("long").alias("passed")).orderBy(F.desc("line_no")).limit(n)
+
+
 def recordings(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
     """Prompt recordings; malformed lines, those without an object anchor or fingerprint, and those of later versions go."""
     v = numbered_lines(spark, path)

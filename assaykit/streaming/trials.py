@@ -8,7 +8,7 @@ are not.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -90,12 +90,13 @@ def drain(stream: DataFrame, mode: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def append_chain(stream: DataFrame, path: str, checkpoint: str):
+def append_chain(stream: DataFrame, path: str, checkpoint: str, anchor: Callable[[int, str], None] | None = None):
     """Writes payloads (seq, payload JSON) of a stream to a hash-chained log, one file a batch, in seq order.
 
     A log has one writer: each batch's payloads, which are one append, link to the last
     line before. One task streams a batch's payloads in order; the driver sees the last
-    line's hash alone.
+    line's hash alone, and gives it to ``anchor`` (line_no, hash), which may store it where
+    the log's writer can't change it.
     """
     import json
 
@@ -121,5 +122,8 @@ def append_chain(stream: DataFrame, path: str, checkpoint: str):
         linked = batch.select("seq", "payload").orderBy("seq").coalesce(1).mapInPandas(link, "line_no long, value string")
         if not batch.isEmpty():
             linked.write.mode("append").parquet(path)
+            if anchor is not None:
+                end = spark.read.parquet(path).orderBy(F.desc("line_no")).first()
+                anchor(end["line_no"], json.loads(end["value"])["record_hash"])
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

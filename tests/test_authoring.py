@@ -83,10 +83,10 @@ def test_reliability_gate(spark):
 
 
 def test_contrast_twins_read_whole_answers(spark, sf_dir):
-    from assaykit.plans import authored, base
+    from assaykit.plans import base, judging
 
     said = {r.case_id: r for r in base.turn_pairs(spark, sf_dir).collect()}
-    got = authored.contrast_twins(spark, sf_dir).collect()
+    got = judging.contrast_twins(spark, sf_dir).collect()
     assert any(len(said[r.case_id].output) > 40 for r in got)
     for r in got:
         prompt = f"Question: {said[r.case_id].input}\nRight answer: {said[r.case_id].output}\nWrite a wrong answer that looks right."

@@ -181,3 +181,76 @@ def test_near_pairs_of_one_hot_word(spark):
     sets = {k: set(t) for k, t in rows}
     want = {(i, 2000 + i) for i in range(40)} | {(0, 3000), (3001, 3002)}
     assert all(not sets[a] and not sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.85 for a, b in got) and want <= got
+
+
+def test_assertions_name_what_failed(spark):
+    from assaykit.operators import evaluators as ev
+    from assaykit.testing import assert_evaluators
+
+    cases = spark.createDataFrame([(1, "a"), (2, "b")], "case_id long, input string")
+    outputs = spark.createDataFrame([(i, k, "yes" if i == 1 or k == 1 else "") for i in (1, 2) for k in (1, 2, 3)], "case_id long, run_no int, output string")
+    checks = Suite("s", [ev.not_empty()])
+    assert_evaluators(checks, cases.where("case_id = 1"), outputs=outputs.where("case_id = 1"))
+    with pytest.raises(AssertionError, match="1 results of s failed: 2:not_empty"):
+        assert_evaluators(checks, cases, outputs=outputs)
+    with pytest.raises(AssertionError, match="1:error"):
+        assert_evaluators(checks, cases, lambda ps: 1 / 0)
+    assert ev.exact_match().evaluate(spark, output="A ", expected_output="a").score == 1.0
+    assert ev.exact_match().evaluate(spark, output="A", expected_output=None).skipped
+
+
+def test_packages_check_themselves(tmp_path):
+    import io
+    import subprocess
+    import sys
+    import zipfile
+
+    from assaykit.operators import audit
+
+    zipfile.ZipFile(io.BytesIO(audit.package({"log.ndjson": b"1"}))).extractall(tmp_path)
+    run = lambda: subprocess.run([sys.executable, "verify.py"], cwd=tmp_path, capture_output=True, text=True)
+    assert run().returncode == 0
+    (tmp_path / "log.ndjson").write_text("2")
+    assert run().returncode == 1 and "log.ndjson" in run().stdout
+    assert set(audit.host_facts()) == {"python", "pyspark", "system"}
+    (tmp_path / ".git" / "refs" / "heads").mkdir(parents=True)
+    (tmp_path / ".git" / "HEAD").write_text("ref: refs/heads/main\n")
+    (tmp_path / ".git" / "refs" / "heads" / "main").write_text("abc\n")
+    assert audit.git_facts(str(tmp_path)) == {"branch": "main", "commit": "abc"} and audit.git_facts("/proc") == {}
+
+
+def test_contrasts_are_checked_and_paid_for(spark):
+    cases = spark.createDataFrame([(i, f"q{i}", f"a{i}") for i in range(6)], "case_id long, input string, expected_output string")
+    wrong = lambda ps: [f"wrong {p[10:12]}" for p in ps]
+    kept = authoring.contrast_pairs(cases, wrong, check=lambda ps: ["no" if "q2" in p else "yes" for p in ps])
+    assert sorted(r.case_id for r in kept.collect()) == [0, 1, 3, 4, 5]
+    assert authoring.contrast_pairs(cases, wrong, most=2).count() == 2
+
+
+def test_terminal_report_and_pace(spark):
+    import time
+
+    rows = [(i, 1, 1.0 if i else 0.0, bool(i), 1.0, "o", False, None, None, None) for i in range(4)]
+    runs_ = spark.createDataFrame(rows, "case_id long, run_no int, score double, passed boolean, latency_ms double, output string, skipped boolean, model_error string, judge_error string, evaluator_error string")
+    cases = report.fold_runs(runs_)
+    by = report.by_evaluator(cases.select(F.lit("all").alias("evaluator"), "score", (F.col("status") == "passed").alias("passed")))
+    said = report.rendered(report.summary(cases), by)
+    assert said.startswith("3 of 4 passed (75.0%") and "all " in said
+    slow = judge.paced(lambda ps: ps, 20)
+    began = time.monotonic()
+    for _ in range(3):
+        slow(["x"])
+    assert time.monotonic() - began >= 0.09
+
+
+def test_tracers_make_steps(spark):
+    from assaykit.sources.tracing import Tracer
+
+    t = Tracer("t1")
+    with t.span("llm", "plan", "go") as s:
+        s["output"] = "look"
+    with t.span("tool", "search"), pytest.raises(ValueError, match="no"), t.span("tool", "fetch"):
+        raise ValueError("no")
+    rows = t.spans(spark).orderBy("seq").collect()
+    assert [(r.kind, r.name, r.output, r.error) for r in rows] == [("llm", "plan", "look", None), ("tool", "search", None, None), ("tool", "fetch", None, "ValueError: no")]
+    assert [(r.step_no, r.calls) for r in authoring.steps(t.spans(spark)).collect()] == [(1, ["search", "fetch"])]
