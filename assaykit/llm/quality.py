@@ -190,8 +190,8 @@ def fit(rows: list[np.ndarray], label: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled documents whose crc32(doc_id) mod 5 is not 0."""
     chosen = (
-        labels.where("doc_id is not null and quality is not null")
-        .where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+        labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "quality")
+        .where(F.crc32("doc_id") % 5 != 0)
         .groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
@@ -202,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             sets = [np.flatnonzero(features.of(t)).astype(np.uint16).tobytes() for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(sets, pa.binary())], names=["doc_id", "quality", "f"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(indexes, "doc_id long, quality int, f binary")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").mapInArrow(indexes, "doc_id string, quality int, f binary")
     held = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "f").limit(sample).select("quality", "f").toArrow()
     index = [np.frombuffer(x.as_buffer(), np.uint16) for x in held.column("f")]
     return fit(index, np.array(held.column("quality").to_pylist(), np.int64))

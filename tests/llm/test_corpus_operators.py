@@ -319,6 +319,20 @@ def test_mixing(spark):
     assert mixing.apply_mix(odd, slots=512).columns == odd.columns and mixing.apply_mix(odd, slots=512).count() == sum(times.values())
 
 
+def test_a_hot_source_is_spread_over_all_partitions(spark):
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 20).cast("string"))).alias("source"))
+    sizes = sorted(r["count"] for r in mixing.apply_mix(docs).groupBy(F.spark_partition_id()).count().collect())
+    assert len(sizes) == 8 and sizes[-1] < 1.2 * sizes[4]
+
+
+def test_a_hot_group_of_copies_joins_as_one_class(spark):
+    """A third of 50,000 rows hold one text, a tenth nothing."""
+    text = F.when(F.col("id") % 3 == 0, "the same old words again here").when(F.col("id") % 10 == 1, "").otherwise(F.concat_ws(" ", *[F.hex(F.xxhash64("id", F.lit(i))) for i in range(6)]))
+    got = jaccard.join(spark.range(50_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit(1).alias("n")))
+    groups = {r["count"] for r in got.where("component_id = 0").groupBy("component_id", "class_id", "n_shingles").count().collect()}
+    assert groups == {16_667} and got.count() == 50_000 and got.where("n_shingles = 0 and component_id != doc_id").count() == 0
+
+
 def test_mixed_documents_stand_in_slot_order(spark):
     """Any stretch of the output holds the sources in about their shares."""
     rng = random.Random(3)

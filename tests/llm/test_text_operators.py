@@ -255,6 +255,9 @@ def test_quality_edges(spark, docs, empty):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: r.predicted for r in quality.classify(table, quality.train(table, some)).collect()}
     assert sum(found[i] == i % 2 for i in range(40)) >= 38
+    named = table.withColumn("doc_id", table["doc_id"].cast("string"))
+    again = {int(r.doc_id): r.predicted for r in quality.classify(named, quality.train(named, some)).collect()}
+    assert again == found
     assert quality.classify(empty, model).count() == 0
 
 
