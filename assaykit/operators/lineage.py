@@ -133,7 +133,7 @@ def match(base: DataFrame, live: DataFrame, unscannable: DataFrame | None = None
     empty = base.sparkSession.createDataFrame([], "id long, live_id long, n int")
     taken, settled = empty, None
 
-    def tier(left: DataFrame, key: list[str], static: bool | None, status: str, label: Column, confidence: Column, nearest: bool, same_file_first: bool = False) -> DataFrame:
+    def tier(left: DataFrame, key: list[str], static: bool | None, status: str, label: Column, confidence: Column, nearest: bool, other_file: bool = False) -> DataFrame:
         nonlocal taken, settled
         from ..storage import cut
 
@@ -143,18 +143,19 @@ def match(base: DataFrame, live: DataFrame, unscannable: DataFrame | None = None
         x = left.select(*key, F.col("id").alias("b_id"), F.col("line").alias("b_line"), F.col("file_path").alias("b_file"), F.col("loose_fingerprint").alias("b_loose"))
         y = open_live.select(*key, F.col("id").alias("l_id"), F.col("line").alias("l_line"), F.col("file_path").alias("l_file"), F.col("loose_fingerprint").alias("l_loose"))
         pairs = x.join(y, key)
-        if same_file_first:
+        if other_file:
             pairs = pairs.where("b_file != l_file")
         g = pairs.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("b_id", "b_line", "b_file", "b_loose"))).alias("bs"), F.array_sort(F.collect_set(F.struct("l_id", "l_line", "l_file", "l_loose"))).alias("ls"))
-        # Fold over the key's baseline sites: each takes its best open live site.
+        # Fold over the key's baseline sites: each takes its best open live site; across files only a site that is the only one.
+        can = (lambda acc, s: F.filter(acc["open"], lambda o: o["l_file"] != s["b_file"])) if other_file else (lambda acc, s: acc["open"])
+        fits = lambda acc, s: F.size(can(acc, s)) == 1 if other_file else F.size(can(acc, s)) > 0
+        best = lambda acc, s: _best(can(acc, s), s, nearest)
         pick = lambda acc, s: F.struct(
-            F.concat(acc["done"], F.when(F.size(acc["open"]) > 0, F.array(F.struct(s["b_id"].alias("id"), _best(acc["open"], s, nearest)["l_id"].alias("live_id"), F.size(acc["open"]).alias("n"), (s["b_loose"] == _best(acc["open"], s, nearest)["l_loose"]).alias("loose")))).otherwise(F.array().cast("array<struct<id:bigint,live_id:bigint,n:int,loose:boolean>>"))).alias("done"),
-            F.filter(acc["open"], lambda o: o["l_id"] != F.coalesce(_best(acc["open"], s, nearest)["l_id"], F.lit(-1))).alias("open"),
+            F.concat(acc["done"], F.when(fits(acc, s), F.array(F.struct(s["b_id"].alias("id"), best(acc, s)["l_id"].alias("live_id"), F.size(can(acc, s)).alias("n"), (s["b_loose"] == best(acc, s)["l_loose"]).alias("loose")))).otherwise(F.array().cast("array<struct<id:bigint,live_id:bigint,n:int,loose:boolean>>"))).alias("done"),
+            F.filter(acc["open"], lambda o: ~fits(acc, s) | (o["l_id"] != F.coalesce(best(acc, s)["l_id"], F.lit(-1)))).alias("open"),
         )
         start = F.struct(F.array().cast("array<struct<id:bigint,live_id:bigint,n:int,loose:boolean>>").alias("done"), F.col("ls").alias("open"))
         got = cut(g.select(F.inline(F.aggregate("bs", start, pick)["done"])))
-        if same_file_first:
-            got = got.where("n = 1")
         out = got.select("id", "live_id", F.lit(status).alias("status"), label.alias("label"), confidence.alias("confidence"))
         settled = out if settled is None else settled.unionByName(out)
         taken = taken.unionByName(got.select("id", "live_id", "n"))

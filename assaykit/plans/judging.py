@@ -430,3 +430,23 @@ class _Shelf:
     def page(self, name):
         for i in range(int(name), min(int(name) + 64, self.n)):
             yield {"trace_id": str(i), "input": f"question {i}", "output": "answer" if i % 2 == 0 else None, "other": "x"}
+
+
+def _echo(inputs):
+    """A model by rule: the first half of the input's words, and an error for inputs of a length that 31 divides."""
+    if any(len(x) % 31 == 0 for x in inputs):
+        raise ValueError("overload")
+    return [" ".join(x.split()[: len(x.split()) // 2]) for x in inputs]
+
+
+_HALF = "list_filter(regexp_split_to_array(input, '\\s+'), lambda x: x <> '')"
+
+
+@query(f"""WITH {PAIRS}, o AS (SELECT case_id, length(input) % 31 = 0 AS bad, len({_HALF}) // 2 AS n FROM pairs), g AS (SELECT count(*) AS total, count(*) FILTER (bad) AS errors, count(*) FILTER (NOT bad AND n BETWEEN 5 AND 40) AS passed FROM o)
+    SELECT total, errors, passed, total - errors - passed AS failed, 2 AS runs_per_case, round(passed::DOUBLE / (total - errors), 6) AS pass_rate FROM g""")
+def suite_model_run(spark, sf_dir):
+    """A model asked twice a case, in batches; cases on which it fails are errors, not failures."""
+    cases = turn_pairs(spark, sf_dir).select("case_id", "input")
+    checks = suite.Suite("echo", [ev.not_empty(), ev.word_count(5, 40)])
+    _, _, summary = checks.run(cases, _echo, runs=2)
+    return rounded(summary.select("total", "errors", "passed", "failed", "runs_per_case", "pass_rate"), "pass_rate")

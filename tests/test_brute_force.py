@@ -142,3 +142,55 @@ def test_pairwise_cover(spark, sf_dir):
     for i, j, n in ((0, 1, 6), (0, 2, 6), (1, 2, 9)):
         assert len({(r[i], r[j]) for r in rows}) == n
     assert len(rows) < 18 and stats.wilson_value(0, 0) == (0.0, 1.0)
+
+
+def plain_match(base, live):
+    """The tiers of lineage.match as loops over dictionaries."""
+    anchor = lambda s: (s["file_path"], s["qualname"])
+    used, out, left = set(), {}, list(base)
+
+    def tier(sites, fits, status, label, confidence, nearest, only=False):
+        rest = []
+        for b in sites:
+            can = [x for x in live if x["id"] not in used and fits(b, x)]
+            if not can or only and len(can) != 1:
+                rest.append(b)
+                continue
+            best = min(can, key=(lambda x: (x["file_path"] != b["file_path"], abs(x["line"] - b["line"]), x["id"])) if nearest else (lambda x: x["id"]))
+            used.add(best["id"])
+            out[b["id"]] = (best["id"], status, label(b, best), "ambiguous" if nearest and len(can) > 1 else confidence)
+        return rest
+
+    static = lambda x: not x["is_dynamic"]
+    none = lambda b, x: ""
+    gone = [(b, "dynamic") for b in tier([b for b in left if b["is_dynamic"]], lambda b, x: anchor(b) == anchor(x), "unknown", lambda b, x: "dynamic", "structural", False)]
+    left = tier([b for b in left if static(b)], lambda b, x: static(x) and anchor(b) == anchor(x) and b["fingerprint"] == x["fingerprint"], "unchanged", none, "exact", False)
+    left = tier(left, lambda b, x: static(x) and b["fingerprint"] == x["fingerprint"], "unchanged", lambda b, x: "moved", "moved", True)
+    left = tier(left, lambda b, x: static(x) and anchor(b) == anchor(x), "changed", lambda b, x: "formatting-only" if b["loose_fingerprint"] == x["loose_fingerprint"] else "", "structural", True)
+    left = tier(left, lambda b, x: not static(x) and anchor(b) == anchor(x), "unknown", lambda b, x: "became-dynamic", "structural", False)
+    left = tier(left, lambda b, x: static(x) and b["file_path"] != x["file_path"] and b["qualname"] == x["qualname"] and b["loose_fingerprint"] == x["loose_fingerprint"], "changed", lambda b, x: "file-renamed,formatting-only", "structural", False, True)
+    for b, label in [*gone, *((b, "") for b in left)]:
+        out[b["id"]] = (None, "removed", label, "structural")
+    return out
+
+
+def test_sites_with_ties_and_duplicates(spark):
+    from assaykit.operators import lineage
+
+    names = [f.split()[0] for f in lineage.SITE.split(", ")]
+    for seed in range(3):
+        rng = random.Random(seed)
+
+        def sites(n, rng=rng):
+            made = []
+            for i in range(n):
+                text = f"prompt {rng.randint(0, 12)}"
+                said = text + " " * rng.randint(0, 1)
+                row = {"id": i, "file_path": f"f{rng.randint(0, 3)}.py", "line": rng.randint(1, 40), "sdk": "openai", "call_site": "c", "role": "user", "role_position": 0, "qualname": f"q{rng.randint(0, 5)}", "fingerprint": said, "loose_fingerprint": text, "is_dynamic": rng.random() < 0.15}
+                made.append(row)
+            return made
+
+        base, live = sites(50), sites(45)
+        frame = lambda rows: spark.createDataFrame([tuple(r[k] for k in ("id", *names)) for r in rows], f"id long, {lineage.SITE}")
+        got = {r.id: (r.live_id, r.status, r.label, r.confidence) for r in lineage.match(frame(base), frame(live)).collect()}
+        assert got == plain_match(base, live)
