@@ -61,13 +61,15 @@ _HIT = "key long, sig long, doc long, place long, state tinyint"
 def identified(docs: DataFrame) -> DataFrame:
     """doc, text, doc_id: doc is a number for each distinct document, in corpus order.
 
-    It is the doc_id itself unless one doc_id (or null) has several texts; then the
-    distinct (doc_id, hash of the text) pairs are sorted into ranges and numbered.
+    It is the doc_id itself unless a doc_id (or null) comes twice; then the distinct
+    (doc_id, hash of the text) pairs are sorted into ranges and numbered. Whether one
+    comes twice takes the ids alone, no texts.
     """
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    many = named.groupBy("doc_id").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("lo < hi")
-    if not many.limit(1).count():
-        return named.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc"), "text", "doc_id")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    own = F.coalesce("doc_id", F.lit(_FIRST)).alias("doc")
+    if not named.groupBy(own).count().where("count > 1").limit(1).count():
+        return named.select(own, "text", "doc_id")
+    named = named.withColumn("hash", F.xxhash64("text"))
     pairs = named.select("doc_id", "hash").distinct().repartitionByRange(parts(docs.sparkSession), "doc_id", "hash").sortWithinPartitions("doc_id", "hash")
     x, y = named.alias("x"), cut(pairs.withColumn("doc", F.monotonically_increasing_id())).alias("y")
     return x.join(y, F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.hash") == F.col("y.hash"))).select("y.doc", "x.text", "x.doc_id")
@@ -190,14 +192,15 @@ def dictionary(rows: DataFrame) -> DataFrame:
         for batch in batches:
             key, sig, doc, place, state = (batch.column(i).to_numpy() for i in range(5))
             done = state == _SETTLED
-            out = [(False, key[done], doc[done], place[done], state[done])]
+            # Repeats need no trigger any more.
+            out = [(False, np.zeros_like(key[done]), doc[done], place[done], state[done])]
             key, sig, doc, place, state = _distinct(*(x[~done] for x in (key, sig, doc, place, state)), before=row)
             if len(key):
                 row = key[-1], sig[-1], doc[-1], place[-1], state[-1]
                 new = np.ones(len(key), bool)
                 new[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
                 new[0] = last != (key[0], sig[0])
-                out.append((False, key[~new], doc[~new], place[~new], state[~new]))
+                out.append((False, np.zeros_like(key[~new]), doc[~new], place[~new], state[~new]))
                 last = key[-1], sig[-1]
                 k, d, p, t = key[new], doc[new], place[new], state[new]
                 if len(k):
