@@ -214,8 +214,13 @@ def gstin(c: Column) -> Column:
 CHECKS = {"credit_card": luhn, "aadhaar": verhoeff, "iban": iban, "nhs_number": nhs, "ssn": ssn, "pan": pan, "gstin": gstin}
 
 
-def found(text: Column, name: str, pattern: str, strict: bool = True) -> Column:
-    """Matches of one pattern: its group where it has one, checked where a check exists."""
+def _lowered(text: Column) -> Column:
+    """The text as cues see it; the long s and the Kelvin sign match s and k without case, so they count as them."""
+    return F.lower(F.translate(F.coalesce(text, F.lit("")), "\u017f\u212a", "sk"))
+
+
+def found(text: Column, name: str, pattern: str, strict: bool = True, low: Column | None = None) -> Column:
+    """Matches of one pattern: its group where it has one, checked where a check exists. ``low`` is the text as cues see it, where a caller has it."""
     group = re.compile(pattern).groups
     flags = "(?U)" if name in CASE_SENSITIVE else "(?iU)"
     text = F.coalesce(text, F.lit(""))
@@ -223,8 +228,7 @@ def found(text: Column, name: str, pattern: str, strict: bool = True) -> Column:
     if pattern in (BASE | HIPAA | GDPR | CCPA | DPDP).values() and (name in WITH_DIGIT or name in CUES):
         worth = text.rlike(r"(?U)\d") if name in WITH_DIGIT else F.lit(True)
         if name in CUES:
-            # Folding keeps the cues' ASCII letters; the long s and the Kelvin sign match s and k without case, so they count as them.
-            low = F.lower(F.translate(text, "\u017f\u212a", "sk"))
+            low = _lowered(text) if low is None else low
             worth = worth & reduce(or_, (F.contains(low, F.lit(c)) for c in CUES[name]))
         hits = F.when(worth, hits).otherwise(F.array().cast("array<string>"))
     return F.filter(hits, CHECKS[name]) if strict and name in CHECKS else hits
@@ -232,8 +236,10 @@ def found(text: Column, name: str, pattern: str, strict: bool = True) -> Column:
 
 def counts(text: Column, jurisdiction: str = "all", strict: bool = True, extra: dict[str, str] | None = None) -> Column:
     """Map of pattern name to number of surviving matches, for the patterns that have any."""
-    pairs = [F.struct(F.lit(n).alias("k"), F.size(found(text, n, p, strict)).alias("v")) for n, p in patterns(jurisdiction, extra).items()]
-    return F.map_from_entries(F.filter(F.array(*pairs), lambda e: e["v"] > 0))
+    pairs = lambda low: [F.struct(F.lit(n).alias("k"), F.size(found(text, n, p, strict, low)).alias("v")) for n, p in patterns(jurisdiction, extra).items()]
+    # Each text is lowered once, for all patterns.
+    met = F.element_at(F.transform(F.array(_lowered(text)), lambda low: F.filter(F.array(*pairs(low)), lambda e: e["v"] > 0)), 1)
+    return F.map_from_entries(met)
 
 
 SPAN = "struct<kind:string,label:string,start:int,end:int,match:string>"

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +16,7 @@ from ..storage import cut
 BEHAVIOUR_KEYS = ("expected_behavior", "expected_behaviour", "expected_response", "expected")
 JACCARD = 0.85
 #: Hash buckets of token counts; their number decides order and cost, never results.
-BUCKETS = 1 << 14
+BUCKETS = 1 << 18
 
 
 def _filled(c: Column) -> Column:
@@ -39,27 +43,35 @@ def near_pairs(df: DataFrame, key: str, tokens: str, threshold: float = JACCARD)
 
     Rows with equal sets are one class, paired through their first row alone: links
     between copies follow from class members. Tokens sort rarest first, by counts in
-    BUCKETS hash buckets, so that each row orders its own set and no token but those of
-    prefixes is shuffled; pairs meet on a token of both prefixes only, by its hash, and
+    BUCKETS hash buckets (on the driver, whatever the input), so that each row orders its
+    own set and no token but those of prefixes is shuffled; pairs meet on a token of both prefixes only, by its hash, and
     whole sets decide. Empty sets are alike and form one class.
     """
-    sets = df.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(tokens)).alias("s"))
-    sets = sets.withColumn("h", F.sha2(F.to_json("s"), 256))
-    rep = sets.groupBy("h").agg(F.min("k").alias("a"), F.first("s").alias("s"))
-    copies = sets.select(F.col("k").alias("b"), "h").join(rep.select("h", "a"), "h").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
-    rep = cut(rep.where(F.size("s") > 0).select(F.col("a").alias("k"), "s"))
-    name = lambda t: F.xxhash64(t)
-    bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
-    counts = rep.select(F.explode("s").alias("t")).groupBy(bucket(name("t")).alias("b")).agg(F.count("*").alias("c"))
-    # One row of at most BUCKETS numbers, for every task.
-    every = df.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
-    sketch = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", F.coalesce("c", F.lit(0)).alias("c")))), lambda x: x["c"]).alias("m"))
-    n = F.size("s")
-    ranked = F.array_sort(F.transform("s", lambda t: F.struct(F.element_at("m", bucket(name(t)) + 1).alias("c"), name(t).alias("t"))))
-    # A token that is alone in its bucket is in one set.
-    prefix = F.slice(ranked, F.lit(1), (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
-    short = rep.join(F.broadcast(sketch)).select("k", n.alias("n"), F.posexplode(prefix).alias("p", "x")).where("x.c > 1").select("k", "n", (F.col("p") + 1).alias("p"), "x.t")
-    short = cut(short)
+    sets = df.select(F.col(key).alias("k"), F.sort_array(F.array_distinct(tokens)).alias("s"))
+    # Tokens are taken apart once; classes are found from digests alone.
+    sets = cut(sets.withColumn("h", F.sha2(F.to_json("s"), 256)))
+    first = sets.groupBy("h").agg(F.min("k").alias("a"))
+    copies = sets.select(F.col("k").alias("b"), "h").join(first, "h").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+    rep = cut(sets.where(F.size("s") > 0).join(first.select("h", F.col("a").alias("k")), ["h", "k"], "left_semi").select("k", "s").dropDuplicates(["k"]))
+    named = rep.select("k", F.transform("s", lambda t: F.xxhash64(t)).alias("h"))
+    counts = np.zeros(BUCKETS, np.int64)
+    found = named.select(F.explode("h").alias("t")).groupBy(F.pmod("t", F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("c")).toArrow()
+    counts[found.column("b").to_numpy()] = found.column("c").to_numpy()
+    sketch = df.sparkSession.sparkContext.broadcast(counts)
+
+    @F.pandas_udf("struct<p:array<int>,t:array<bigint>>")
+    def prefix(h: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in h:
+            c = sketch.value[t % BUCKETS]
+            order = np.lexsort((t, c))[: len(t) - math.ceil(len(t) * threshold - 1e-9) + 1]
+            # A token that is alone in its bucket is in one set.
+            place = np.flatnonzero(c[order] > 1)
+            rows.append((place + 1, t[order[place]]))
+        return pd.DataFrame(rows, columns=["p", "t"])
+
+    short = named.select("k", F.size("h").alias("n"), prefix("h").alias("x")).select("k", "n", F.explode(F.arrays_zip("x.p", "x.t")).alias("x"))
+    short = cut(short.select("k", "n", "x.p", "x.t"))
     x, y = (short.select("t", F.col("k").alias(f"k{i}"), F.col("n").alias(f"n{i}"), F.col("p").alias(f"p{i}")) for i in "xy")
     fits = (F.least("nx", "ny") >= F.greatest("nx", "ny") * threshold - 1e-9) & (F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) + 1 >= (F.col("nx") + F.col("ny")) * threshold / (1 + threshold) - 1e-9)
     met = x.join(y, "t").where((F.col("kx") < F.col("ky")) & fits).select(F.col("kx").alias("a"), F.col("ky").alias("b")).distinct()
