@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, jaccard, media, mixing, pieces, quality, repeats, secrets, token_counts
+from . import chat, collocations, fingerprints, jaccard, media, mixing, pieces, quality, repeats, search, secrets, token_counts, toxicity
 from .common import documents
 
 
@@ -66,8 +66,28 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.classify(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
+QUERIES = (
+    op1_chat_formatting, op2_sentencepiece, op3_document_fingerprints, op4_ngram_jaccard_join, op5_quality_classifier, op6_suffix_array_dedup, op7_token_counts,
+    op8_secret_scans, op9_media_columns, op10_source_mixing, op11_ranked_lexical_search, op12_toxicity, op13_phrase_collocations,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_sentencepiece, op3_document_fingerprints, op4_ngram_jaccard_join, op5_quality_classifier, op6_suffix_array_dedup, op7_token_counts, op8_secret_scans, op9_media_columns, op10_source_mixing)}
+    return {f.__name__: f for f in QUERIES}
 
 
 _ESC = r"regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\1\\|', 'g')"
@@ -106,6 +126,33 @@ SQL = {
         SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(target, 6) AS target,
                CAST(greatest(0, least(size, amount - pos)) + greatest(0, least(size, amount - pos - source_size)) AS BIGINT) AS taken
         FROM a JOIN m2 ON a.source IS NOT DISTINCT FROM m2.source""",
+    "op11_ranked_lexical_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+        w AS (SELECT row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        i AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        q AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY item_id, term),
+        p AS (SELECT row, doc_id, term, count(*) AS tf, sum(count(*)) OVER (PARTITION BY row) AS n FROM w GROUP BY row, doc_id, term),
+        s AS (SELECT count(DISTINCT row) AS docs, count(*) AS terms FROM w),
+        f AS (SELECT term, count(*) AS df FROM p WHERE term IN (SELECT term FROM q) GROUP BY term),
+        g AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM f, s),
+        m AS (SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // terms)))) AS part FROM p JOIN g USING (term), s),
+        t AS (SELECT item_id, row, doc_id, CAST(sum(times * part) AS BIGINT) AS score FROM m JOIN q USING (term) GROUP BY item_id, row, doc_id),
+        r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM t WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20""",
+    "op13_phrase_collocations": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM d),
+        s AS (SELECT lang, CAST(sum(len(words)) AS HUGEINT) AS n FROM p GROUP BY lang),
+        o AS (SELECT lang, size, unnest(list_transform(range(1, len(words) - size + 2), lambda i: array_to_string(words[i:i + size - 1], ' '))) AS phrase FROM p, range(1, 6) k(size) WHERE len(words) >= size),
+        f AS (SELECT lang, size, phrase, CAST(count(*) AS HUGEINT) AS f FROM o GROUP BY lang, size, phrase HAVING count(*) >= 100),
+        c AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS words FROM f WHERE size > 1),
+        x AS (SELECT c.*, cut, array_to_string(words[1:cut], ' ') AS head, array_to_string(words[cut + 1:], ' ') AS rest FROM c, range(1, 5) k(cut) WHERE cut < size),
+        y AS (SELECT x.lang, x.phrase, x.size, x.a, cut, u.f AS l, v.f AS r, n, (1000 * x.a * n) // (u.f * v.f) AS score
+              FROM x JOIN f u ON u.lang = x.lang AND u.phrase = x.head JOIN f v ON v.lang = x.lang AND v.phrase = x.rest JOIN s ON s.lang = x.lang),
+        b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM y),
+        z AS (SELECT * FROM b WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.a = b.a AND c.size > b.size AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))),
+        t AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM z)
+        SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM t WHERE rank <= 2000""",
 }
 
 
