@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pii, text
+from ..functions.schema import compiled
+from ..functions.schema import errors as schema_errors
 
 RESULT = "struct<evaluator:string,evaluator_ord:int,score:double,passed:boolean,skipped:boolean,reason:string>"
 #: Words that keyword overlap ignores.
@@ -179,48 +181,6 @@ def chrf_score(hypothesis: str, reference: str, n: int = 6, beta: float = 2.0, c
     return round((1 + beta**2) * p * r / (beta**2 * p + r), 4) if p + r else 0.0
 
 
-def schema_errors(value: Any, schema: dict[str, Any], at: str = "$") -> list[str]:
-    """Violations of a JSON schema: types, enums, ranges, lengths, patterns, items, properties, combinators."""
-    import re
-
-    kinds = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
-    found = []
-
-    def is_kind(k: str) -> bool:
-        number = isinstance(value, (int, float)) and not isinstance(value, bool)
-        return number and (k == "number" or float(value).is_integer()) if k in ("number", "integer") else isinstance(value, kinds.get(k, object))
-
-    wanted = schema.get("type")
-    if wanted and not any(is_kind(k) for k in ([wanted] if isinstance(wanted, str) else wanted)):
-        return [f"{at}: not of type {wanted}"]
-    if "enum" in schema and value not in schema["enum"] or "const" in schema and value != schema["const"]:
-        found.append(f"{at}: value not allowed")
-    if is_kind("number"):
-        bounds = (("minimum", lambda v, b: v < b), ("maximum", lambda v, b: v > b), ("exclusiveMinimum", lambda v, b: v <= b), ("exclusiveMaximum", lambda v, b: v >= b), ("multipleOf", lambda v, b: v % b != 0))
-        found += [f"{at}: {k} {schema[k]}" for k, bad in bounds if k in schema and bad(value, schema[k])]
-    if isinstance(value, (str, list, dict)):
-        low, high = {str: ("minLength", "maxLength"), list: ("minItems", "maxItems"), dict: ("minProperties", "maxProperties")}[type(value)]
-        found += [f"{at}: {k}" for k, bad in ((low, len(value) < schema.get(low, 0)), (high, len(value) > schema.get(high, math.inf))) if bad]
-    if isinstance(value, str) and "pattern" in schema and not re.search(schema["pattern"], value):
-        found.append(f"{at}: pattern")
-    if isinstance(value, list):
-        if schema.get("uniqueItems") and len({json.dumps(v, sort_keys=True) for v in value}) < len(value):
-            found.append(f"{at}: repeated items")
-        if isinstance(schema.get("items"), dict):
-            found += [e for i, v in enumerate(value) for e in schema_errors(v, schema["items"], f"{at}[{i}]")]
-    if isinstance(value, dict):
-        known = schema.get("properties", {})
-        found += [f"{at}: {k} is missing" for k in schema.get("required", ()) if k not in value]
-        found += [e for k, s in known.items() if k in value for e in schema_errors(value[k], s, f"{at}.{k}")]
-        rest = schema.get("additionalProperties", True)
-        for k in value.keys() - known.keys():
-            found += [f"{at}: {k} is unknown"] if rest is False else schema_errors(value[k], rest, f"{at}.{k}") if isinstance(rest, dict) else []
-    met = [[not schema_errors(value, s, at) for s in schema.get(k, ())] for k in ("allOf", "anyOf", "oneOf")]
-    if not all(met[0]) or met[1] and not any(met[1]) or met[2] and sum(met[2]) != 1 or "not" in schema and not schema_errors(value, schema["not"], at):
-        found.append(f"{at}: combination")
-    return found
-
-
 def _paired(name: str, f: Callable[[str, str], float], threshold: float, out: str, expected: str) -> Evaluator:
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -241,7 +201,9 @@ def chrf(n: int = 6, beta: float = 2.0, threshold: float = 0.5, case_sensitive:
     return _paired("chrf", lambda a, b: chrf_score(a, b, n, beta, case_sensitive, white_space), threshold, out, expected)
 
 
-def _json_udf(schema: dict[str, Any], fenced: bool, graded: bool) -> Callable[[Column], Column]:
+def _json_udf(schema: Any, fenced: bool, graded: bool, formats: bool) -> Callable[[Column], Column]:
+    compiled(schema, formats)  # a schema that can't be used fails here, not in a task
+
     @F.pandas_udf("double")
     def run(c: pd.Series) -> pd.Series:
         def one(raw: str | None) -> float:
@@ -249,8 +211,8 @@ def _json_udf(schema: dict[str, Any], fenced: bool, graded: bool) -> Callable[[C
             if fenced and s.startswith("```"):
                 s = s.partition("\n")[2].rpartition("```")[0].strip()
             try:
-                errors = schema_errors(json.loads(s), schema)
-            except ValueError:
+                errors = schema_errors(json.loads(s), schema, formats)
+            except (ValueError, RecursionError):  # no JSON, or nested deeper than the parser goes
                 return 0.0
             return max(0.0, 1 - len(errors) / 10) if graded else float(not errors)
 
@@ -259,13 +221,13 @@ def _json_udf(schema: dict[str, Any], fenced: bool, graded: bool) -> Callable[[C
     return run
 
 
-def json_schema(schema: dict[str, Any], threshold: float = 1.0, out: str = "output") -> Evaluator:
-    return Evaluator("json_schema", threshold, _json_udf(schema, False, False)(F.col(out)))
+def json_schema(schema: Any, threshold: float = 1.0, out: str = "output", formats: bool = False) -> Evaluator:
+    return Evaluator("json_schema", threshold, _json_udf(schema, False, False, formats)(F.col(out)))
 
 
-def schema_compliance(schema: dict[str, Any], threshold: float = 1.0, out: str = "output") -> Evaluator:
+def schema_compliance(schema: Any, threshold: float = 1.0, out: str = "output", formats: bool = False) -> Evaluator:
     """Code fences go; a tenth is taken off for each violation."""
-    return Evaluator("schema_compliance", threshold, _json_udf(schema, True, True)(F.col(out)))
+    return Evaluator("schema_compliance", threshold, _json_udf(schema, True, True, formats)(F.col(out)))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -180,13 +180,18 @@ def lottery(cases: DataFrame, k: int) -> DataFrame:
     return cases.where(F.col("status").isin(*EVALUATED)).withColumn("gap", gap).where("gap > 0").orderBy(F.desc("gap"), "case_id")
 
 
+def decided(passes: Column, n: Column, bound: float = 16.0) -> Column:
+    """Whether a sequential test at 0.8 or 0.2 against 0.5 stops after so many passes of n runs."""
+    up = F.pow(F.lit(1.6), passes) * F.pow(F.lit(0.4), n - passes)
+    down = F.pow(F.lit(0.4), passes) * F.pow(F.lit(1.6), n - passes)
+    return (n >= 2) & ((up >= bound) | (down >= bound))
+
+
 def sprt(runs: DataFrame, bound: float = 16.0) -> DataFrame:
     """case_id, stop_at: the run after which a sequential test at 0.8 or 0.2 against 0.5 could stop, null if it never could."""
     seen = Window.partitionBy("case_id").orderBy("run_no").rowsBetween(Window.unboundedPreceding, 0)
     p, n = F.sum(F.col("passed").cast("int")).over(seen), F.count("*").over(seen)
-    up = F.pow(F.lit(1.6), p) * F.pow(F.lit(0.4), n - p)
-    down = F.pow(F.lit(0.4), p) * F.pow(F.lit(1.6), n - p)
-    met = runs.withColumn("n", n).withColumn("stop", (n >= 2) & ((up >= bound) | (down >= bound)))
+    met = runs.withColumn("n", n).withColumn("stop", decided(p, n, bound))
     return met.groupBy("case_id").agg(F.min(F.when(F.col("stop"), F.col("n"))).alias("stop_at"))
 
 

@@ -7,13 +7,14 @@ cost money and may not repeat, so no later step may compute them again.
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import GateFailure
@@ -26,6 +27,14 @@ from .evaluators import Evaluator
 Model = Callable[[list[str]], list[str]]
 
 
+@dataclass
+class CaseModel:
+    """A model that wants to know which case and run it is asked for: a function from rows (case_id, run_no, input) to outputs."""
+
+    ask: Callable[[list[dict[str, Any]]], list[str]]
+
+
+
 @dataclass
 class Suite:
     name: str
@@ -34,16 +43,18 @@ class Suite:
     judge: judge.Judge | None = None
     purpose: str = ""
 
-    def outputs(self, cases: DataFrame, model: Model, runs: int = 1) -> DataFrame:
-        """case_id, run_no, output, latency_ms, model_error: each case asked ``runs`` times.
+    def outputs(self, cases: DataFrame, model: Model | CaseModel, runs: int = 1, span: Column | None = None) -> DataFrame:
+        """case_id, run_no, output, latency_ms, model_error: each case asked in its span of run numbers, 1 to ``runs`` if none is given.
 
         A batch is one call, and its cases share its time; a failing batch is asked case by case.
         """
+        rows_model = isinstance(model, CaseModel)
+        ask = model.ask if rows_model else model
 
-        def timed(inputs: list[str]) -> tuple[list[str] | None, float, str | None]:
+        def timed(inputs: list[Any]) -> tuple[list[str] | None, float, str | None]:
             began, out, error = time.perf_counter(), None, None
             try:
-                out = list(model(inputs))
+                out = list(ask(inputs))
                 error = None if len(out) == len(inputs) else "an output is missing"
             except Exception as e:  # noqa: BLE001
                 error = f"{type(e).__name__}: {e}"
@@ -51,7 +62,7 @@ class Suite:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                inputs = pdf["input"].tolist()
+                inputs = pdf.to_dict("records") if rows_model else pdf["input"].tolist()
                 out, ms, error = timed(inputs)
                 if out is not None or len(inputs) == 1:
                     rows = [(o, ms / len(inputs), error) for o in out or [""]]
@@ -59,7 +70,7 @@ class Suite:
                     rows = [(o[0] if o else "", ms, e) for o, ms, e in (timed([x]) for x in inputs)]
                 yield pd.DataFrame({"case_id": pdf["case_id"], "run_no": pdf["run_no"], "output": [r[0] for r in rows], "latency_ms": [r[1] for r in rows], "model_error": [r[2] for r in rows]})
 
-        asked = cases.select("case_id", "input", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run_no"))
+        asked = cases.select("case_id", "input", F.explode((F.sequence(F.lit(1), F.lit(runs)) if span is None else span).cast("array<int>")).alias("run_no"))
         return cut(asked.mapInPandas(run, "case_id long, run_no int, output string, latency_ms double, model_error string"))
 
     def score(self, cases: DataFrame, outputs: DataFrame, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -83,10 +94,37 @@ class Suite:
         rows = rows.withColumn("evaluator_error", F.lit(None).cast("string")).withColumn("skipped", F.lit(False)).withColumn("latency_ms", F.coalesce("latency_ms", F.lit(0.0)))
         return report.run_verdicts(rows, long), long
 
-    def run(self, cases: DataFrame, model: Model, runs: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def run(self, cases: DataFrame, model: Model | CaseModel, runs: int = 1, early_stop: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(cases, results by case and evaluator, one-row summary)."""
+        if early_stop and runs > 2:
+            return self.report(*self.stopped_early(cases, model, runs))
         return self.report(*self.score(cases, self.outputs(cases, model, runs)))
 
+    def stopped_early(self, cases: DataFrame, model: Model | CaseModel, runs: int, bound: float = 16.0) -> tuple[DataFrame, DataFrame]:
+        """(runs, long results) of rounds that ask open cases alone.
+
+        A case is open until its sequential test stops, as it would in a loop over its runs. A round
+        asks an open case as many runs as its test needs at least to stop, so none is asked in vain and
+        rounds are few. A round's runs and results are written before the next begins, and each case's
+        passes and trials are kept between rounds, so no run is asked or scored again.
+        """
+        seen, found, state, open_ = [], [], None, cases.withColumns({"_n": F.lit(0), "_p": F.lit(0)})
+        while True:
+            k = F.sequence(F.lit(1), F.lit(runs) - F.col("_n"))
+            stops = F.filter(k, lambda k: report.decided(F.col("_p") + k, F.col("_n") + k, bound) | report.decided(F.col("_p"), F.col("_n") + k, bound))
+            span = F.sequence(F.col("_n") + 1, F.col("_n") + F.coalesce(F.array_min(stops), F.lit(runs) - F.col("_n")))
+            rows, long = (cut(x) for x in self.score(cases, self.outputs(open_, model, span=span)))
+            seen.append(rows)
+            found.append(long)
+            tally = rows.groupBy("case_id").agg(F.count("*").alias("_n"), F.count_if("passed").alias("_p"))
+            if state is not None:
+                tally = tally.unionByName(state).groupBy("case_id").agg(F.sum("_n").alias("_n"), F.sum("_p").alias("_p"))
+            state = cut(tally.where(~report.decided(F.col("_p"), F.col("_n"), bound) & (F.col("_n") < runs)))
+            if state.isEmpty():
+                break
+            open_ = cases.join(state, "case_id")
+        return functools.reduce(DataFrame.unionByName, seen), functools.reduce(DataFrame.unionByName, found)
+
     def run_on_outputs(self, cases: DataFrame, outputs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         return self.report(*self.score(cases, outputs))
 
@@ -97,10 +135,10 @@ class Suite:
 
 
 def replayed(cases: DataFrame, logged: DataFrame, case_order: str = "case_id", log_order: str = "seq") -> DataFrame:
-    """case_id, run_no, output: the n-th logged output for the n-th case, both in their own order; cases beyond the log have none."""
+    """case_id, run_no, output: the n-th logged output for the n-th case, both in their own order; cases beyond the log have a null output."""
     x = numbered(cases.select("case_id", case_order) if case_order != "case_id" else cases.select("case_id"), case_order, name="nth")
     y = numbered(logged.select(log_order, "output"), log_order, name="nth").select("nth", "output")
-    return x.join(y, "nth").select("case_id", F.lit(1).alias("run_no"), "output")
+    return x.join(y, "nth", "left").select("case_id", F.lit(1).alias("run_no"), "output")
 
 
 def enforce(summary: DataFrame, fail_threshold: float | None = None, max_error_rate: float | None = None) -> None:

@@ -450,3 +450,22 @@ def suite_model_run(spark, sf_dir):
     checks = suite.Suite("echo", [ev.not_empty(), ev.word_count(5, 40)])
     _, _, summary = checks.run(cases, _echo, runs=2)
     return rounded(summary.select("total", "errors", "passed", "failed", "runs_per_case", "pass_rate"), "pass_rate")
+
+
+def _wavering(rows):
+    """A model by rule: long enough in some of a case's runs, as its number says; it fails on one case in thirteen."""
+    if any(r["case_id"] % 13 == 0 for r in rows):
+        raise ValueError("overload")
+    return ["word " * (10 if (r["case_id"] % 97 * 7 + r["run_no"] * (1 + r["case_id"] % 5)) % 6 < r["case_id"] % 7 else 1) for r in rows]
+
+
+@query(f"""WITH {PAIRS}, r AS (SELECT case_id, run_no, case_id % 13 = 0 AS bad, case_id % 13 <> 0 AND (case_id % 97 * 7 + run_no * (1 + case_id % 5)) % 6 < case_id % 7 AS passed FROM pairs, range(1, 13) t(run_no)),
+    c AS (SELECT case_id, run_no, bad, passed, sum(passed::INT) OVER w AS p FROM r WINDOW w AS (PARTITION BY case_id ORDER BY run_no)),
+    s AS (SELECT case_id, coalesce(min(run_no) FILTER (run_no >= 2 AND (pow(1.6, p) * pow(0.4, run_no - p) >= 16 OR pow(0.4, p) * pow(1.6, run_no - p) >= 16)), 12) AS asked FROM c GROUP BY case_id)
+    SELECT case_id, asked, CAST(count(*) FILTER (passed) AS BIGINT) AS pass_count, CASE WHEN bool_or(bad) THEN 'model_error' WHEN bool_and(passed) THEN 'passed' ELSE 'failed_quality' END AS status
+    FROM c JOIN s USING (case_id) WHERE run_no <= asked GROUP BY case_id, asked""")
+def suite_early_stop(spark, sf_dir):
+    """Twelve runs a case at most, in rounds that ask only cases whose sequential test is open: how often each was asked."""
+    cases = turn_pairs(spark, sf_dir).select("case_id", "input")
+    folded, _, _ = suite.Suite("wavering", [ev.word_count(5, 40)]).run(cases, suite.CaseModel(_wavering), runs=12, early_stop=True)
+    return folded.select("case_id", F.col("runs").alias("asked"), "pass_count", "status")

@@ -191,6 +191,33 @@ def ev_json_schema(spark, sf_dir):
     return ev.score(table(spark, sf_dir, "events"), [ev.json_schema(schema, out="props")], ["event_id"]).select("event_id", "score")
 
 
+#: References to itself, names by pattern, items by place, conditions, dependencies and formats.
+_RULES = {
+    "definitions": {"node": {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "maximum": 80}, "next": {"$ref": "#/definitions/node"}}}},
+    "allOf": [{"$ref": "#/definitions/node"}],
+    "properties": {"kind": {"enum": ["click", "error", "purchase", "view"]}, "day": {"format": "date"}, "path": {"items": [{"type": "integer"}, {"const": "view"}], "additionalItems": False}},
+    "patternProperties": {"^n_": {"minimum": 10}},
+    "if": {"properties": {"kind": {"const": "error"}}},
+    "then": {"required": ["why"]},
+    "dependencies": {"why": ["code"]},
+}
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_type AS kind, CAST(json_extract(props, '$.k') AS BIGINT) AS k, value, event_id % 3 = 0 AS why, event_id % 2 = 0 AS code FROM events),
+    v AS (SELECT event_id, (k > 80)::INT + (user_id % 100 > 80)::INT + (kind = 'signup')::INT + (event_id % 5 = 0)::INT + (kind <> 'view')::INT + (event_id % 7 = 0)::INT + (value < 10)::INT + (kind = 'error' AND NOT why)::INT + (why AND NOT code)::INT AS n FROM e)
+    SELECT event_id, n AS violations, round(1 - n / 10.0, 6)::DOUBLE AS score FROM v""")
+def ev_json_schema_rules(spark, sf_dir):
+    """A schema that refers to itself and puts conditions, over objects made of all events."""
+    i, given = F.col("event_id"), lambda c, x: F.when(c, x)
+    k = F.get_json_object("props", "$.k").cast("long")
+    path = F.concat(F.lit("["), F.col("user_id").cast("string"), F.lit(', "'), F.col("event_type"), F.lit('"'), F.when(i % 7 == 0, ", 0").otherwise(""), F.lit("]"))
+    day = F.when(i % 5 == 0, "2024-02-30").otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    said = F.to_json(F.struct(k.alias("k"), F.struct((F.col("user_id") % 100).alias("k")).alias("next"), F.col("event_type").alias("kind"), day.alias("day"), F.col("value").alias("n_value"), given(i % 3 == 0, F.lit("slow")).alias("why"), given(i % 2 == 0, F.lit(1)).alias("code")))
+    said = F.concat(F.lit('{"path":'), path, F.lit(","), F.substring(said, 2, 1 << 20))
+    scored = ev.score(table(spark, sf_dir, "events").withColumn("output", said), [ev.schema_compliance(_RULES, formats=True)], ["event_id"])
+    return scored.select("event_id", F.round((1 - F.col("score")) * 10).cast("int").alias("violations"), F.round("score", 6).alias("score"))
+
+
 @query("""WITH c AS (SELECT label, list_transform(range(1, len(any_value(embedding)) + 1), lambda i: 0) AS z, any_value(embedding) FROM embeddings GROUP BY label),
     r AS (SELECT label, arg_min(embedding, vec_id) AS ref FROM embeddings GROUP BY label)
     SELECT vec_id, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE * ref[i]::DOUBLE)) /

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from assaykit.functions import schema as schemas
 from assaykit.functions import pii, stats, text
 from assaykit.operators import evaluators as ev
 
@@ -130,3 +131,76 @@ def test_text_metrics():
     assert ev.schema_errors({"a": 2}, schema) == [] and len(ev.schema_errors({"b": "y", "c": 1}, schema)) == 3
     assert ev.schema_errors(True, {"type": "integer"}) and not ev.schema_errors(2.0, {"type": "integer"})
     assert ev.schema_errors([1, 1], {"uniqueItems": True}) and ev.schema_errors("ab", {"pattern": "^c"}) and ev.schema_errors(3, {"anyOf": [{"type": "string"}, {"maximum": 2}]})
+
+
+def _bad(schema, *values, formats=False):
+    return [len(schemas.errors(v, schema, formats)) for v in values]
+
+
+def test_schema_references():
+    tree = {"definitions": {"node": {"type": "object", "required": ["v"], "properties": {"v": {"type": "integer"}, "kids": {"type": "array", "items": {"$ref": "#/definitions/node"}}}, "additionalProperties": False}}, "$ref": "#/definitions/node"}
+    deep = {"v": 0}
+    for i in range(200):
+        deep = {"v": i, "kids": [deep]}
+    assert _bad(tree, {"v": 1}, {"v": 1, "kids": [{"v": "x"}, {}]}, {"kids": [{"v": 1, "w": 0}]}, deep) == [0, 2, 2, 0]
+    assert _bad({"items": {"$ref": "#"}, "type": "array"}, [[], [[]]], [[], 1]) == [0, 1]
+    assert _bad({"definitions": {"a/b~c": {"type": "array"}, "named": {"$id": "#here", "type": "string"}}, "properties": {"x": {"$ref": "#/definitions/a~1b~0c"}, "y": {"$ref": "#here"}}}, {"x": {}}, {"x": []}, {"y": 1}, {"y": "s"}) == [1, 0, 1, 0]
+    assert _bad({"$ref": "#/definitions/s", "minLength": 9, "definitions": {"s": {"type": "string"}}}, "short") == [0]
+    for broken in ({"$ref": "#/definitions/none"}, {"$ref": "http://x/y"}, {"$ref": "#"}, {"definitions": {"a": {"$ref": "#/definitions/b"}, "b": {"$ref": "#/definitions/a"}}, "$ref": "#/definitions/a"}, {"tpye": "string"}, {"type": "text"}, {"properties": {"x": 3}}, {"items": [{"minimun": 1}]}):
+        with pytest.raises(schemas.SchemaError):
+            schemas.errors({}, broken)
+
+
+def test_schema_keywords():
+    assert _bad({"items": [{"type": "integer"}, {"type": "string"}]}, [1, "a", None], ["a", 1], [1], []) == [0, 2, 0, 0]
+    assert _bad({"items": [{}], "additionalItems": False}, [1], [1, 2, 3]) == [0, 1]
+    assert _bad({"items": [{}], "additionalItems": {"type": "null"}}, [1, None], [1, 2, 3]) == [0, 2]
+    assert _bad({"items": {"type": "integer"}}, [1, "a", "b"], "no array") == [2, 0]
+    people = {"properties": {"name": {"type": "string"}}, "patternProperties": {"^x_": {"minimum": 2}, "_y$": {"maximum": 5}}, "additionalProperties": False}
+    assert _bad(people, {"name": 1, "x_": 1}, {"x_y": 9}, {"x_y": 1}, {"a": 1, "b": 2}, {"x_": 3, "q_y": 4}) == [2, 1, 1, 1, 0]
+    assert _bad({"additionalProperties": {"type": "integer"}, "properties": {"a": {}}}, {"a": "", "b": ""}) == [1]
+    assert _bad({"if": {"properties": {"k": {"const": 1}}, "required": ["k"]}, "then": {"required": ["a"]}, "else": {"required": ["b"]}}, {"k": 1}, {"k": 1, "a": 0}, {"k": 2}, {"b": 0}) == [1, 0, 1, 0]
+    assert _bad({"if": {"minimum": 5}, "then": {"maximum": 9}}, 10, 3, 7) == [1, 0, 0]
+    assert _bad({"dependencies": {"a": ["b", "c"], "d": {"required": ["e"]}}}, {"a": 1}, {"a": 1, "b": 1, "c": 1}, {"d": 1}, {"d": 1, "e": 1}, []) == [2, 0, 1, 0, 0]
+    assert _bad({"contains": {"const": 2}}, [1, 2], [1], []) == [0, 1, 1]
+    assert _bad({"propertyNames": {"pattern": "^[a-z]+$", "maxLength": 3}}, {"ab": 1}, {"A": 1, "long": 2}) == [0, 2]
+    assert _bad({"oneOf": [{"type": "integer"}, {"minimum": 2}]}, 1, 2, 2.5, 1.5) == [0, 1, 0, 1]
+    assert _bad({"allOf": [{"minimum": 2}, {"multipleOf": 2}]}, 1, 4) == [2, 0]
+    assert _bad({"anyOf": [False, {"type": "string"}]}, 1, "") == [1, 0] and _bad({"not": {}}, 1) == [1] and _bad(False, 1) == [1] and _bad(True, 1) == [0]
+    assert _bad({"enum": [1, "1", [1, {"a": 1.0}]]}, 1.0, True, "1", [1.0, {"a": 1}], [True, {"a": 1}]) == [0, 1, 0, 0, 1]
+    assert _bad({"uniqueItems": True}, [1, True], [1, 1.0], [{"a": 1, "b": 2}, {"b": 2, "a": 1}], [[], {}]) == [0, 1, 1, 0]
+    assert _bad({"type": ["integer", "null"]}, 1, None, 1.0, 1.5, True) == [0, 0, 0, 1, 1]
+    assert _bad({"multipleOf": 0.5}, 2.5, 2.6, "x") == [0, 1, 0] and _bad({"const": None}, None, 0) == [0, 1]
+    assert _bad({"minProperties": 1, "maxProperties": 1}, {}, {"a": 1}, {"a": 1, "b": 1}) == [1, 0, 1]
+    assert _bad({"minLength": 2, "pattern": "^é"}, "é", "ée", 5) == [1, 0, 0]
+
+
+def test_schema_formats():
+    good = {"date": "2024-02-29", "date-time": "2024-02-29T23:59:60Z", "time": "08:30:06.283185+01:00", "email": "a@b.c", "hostname": "a-b.example", "ipv4": "127.0.0.1", "ipv6": "::1", "uri": "http://x/y?z#q", "uuid": "2eb8aa08-aa98-11ea-b4aa-73b441d16380", "json-pointer": "/a~1b/0", "regex": "^a(b)$"}
+    bad = {"date": "2023-02-29", "date-time": "2024-02-29 23:59", "time": "24:00:00Z", "email": "a b@c", "hostname": "-a", "ipv4": "256.0.0.1", "ipv6": "12345::", "uri": "no scheme", "uuid": "2eb8aa08", "json-pointer": "a/b", "regex": "^(a"}
+    for name in good:
+        assert _bad({"format": name}, good[name], bad[name], 5, formats=True) == [0, 1, 0], name
+    assert _bad({"format": "date"}, "never") == [0]
+    with pytest.raises(schemas.SchemaError):
+        schemas.errors("", {"format": "colour"}, formats=True)
+
+
+def test_schema_agrees_with_the_library():
+    library = pytest.importorskip("jsonschema")
+    import random
+
+    rng = random.Random(3)
+    leaf = lambda: rng.choice([{"type": "integer"}, {"type": ["string", "null"]}, {"minimum": 2}, {"enum": [1, "a", None]}, {"maxLength": 1}, {"const": [1]}, True, False])
+
+    def make(depth):
+        if depth == 0:
+            return leaf()
+        s = lambda: make(depth - 1)
+        return rng.choice([{"properties": {"a": s(), "b": s()}, "additionalProperties": s()}, {"items": s()}, {"items": [s(), s()], "additionalItems": s()}, {"anyOf": [s(), s()]}, {"oneOf": [s(), s()]}, {"not": s()}, {"if": s(), "then": s(), "else": s()}, {"contains": s()}, {"dependencies": {"a": s(), "b": ["a"]}}, {"patternProperties": {"a|b": s()}, "required": ["a"]}, {"propertyNames": s()}])
+
+    def value(depth):
+        return rng.choice([1, 2.5, "a", "bb", None, True, [1]]) if depth == 0 else rng.choice([[value(depth - 1) for _ in range(rng.randint(0, 3))], {k: value(depth - 1) for k in rng.sample("abc", rng.randint(0, 3))}])
+
+    for _ in range(2000):
+        s, v = make(rng.randint(0, 3)), value(rng.randint(0, 3))
+        assert len(list(library.Draft7Validator(s).iter_errors(v))) == len(schemas.errors(v, s)), (s, v)

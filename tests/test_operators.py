@@ -9,7 +9,7 @@ from assaykit.functions import text
 from assaykit.operators import audit, calibration, compare, gates, generate, judge, lineage, report, suite
 from assaykit.operators import evaluators as ev
 from assaykit.sources import sinks, tables
-from assaykit.streaming import trials
+from assaykit.streaming import chain, trials
 
 CASE = "case_id long, input string, output string, expected_output string, expected_tool_calls array<string>, agent_trace array<struct<thought:string,tool_calls:array<struct<name:string,arguments:string,result:string>>,output:string>>"
 
@@ -479,11 +479,97 @@ def test_one_bad_prompt_spoils_its_own_row(spark):
     assert got["3"] == (None, "ValueError: bad") and all(got[k] == ("ok", None) for k in "0124")
 
 
-def test_stream_chain(spark, tmp_path):
-    spark.createDataFrame([(i, json.dumps({"record_id": str(i)})) for i in range(6)], "seq long, payload string").repartition(2).write.parquet(str(tmp_path / "in"))
-    q = trials.append_chain(trials.replay(spark, str(tmp_path / "in"), 10), str(tmp_path / "log"), str(tmp_path / "cp"))
-    q.awaitTermination()
-    assert {r.verdict for r in audit.verify_chain(spark.read.parquet(str(tmp_path / "log"))).collect()} == {"ok"}
+def _payloads(spark, *seqs):
+    return spark.createDataFrame([(i, json.dumps({"record_id": str(i)})) for i in seqs], "seq long, payload string")
+
+
+def _ids(log):
+    return [json.loads(r.value)["record_id"] for r in log.lines().orderBy("line_no").collect()]
+
+
+def test_stream_chain_writes_each_batch_once(spark, tmp_path):
+    """A driver that dies after the commit record and before the stream's own: the batch comes again."""
+    for i in range(3):
+        _payloads(spark, *range(5 * i, 5 * i + 5)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    at, cp = str(tmp_path / "log"), tmp_path / "cp"
+    chain.append_chain(trials.replay(spark, str(tmp_path / "in")), at, str(cp)).awaitTermination()
+    log = chain.Log(spark, at)
+    first = log.lines().orderBy("line_no").collect()
+    assert [r.line_no for r in first] == list(range(15)) and {r.verdict for r in audit.verify_chain(log.lines()).collect()} == {"ok"}
+    for f in (cp / "commits").glob("*2*"):
+        f.unlink()
+    chain.append_chain(trials.replay(spark, str(tmp_path / "in")), at, str(cp)).awaitTermination()
+    assert log.lines().orderBy("line_no").collect() == first
+    # Another stream goes on where the log is.
+    _payloads(spark, 100, 101).write.parquet(str(tmp_path / "more"))
+    chain.append_chain(trials.replay(spark, str(tmp_path / "more"), 9), at, str(tmp_path / "cp2")).awaitTermination()
+    assert _ids(log)[15:] == ["100", "101"] and {r.verdict for r in audit.verify_chain(log.lines()).collect()} == {"ok"}
+
+
+def test_chain_faults(spark, tmp_path):
+    log, told = chain.Log(spark, str(tmp_path / "log")), []
+    assert log.last() is None and log.lines().count() == 0
+    log.write(_payloads(spark, 2, 1), "s", 0, lambda *x: told.append(x))
+    assert log.write(_payloads(spark), "s", 1) is None
+    end = log.write(_payloads(spark, 3), "s", 2)
+    assert _ids(log) == ["1", "2", "3"] and told[0][0] == 1 and log.last() == end
+    assert log.write(_payloads(spark, 3), "s", 2) == end and _ids(log) == ["1", "2", "3"]
+    with pytest.raises(chain.ChainError, match="other lines"):
+        log.write(_payloads(spark, 4), "s", 2)
+    # A torn append has no record: it isn't seen, and the next one takes its place.
+    spark.createDataFrame([(3, "half a li")], "line_no long, value string").write.parquet(str(tmp_path / "log/append=000000000002"))
+    assert _ids(log) == ["1", "2", "3"]
+    log.write(_payloads(spark, 4), "t", 0)
+    assert _ids(log) == ["1", "2", "3", "4"] and {r.verdict for r in audit.verify_chain(log.lines()).collect()} == {"ok"}
+    # Two writers: the second finds the number taken.
+    with pytest.raises(chain.ChainError, match="another writer"):
+        log._record(log.last())
+    commits = tmp_path / "log/_commits"
+    record = commits / "000000000002.json"
+    held = record.read_text()
+    for text in ("{", held.replace('"lines": 1', '"lines": 2'), "[]"):
+        (commits / ".000000000002.json.crc").unlink(missing_ok=True)
+        record.write_text(text)
+        with pytest.raises(chain.ChainError):
+            log.write(_payloads(spark, 5), "t", 1)
+    record.write_text(held)
+    assert log.last().number == 2
+    (commits / "000000000001.json").unlink()
+    with pytest.raises(chain.ChainError, match="missing"):
+        log.last()
+    for f in (tmp_path / "log/append=000000000002").glob("*.parquet"):
+        f.write_bytes(b"no")
+    with pytest.raises(Exception):  # noqa: B017 - an unreadable log isn't an empty one
+        chain.Log(spark, str(tmp_path / "log")).write(_payloads(spark, 5), "t", 1)
+
+
+def test_replayed_keeps_cases_beyond_the_log(spark):
+    cases = spark.createDataFrame([(7, "a"), (3, "b"), (5, "c")], "case_id long, input string")
+    log = spark.createDataFrame([(1, "first")], "seq long, output string")
+    assert {r.case_id: (r.run_no, r.output) for r in suite.replayed(cases, log).collect()} == {3: (1, "first"), 5: (1, None), 7: (1, None)}
+
+
+@pytest.mark.parametrize("runs", [3, 7, 20])
+def test_early_stop_equals_the_serial_loop(spark, runs):
+    """As many runs, passes and calls for each case as a loop that stops after each run."""
+    passes = lambda case, run: (case * 31 + run * run * (case % 3)) % 5 < case % 6
+
+    def ask(rows):
+        return ["long enough" if passes(r["case_id"], r["run_no"]) else "short" for r in rows]
+
+    want = {}
+    for case in range(40):
+        p = n = 0
+        while n < runs:
+            n, p = n + 1, p + passes(case, n + 1)
+            if n >= 2 and max(1.6**p * 0.4 ** (n - p), 0.4**p * 1.6 ** (n - p)) >= 16:
+                break
+        want[case] = (n, p)
+    cases = spark.createDataFrame([(i, "x") for i in range(40)], "case_id long, input string")
+    rows, long = suite.Suite("s", [ev.word_count(2, 9)]).stopped_early(cases, suite.CaseModel(ask), runs)
+    got = {r.case_id: (r.n, r.p) for r in rows.groupBy("case_id").agg(F.count("*").alias("n"), F.count_if("passed").alias("p")).collect()}
+    assert got == want and long.count() == rows.count() == sum(n for n, _ in want.values())
+    assert rows.select("case_id", "run_no").distinct().count() == rows.count()
 
 
 def test_text_helpers_in_gates(spark):
