@@ -48,6 +48,39 @@ def power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+#: Places whose factors are kept as a table.
+_PLACED = 1 << 16
+
+
+def _factors(places: np.ndarray) -> np.ndarray:
+    return mix64(places.astype(np.uint64) * np.uint64(_BASE) + np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
+
+
+def word_names(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit names of the stretches [start, end) of a row of mixed symbols; stretches don't overlap and are in order.
+
+    Each symbol is multiplied by a factor that is drawn for its place in the stretch, not a
+    power of anything, before all are summed: no two different words, however long, agree by their
+    structure, as they can in sums of powers modulo a power of two.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    before = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(size, out=before[1:])
+    place = np.arange(before[-1]) - np.repeat(before[:-1], size)
+    at = place + np.repeat(start, size)
+    if int(size.max()) <= _PLACED:
+        if "place" not in _powers:
+            _powers["place"] = _factors(np.arange(_PLACED))
+        factor = _powers["place"][place]
+    else:
+        factor = _factors(place)
+    sums = np.zeros(len(place) + 1, np.uint64)
+    np.cumsum(values[at] * factor, out=sums[1:])
+    return mix64(sums[before[1:]] - sums[before[:-1]] + mix64(size.astype(np.uint64)))
+
+
 def count_sketch(texts: DataFrame, names: Callable[[pa.RecordBatch], np.ndarray], bits: int, most_bytes: int = 1 << 20) -> np.ndarray:
     """How often the names of all rows fall into each of 2**bits buckets, by their top bits.
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import count_sketch, cut, mix64, power, slices, texts_of
+from .common import count_sketch, cut, mix64, slices, texts_of, word_names
 from .components import components
 
 WIDTH, PERCENT = 5, 80
@@ -45,6 +45,7 @@ DEEPEST, COMPARE_COST, VERIFY_COST, HOT = 16, 0.02, 50.0, 16
 SMALL_SIDE = 100_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTES = mix64(np.arange(256).astype(np.uint64) + np.uint64(1))
 _PLACES = mix64(np.arange(1, WIDTH + 1).astype(np.uint64)) | np.uint64(1)
 
 
@@ -52,13 +53,10 @@ def shingles(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
     """Names of each text's shingles, in order and with repeats."""
     raw = "\n".join(texts).encode().lower() + b"\n"
     b = np.frombuffer(raw, np.uint8)
-    up, down = power(len(b) + 1)
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
     inside = ~_SPACE[b]
     edge = np.diff(inside.astype(np.int8), prepend=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    words = mix64((sums[end] - sums[start]) * down[start])
+    words = word_names(_BYTES[b], start, end)
     lens = np.fromiter((len(t.encode()) + 1 for t in texts), np.int64, len(texts))
     at = np.searchsorted(start, np.concatenate([[0], np.cumsum(lens)])).tolist()
     if len(words) >= width:

@@ -9,13 +9,15 @@ and slots are ranked within their source. All slots are of one length, the targe
 sum over the number of slots, so a source gives as many words as it has slots: any
 run of consecutive slots, and so the whole mix, holds the sources close to their
 target shares (within a few slots of ``slots``), without any slot knowing the others.
-The r-th slot of a source takes the r-th block of that length of the source's stream:
+A source whose target is below one part in ``SMALL`` of all is too small for that: such sources
+share one interval, the pool, and its slots are dealt inside by the same points: a small source
+gives its target to the word, spread evenly over the pool's slots from a golden-ratio
+point of its own on. The pool has one slot at least. The r-th slot of a source takes the r-th block of that length of the source's stream:
 its documents in a shuffled order (digest of doc_id), read up to ``most`` times.
 
 Defined cases: a null text has size 0; documents of size 0 take 0 and ``apply_mix``
 keeps them once; null sources form one source, last in order; repeated rows are
-documents of their own; a source whose target is below a slot's length may get no
-slot; blocks past the end of a source's last reading are cut; an empty table gives an
+documents of their own; blocks past the end of a source's last reading are cut; an empty table gives an
 empty result. ``mix`` drops extra columns; ``apply_mix`` keeps all columns, whatever
 their names, as it carries each row as one struct.
 
@@ -38,6 +40,9 @@ SHARE = 1.5
 MOST = 2
 SLOTS = 1 << 17
 GOLDEN = 0.6180339887498949
+#: A source whose target is below one part in so many of all targets is in the pool. Points miss an interval's share by a few slots, so by 1 % at most of the 512 that such a part has.
+SMALL = 256
+POOL = -1
 #: (source, bucket) rows that are sent to all executors at most; beyond, they are joined by a shuffle.
 SMALL_SIDE = 400_000
 
@@ -79,39 +84,44 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def planned(plan: DataFrame) -> DataFrame:
-    """Adds each source's interval: quota (its target in whole words), before (the quotas of the sources before it) and total."""
-    ordered = Window.orderBy("ord")
-    q = plan.withColumn("quota", F.round("target").cast("long"))
-    return q.withColumn("before", F.sum("quota").over(ordered) - F.col("quota")).withColumn("total", F.sum("quota").over(Window.partitionBy()))
+    """Adds each source's quota (its target in whole words), lane (its ord, or POOL), the lane's interval start (before), and total."""
+    ordered, whole = Window.orderBy("lane_at", "ord"), Window.partitionBy()
+    q = plan.withColumn("quota", F.round("target").cast("long")).withColumn("total", F.sum("quota").over(whole))
+    small = F.col("quota") * SMALL < F.col("total")
+    q = q.withColumn("lane", F.when(small, POOL).otherwise(F.col("ord"))).withColumn("lane_at", small.cast("int"))
+    return q.withColumn("before", F.sum("quota").over(ordered) - F.col("quota")).withColumn("before", F.min("before").over(Window.partitionBy("lane"))).drop("lane_at")
 
 
 def schedule(plan: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """slot, ord, rank: which source each slot reads, and which of the source's slots it is.
+    """slot, lane, rank: which source, or the pool, each slot reads, and which of the lane's slots it is.
 
     Slot n has the point frac((n + 0.5) * golden ratio). Points and interval starts
     are sorted together and each point takes the last start before it, so no source
     is compared with every slot.
     """
-    starts = plan.where("quota > 0").select((F.col("before") / F.col("total")).alias("at"), "ord")
+    starts = plan.where("quota > 0").select((F.col("before") / F.col("total")).alias("at"), F.col("lane").cast("int").alias("lane")).distinct()
     points = plan.sparkSession.range(slots).select(F.col("id").alias("slot"), ((F.col("id") + 0.5) * F.lit(GOLDEN)).alias("u")).select("slot", (F.col("u") - F.floor("u")).alias("at"))
-    both = points.select("at", F.lit(1).alias("kind"), "slot", F.lit(None).cast("int").alias("ord")).unionByName(
-        starts.select("at", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("slot"), "ord")
+    both = points.select("at", F.lit(1).alias("kind"), "slot", F.lit(None).cast("int").alias("lane")).unionByName(
+        starts.select("at", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("slot"), "lane")
     )
-    last = F.last("ord", ignorenulls=True).over(Window.orderBy("at", "kind", "slot").rowsBetween(Window.unboundedPreceding, 0))
-    met = both.withColumn("ord", last).where("kind = 1 and ord is not null").select("slot", "ord")
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy("ord").orderBy("slot")) - 1)
+    last = F.last("lane", ignorenulls=True).over(Window.orderBy("at", "kind", "slot").rowsBetween(Window.unboundedPreceding, 0))
+    met = both.withColumn("lane", last).where("kind = 1 and lane is not null").select("slot", "lane")
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("lane").orderBy("slot")) - 1)
 
 
 def _plan(docs: DataFrame, slots: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sizes of all documents, ranked slots, and one row per source with its n_slots and amount of words."""
+    """Sizes of all documents, ranked slots, and one row per source with its lane's n_slots and its amount of words."""
     sizes = cut(sized(docs))
     plan = cut(planned(targets(sizes)))
-    slot = cut(schedule(plan, slots))
-    n = slot.groupBy("ord").agg(F.count("*").alias("n_slots"))
+    slot = schedule(plan, slots)
+    # A pool too small to hold a point is read by the first slot.
+    held = plan.where(f"lane = {POOL} and quota > 0").limit(1).select(F.lit(0).cast("long").alias("slot"), F.lit(POOL).alias("lane"), F.lit(0).alias("rank"))
+    slot = cut(slot.unionByName(held.join(slot.where(f"lane = {POOL}").limit(1).select("lane"), "lane", "left_anti").select("slot", "lane", "rank")))
+    n = slot.groupBy("lane").agg(F.count("*").alias("n_slots"))
     # A block's words are [rank * total / slots, (rank + 1) * total / slots), whole numbers by rounding down.
-    amount = F.expr(f"least(n_slots * total div {slots}, {MOST} * source_size)")
-    per = plan.join(F.broadcast(n), "ord", "left").withColumn("n_slots", F.coalesce("n_slots", F.lit(0)))
-    return sizes, slot, per.withColumn("amount", amount).select("source", "ord", "source_size", "target", "total", "n_slots", "amount")
+    amount = F.expr(f"if(lane = {POOL}, quota, least(n_slots * total div {slots}, {MOST} * source_size))")
+    per = plan.join(F.broadcast(n), "lane", "left").withColumn("n_slots", F.coalesce("n_slots", F.lit(0)))
+    return sizes, slot, per.withColumn("amount", amount).select("source", "ord", "lane", "source_size", "target", "total", "n_slots", "amount")
 
 
 def _buckets(sizes: DataFrame, per: DataFrame) -> DataFrame:
@@ -130,8 +140,9 @@ def _joined(rows: DataFrame, buckets: DataFrame) -> DataFrame:
 
 
 def _rank_of(word: str, slots: int) -> str:
-    """The source's block that a word of its stream lies in, or the one before it."""
-    return f"({word} * {slots} div greatest(total, 1))"
+    """The lane's block that a word of a source's stream lies in, or the one before it."""
+    point = f"(({word} + 0.5D) / greatest(amount, 1) + (ord + 1) * {GOLDEN}D)"
+    return f"if(lane = {POOL}, cast(({point} - floor({point})) * n_slots as bigint), {word} * {slots} div greatest(total, 1))"
 
 
 def blocks(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -151,11 +162,14 @@ def blocks(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         .withColumn("start", F.col("at") + F.col("pass") * F.col("source_size"))
         .withColumn("end", F.least(F.col("start") + F.col("size"), F.col("amount")))
     )
-    met = F.sequence(F.expr(_rank_of("start", slots)), F.expr(_rank_of("end", slots)) + 1)
+    first, last = (F.expr(_rank_of(c, slots)) for c in ("start", "end"))
+    met = F.when(F.col("lane") == POOL, F.array(F.least(first, F.col("n_slots") - 1))).otherwise(F.sequence(F.least(first, last), last + 1))
     rows = rows.withColumn("rank", F.explode_outer(F.when((F.col("start") < F.col("end")) & (F.col("n_slots") > 0), met)))
-    rows = rows.withColumn("from_word", F.expr(f"greatest(rank * total div {slots}, start) - start")).withColumn("to_word", F.expr(f"least((rank + 1) * total div {slots}, end) - start"))
+    # A document of the pool lies whole in one of its slots.
+    rows = rows.withColumn("from_word", F.expr(f"if(lane = {POOL}, 0, greatest(rank * total div {slots}, start) - start)"))
+    rows = rows.withColumn("to_word", F.expr(f"if(lane = {POOL}, end, least((rank + 1) * total div {slots}, end)) - start"))
     keep = ["doc_id", "source", "size", "source_size", "target", "bucket", "row", "slot", "pass", "from_word", "to_word"]
-    return rows.where("rank is null or from_word < to_word").join(F.broadcast(slot), ["ord", "rank"], "left").select(*keep)
+    return rows.where("rank is null or from_word < to_word").join(F.broadcast(slot), ["lane", "rank"], "left").select(*keep)
 
 
 def mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -178,9 +192,9 @@ def apply_mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     every = every.withColumn("met", F.col("first") < F.col("amount")).where("pass = 0 or met").withColumn("rank", F.expr(f"least(n_slots - 1, {_rank_of('first', slots)})"))
     # Of buckets that no slot reads only documents without words stay; they go anywhere.
     part = F.expr(f"cast(if(met, coalesce(slot, 0) * {n} div {slots}, pmod(xxhash64(source, bucket), {n})) as int)")
-    placed = cut(every.join(F.broadcast(slot), ["ord", "rank"], "left").withColumn("part", part).select("source", "bucket", "pass", "first", "part", "ord", "met"))
+    placed = cut(every.join(F.broadcast(slot), ["lane", "rank"], "left").withColumn("part", part).select("source", "bucket", "pass", "first", "part", "ord", "met"))
     rows = docs.select(F.struct("*").alias("whole"), "source", word_count("text").alias("size"), _digest("doc_id").alias("digest")).withColumn("bucket", F.substring("digest", 1, 3))
-    dealt = _joined(rows, placed).where("met or size = 0 and pass = 0").drop("met").repartitionById(n, F.col("part")).join(per.select("ord", "total", "n_slots", "amount"), "ord")
+    dealt = _joined(rows, placed).where("met or size = 0 and pass = 0").drop("met").repartitionById(n, F.col("part")).join(per.select("ord", "lane", "total", "n_slots", "amount"), "ord")
     inside = Window.partitionBy("part", "source", "bucket", "pass").orderBy("digest", "whole.doc_id", "size", F.xxhash64("whole.text"))
     dealt = (
         dealt.withColumn("start", F.col("first") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
@@ -188,4 +202,4 @@ def apply_mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         .where("if(size = 0, pass = 0, given * 2 >= size)")
         .withColumn("rank", F.expr(f"least(n_slots - 1, {_rank_of('start', slots)})"))
     )
-    return dealt.join(F.broadcast(slot), ["ord", "rank"], "left").sortWithinPartitions("part", "slot", "start", "whole.doc_id").select("whole.*")
+    return dealt.join(F.broadcast(slot), ["lane", "rank"], "left").sortWithinPartitions("part", "slot", "start", "whole.doc_id").select("whole.*")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import apart, mix64, power, renames, slices, texts_of
+from .common import apart, mix64, renames, slices, texts_of, word_names
 
 #: Longest n-grams of shapes, characters and words, and bits of their hashes.
 SHAPES, CHARS, WORDS = 4, 4, 2
@@ -106,9 +106,7 @@ class Features:
             inside = (self.table[np.minimum(points, 0x2FFF)] & ~np.uint32(1)) != 4
             edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
             start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            up, down = power(len(points) + 1)
-            sums = np.append(np.uint64(0), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], dtype=np.uint64))
-            self.grams(mix64((sums[end] - sums[start]) * down[start]), WORDS, base, WORD_BITS)
+            self.grams(word_names(mix64(points.astype(np.uint64) + np.uint64(1)), start, end), WORDS, base, WORD_BITS)
         base += 1 << WORD_BITS
         lines = [s for s in text.split("\n") if s]
         words = text.split()

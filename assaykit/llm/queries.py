@@ -116,11 +116,13 @@ SQL = {
         m AS (SELECT (SELECT level FROM l WHERE level <= stop ORDER BY stop, ord LIMIT 1) AS level),
         p AS (SELECT source, source_size, least(cap, coalesce(m.level * weight, cap)) AS target FROM l, m),
         q AS (SELECT *, CAST(round(target) AS BIGINT) AS quota FROM p),
-        i AS (SELECT *, sum(quota) OVER (ORDER BY source ASC NULLS LAST) - quota AS before, sum(quota) OVER () AS total FROM q),
+        j AS (SELECT *, sum(quota) OVER () AS total FROM q),
+        k AS (SELECT *, quota * 256 < total AS small FROM j),
+        i AS (SELECT *, sum(quota) OVER (ORDER BY small, source ASC NULLS LAST) - quota AS before FROM k),
         g AS (SELECT slot, (slot + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE AS u FROM range(131072) r(slot)),
         h AS (SELECT i.source, count(*) AS n_slots FROM (SELECT slot, u - floor(u) AS at FROM g) z
               ASOF JOIN (SELECT source, before::DOUBLE / total::DOUBLE AS lo FROM i WHERE quota > 0) i ON z.at >= i.lo GROUP BY i.source),
-        m2 AS (SELECT i.*, least(CAST(coalesce(n_slots, 0) * total AS HUGEINT) // 131072, 2 * source_size::HUGEINT) AS amount
+        m2 AS (SELECT i.*, CASE WHEN small THEN quota ELSE least(CAST(coalesce(n_slots, 0) * total AS HUGEINT) // 131072, 2 * source_size::HUGEINT) END AS amount
                FROM i LEFT JOIN h ON i.source IS NOT DISTINCT FROM h.source),
         a AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY digest, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS pos FROM d)
         SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(target, 6) AS target,

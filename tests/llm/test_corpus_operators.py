@@ -62,6 +62,25 @@ def test_jaccard_join_matches_brute_force(spark):
     assert got == brute_components(rows)
 
 
+def thue_morse(n):
+    """Two different words of n characters whose sums of powers agree modulo 2**64 for every odd base."""
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_long_words_have_names_of_their_own(spark):
+    rows = []
+    for k in (10, 12, 14, 16):
+        a, b = thue_morse(1 << k)
+        rows += [(10 * k, a), (10 * k + 1, b), (10 * k + 2, f"x {a} y"), (10 * k + 3, f"x {b} y"), (10 * k + 4, f"x {a} y")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    one, two = (quality.Features(("words",)).of(t).copy() for t in thue_morse(4096))
+    assert (one != two).any()
+
+
 @pytest.mark.parametrize("hot", [1, 16])
 def test_jaccard_join_with_one_large_group(spark, hot, monkeypatch):
     """Near copies of one text, linked or not, and a passage that all texts share."""
@@ -274,10 +293,10 @@ def brute_targets(sizes):
 
 
 def brute_amounts(sizes, slots):
-    """source -> words: golden-ratio points counted per interval of the targets, times the slots' length."""
-    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
-    quota = {s: int(brute_targets(sizes)[s] + 0.5) for s in order}
+    """source -> words: golden-ratio points counted per interval of the targets, times the slots' length; small sources give their targets."""
+    quota = {s: int(t + 0.5) for s, t in brute_targets(sizes).items()}
     total, ends, at = sum(quota.values()), [], 0
+    order = sorted(sizes, key=lambda s: (256 * quota[s] < total, s is None, (s or "").encode()))
     for s in order:
         at += quota[s]
         ends.append((at / total, s))
@@ -285,7 +304,7 @@ def brute_amounts(sizes, slots):
     for n in range(slots):
         u = (n + 0.5) * 0.6180339887498949
         met[next(s for end, s in ends if u - int(u) < end)] += 1
-    return {s: min(met[s] * total // slots, 2 * sizes[s]) for s in order}
+    return {s: quota[s] if 256 * quota[s] < total else min(met[s] * total // slots, 2 * sizes[s]) for s in order}
 
 
 def test_mixing(spark):
@@ -358,15 +377,32 @@ def test_mix_schedule_has_low_discrepancy(spark):
     slots = mixing.schedule(plan, 1000).orderBy("slot").collect()
     seen = Counter()
     for n, r in enumerate(slots, 1):
-        seen[r.ord] += 1
+        seen[r.lane] += 1
         assert all(abs(seen[o] - n * t / total) < 6 for o, t in share.items())
     assert [r.slot for r in slots] == list(range(1000))
     ranks = defaultdict(list)
     for r in slots:
-        ranks[r.ord].append(r["rank"])
+        ranks[r.lane].append(r["rank"])
     assert all(x == list(range(len(x))) for x in ranks.values())
 
 
+@pytest.mark.parametrize("n_small, big", [(20, 1_000_000), (5000, 300_000)])
+def test_no_source_is_too_small_for_the_mix(spark, n_small, big):
+    """Sources far below a slot's length, few and thousands, beside large ones: each gives its target and stays in the output."""
+    small = [(i, "two words", f"s{i:05d}") for i in range(n_small)]
+    rows = small + [(10_000 + i, "w " * (big // 100), rng) for i, rng in enumerate(["big", "large"] * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    sizes = Counter({s: 2 for _, _, s in small}) + Counter({"big": big // 2, "large": big // 2})
+    want = brute_targets(sizes)
+    got = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("t")).collect()
+    assert len(got) == n_small + 2
+    for r in got:
+        assert r.t == pytest.approx(want[r.source]) and abs(r.n - r.t) <= max(1, 0.01 * r.t), r
+    mixed = mixing.apply_mix(docs).collect()
+    seen = Counter(r.source for r in mixed)
+    assert all(seen[s] >= int(want[s] >= 2) for _, _, s in small) and len(seen) >= 2 + sum(want[s] >= 2 for _, _, s in small)
+
+
 def test_mixing_edges(spark):
     schema = "doc_id long, text string, source string"
     assert mixing.mix(spark.createDataFrame([], schema)).count() == 0

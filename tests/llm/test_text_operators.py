@@ -422,7 +422,8 @@ def plain_indicators(text):
     grams("chars", [ord(c) for c in low], quality.CHARS, quality.CHAR_BITS)
     space = lambda c: int(table[min(ord(c), 0x2FFF)]) in (4, 5)
     words = "".join(" " if space(c) else c for c in low).split(" ")
-    names = [finalised(sum((ord(c) + 1) * pow(0xD6E8FEB86659FD93, i, 1 << 64) for i, c in enumerate(w)) & M64) for w in words if w]
+    factor = lambda i: finalised((i * 0xD6E8FEB86659FD93 + 0x632BE59BD9B4E019) & M64) | 1
+    names = [finalised((sum(finalised(ord(c) + 1) * factor(i) for i, c in enumerate(w)) + finalised(len(w))) & M64) for w in words if w]
     grams("words", names, quality.WORDS, quality.WORD_BITS)
     return found
 
