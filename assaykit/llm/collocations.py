@@ -2,21 +2,21 @@
 
 Texts are lower-cased (A-Z), split at punctuation and line ends into pieces and those into
 words; everything is counted per language. A phrase of ``deepest`` words at most that
-occurs ``least`` times is made of words and pairs that do, so three passes find all:
+occurs ``least`` times is made of shorter ones that do, so passes over growing lengths find all:
 
-1. words, counted per shard and summed; a bitmap of fixed size keeps the frequent ones' names;
-2. pairs of such words, by 64-bit names, into a second bitmap;
-3. a count trie for each shard, of all phrases whose words and pairs may be frequent:
+1. words, counted per task and summed; a bitmap of fixed size keeps the frequent ones' names;
+2. pairs of such words, by 64-bit names, into a second bitmap, and triples of such pairs into a third;
+3. a count trie for each shard, of all phrases whose words, pairs and triples may be frequent:
    a level is a sorted array of (parent, word) with counts.
 
-The bitmaps rule out, and a false yes costs a row: no frequent phrase is lost. Each
-trie is written as a sorted run of nodes. Runs are dealt by ranges of whole paths (so a
-word that starts a third of all phrases lies in many ranges), sorted there and
-merged: equal paths add up, rare ones go. The walk over a merged range keeps the
-counts of the nodes above, which are a phrase's left parts; what stands above a range's
-first node is looked up, four counts a range at most. Right parts are the nodes
-that suffix links name, each by dropping first words. Those counts also say which
-phrases lie in an equally frequent longer one: if any does, then one by a single word.
+The bitmaps rule out, and a false yes costs a node: no frequent phrase is lost. Each
+trie is cut into 2**RANGE_BITS ranges of two-word prefixes, by the prefixes' names, so that a word
+that starts a third of all phrases lies in many ranges; each range is serialised as one row,
+its nodes in the order of a walk. A task merges the rows of a range: equal paths add
+up, rare ones go. The walk over a merged range keeps the counts of the nodes above, which are a
+phrase's left parts of two words and more; single words were counted before. Right parts are
+the nodes that suffix links name, each by dropping first words. Those counts also say
+which phrases lie in an equally frequent longer one: if any does, then one by a single word.
 
 Scores are exact: products are decimals of 38 digits.
 
@@ -28,13 +28,11 @@ between pieces only where a piece ends, a piece of any length stays whole.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,8 +40,10 @@ from pyspark.sql import functions as F
 from .common import SEGMENTS, cut, mix64, slices
 
 LEAST, DEEPEST, TOP = 100, 5, 2000
+#: Bits of the number of prefix ranges.
+RANGE_BITS = 8
 SMALL_SIDE = 100_000
-_BREAKS = re.compile(rb"[.,;:!?\n-\r]+")
+_BREAKS = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 _STOP = b"."
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,7 +82,7 @@ class Vocabulary(dict):
 
 def words_of(raw: bytes) -> list[bytes]:
     """The words of a text in order, with a stop wherever pieces meet."""
-    return _BREAKS.sub(b" . ", raw.lower()).split()
+    return raw.lower().translate(_BREAKS).replace(b"\n", b" . ").split()
 
 
 def shards(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[tuple[Vocabulary, np.ndarray]]:
@@ -176,35 +176,53 @@ def _word_names(batch: pa.RecordBatch) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def _pairs(names: np.ndarray, ids: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places whose word and next word may both be frequent, and the pairs' names."""
-    at = np.flatnonzero(ok[ids[:-1]] & ok[ids[1:]])
-    return at, mix64(names[ids[at]] * _ODD + names[ids[at + 1]])
+def grams(vocabulary: Vocabulary, ids: np.ndarray, held: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a phrase of ``size`` words begins whose parts may all be frequent, and the phrases' names.
 
-
-def _frequent(vocabulary: Vocabulary, flags: np.ndarray) -> np.ndarray:
-    ok = _in(flags, vocabulary.names())
+    held: bitmaps of words, pairs and so on, up to those of ``size`` - 1 words.
+    """
+    word = vocabulary.names()
+    ok = _in(held[0], word)
     ok[0] = False
-    return ok
+    at = np.flatnonzero(ok[ids])
+    name = word[ids[at]]
+    for n in range(2, size + 1):
+        # A phrase goes on where the phrase that begins a word later is there too.
+        on = np.flatnonzero(at[1:] == at[:-1] + 1)
+        at, name = at[on], mix64(name[on] * _ODD + word[ids[at[on] + n - 1]])
+        if n < size:
+            kept = _in(held[n - 1], name)
+            at, name = at[kept], name[kept]
+    return at, name
 
 
-def pair_counts(texts: DataFrame, words: np.ndarray, limits: Limits = LIMITS) -> DataFrame:
-    """name, f of all pairs of words that the bitmap holds."""
-    shared = texts.sparkSession.sparkContext.broadcast(words)
+def gram_counts(texts: DataFrame, held: list[np.ndarray], size: int, limits: Limits = LIMITS) -> DataFrame:
+    """name, f of all phrases of ``size`` words whose parts the bitmaps hold. A task sums its own up to a number of names."""
+    shared = texts.sparkSession.sparkContext.broadcast(held)
+
+    def batch(names: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(f, pa.int64())], names=["name", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, f = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for vocabulary, ids in shards(batches, limits):
-            _, pairs = _pairs(vocabulary.names(), ids, _frequent(vocabulary, shared.value))
-            name, f = np.unique(pairs, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(f, pa.int64())], names=["name", "f"])
+            fresh, n = np.unique(grams(vocabulary, ids, shared.value, size)[1], return_counts=True)
+            every, place = np.unique(np.concatenate([names, fresh]), return_inverse=True)
+            names, f = every, np.bincount(place, np.concatenate([f, n]), len(every)).astype(np.int64)
+            if len(names) >= limits.shard:
+                yield batch(names, f)
+                names, f = names[:0], f[:0]
+        if len(names):
+            yield batch(names, f)
 
     return texts.mapInArrow(run, "name long, f long").groupBy("name").agg(F.sum("f").alias("f"))
 
 
-def trie(ids: np.ndarray, ok: np.ndarray, pair_ok: np.ndarray, deepest: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def trie(ids: np.ndarray, ok: np.ndarray, follows: np.ndarray, deepest: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Levels of the count trie of a shard: (parent's place in the level above, word, count), sorted by parent and word.
 
-    pair_ok: whether the word at a place and the next one may follow each other.
+    follows: for each place, of how many words a phrase may be at most that begins there and whose last
+    three words, or all, may be frequent together at each of its ends: 1, 2 or 3 (and more).
     """
     at = np.flatnonzero(ok[ids])
     word, node, count = np.unique(ids[at], return_inverse=True, return_counts=True)
@@ -212,7 +230,8 @@ def trie(ids: np.ndarray, ok: np.ndarray, pair_ok: np.ndarray, deepest: int) ->
     wide = int(ids.max(initial=0)) + 1
     for depth in range(1, deepest):
         on = at + depth < len(ids)
-        on[on] = pair_ok[at[on] + depth - 1]
+        # The phrase's last three words are frequent together, or both of a phrase of two.
+        on[on] = follows[at[on] + max(0, depth - 2)] > min(depth, 2)
         at, node = at[on], node[on]
         key, node, count = np.unique(node * wide + ids[at + depth], return_inverse=True, return_counts=True)
         levels.append((key // wide, key % wide, count))
@@ -230,105 +249,114 @@ def paths(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
     return every[order], np.concatenate([c for _, _, c in levels])[order]
 
 
-def runs(texts: DataFrame, words: np.ndarray, pairs: np.ndarray, deepest: int = DEEPEST, limits: Limits = LIMITS) -> DataFrame:
-    """lang, w1 .. wN, f: the nodes of each shard's trie, sorted in the shard."""
-    shared = texts.sparkSession.sparkContext.broadcast((words, pairs))
-    columns = [f"w{i + 1}" for i in range(deepest)]
+def runs(texts: DataFrame, held: list[np.ndarray], deepest: int = DEEPEST, limits: Limits = LIMITS) -> DataFrame:
+    """range, lang, words, path, f: the tries of shards, a row for each range: distinct words, the nodes' numbers of them (of 32 bits, ``deepest`` a node, -1 beyond its depth) and counts (of 64)."""
+    shared = texts.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for vocabulary, ids in shards(batches, limits):
-            ok = _frequent(vocabulary, shared.value[0])
-            at, names = _pairs(vocabulary.names(), ids, ok)
-            pair_ok = np.zeros(len(ids), bool)
-            pair_ok[at] = _in(shared.value[1], names)
+            words, *more = shared.value
+            ok = _in(words, vocabulary.names())
+            ok[0] = False
+            follows = ok[ids].astype(np.int8)
+            for size, flags in enumerate(more, 2):
+                at, names = grams(vocabulary, ids, shared.value, size)
+                follows[at[_in(flags, names)]] = size
             # Numbers in byte order, so that sorted arrays are in the order of words.
-            kept = [(w, i) for w, i in vocabulary.items() if ok[i]]
-            kept.sort()
+            kept = sorted((w, i) for w, i in vocabulary.items() if ok[i])
+            number = np.array([0, *[i for _, i in kept]], np.int64)
             rank = np.zeros(len(vocabulary), np.int64)
-            rank[[i for _, i in kept]] = np.arange(1, len(kept) + 1)
-            path, f = paths(trie(rank[ids], np.arange(len(kept) + 1) > 0, pair_ok, deepest))
-            spelled = pa.array([None, *[w for w, _ in kept]], pa.binary()).cast(pa.string())
-            for a in range(0, len(f), 1 << 16):
-                some = path[a : a + (1 << 16)]
-                cols = [spelled.take(pa.array(np.maximum(some[:, i], 0))) for i in range(deepest)]
-                yield pa.RecordBatch.from_arrays([pa.array([vocabulary.lang] * len(some)), *cols, pa.array(f[a : a + len(some)], pa.int64())], names=["lang", *columns, "f"])
-
-    return texts.mapInArrow(run, f"lang string, {', '.join(f'{c} string' for c in columns)}, f long")
-
-
-def _summed(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[list[str | None], int]]:
-    """Sums of neighbouring rows with equal columns, over all batches of a task."""
-    last: tuple[list[str | None], int] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = np.zeros(batch.num_rows, bool)
-        new[0] = True
-        for c in columns:
-            x = batch.column(c).fill_null("")
-            new[1:] |= pc.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False)
+            rank[number[1:]] = np.arange(1, len(number))
+            path, f = paths(trie(rank[ids], np.arange(len(number)) > 0, follows, deepest))
+            longer = path[:, 1] >= 0
+            path, f = path[longer], f[longer]
+            name = vocabulary.names()[number]
+            part = (mix64(name[path[:, 0]] * _ODD + name[path[:, 1]]) >> np.uint64(64 - RANGE_BITS)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[order])) + 1
+            rows = []
+            for some in np.split(order, cuts) if len(order) else ():
+                used, at = np.unique(path[some], return_inverse=True)
+                gap = int(used[0] == -1)
+                numbers = (at.reshape(len(some), deepest) - gap).astype(np.int32)
+                rows.append((int(part[some[0]]), vocabulary.lang, b"\n".join(kept[u - 1][0] for u in used[gap:].tolist()), numbers.tobytes(), f[some].astype(np.int64).tobytes()))
+            if rows:
+                kinds = (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["range", "lang", "words", "path", "f"])
+
+    return texts.mapInArrow(run, "range int, lang string, words binary, path binary, f binary")
+
+
+class Merge:
+    """The sum of serialised tries of one range and language, held once a path."""
+
+    def __init__(self, deepest: int) -> None:
+        self.deepest, self.words = deepest, {}
+        self.path, self.f = np.zeros((0, deepest), np.int64), np.zeros(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, words: bytes, path: bytes, f: bytes) -> None:
+        number = np.array([*[self.words.setdefault(w, len(self.words)) for w in words.split(b"\n")], -1], np.int64)
+        self.waiting.append((number[np.frombuffer(path, np.int32).reshape(-1, self.deepest)], np.frombuffer(f, np.int64)))
+        if sum(len(x) for _, x in self.waiting) > max(1 << 18, len(self.f)):
+            self.settle()
+
+    def settle(self) -> None:
+        path = np.concatenate([self.path, *[p for p, _ in self.waiting]])
+        f = np.concatenate([self.f, *[x for _, x in self.waiting]])
+        order = np.lexsort(path.T[::-1])
+        path = path[order]
+        new = np.ones(len(path), bool)
+        new[1:] = (path[1:] != path[:-1]).any(1)
         start = np.flatnonzero(new)
-        f = np.add.reduceat(batch.column("f").to_numpy(), start).tolist()
-        keys = [batch.column(c).take(pa.array(start)).to_pylist() for c in columns]
-        for key, n in zip(map(list, zip(*keys, strict=True)), f, strict=True):
-            if last and last[0] == key:
-                last = (key, last[1] + n)
-            else:
-                if last:
-                    yield last
-                last = (key, n)
-    if last:
-        yield last
+        self.path, self.f, self.waiting = path[start], np.add.reduceat(f[order], start) if len(start) else f, []
+
+    def walk(self, least: int) -> Iterator[tuple[list[bytes], int, list[int]]]:
+        """(words, count, counts of the first two, three, .. words) of the nodes that occur often enough. What stands above such a node does too, and comes before it."""
+        self.settle()
+        spelled, above = list(self.words), [0] * self.deepest
+        often = self.f >= least
+        for row, f in zip(self.path[often].tolist(), self.f[often].tolist(), strict=True):
+            depth = sum(x >= 0 for x in row)
+            above[depth - 1] = f
+            yield [spelled[x] for x in row[:depth]], f, above[1 : depth - 1]
 
 
 def merged(found: DataFrame, least: int = LEAST, deepest: int = DEEPEST) -> DataFrame:
-    """lang, phrase, depth, f, lefts (counts of the phrase's first 1, 2, .. words) of all phrases that occur often enough, from written runs."""
-    columns = ["lang", *[f"w{i + 1}" for i in range(deepest)]]
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        path: list[str | None] = []
-        counts: list[int | None] = []
-        first = True
-        for key, f in _summed(batches, columns):
-            if f < least:
-                continue
-            key = [k for k in key if k is not None]
-            same = 0
-            while same < min(len(path), len(key)) and path[same] == key[same]:
-                same += 1
-            counts = [*counts[:same], *[None] * (len(key) - 1 - same)][: len(key) - 1]
-            rows.append((key[0], " ".join(key[1:]), len(key) - 1, f, counts[1:], first))
-            path, counts, first = key, [*counts, f], False
-            if len(rows) >= 1 << 14:
-                yield batch_of(rows)
-                rows = []
-        if rows:
-            yield batch_of(rows)
-
-    names = ["lang", "phrase", "depth", "f", "lefts", "first"]
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.bool_()]
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    order = [F.col(c).asc_nulls_first() for c in columns]
-    nodes = found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(walk, "lang string, phrase string, depth int, f long, lefts array<long>, first boolean")
-    nodes = cut(nodes.withColumn("part", F.spark_partition_id()))
-    # What stands above a range's first node stands above all nodes of the range whose left parts aren't in it.
-    above = nodes.where("first and depth > 1").select("part", "lang", F.posexplode(F.expr("transform(sequence(1, depth - 1), k -> substring_index(phrase, ' ', k))")).alias("k", "phrase"))
-    known = above.join(nodes.select("lang", "phrase", "f"), ["lang", "phrase"]).groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("k", "f"))).alias("above"))
-    lefts = F.transform("lefts", lambda x, i: F.coalesce(x, F.element_at("above", i)))
-    return nodes.join(F.broadcast(known), "part", "left").select("lang", "phrase", "depth", "f", lefts.alias("lefts"))
+    """lang, phrase, depth, f, lefts (counts of the phrase's first 2, 3, .. words) of all phrases of two words and more that occur often enough."""
+    names, kinds = ["lang", "phrase", "depth", "f", "lefts"], [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+
+    def batches_of(lang: str, merge: Merge) -> Iterator[pa.RecordBatch]:
+        rows = [(lang, b" ".join(words).decode(), len(words), f, lefts) for words, f, lefts in merge.walk(least)]
+        for a in range(0, len(rows), 1 << 14):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + (1 << 14)], strict=True), kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, merge = None, None
+        for batch in batches:
+            for part, lang, words, path, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (part, lang) != key:
+                    if merge:
+                        yield from batches_of(key[1], merge)
+                    key, merge = (part, lang), Merge(deepest)
+                merge.add(words, path, f)
+        if merge:
+            yield from batches_of(key[1], merge)
+
+    dealt = found.repartition("range").sortWithinPartitions("range", "lang")
+    return dealt.mapInArrow(run, "lang string, phrase string, depth int, f long, lefts array<long>")
 
 
 def phrases(docs: DataFrame, least: int = LEAST, deepest: int = DEEPEST, limits: Limits = LIMITS) -> tuple[DataFrame, DataFrame]:
-    """(the nodes of ``merged`` of a table of texts; lang, n: words of each language)."""
+    """(the nodes of ``merged`` and single words of a table of texts; lang, n: words of each language)."""
     texts = _texts(docs)
     counts = cut(word_counts(texts, limits).where(f"f >= {least} or word = ''"))
-    pairs = pair_counts(texts, words := bitmap(counts.where("word != ''"), _word_names, limits.bits), limits).where(f"f >= {least}")
-    held = bitmap(pairs, lambda batch: batch.column("name").to_numpy().view(np.uint64), limits.bits)
-    return cut(merged(cut(runs(texts, words, held, deepest, limits)), least, deepest)), counts.where("word = ''").select("lang", F.col("f").alias("n"))
+    held = [bitmap(counts.where("word != ''"), _word_names, limits.bits)]
+    for size in (2, 3):
+        held.append(bitmap(gram_counts(texts, held, size, limits).where(f"f >= {least}"), lambda batch: batch.column("name").to_numpy().view(np.uint64), limits.bits))
+    nodes = merged(cut(runs(texts, held, deepest, limits)), least, deepest)
+    single = counts.where("word != ''").select("lang", F.col("word").alias("phrase"), F.lit(1).alias("depth"), "f", F.array().cast("array<bigint>").alias("lefts"))
+    return cut(nodes.unionByName(single)), counts.where("word = ''").select("lang", F.col("f").alias("n"))
 
 
 def mine(docs: DataFrame, least: int = LEAST, deepest: int = DEEPEST, top: int = TOP, limits: Limits = LIMITS) -> DataFrame:
@@ -339,7 +367,9 @@ def mine(docs: DataFrame, least: int = LEAST, deepest: int = DEEPEST, top: int =
     nodes, sizes = phrases(docs, least, deepest, limits)
     many = sizes.limit(SMALL_SIDE + 1).count() > SMALL_SIDE
     links = F.posexplode(F.expr("transform(sequence(1, depth - 1), k -> substring_index(phrase, ' ', k - depth))")).alias("at", "link")
-    cuts = nodes.where("depth > 1").select("lang", "phrase", "depth", F.col("f").alias("a"), "lefts", links)
+    heads = nodes.where("depth = 1").select("lang", F.col("phrase").alias("head"), F.col("f").alias("first"))
+    longer = nodes.where("depth > 1").withColumn("head", F.substring_index("phrase", " ", 1)).join(heads, ["lang", "head"])
+    cuts = longer.select("lang", "phrase", "depth", F.col("f").alias("a"), F.concat(F.array("first"), "lefts").alias("lefts"), links)
     ends = nodes.select("lang", F.col("phrase").alias("link"), F.col("f").alias("r"))
     met = cuts.join(ends, ["lang", "link"]).join(sizes if many else F.broadcast(sizes), "lang").withColumn("l", F.expr("lefts[at]"))
     wide = [F.col(c).cast("decimal(18,0)") for c in ("a", "n", "l", "r")]
