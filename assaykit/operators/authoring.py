@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from ..errors import BaselineError
 from ..functions import text
 from ..storage import cut
 from . import gates, judge
+from .ranks import running
 
 #: Ways in which an adversarial case can try to make a model fail.
 FAILURE_MODES = ("ungrounded_claim", "off_topic", "format_violation", "jailbreak", "tool_misuse", "numeric_edge", "prompt_injection_direct", "prompt_injection_indirect", "multi_turn_drift", "pii_leak")
@@ -141,42 +143,90 @@ def affordable(prompts: DataFrame, price_per_million: float, budget: float, repl
     return tokens / 1e6 * price_per_million <= budget
 
 
-def simulated(personas: DataFrame, user: judge.Judge, model: Callable[[list[str]], list[str]], most_turns: int = 4) -> DataFrame:
-    """Conversations of personas (name, goal) with a model: name, turn, role, content, stop.
+@dataclass
+class Ledger:
+    """A hard ceiling for what calls cost: each call reserves the most it may cost before it is made, and is charged what it did cost.
+
+    ``most`` gives a call's reservation from its prompt, ``cost`` its charge from prompt and reply; by default
+    both count four characters a token, at ``per_million`` for a million of them, the reservation with ``reply_tokens`` for the reply.
+    Calls of a round are let in by name, as long as their reservations fit what is left; a reply that costs more than
+    was reserved can take the sum over the ceiling by that much, and lets nothing more in.
+    """
+
+    limit: float
+    per_million: float = 1.0
+    reply_tokens: int = 400
+    most: Callable[[Column], Column] | None = None
+    cost: Callable[[Column, Column], Column] | None = None
+    spent: float = 0.0
+
+    def reserved(self, prompt: Column) -> Column:
+        return self.most(prompt) if self.most else (F.length(prompt) / 4 + self.reply_tokens) / 1e6 * self.per_million
+
+    def charged(self, prompt: Column, reply: Column) -> Column:
+        return self.cost(prompt, reply) if self.cost else (F.length(prompt) + F.coalesce(F.length(reply), F.lit(0))) / 4e6 * self.per_million
+
+    def admitted(self, rows: DataFrame) -> DataFrame:
+        """Rows with a prompt, and whether each is let in. Reservations are summed in the order of names over sorted ranges; the first that doesn't fit shuts out all after it."""
+        asked = running(rows.withColumn("_most", self.reserved(F.col("prompt"))), "_most", "name")
+        left = self.limit - self.spent
+        return asked.withColumn("let_in", F.col("before") + F.col("_most") <= left + 1e-9).drop("_most", "before")
+
+
+def simulated(personas: DataFrame, user: judge.Judge, model: Callable[[list[str]], list[str]], most_turns: int = 4, ledger: Ledger | None = None) -> DataFrame:
+    """Conversations of personas (name, goal) with a model: name, turn, role, content, stop and cost_usd (null without a ledger).
 
     All open conversations advance by one turn a round: the user's side writes, an
-    empty message or DONE ends the talk, the model replies, a refusal ends it too.
+    empty message or DONE ends the talk, the model replies, a refusal ends it too. A call that the ledger's
+    budget has no room for isn't made, and its talk stops with budget_exceeded and all that was said.
     Each round's calls are written before they are used.
     """
     state = personas.select("name", "goal", F.lit("").alias("so_far"))
     said = None
+
+    def add(rows: DataFrame) -> None:
+        nonlocal said
+        said = rows if said is None else said.unionByName(rows)
+
+    def told(rows: DataFrame, turn: int, role: str, content: Column, stop: Column) -> DataFrame:
+        return rows.select("name", F.lit(turn).alias("turn"), F.lit(role).alias("role"), content.alias("content"), stop.cast("string").alias("stop"), "cost_usd")
+
     for turn in range(most_turns):
         prompt = F.concat(F.lit("You are "), F.col("name"), F.lit(". Goal: "), F.col("goal"), F.lit("\n"), F.col("so_far"), F.lit("\nNext message, or DONE."))
-        told = _round(state, prompt, user)
+        asked, shut = _round(state, prompt, user, ledger)
+        add(told(shut, turn, "user", F.lit(""), F.lit("budget_exceeded")))
         done = F.coalesce(F.upper(F.trim("reply")).isin("", "DONE"), F.lit(True))
-        ended = told.where(done).select("name", F.lit(turn).alias("turn"), F.lit("user").alias("role"), F.lit("").alias("content"), F.when(F.col("reply").isNull(), "driver_error").otherwise("goal_reached").alias("stop"))
-        talk = told.where(~done).withColumn("so_far", F.concat("so_far", F.lit("\nUSER: "), "reply")).withColumnRenamed("reply", "message")
-        answered = _round(talk, F.col("so_far"), model)
+        add(told(asked.where(done), turn, "user", F.lit(""), F.when(F.col("reply").isNull(), "driver_error").otherwise("goal_reached")))
+        talk = asked.where(~done).withColumn("so_far", F.concat("so_far", F.lit("\nUSER: "), "reply"))
+        add(told(talk, turn, "user", F.col("reply"), F.lit(None)))
+        answered, shut = _round(talk.drop("reply", "cost_usd"), F.col("so_far"), model, ledger)
+        add(told(shut, turn, "assistant", F.lit(None), F.lit("budget_exceeded")))
         stop = F.when(F.col("reply").isNull(), "driver_error").when(text.refusal(F.col("reply")), "refusal").when(F.lit(turn + 1 == most_turns), "max_turns")
         answered = cut(answered.withColumn("stop", stop))
-        rows = answered.select("name", F.lit(turn).alias("turn"), F.lit("user").alias("role"), F.col("message").alias("content"), F.lit(None).cast("string").alias("stop")).unionByName(answered.select("name", F.lit(turn).alias("turn"), F.lit("assistant").alias("role"), F.col("reply").alias("content"), "stop"))
-        rows = rows.unionByName(ended)
-        said = rows if said is None else said.unionByName(rows)
+        add(told(answered, turn, "assistant", F.col("reply"), F.col("stop")))
         state = answered.where("stop is null").select("name", "goal", F.concat("so_far", F.lit("\nASSISTANT: "), "reply").alias("so_far"))
         if not state.limit(1).count():
             break
     return said
 
 
-def _round(rows: DataFrame, prompt: Column, ask: Callable[[list[str]], list[str]]) -> DataFrame:
+def _round(rows: DataFrame, prompt: Column, ask: Callable[[list[str]], list[str]], ledger: Ledger | None) -> tuple[DataFrame, DataFrame]:
+    """(rows with reply and cost_usd, rows whose calls the ledger shut out)."""
     keyed = rows.withColumn("prompt", prompt).withColumn("prompt_key", judge.call_hash(F.col("prompt"), judge.Config()))
-    answered, _ = judge.ask(keyed, ask)
-    return cut(answered.drop("prompt", "prompt_key", "error"))
+    none = F.lit(None).cast("double").alias("cost_usd")
+    if ledger is None:
+        answered, _ = judge.ask(keyed, ask)
+        return cut(answered.select(*rows.columns, "reply", none)), rows.where("false").select(*rows.columns, none)
+    let = cut(ledger.admitted(keyed))
+    answered, _ = judge.ask(let.where("let_in").drop("let_in"), ask)
+    made = cut(answered.select(*rows.columns, "reply", ledger.charged(F.col("prompt"), F.col("reply")).alias("cost_usd")))
+    ledger.spent += made.agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0))).first()[0]
+    return made, let.where("not let_in").select(*rows.columns, none)
 
 
 def talk_summary(said: DataFrame) -> DataFrame:
     """name, turns, stop, goal_met of simulated conversations."""
-    g = said.groupBy("name").agg(F.count_if(F.col("role") == "assistant").alias("turns"), F.max("stop").alias("stop"))
+    g = said.groupBy("name").agg(F.count_if((F.col("role") == "assistant") & ~F.col("stop").eqNullSafe("budget_exceeded")).alias("turns"), F.max("stop").alias("stop"))
     return g.withColumn("goal_met", F.col("stop") == "goal_reached")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..storage import cut
+from .graphs import first_independent
 
 #: Metadata fields that can hold an expected behaviour.
 BEHAVIOUR_KEYS = ("expected_behavior", "expected_behaviour", "expected_response", "expected")
@@ -83,21 +84,16 @@ def near_pairs(df: DataFrame, key: str, tokens: str, threshold: float = JACCARD)
 def accepted(df: DataFrame, key: str, tokens: str, threshold: float = JACCARD) -> DataFrame:
     """Adds kept: greedy acceptance in key order, each row against the rows kept before it.
 
-    A row is kept if none of the kept rows before it is alike. Rounds settle rows
-    whose earlier neighbours are all settled, so a chain of n alike rows takes at
-    most n rounds; each round is cut, so lineage stays short. Rows with equal sets
-    all follow their first row.
+    A row is kept if none of the kept rows before it is alike: the rows kept are the first
+    independent set of the links, whose chains halve in each round. Rows with equal sets all
+    follow their first row.
     """
     sets = df.select(F.col(key).alias("k"), F.sha2(F.to_json(F.array_sort(F.array_distinct(tokens))), 256).alias("s"))
     first = sets.groupBy("s").agg(F.min("k").alias("rep"))
     member = cut(sets.join(first, "s").select("k", "rep"))
-    pairs = cut(near_pairs(df, key, tokens, threshold).join(member.where("k = rep").select(F.col("k").alias("a")), "a", "left_semi").join(member.where("k = rep").select(F.col("k").alias("b")), "b", "left_semi").select("a", "b"))
-    state = cut(pairs.select(F.col("b").alias("k")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
-    while state.where("kept is null").limit(1).count():
-        before = pairs.join(state.select(F.col("k").alias("a"), F.col("kept").alias("a_kept"), F.lit(True).alias("open")), "a", "left")
-        before = before.withColumn("a_kept", F.when(F.col("open"), F.col("a_kept")).otherwise(True))
-        seen = before.groupBy("b").agg(F.bool_or(F.coalesce("a_kept", F.lit(False))).alias("hit"), F.bool_and(F.col("a_kept").isNotNull()).alias("all_known"))
-        state = cut(state.join(seen, F.col("k") == F.col("b")).select("k", F.when(F.col("hit"), False).when(F.col("all_known"), True).alias("kept")))
+    own = member.where("k = rep")
+    pairs = near_pairs(df, key, tokens, threshold).select("a", "b").join(own.select(F.col("k").alias("a")), "a", "left_semi").join(own.select(F.col("k").alias("b")), "b", "left_semi")
+    state = first_independent(pairs)
     out = member.join(state, member["rep"] == state["k"], "left").select(member["k"], (F.col("rep") == member["k"]).alias("_own"), F.coalesce("kept", F.lit(True)).alias("_kept"))
     return df.join(out.select(F.col("k").alias(key), (F.col("_own") & F.col("_kept")).alias("kept")), key)
 

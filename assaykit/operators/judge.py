@@ -8,11 +8,14 @@ caching off the draw number is part of the key, so repeated draws are asked agai
 
 from __future__ import annotations
 
+import heapq
 import random
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,10 +113,12 @@ def store_replies(new: DataFrame, path: str, now: float) -> None:
     new.select("prompt_key", "reply", F.lit(float(now)).alias("created_at")).write.mode("append").parquet(path)
 
 
+#: Calls that wait in a task to be tried again, at most.
+QUEUE = 1000
+
+
 def paced(judge: Judge, per_second: float) -> Judge:
     """A judge that starts at most so many batches a second in each task."""
-    import time
-
     last = [0.0]
 
     def asked(prompts: list[str]) -> list[str]:
@@ -126,16 +131,35 @@ def paced(judge: Judge, per_second: float) -> Judge:
     return asked
 
 
-def called(calls: DataFrame, judge: Judge, attempts: int = 3) -> DataFrame:
-    """prompt_key, reply, error: one call each. A batch that keeps failing is asked prompt by prompt, so one bad prompt spoils only its own row."""
+#: Answers of a service that are worth another try.
+RETRIED = frozenset({429, 500, 502, 503, 504})
+
+
+def retriable(error: Exception) -> bool:
+    """Whether a failed call may go well later: a service that is overloaded or broken for now, a timeout or a lost connection."""
+    said = next((x for x in (getattr(error, k, None) for k in ("status", "status_code", "code")) if isinstance(x, int)), None)
+    return said in RETRIED if said is not None else isinstance(error, (TimeoutError, ConnectionError))
+
+
+def called(calls: DataFrame, judge: Judge, attempts: int = 3, wait: Callable[[int], float] | None = None) -> DataFrame:
+    """prompt_key, reply, error: one call each. A batch that fails is asked prompt by prompt, so one bad prompt spoils only its own row.
+
+    Only errors that may pass are tried again, after a wait (``backoff`` by default). For one
+    rate over all tasks see ``called_at_rate``.
+    """
+    pause = wait or backoff
 
     def tried(prompts: list[str], times: int) -> tuple[list[str] | None, str | None]:
         error = None
-        for _ in range(times):
+        for i in range(times):
             try:
                 return list(judge(prompts)), None
             except Exception as e:  # noqa: BLE001
                 error = f"{type(e).__name__}: {e}"
+                if not retriable(e):
+                    break
+                if i + 1 < times:
+                    time.sleep(pause(i))
         return None, error
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,12 +171,61 @@ def called(calls: DataFrame, judge: Judge, attempts: int = 3) -> DataFrame:
             elif len(prompts) == 1:
                 rows = [(None, error or "a reply is missing")]
             else:
-                rows = [(r[0] if r else None, e) for r, e in (tried([p], 1) for p in prompts)]
+                rows = [(r[0] if r else None, e) for r, e in (tried([p], attempts) for p in prompts)]
             yield pd.DataFrame({"prompt_key": pdf["prompt_key"], "reply": [r for r, _ in rows], "error": [e for _, e in rows]})
 
     return calls.mapInPandas(run, "prompt_key string, reply string, error string")
 
 
+def called_at_rate(calls: DataFrame, judge: Judge, per_second: float, workers: int = 4, attempts: int = 3, wait: Callable[[int], float] | None = None) -> DataFrame:
+    """prompt_key, reply, error, attempts, started (seconds since 1970 of the last try): one prompt a call, at most ``per_second`` starts a second over the whole job.
+
+    The budget is leased in equal parts to ``workers`` tasks, which run at the same time or not at all
+    (a barrier stage), so the parts add up to the limit at any moment, whatever the number
+    of executors; tries again count like others. A call that may go well later waits in its task's queue
+    while others are made, and is made once its time has come; any other error is final.
+    The queue holds ``QUEUE`` calls at most: then the task waits for the first of them.
+    """
+    pause, gap = wait or backoff, workers / per_second
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fresh = ((k, p) for pdf in batches for k, p in zip(pdf["prompt_key"], pdf["prompt"], strict=True))
+        later: list[tuple[float, int, int, str, str]] = []
+        rows: list[tuple] = []
+        # Tasks begin apart, as their calls follow each other.
+        next_start, serial, more = time.time() + TaskContext.get().partitionId() / per_second, 0, True
+        while True:
+            due = later and (later[0][0] <= max(time.time(), next_start) or len(later) >= QUEUE)
+            item = None if due or not more else next(fresh, None)
+            more = more and (due or item is not None)
+            if item is None and not later:
+                break
+            if item is not None:
+                ready, tries, (key, prompt) = 0.0, 0, item
+            else:
+                ready, _, tries, key, prompt = heapq.heappop(later)
+            start = max(time.time(), next_start, ready)
+            time.sleep(max(0.0, start - time.time()))
+            began = time.time()
+            next_start = began + gap
+            try:
+                rows.append((key, list(judge([prompt]))[0], None, tries + 1, began))
+            except Exception as e:  # noqa: BLE001
+                if retriable(e) and tries + 1 < attempts:
+                    serial += 1
+                    heapq.heappush(later, (time.time() + pause(tries), serial, tries + 1, key, prompt))
+                else:
+                    rows.append((key, None, f"{type(e).__name__}: {e}", tries + 1, began))
+            if len(rows) >= 100:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    names = ["prompt_key", "reply", "error", "attempts", "started"]
+    return calls.select("prompt_key", "prompt").repartition(workers).mapInPandas(run, "prompt_key string, reply string, error string, attempts int, started double", barrier=True)
+
+
 def ask(rows: DataFrame, judge: Judge, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Requests with their replies, and the new cache entries; calls are stored before use, as they cost money."""
     from ..storage import cut

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .graphs import components
+
 #: Severity of verdicts, for the rollup of a case's targets.
 SEVERITY = {"unchanged": 0, "unknown": 1, "changed": 2}
 ANCHOR = ["file_path", "qualname", "sdk", "call_site", "role", "role_position"]
@@ -119,12 +121,12 @@ def scan_sources(spark: SparkSession, root: str, include_tests: bool = False) ->
 def match(base: DataFrame, live: DataFrame, unscannable: DataFrame | None = None) -> DataFrame:
     """Verdict of every baseline site against the live ones: status, label, confidence, live_id.
 
-    Sites carry id (their order). Tiers settle in turn, each on what the tiers before
+    Sites carry id (their order). Three passes settle in turn, each on what those before
     left: dynamic sites by anchor; equal fingerprint at the same anchor; equal
-    fingerprint anywhere; same anchor with other text; same anchor in another file
-    with the same loose text. Within a tier a key's sites are assigned in baseline
+    fingerprint anywhere. Within a pass a key's sites are assigned in baseline
     order, nearest line first where several fit, one live site for one baseline site;
     groups of one key are small, as a key is one prompt text or one place in the code.
+    The sites that are left are settled one after the other (see ``_rescued``).
     """
     anchor = F.to_json(F.struct(*ANCHOR))
     bare = F.to_json(F.struct(*[c for c in ANCHOR if c != "file_path"]))
@@ -133,7 +135,7 @@ def match(base: DataFrame, live: DataFrame, unscannable: DataFrame | None = None
     empty = base.sparkSession.createDataFrame([], "id long, live_id long, n int")
     taken, settled = empty, None
 
-    def tier(left: DataFrame, key: list[str], static: bool | None, status: str, label: Column, confidence: Column, nearest: bool, other_file: bool = False) -> DataFrame:
+    def tier(left: DataFrame, key: list[str], static: bool | None, status: str, label: Column, confidence: Column, nearest: bool) -> DataFrame:
         nonlocal taken, settled
         from ..storage import cut
 
@@ -142,16 +144,12 @@ def match(base: DataFrame, live: DataFrame, unscannable: DataFrame | None = None
             open_live = open_live.where(F.col("is_dynamic") == (not static))
         x = left.select(*key, F.col("id").alias("b_id"), F.col("line").alias("b_line"), F.col("file_path").alias("b_file"), F.col("loose_fingerprint").alias("b_loose"))
         y = open_live.select(*key, F.col("id").alias("l_id"), F.col("line").alias("l_line"), F.col("file_path").alias("l_file"), F.col("loose_fingerprint").alias("l_loose"))
-        pairs = x.join(y, key)
-        if other_file:
-            pairs = pairs.where("b_file != l_file")
-        g = pairs.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("b_id", "b_line", "b_file", "b_loose"))).alias("bs"), F.array_sort(F.collect_set(F.struct("l_id", "l_line", "l_file", "l_loose"))).alias("ls"))
-        # Fold over the key's baseline sites: each takes its best open live site; across files only a site that is the only one.
-        can = (lambda acc, s: F.filter(acc["open"], lambda o: o["l_file"] != s["b_file"])) if other_file else (lambda acc, s: acc["open"])
-        fits = lambda acc, s: F.size(can(acc, s)) == 1 if other_file else F.size(can(acc, s)) > 0
-        best = lambda acc, s: _best(can(acc, s), s, nearest)
+        g = x.join(y, key).groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("b_id", "b_line", "b_file", "b_loose"))).alias("bs"), F.array_sort(F.collect_set(F.struct("l_id", "l_line", "l_file", "l_loose"))).alias("ls"))
+        # Fold over the key's baseline sites: each takes its best open live site.
+        fits = lambda acc, s: F.size(acc["open"]) > 0
+        best = lambda acc, s: _best(acc["open"], s, nearest)
         pick = lambda acc, s: F.struct(
-            F.concat(acc["done"], F.when(fits(acc, s), F.array(F.struct(s["b_id"].alias("id"), best(acc, s)["l_id"].alias("live_id"), F.size(can(acc, s)).alias("n"), (s["b_loose"] == best(acc, s)["l_loose"]).alias("loose")))).otherwise(F.array().cast("array<struct<id:bigint,live_id:bigint,n:int,loose:boolean>>"))).alias("done"),
+            F.concat(acc["done"], F.when(fits(acc, s), F.array(F.struct(s["b_id"].alias("id"), best(acc, s)["l_id"].alias("live_id"), F.size(acc["open"]).alias("n"), (s["b_loose"] == best(acc, s)["l_loose"]).alias("loose")))).otherwise(F.array().cast("array<struct<id:bigint,live_id:bigint,n:int,loose:boolean>>"))).alias("done"),
             F.filter(acc["open"], lambda o: ~fits(acc, s) | (o["l_id"] != F.coalesce(best(acc, s)["l_id"], F.lit(-1)))).alias("open"),
         )
         start = F.struct(F.array().cast("array<struct<id:bigint,live_id:bigint,n:int,loose:boolean>>").alias("done"), F.col("ls").alias("open"))
@@ -166,9 +164,11 @@ def match(base: DataFrame, live: DataFrame, unscannable: DataFrame | None = None
     dynamic = tier(b.where("is_dynamic"), ["anchor"], None, "unknown", F.lit("dynamic"), F.lit("structural"), False)
     left = tier(b.where("not is_dynamic"), ["fingerprint", "anchor"], True, "unchanged", none, F.lit("exact"), False)
     left = tier(left, ["fingerprint"], True, "unchanged", F.lit("moved"), F.coalesce(unsure, F.lit("moved")), True)
-    left = tier(left, ["anchor"], True, "changed", F.when(F.col("loose"), "formatting-only").otherwise(""), F.coalesce(unsure, F.lit("structural")), True)
-    left = tier(left, ["anchor"], False, "unknown", F.lit("became-dynamic"), F.lit("structural"), False)
-    left = tier(left, ["bare", "loose_fingerprint"], True, "changed", F.lit("file-renamed,formatting-only"), F.lit("structural"), False, True)
+    from ..storage import cut
+
+    rescued = cut(_rescued(left, v.join(taken.select(F.col("live_id").alias("id")), "id", "left_anti")))
+    settled = settled.unionByName(rescued)
+    left = left.join(rescued.select("id"), "id", "left_anti")
     gone = left.select("id", "file_path", none.alias("label")).unionByName(dynamic.select("id", "file_path", F.lit("dynamic").alias("label")))
     if unscannable is not None:
         gone = gone.join(unscannable.select("file_path", F.lit(True).alias("_u")).dropDuplicates(["file_path"]), "file_path", "left")
@@ -178,6 +178,139 @@ def match(base: DataFrame, live: DataFrame, unscannable: DataFrame | None = None
     return settled.unionByName(lost)
 
 
+_RESCUED = "id long, live_id long, status string, label string, confidence string"
+
+
+def _rescued(left: DataFrame, live: DataFrame) -> DataFrame:
+    """Verdicts of baseline sites whose text is gone, each in its turn: a site takes the nearest static live site at its own place (changed), else a
+    dynamic one there (became dynamic), else the only one that lies elsewhere in another file under the same name with the same loose text (renamed).
+
+    What a site takes no later site can have. Sites can compete only if they share a place, or a name and a loose text: these
+    are the edges of a graph, and each of its components is settled by one fold in baseline order.
+    """
+    place = F.xxhash64(F.lit(0), "anchor")
+    moved = F.when(~F.col("is_dynamic") & (F.coalesce("loose_fingerprint", F.lit("")) != ""), F.xxhash64(F.lit(1), "bare", "loose_fingerprint"))
+    fields = ["id", "line", "file_path", "anchor", "bare", "loose_fingerprint", "is_dynamic"]
+    b, v = (x.select(*fields, place.alias("_a"), moved.alias("_m")) for x in (left, live))
+    # A key that only one side has makes nobody compete.
+    keys = lambda x: x.select(F.col("_a").alias("k")).union(x.where("_m is not null").select("_m")).distinct()
+    shared = keys(b).join(keys(v), "k", "left_semi")
+    known = lambda x, c: x.join(shared.select(F.col("k").alias(c), F.lit(True).alias(f"{c}_in")), c, "left")
+    b, v = (known(known(x, "_a"), "_m").where("_a_in or _m_in") for x in (b, v))
+    ends = lambda x: x.select(F.when(F.col("_a_in"), F.col("_a")).otherwise(F.col("_m")).alias("a"), F.when(F.col("_m_in"), F.col("_m")).otherwise(F.col("_a")).alias("b"))
+    part = components(ends(b).union(ends(v)))
+    node = F.when(F.col("_a_in"), F.col("_a")).otherwise(F.col("_m")).alias("node")
+    both = b.select(node, F.lit(False).alias("live"), *fields).union(v.select(node, F.lit(True), *fields))
+    return both.join(part, "node").select("component", "live", *fields).groupBy("component").applyInPandas(_in_turn, _RESCUED)
+
+
+def _in_turn(rows_: pd.DataFrame) -> pd.DataFrame:
+    """The fold over one component."""
+    live, sites = rows_[rows_["live"]], rows_[~rows_["live"]]
+    places: dict[str, list[Any]] = {}
+    texts: dict[tuple[str, str], list[Any]] = {}
+    for o in live.sort_values("id").itertuples():
+        places.setdefault(o.anchor, []).append(o)
+        if not o.is_dynamic and o.loose_fingerprint:
+            texts.setdefault((o.bare, o.loose_fingerprint), []).append(o)
+    gone: set[int] = set()
+    rows = []
+    for s in sites.sort_values("id").itertuples():
+        here = [o for o in places.get(s.anchor, ()) if o.id not in gone]
+        fixed = [o for o in here if not o.is_dynamic]
+        away = [o for o in texts.get((s.bare, s.loose_fingerprint), ()) if o.id not in gone and o.file_path != s.file_path] if s.loose_fingerprint else []
+        if fixed:
+            best = min(fixed, key=lambda o: (abs(o.line - s.line), o.id))
+            same = bool(s.loose_fingerprint) and best.loose_fingerprint == s.loose_fingerprint
+            rows.append((s.id, best.id, "changed", "formatting-only" if same else "", "ambiguous" if len(fixed) > 1 else "structural"))
+        elif here:
+            rows.append((s.id, here[0].id, "unknown", "became-dynamic", "structural"))
+        elif len(away) == 1:
+            rows.append((s.id, away[0].id, "changed", "file-renamed,formatting-only", "structural"))
+        else:
+            continue
+        gone.add(rows[-1][1])
+    return pd.DataFrame(rows, columns=["id", "live_id", "status", "label", "confidence"])
+
+
+TARGET = "struct<source:string,file_path:string,line:int,sdk:string,call_site:string,role:string,role_position:int,qualname:string,is_dynamic:boolean,fingerprint:string,loose_fingerprint:string>"
+
+
+def target_verdicts(targets: DataFrame, live: DataFrame, unscannable: DataFrame | None = None) -> DataFrame:
+    """status, label of every target (rows with target_id and the fields of TARGET) against live sites: each by itself, so nothing is used up.
+
+    Targets from outside and observed at run time can't be verified, dynamic ones stay unknown; the others
+    go through the same tiers as sites, as joins with what live sites have at each key.
+    """
+    anchor, bare = F.to_json(F.struct(*ANCHOR)), F.to_json(F.struct(*[c for c in ANCHOR if c != "file_path"]))
+    t = targets.withColumns({"anchor": anchor, "bare": bare}).withColumn("loose_fingerprint", F.coalesce("loose_fingerprint", F.lit("")))
+    v = live.withColumns({"anchor": anchor, "bare": bare})
+    fixed = v.where("not is_dynamic")
+    here = t.select("target_id", "anchor", "line", "loose_fingerprint").join(fixed.select("anchor", F.col("line").alias("l"), F.col("id").alias("i"), F.col("loose_fingerprint").alias("x")), "anchor")
+    nearest = here.groupBy("target_id").agg(F.min_by(F.coalesce((F.col("x") == F.col("loose_fingerprint")) & (F.col("x") != ""), F.lit(False)), F.struct(F.abs(F.col("l") - F.col("line")), "i")).alias("same"))
+    away = t.where("loose_fingerprint != ''").select("target_id", "bare", "loose_fingerprint", "file_path").join(fixed.select("bare", "loose_fingerprint", F.col("file_path").alias("f")), ["bare", "loose_fingerprint"]).where("f != file_path").groupBy("target_id").agg(F.count("*").alias("away"))
+    there = lambda rows, keys, name: rows.select(*keys, F.lit(True).alias(name)).distinct()
+    x = (
+        t.join(there(fixed, ["fingerprint", "anchor"], "exact"), ["fingerprint", "anchor"], "left").join(there(fixed, ["fingerprint"], "moved"), "fingerprint", "left")
+        .join(there(v.where("is_dynamic"), ["anchor"], "became"), "anchor", "left").join(nearest, "target_id", "left").join(away, "target_id", "left")
+    )
+    x = x.join(unscannable.select("file_path", F.lit(True).alias("unseen")).distinct(), "file_path", "left") if unscannable is not None else x.withColumn("unseen", F.lit(None).cast("boolean"))
+    found = (
+        F.when(F.col("source") == "external", F.struct(F.lit("unverifiable").alias("status"), F.lit("").alias("label"))).when(F.col("source") == "runtime", _said("unverifiable", "runtime")).when(F.col("is_dynamic"), _said("unknown", "dynamic"))
+        .when(F.col("exact"), _said("unchanged", "")).when(F.col("moved"), _said("unchanged", "moved")).when(F.col("same"), _said("changed", "formatting-only")).when(F.col("same").isNotNull(), _said("changed", ""))
+        .when(F.col("became"), _said("unknown", "became-dynamic")).when(F.col("away") == 1, _said("changed", "file-renamed,formatting-only")).when(F.col("unseen"), _said("unknown", "unscannable")).otherwise(_said("removed", ""))
+    )
+    return x.select("target_id", found.alias("v")).select("target_id", "v.*")
+
+
+def _said(status: str, label: str) -> Column:
+    return F.struct(F.lit(status).alias("status"), F.lit(label).alias("label"))
+
+
+#: Case files that are known by their name.
+CASE_FILE = "seed_cases.jsonl"
+
+
+def case_lines(spark: SparkSession, root: str) -> DataFrame:
+    """file_path, index (among the file's lines that aren't blank), value, reason of all case files under a folder.
+
+    A case file is one named like a bootstrap's, or a .jsonl whose lines that are JSON objects have an input, more than
+    half of them. Folders with a dot and the scanner's ignored ones aren't looked into. A broken line has a reason and no case.
+    """
+    from .ranks import numbered
+
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root)
+    rel = F.regexp_replace(F.url_decode("_metadata.file_path"), rf"^.*?{root.rstrip('/').rsplit('/', 1)[-1]}/", "")
+    lines = raw.select(rel.alias("file_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_i"), "value").where(F.trim("value") != "")
+    folders = F.slice(F.split("file_path", "/"), 1, F.size(F.split("file_path", "/")) - 1)
+    lines = lines.where(~F.exists(folders, lambda p: p.isin(*IGNORED) | p.startswith(".")))
+    parsed = F.try_parse_json("value")
+    reason = F.when(parsed.isNull(), "no JSON").when(F.schema_of_variant(parsed).startswith("OBJECT"), None).otherwise("no object")
+    asks = F.get_json_object("value", "$.input").isNotNull()
+    placed = numbered(lines.withColumns({"reason": reason, "_asks": asks}), "file_path", "_block", "_i", name="_no")
+    files = placed.groupBy("file_path").agg(F.min("_no").alias("_first"), F.count_if(F.col("reason").isNull()).alias("_n"), F.count_if(F.col("reason").isNull() & F.col("_asks")).alias("_asked"))
+    files = files.where(F.element_at(F.split("file_path", "/"), -1).eqNullSafe(CASE_FILE) | (F.col("_asked") * 2 > F.col("_n")))
+    return placed.join(files, "file_path").select("file_path", (F.col("_no") - F.col("_first")).alias("index"), "value", "reason")
+
+
+def case_verdicts(lines: DataFrame, live: DataFrame, unscannable: DataFrame | None = None, version: int = 1) -> DataFrame:
+    """file_path, index, case_uid, state (unreadable, unstamped, stamped, bound) and status (the rollup of a bound case's targets) of case lines.
+
+    A case's provenance is the object that its metadata holds under _provenance.
+    """
+    p = lambda k: F.get_json_object("value", f"$.metadata._provenance{k}")
+    x = lines.withColumns({"case_uid": p(".case_uid"), "targets": F.from_json(p(".targets"), f"array<{TARGET}>"), "_p": p("")})
+    late = F.coalesce(p(".schema_version").try_cast("int"), F.lit(1)) > version
+    broken = F.col("reason").isNotNull() | (F.col("_p").isNotNull() & ~F.startswith("_p", F.lit("{"))) | (F.col("_p").isNotNull() & late)
+    held = F.coalesce(F.size("targets"), F.lit(0)) > 0
+    x = x.withColumn("state", F.when(broken, "unreadable").when(F.col("_p").isNull(), "unstamped").when(held, "bound").otherwise("stamped"))
+    bound_ = x.where("state = 'bound'").select("file_path", "index", F.posexplode("targets").alias("n", "t"))
+    t = bound_.select(F.struct("file_path", "index", "n").alias("target_id"), "t.*")
+    v = target_verdicts(t.withColumn("is_dynamic", F.coalesce("is_dynamic", F.lit(False))), live, unscannable)
+    rolled = rollup(v.select(F.struct("target_id.file_path", "target_id.index").alias("case_id"), "status")).select("case_id.*", "status")
+    return x.join(rolled, ["file_path", "index"], "left").select("file_path", "index", "case_uid", "state", "status")
+
+
 def _best(open_: Column, s: Column, nearest: bool) -> Column:
     """First candidate by file, line distance and order, or by order alone."""
     rank = lambda o: F.struct((o["l_file"] != s["b_file"]).alias("f"), F.abs(o["l_line"] - s["b_line"]).alias("d"), o["l_id"].alias("l_id"), o["l_loose"].alias("l_loose"))

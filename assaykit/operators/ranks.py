@@ -26,6 +26,15 @@ def numbered(df: DataFrame, *order: str | Column, name: str = "row_no", start: i
     return out.drop("_part", "_at", "_base")
 
 
+def running(df: DataFrame, value: str, *order: str | Column, name: str = "before") -> DataFrame:
+    """Adds the sum of a column over the rows before each one in the given order."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    held = cut(ranged.withColumn("_part", F.shiftright("_at", 33)))
+    inside = F.sum(value).over(Window.partitionBy("_part").orderBy("_at")) - F.col(value)
+    heads = held.groupBy("_part").agg(F.sum(value).alias("_s")).withColumn("_base", _before("_s")).drop("_s")
+    return held.withColumn("_in", inside).join(F.broadcast(heads), "_part").withColumn(name, F.col("_base") + F.col("_in")).drop("_part", "_at", "_in", "_base")
+
+
 def counted(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     """A row for each distinct value of a group: n, before (rows of the group with smaller values) and size (rows of the group). Nulls go."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))

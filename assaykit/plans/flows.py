@@ -277,6 +277,50 @@ def site_match(spark, sf_dir):
     return lineage.match(_sites(spark, sf_dir, False), _sites(spark, sf_dir, True)).select("id", "status", "label")
 
 
+def _crowded(spark, sf_dir, live: bool):
+    """Sites that compete. Pages come in eights: three rewrites of one place (two are left live), a renamed file whose new place a later site held, two files with one text and name, and a place that lost a line."""
+    p = table(spark, sf_dir, "pages")
+    i, n, g = F.col("page_id"), F.col("page_id") % 8, F.floor(F.col("page_id") / 8).cast("string")
+    pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (n + 1).cast("int"))
+    file = pick("a", "a", "a", "old", "new", "p", "q", "a") if not live else pick("a", "a", "a", "new", "new", "r", "s", "a")
+    name = pick("f", "f", "f", "r", "r", "t", "t", "z")
+    line = pick(10, 20, 30, 1, 2, 5, 6, 7) if not live else pick(28, 12, 99, 1, 2, 5, 6, 8)
+    text = pick("x", "y", "z", "m", "m", "k", "k", "e") if not live else pick("x2", "y2", "-", "m ", "-", "k ", "k ", "e ")
+    s = p.select(
+        i.alias("id"), F.concat(F.lit("g"), g, F.lit("/"), file).alias("file_path"), line.cast("int").alias("line"), F.lit("openai").alias("sdk"), F.lit("create").alias("call_site"), F.lit("user").alias("role"), F.lit(0).alias("role_position"), name.alias("qualname"),
+        F.concat(g, text).alias("fingerprint"), F.concat(g, F.trim(text)).alias("loose_fingerprint"), F.lit(False).alias("is_dynamic"), text.alias("t"),
+    )
+    return s.where("t != '-'").drop("t") if live else s.drop("t")
+
+
+@query("""WITH p AS (SELECT page_id, page_id % 8 AS n, page_id - page_id % 8 AS g, max(page_id) OVER () - (page_id - page_id % 8) AS room FROM pages),
+    v(n, live, status, label, confidence) AS (VALUES (0, 1, 'changed', '', 'ambiguous'), (1, 0, 'changed', '', 'structural'), (2, NULL, 'removed', '', 'structural'), (3, 3, 'changed', 'file-renamed,formatting-only', 'structural'), (4, NULL, 'removed', '', 'structural'),
+        (5, NULL, 'removed', '', 'structural'), (6, NULL, 'removed', '', 'structural'), (7, 7, 'changed', 'formatting-only', 'structural'))
+    SELECT page_id AS id, coalesce(g + live, -1) AS live_id, status, label, confidence FROM p JOIN v USING (n) WHERE room >= 7""")
+def site_match_in_turn(spark, sf_dir):
+    """Ties, competing sites and renamed files: each site in its turn takes what is left. Whole groups of eight."""
+    v = lineage.match(_crowded(spark, sf_dir, False), _crowded(spark, sf_dir, True))
+    last = table(spark, sf_dir, "pages").agg(F.max("page_id").alias("last"))
+    return v.join(F.broadcast(last)).where(F.col("last") - (F.col("id") - F.col("id") % 8) >= 7).select("id", F.coalesce("live_id", F.lit(-1)).alias("live_id"), "status", "label", "confidence")
+
+
+_LIVE = """l AS (SELECT page_id, CASE WHEN page_id % 10 = 7 THEN 'lib/' ELSE '' END || 'src/' || split_part(split_part(url, '//', 2), '/', 1) || '.py' AS file, page_id % 10 = 9 AS dyn, 'f' || page_id AS name,
+        CASE page_id % 10 WHEN 3 THEN page_id || 'new' WHEN 5 THEN page_id || ' ' ELSE page_id::VARCHAR END AS text, CASE WHEN page_id % 10 = 3 THEN page_id || 'new' ELSE page_id::VARCHAR END AS loose FROM pages WHERE page_id % 10 <> 2)"""
+
+
+@query(f"""WITH {_LIVE}, t AS (SELECT page_id, CASE page_id % 13 WHEN 0 THEN 'external' WHEN 1 THEN 'runtime' ELSE 'static' END AS source, 'src/' || split_part(split_part(url, '//', 2), '/', 1) || '.py' AS file, page_id % 10 = 9 AS dyn, 'f' || page_id AS name, page_id::VARCHAR AS text FROM pages),
+    x AS (SELECT t.*, (SELECT count(*) FROM l WHERE NOT l.dyn AND l.text = t.text AND l.file = t.file AND l.name = t.name) AS exact, (SELECT count(*) FROM l WHERE NOT l.dyn AND l.text = t.text) AS moved,
+            (SELECT count(*) FROM l WHERE NOT l.dyn AND l.file = t.file AND l.name = t.name) AS here, (SELECT count(*) FROM l WHERE NOT l.dyn AND l.file = t.file AND l.name = t.name AND l.loose = t.text) AS same,
+            (SELECT count(*) FROM l WHERE NOT l.dyn AND l.file <> t.file AND l.name = t.name AND l.loose = t.text) AS away FROM t)
+    SELECT page_id AS target_id, CASE WHEN source <> 'static' THEN 'unverifiable' WHEN dyn THEN 'unknown' WHEN moved > 0 THEN 'unchanged' WHEN here > 0 OR away = 1 THEN 'changed' ELSE 'removed' END AS status,
+        CASE WHEN source = 'external' THEN '' WHEN source = 'runtime' THEN 'runtime' WHEN dyn THEN 'dynamic' WHEN exact > 0 THEN '' WHEN moved > 0 THEN 'moved' WHEN same > 0 THEN 'formatting-only' WHEN here > 0 THEN '' WHEN away = 1 THEN 'file-renamed,formatting-only' ELSE '' END AS label FROM x""")
+def target_verdicts(spark, sf_dir):
+    """Targets of cases against live sites: each by itself, through the tiers of matching."""
+    source = F.when(F.col("id") % 13 == 0, "external").when(F.col("id") % 13 == 1, "runtime").otherwise("static")
+    targets = _sites(spark, sf_dir, False).withColumn("source", source).withColumnRenamed("id", "target_id")
+    return lineage.target_verdicts(targets, _sites(spark, sf_dir, True)).select("target_id", "status", "label")
+
+
 @query("SELECT count(*) AS sites, count(*) FILTER (page_id % 4 = 0 OR page_id % 3 = 0) AS covered FROM pages")
 def site_coverage(spark, sf_dir):
     s = _sites(spark, sf_dir, False)

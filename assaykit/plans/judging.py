@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -469,3 +470,82 @@ def suite_early_stop(spark, sf_dir):
     cases = turn_pairs(spark, sf_dir).select("case_id", "input")
     folded, _, _ = suite.Suite("wavering", [ev.word_count(5, 40)]).run(cases, suite.CaseModel(_wavering), runs=12, early_stop=True)
     return folded.select("case_id", F.col("runs").alias("asked"), "pass_count", "status")
+
+
+def _forest(spark, sf_dir):
+    """A user's events as one run: the n-th hangs under the ((n - 1) div 3)-th, clicks and views are tools, errors and signups models."""
+    from ..sources import importers
+
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    e = table(spark, sf_dir, "events").withColumn("n", n)
+    name = lambda k: F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), k.cast("string"))
+    kind = F.when(F.col("event_type").isin("click", "view"), "tool").when(F.col("event_type").isin("error", "signup"), "llm").otherwise("chain")
+    runs = e.select(
+        name(F.col("n")).alias("run_id"), F.when(F.col("n") > 0, name(F.floor((F.col("n") - 1) / 3))).alias("parent_id"), kind.alias("run_type"), F.col("event_type").alias("name"), F.col("props").alias("inputs"),
+        F.when(F.col("event_id") % 3 > 0, F.to_json(F.struct(F.col("event_id").cast("string").alias("answer")))).alias("outputs"), F.when(F.col("event_id") % 5 == 0, "late").alias("error"), (-F.col("n")).cast("double").alias("start_time"),
+    )
+    return importers.run_trees(runs)
+
+
+_FOREST = """e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events),
+    t AS (SELECT user_id, event_id, event_type, props, n, 0 AS depth, [0]::BIGINT[] AS path FROM e WHERE n = 0
+        UNION ALL SELECT e.user_id, e.event_id, e.event_type, e.props, e.n, depth + 1, list_append(path, -e.n) FROM e JOIN t ON e.user_id = t.user_id AND e.n > 0 AND (e.n - 1) // 3 = t.n),
+    w AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY path) - 1 AS pre FROM t)"""
+
+
+@query(f"WITH RECURSIVE {_FOREST} SELECT 'u' || user_id || '-' || n AS run_id, 'u' || user_id || '-0' AS root, depth::BIGINT AS depth, pre::BIGINT AS pre FROM w")
+def run_tree_walk(spark, sf_dir):
+    """Depth-first numbers of all runs, the latest child first."""
+    return _forest(spark, sf_dir).select("run_id", "root", "depth", "pre")
+
+
+@query(f"""WITH RECURSIVE {_FOREST}, c AS (SELECT *, count(*) FILTER (event_type IN ('error', 'signup')) OVER (PARTITION BY user_id ORDER BY pre) AS part FROM w WHERE depth > 0),
+    p AS (SELECT user_id, part, string_agg(event_type || '=' || CASE WHEN event_id % 5 = 0 THEN '[ERROR: late]' WHEN event_id % 3 > 0 THEN event_id::VARCHAR ELSE '' END, ',' ORDER BY pre) AS calls FROM c WHERE event_type IN ('click', 'view') GROUP BY ALL),
+    s AS (SELECT user_id, string_agg(calls, ';' ORDER BY part) AS steps FROM p GROUP BY user_id)
+    SELECT 'u' || user_id || '-0' AS trace_id, CASE WHEN event_id % 3 > 0 THEN event_id::VARCHAR ELSE '' END AS output, coalesce(steps, '') AS steps FROM w LEFT JOIN s USING (user_id) WHERE depth = 0""")
+def run_tree_traces(spark, sf_dir):
+    """Each run's tool calls in steps between model calls, with results and errors."""
+    from ..sources import importers
+
+    x = importers.run_traces(_forest(spark, sf_dir))
+    calls = F.transform("steps", lambda s: F.array_join(F.transform(s["tool_calls"], lambda c: F.concat(c["name"], F.lit("="), c["result"])), ","))
+    return x.select("trace_id", "output", F.array_join(calls, ";").alias("steps"))
+
+
+class _Overload(Exception):
+    status = 503
+
+
+def _moody(prompts):
+    """Overloaded for one name in seven, however often it is asked; refuses one in five at once."""
+    n = int(prompts[0][-5:])
+    if n % 7 == 0:
+        raise _Overload("try later")
+    if n % 5 == 0:
+        raise ValueError("bad request")
+    return [prompts[0].lower()]
+
+
+@query("""SELECT s_name AS prompt_key, CASE WHEN s_suppkey % 7 = 0 OR s_suppkey % 5 = 0 THEN NULL ELSE lower(s_name) END AS reply, CASE WHEN s_suppkey % 7 = 0 THEN '_Overload: try later' WHEN s_suppkey % 5 = 0 THEN 'ValueError: bad request' END AS error,
+    CASE WHEN s_suppkey % 7 = 0 THEN 3 ELSE 1 END AS attempts FROM (SELECT s_suppkey, 'Supplier ' || lpad(s_suppkey::VARCHAR, 5, '0') AS s_name FROM supplier)""")
+def judge_calls_at_rate(spark, sf_dir):
+    """One rate over all tasks; overloads are tried three times, other errors once."""
+    name = F.concat(F.lit("Supplier "), F.lpad(F.col("s_suppkey").cast("string"), 5, "0"))
+    calls = table(spark, sf_dir, "supplier").select(name.alias("prompt_key"), name.alias("prompt"))
+    made = judge.called_at_rate(calls, _moody, 2000, workers=min(4, spark.sparkContext.defaultParallelism), wait=lambda i: 0.001 * 2**i)
+    return made.select("prompt_key", "reply", "error", "attempts")
+
+
+@query("""WITH p AS (SELECT s_name AS name, row_number() OVER (ORDER BY s_name) - 1 AS r, count(*) OVER () AS n FROM supplier), b AS (SELECT *, (n * 5 + n // 3) AS calls FROM p),
+    g AS (SELECT *, least(6, calls // n + (r < calls % n)::INT) AS made FROM b)
+    SELECT name, (made // 2)::BIGINT AS turns, CASE WHEN made = 6 THEN 'max_turns' ELSE 'budget_exceeded' END AS stop, round(made * 0.01, 6)::DOUBLE AS cost_usd FROM g""")
+def simulated_budget(spark, sf_dir):
+    """Talks of three turns under a ceiling that lasts for five calls of each supplier and a sixth of a third of them, by name."""
+    from ..operators import authoring
+
+    people = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.lit("buy").alias("goal"))
+    n, price = people.count(), lambda *_: F.lit(0.01)
+    ledger = authoring.Ledger(0.01 * (5 * n + n // 3), most=price, cost=price)
+    said = authoring.simulated(people, lambda ps: ["more"] * len(ps), lambda ps: ["fine"] * len(ps), 3, ledger)
+    spent = said.groupBy("name").agg(F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
+    return authoring.talk_summary(said).join(spent, "name").select("name", "turns", "stop", "cost_usd")

@@ -48,6 +48,38 @@ def test_simulated_talks(spark):
     assert got["ann"] == (1, "goal_reached", True) and got["bob"] == (2, "refusal", False) and got["dan"] == (0, "goal_reached", True)
 
 
+@pytest.mark.parametrize("limit", [0.0, 5.0, 23.0, 57.5, 1000.0])
+def test_simulation_keeps_its_budget(spark, limit):
+    """A call is made if its reservation fits what is left, in the order of names; the plain loop over rounds agrees, and nothing is spent above the ceiling."""
+    names = [f"n{i:02d}" for i in range(12)]
+    most, cost = lambda p: F.lit(3.0), lambda p, r: F.length(r).cast("double")
+    ledger = authoring.Ledger(limit, most=most, cost=cost)
+    said = authoring.simulated(spark.createDataFrame([(n, "g") for n in names], "name string, goal string"), lambda ps: ["ab" if "n05" not in p else "DONE" for p in ps], lambda ps: ["xyz"] * len(ps), 3, ledger).collect()
+    spent, open_, stop, made = 0.0, list(names), {}, dict.fromkeys(names, 0.0)
+    for turn in range(3):
+        for role in ("user", "assistant"):
+            left, fits, now = limit - spent, True, 0.0
+            for k, n in enumerate(list(open_)):
+                fits = fits and 3.0 * (k + 1) <= left + 1e-9
+                if not fits:
+                    stop[n] = "budget_exceeded"
+                    continue
+                price = 3.0 if role == "assistant" else 4.0 if n == "n05" else 2.0
+                now += price
+                made[n] += price
+                if role == "user" and n == "n05":
+                    stop[n] = "goal_reached"
+                elif role == "assistant" and turn == 2:
+                    stop[n] = "max_turns"
+            open_ = [n for n in open_ if n not in stop]
+            spent += now
+    assert {r.name: r.stop for r in said if r.stop} == stop
+    ended = {n: sum(r.cost_usd or 0.0 for r in said if r.name == n) for n in names}
+    assert ended == made and ledger.spent == pytest.approx(spent) and spent <= max(limit + 1, 0)
+    calls = [r for r in said if r.cost_usd is not None]
+    assert len(calls) == sum(1 for r in said if r.stop != "budget_exceeded")
+
+
 def test_baselines(spark, tmp_path):
     p = tmp_path / "b.json"
     for said, why in (("{", "unreadable"), ("[]", "not_object"), ('{"schema_version": 9, "records": []}', "future"), ("{}", "empty")):

@@ -197,6 +197,68 @@ def test_retries_and_backoff(spark):
     assert [judge.backoff(i, most=5.0) for i in range(4)] == [1.0, 2.0, 4.0, 5.0]
 
 
+def _busy():
+    """An error class that travels to tasks by value."""
+
+    class Busy(Exception):
+        def __init__(self, status):
+            super().__init__(f"HTTP {status}")
+            self.status = status
+
+    return Busy
+
+
+def test_retry_classes():
+    Busy = _busy()
+    assert [judge.retriable(e) for e in (Busy(429), Busy(503), Busy(400), Busy(501), TimeoutError(), ConnectionResetError(), ValueError())] == [True, True, False, False, True, True, False]
+    tries, waits = {}, []
+
+    def ask(prompts):
+        for p in prompts:
+            tries[p] = tries.get(p, 0) + 1
+            if p == "late" and tries[p] < 3:
+                raise Busy(429)
+            if p == "bad":
+                raise Busy(400)
+        return [p.upper() for p in prompts]
+
+    import pandas as pd
+
+    # The function that a task runs, here in this process, so that the calls can be counted.
+    class Frame:
+        def mapInPandas(self, f, schema, **_):
+            return f
+
+    for prompt, want, n in (("late", "LATE", 3), ("bad", None, 2), ("x", "X", 1)):
+        f = judge.called(Frame(), ask, 5, lambda i: waits.append(i) or 0.0)
+        out = next(f(iter([pd.DataFrame({"prompt_key": ["k", "l"], "prompt": [prompt, "other"]})])))
+        assert out["reply"][0] == want and tries[prompt] == n
+    assert waits == [0, 1]
+
+
+@pytest.mark.parametrize("workers", [1, 4])
+def test_one_rate_for_a_whole_job(spark, workers):
+    """Starts a second stay under the limit with one task and with several; overloads wait their turn, others don't."""
+    Busy = _busy()
+
+    def ask(prompts):
+        if prompts[0].endswith("7"):
+            raise Busy(503)
+        if prompts[0].endswith("3"):
+            raise Busy(401)
+        return [prompts[0]]
+
+    calls = spark.createDataFrame([(str(i), f"p{i}") for i in range(60)], "prompt_key string, prompt string")
+    got = judge.called_at_rate(calls, ask, 40, workers, attempts=2, wait=lambda i: 0.3).collect()
+    assert sorted(int(r.prompt_key) for r in got) == list(range(60))
+    assert {r.attempts for r in got if r.prompt_key.endswith("7")} == {2}
+    assert {r.attempts for r in got if not r.prompt_key.endswith("7")} == {1} and sum(r.error is not None for r in got) == 12
+    starts = sorted(r.started for r in got)
+    for i, s in enumerate(starts):
+        assert sum(s <= t < s + 0.5 for t in starts[i:]) <= 40 * 0.5 + workers
+    assert starts[-1] - starts[0] >= (len(starts) - workers) / 40 * 0.9
+
+
 def test_costs_are_unknown_with_an_unpriced_model(spark):
     calls = spark.createDataFrame([("p", "m", 10, 1), ("p", "m", 20, 2), ("p", "n", 5, 5)], "provider string, model string, input_tokens long, output_tokens long")
     prices = spark.createDataFrame([("m", 1.0, 2.0)], "model string, input_per_million double, output_per_million double")
