@@ -14,7 +14,9 @@ Defined cases: null role or text is empty; turns sort by turn, then role, then
 text, nulls first, repeated rows stay; fields that no layout lists (columns, keys of
 a record or of its turns) are ignored, for tables and records alike; a null field or
 an empty list counts as present and gives an empty text or no turns; a record that no
-layout fits gets null turns and stays as a conversation of 0 turns with a status. An
+layout fits gets null turns and stays as a conversation of 0 turns with a status; where
+several layouts fit, the first of ``LAYOUTS`` is taken; a text that is no string (a list of
+parts, say) is its JSON without spaces. An
 empty table gives an empty result. A column of the table that is named like one of the
 result's (layout, schema_fp, turns, status, parsed) stays as input_NAME. Rows that
 repeat a key are turns of one conversation.
@@ -107,7 +109,7 @@ def _dig(value: Any, path: str) -> Any:
 
 def turns_of(record: Any, layout: dict[str, Any]) -> list[dict[str, str]]:
     """Canonical turns of one parsed record under a layout's mapping."""
-    word = lambda x: x if isinstance(x, str) else "" if x is None else json.dumps(x, ensure_ascii=False)
+    word = lambda x: x if isinstance(x, str) else "" if x is None else json.dumps(x, ensure_ascii=False, separators=(",", ":"))
     turns = []
     if "list" in layout:
         items, role, text = layout["list"]
@@ -148,19 +150,53 @@ def canonical_turns(df: DataFrame, record: str = "record") -> DataFrame:
     return found.select(*table.columns, "parsed.layout", "parsed.schema_fp", "parsed.turns", "parsed.status")
 
 
+def _kind(kind: T.DataType, path: str) -> T.DataType | None:
+    for k in path.split("."):
+        kind = kind[k].dataType if isinstance(kind, T.StructType) and k in kind.names else None
+    return kind
+
+
+def compiled_turns(schema: T.StructType, layout: dict[str, Any]) -> Column:
+    """A layout's mapping as a column expression over a table of this schema: its canonical turns, as ``turns_of`` gives them for JSON."""
+
+    def word(c: Column, kind: T.DataType | None) -> Column:
+        plain = isinstance(kind, T.StringType) or kind is None
+        return F.coalesce(c if plain else F.to_json(c) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else c.cast("string"), F.lit(""))
+
+    at = lambda path: F.col(".".join(f"`{k}`" for k in path.split(".")))
+    roles = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
+    none = F.array().cast(TURNS)
+    found = []
+    if "list" in layout:
+        items, role, text = layout["list"]
+        inner = _kind(schema, items).elementType
+        said = lambda x: word(x[role], _kind(inner, role))
+        found.append(F.coalesce(F.transform(at(items), lambda x: F.struct(F.coalesce(F.try_element_at(roles, said(x)), said(x)).alias("role"), word(x[text], _kind(inner, text)).alias("text"))), none))
+    for role, fields in (*layout.get("fields", ()), *layout.get("then", ())):
+        there = F.filter(F.array(*[word(at(f), k) for f in fields if (k := _kind(schema, f)) is not None]).cast("array<string>"), lambda x: x != "")
+        turn = F.array(F.struct(F.lit(role).alias("role"), F.array_join(there, "\n\n").alias("text")))
+        found.append(turn if role == "assistant" else F.when(F.size(there) > 0, turn).otherwise(none))
+    return F.concat(*found)
+
+
 def turn_rows(df: DataFrame, key: str) -> DataFrame:
-    """key, turn, role, text, status from a table: of turn rows by its schema's fingerprint, or of records that hold turns.
+    """key, turn, role, text, status from a table: of turn rows or nested or flat records, by its schema's fingerprint, or of records that hold turns.
 
-    A record without turns is one row of nulls whose status says why.
+    A layout's mapping compiles to a column expression. A record without turns is one row of nulls whose status says why.
     """
     if "turns" in df.columns:
         why = F.col("status") if "status" in df.columns else F.when(F.col("turns").isNull(), "unmatched").when(F.size("turns") == 0, "empty").otherwise("ok")
         return df.select(key, why.alias("status"), F.posexplode_outer("turns").alias("turn", "_t")).select(key, F.col("turn").cast("long"), "_t.role", "_t.text", "status")
     have = set(schema_paths(df.schema))
-    for fp, layout in registry().items():
-        if "row" in layout and fp == fingerprint(have & {*layout["need"], *layout["may"]}):
-            turn, role, text = layout["row"]
-            return df.select(key, F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"), F.lit("ok").alias("status"))
+    for layout in sorted(LAYOUTS, key=lambda x: "row" in x):
+        if registry().get(fingerprint(have & {*layout["need"], *layout["may"]})) is not layout:
+            continue
+        if "row" not in layout:
+            rows = df.select(key, compiled_turns(df.schema, layout).alias("turns"))
+            rows = rows.select(key, F.when(F.size("turns") > 0, "ok").otherwise("empty").alias("status"), F.posexplode_outer("turns").alias("turn", "_t"))
+            return rows.select(key, F.col("turn").cast("long"), "_t.role", "_t.text", "status")
+        turn, role, text = layout["row"]
+        return df.select(key, F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"), F.lit("ok").alias("status"))
     raise ValueError(f"no layout has the field paths {sorted(have)}")
 
 

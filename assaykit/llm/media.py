@@ -107,37 +107,64 @@ class Stream(NamedTuple):
     pid: int
 
 
-def _section(packets: np.ndarray, pid: int) -> bytes:
-    pids = (packets[:, 1].astype(np.int64) & 0x1F) << 8 | packets[:, 2]
-    found = np.flatnonzero((pids == pid) & (packets[:, 1] & 0x40 > 0))
-    if not len(found):
+def _section(packets: np.ndarray, pids: np.ndarray, pid: int) -> bytes:
+    """The first whole table section on a PID, which may go over several packets."""
+    own = packets[(pids == pid) & (packets[:, 3] & 0x10 > 0)]
+    begun = np.flatnonzero(own[:, 1] & 0x40 > 0)
+    if not len(begun):
         raise ValueError(f"no table on PID {pid}")
-    raw = packets[found[0]].tobytes()
-    start = 5 + raw[4]
-    section = raw[start : start + 3 + ((raw[start + 1] & 0x0F) << 8 | raw[start + 2])]
-    if crc32_mpeg(section):
-        raise ValueError(f"table on PID {pid} is damaged")
-    return section
-
-
-_tables: dict[bytes, tuple[int, int]] = {}
+    held = b""
+    for k in range(begun[0], len(own)):
+        raw = own[k].tobytes()
+        data = raw[5 + raw[4] if raw[3] & 0x20 else 4 :]
+        if k == begun[0]:
+            data = data[1 + data[0] :]
+        elif raw[1] & 0x40:
+            data = data[1 : 1 + data[0]]
+        held += data
+        size = 3 + ((held[1] & 0x0F) << 8 | held[2]) if len(held) >= 3 else PACKET
+        if len(held) >= size:
+            return held[:size]
+        if k > begun[0] and raw[1] & 0x40:
+            break
+    raise ValueError(f"table on PID {pid} is cut")
+
+
+_tables: dict[tuple[bytes, int], tuple[int, int]] = {}
+
+
+def _entry(section: bytes, pid: int, skip: int, what: str) -> tuple[int, int]:
+    """The first entry of a table from a place on: (number or type, PID). Sections that were read before are known by all their bytes."""
+    if (found := _tables.get((section, pid))) is None:
+        if crc32_mpeg(section):
+            raise ValueError(f"table on PID {pid} is damaged")
+        at, end = skip, len(section) - 4
+        if what == "program":  # number 0 is the network's
+            while at + 4 <= end and section[at : at + 2] == b"\0\0":
+                at += 4
+            if at + 4 > end:
+                raise ValueError("no program")
+            found = struct.unpack(">HH", section[at : at + 4])
+        else:
+            at += struct.unpack(">H", section[10:12])[0] & 0x0FFF
+            if at + 5 > end:
+                raise ValueError("a program without streams")
+            found = section[at], struct.unpack(">H", section[at + 1 : at + 3])[0]
+        if len(_tables) >= 64:
+            _tables.clear()
+        found = _tables[section, pid] = found[0], found[1] & 0x1FFF
+    return found
 
 
 def _program(packets: np.ndarray) -> tuple[int, int]:
-    """(program number, elementary PID), through both tables."""
-    key = packets[:2].tobytes()
-    if key not in _tables:
-        pat = _section(packets, 0)
-        number, pmt_pid = struct.unpack(">HH", pat[8:12])
-        pmt = _section(packets, pmt_pid & 0x1FFF)
-        skip = 12 + (struct.unpack(">H", pmt[10:12])[0] & 0x0FFF)
-        _tables.clear()
-        _tables[key] = number, struct.unpack(">H", pmt[skip + 1 : skip + 3])[0] & 0x1FFF
-    return _tables[key]
+    """(program number, PID of its first elementary stream) of the first program, through both tables."""
+    pids = (packets[:, 1].astype(np.int64) & 0x1F) << 8 | packets[:, 2]
+    number, map_pid = _entry(_section(packets, pids, 0), 0, 8, "program")
+    return number, _entry(_section(packets, pids, map_pid), map_pid, 12, "stream")[1]
 
 
 def unpack(media: bytes) -> Stream:
-    """What a transport stream of one program holds."""
+    """What the first elementary stream of a transport stream's first program holds; a stamp for each PES packet that has one."""
     if not media or len(media) % PACKET:
         raise ValueError("not whole packets")
     packets = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
@@ -169,11 +196,13 @@ def unpack(media: bytes) -> Stream:
         if pes[:3] != b"\x00\x00\x01":
             raise ValueError("not a PES packet")
         length = struct.unpack(">H", pes[4:6])[0]
-        p = pes[9:14]
-        stamps.append((p[0] >> 1 & 7) << 30 | p[1] << 22 | p[2] >> 1 << 15 | p[3] << 7 | p[4] >> 1)
+        if pes[7] & 0x80:
+            p = pes[9:14]
+            stamps.append((p[0] >> 1 & 7) << 30 | p[1] << 22 | p[2] >> 1 << 15 | p[3] << 7 | p[4] >> 1)
         if flags[k] & 0x40:
             access.append(k)
-        data.append(pes[9 + pes[8] : 6 + length])
+        # A length of 0 means up to the next packet's start.
+        data.append(pes[9 + pes[8] : 6 + length if length else len(pes)])
     return Stream(b"".join(data), stamps, access, gaps, program, pid)
 
 

@@ -136,12 +136,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
     """(start, end, alphabet) of the runs to test: runs outside base spans, and their parts between marks."""
     found = []
+    covered: list[list[int]] = []
+    for s, _, e in base:
+        if covered and s <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
+    # Runs and covered stretches are both in order and apart, so one pass over both is enough.
+    k = 0
     for m in CANDIDATE.finditer(text):
         at, gaps = m.start(), []
-        for s, _, e in base:
-            if s < m.end() and at < e:
-                gaps.append((at, s))
-                at = e
+        while k < len(covered) and covered[k][1] <= at:
+            k += 1
+        n = k
+        while n < len(covered) and covered[n][0] < m.end():
+            gaps.append((at, covered[n][0]))
+            at = covered[n][1]
+            n += 1
         for a, b in [*gaps, (at, m.end())]:
             if b - a >= SHORTEST:
                 cuts = [a, *(i + 1 for i in range(a, b) if text[i] in MARKS), b + 1]

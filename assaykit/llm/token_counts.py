@@ -12,7 +12,7 @@ counted each; extra columns stay, those named like an added one as input_NAME. L
 count never depends on batches. A pre-token of n letters takes a round for each distinct
 pair that it merges, each over what is left of it, so one very long run of letters costs
 more than its share: 20,000 letters about a second, 80,000 about seven. Memory: the chunk cache is emptied at a fixed
-number of entries, and a batch of chunks is merged in pieces of bounded size.
+number of entries or characters and never keeps a chunk of over ``LONG`` characters, and a batch of chunks is merged in pieces of bounded size.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ CHUNK = rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Fixed value: the published pre-token pattern of byte-level BPE.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE = 1 << 18
+#: Characters that the cache holds, and the longest chunk that it keeps.
+CACHE_CHARS, LONG = 1 << 24, 1 << 10
 PIECE = 1 << 18
 ADDED = ("n_bytes", "n_tokens")
 
@@ -65,6 +67,7 @@ class Merger:
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.cache: dict[str, int] = {}
+        self.held = 0
         self.chunks = re.compile(CHUNK)
         self.pretoken = regex.compile(PRETOKEN)
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
@@ -120,12 +123,17 @@ class Merger:
         """Tokens of each text; unknown chunks of all the texts are merged together."""
         found = [[self.chunks.findall(s) for s in (self.cut.split(t) if self.cut else [t])] for t in texts]
         todo = {c for text in found for s in text for c in s if c not in self.cache}
-        if len(self.cache) + len(todo) > CACHE:
+        if len(self.cache) + len(todo) > CACHE or self.held > CACHE_CHARS:
             self.cache.clear()
+            self.held = 0
             todo = {c for text in found for s in text for c in s}
         self.learn(todo)
         known = self.cache.__getitem__
-        return [len(text) - 1 + sum(sum(map(known, s)) for s in text) for text in found]
+        counts = [len(text) - 1 + sum(sum(map(known, s)) for s in text) for text in found]
+        for c in [c for c in todo if len(c) > LONG]:
+            del self.cache[c]
+        self.held += sum(n for c in todo if (n := len(c)) <= LONG)
+        return counts
 
 
 def count_tokens(df: DataFrame, path: str, text: str = "text") -> DataFrame:

@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assaykit.llm import chat, fingerprints, media, pieces, quality, secret_nulls, secrets, token_counts
 from assaykit.llm.queries import tokenizer
@@ -556,3 +558,117 @@ def test_clashing_columns_stay_under_another_name(spark, sf_dir):
         out = stage(spark, odd, sf_dir)
         assert out.columns == odd.columns
         assert all(v == f"own {r.doc_id}" for r in out.collect() for v in r[5:])
+
+
+@pytest.mark.parametrize("name", [x["name"] for x in chat.LAYOUTS if "row" not in x])
+def test_chat_tables_and_records_give_the_same_turns(spark, name):
+    """Each layout as a typed table, with and without its optional fields, and as JSON."""
+    import json
+
+    layout = next(x for x in chat.LAYOUTS if x["name"] == name)
+    values = ["q", "", None, "two\nlines <|im_end|>"]
+    for more in ((), layout["may"]):
+        records = []
+        for i in range(8):
+            r: dict = {}
+            for k, path in enumerate([*layout["need"], *more]):
+                value = values[(i + k) % 4]
+                if "[]." in path:
+                    head, leaf = path.split("[].")
+                    here = r
+                    *up, last = head.split(".")
+                    for u in up:
+                        here = here.setdefault(u, {})
+                    items = here.setdefault(last, [{} for _ in range(i % 4)])
+                    for n, item in enumerate(items):
+                        item[leaf] = ("human", "gpt", "user", None)[(i + n) % 4] if leaf in ("role", "from") else value
+                else:
+                    r[path] = value
+            records.append(r)
+        frame = spark.read.json(spark.sparkContext.parallelize([json.dumps({"id": i, **r}) for i, r in enumerate(records)]))
+        want = {i: [(t["role"], t["text"]) for t in chat.turns_of(r, layout)] for i, r in enumerate(records)}
+        got = {i: [] for i in want}
+        for r in chat.turn_rows(frame.withColumn("other", F.lit(1)), "id").orderBy("id", "turn").collect():
+            if r.role is not None:
+                got[r.id].append((r.role, r.text))
+            else:
+                assert r.status == "empty"
+        assert got == want
+        assert chat.format_chats(chat.turn_rows(frame, "id"), "id").count() == len(records)
+
+
+def test_chat_tables_take_the_first_layout_and_write_parts_as_json(spark):
+    t = spark.sql("SELECT 1L AS id, 'p' AS prompt, 'r' AS response, 'c' AS completion")
+    assert [(r.role, r.text) for r in chat.turn_rows(t, "id").orderBy("turn").collect()] == [("user", "p"), ("assistant", "c")]
+    t = spark.sql("SELECT 1L AS id, array(named_struct('role', 'model', 'content', array(named_struct('kind', 'text', 'n', 1)))) AS messages")
+    assert [(r.role, r.text) for r in chat.turn_rows(t.selectExpr("id", "transform(messages, m -> named_struct('role', m.role, 'content', to_json(m.content))) AS messages"), "id").collect()] == [("assistant", '[{"kind":"text","n":1}]')]
+    assert chat.turns_of({"messages": [{"role": "model", "content": [{"kind": "text", "n": 1}]}]}, chat.LAYOUTS[1]) == [{"role": "assistant", "text": '[{"kind":"text","n":1}]'}]
+
+
+def _table(pid, body, split=False):
+    """A table section as packets of a PID; split over two packets on demand."""
+    section = body + struct.pack(">I", media.crc32_mpeg(body))
+    data = b"\0" + section
+    room = 20 if split else 184
+    out = []
+    for n, part in enumerate([data[:room], data[room:]] if split else [data]):
+        field = 183 - len(part)
+        out.append(bytes([0x47, (0x40 if n == 0 else 0) | pid >> 8, pid & 255, 0x30 | n, field]) + (b"\0" + b"\xff" * (field - 1) if field else b"") + part)
+    return out
+
+
+def _foreign(pid, payload, length=None, stamp=True, split=False, null_first=0):
+    """A stream of another writer: its own PIDs and program, network table entry, descriptors, PES packets without length or stamp."""
+    pat = b"\0" + struct.pack(">H", 0xB000 | 17) + struct.pack(">HBBB", 1, 0xC1, 0, 0) + struct.pack(">HHHH", 0, 0xE010, 7, 0xE000 | 0x30)
+    info = b"\x05\x10" + b"d" * 16
+    pmt = b"\x02" + struct.pack(">H", 0xB000 | 18 + len(info)) + struct.pack(">HBBBHH", 7, 0xC1, 0, 0, 0xE000 | pid, 0xF000 | len(info)) + info + struct.pack(">BHH", 6, 0xE000 | pid, 0xF000)
+    null = bytes([0x47, 0x1F, 0xFF, 0x10]) + b"\xff" * 184
+    packets = [null] * null_first + _table(0, pat) + _table(0x30, pmt, split)
+    head = b"\x00\x00\x01\xe0" + struct.pack(">H", length if length is not None else 0) + (bytes([0x80, 0x80, 5]) + media._stamp(90000) if stamp else bytes([0x80, 0, 0]))
+    data = head + payload
+    for n, at in enumerate(range(0, len(data), 170)):
+        part = data[at : at + 170]
+        field = 183 - len(part)
+        packets.append(bytes([0x47, (0x40 if n == 0 else 0) | pid >> 8, pid & 255, 0x30 | n & 15, field]) + b"\0" + b"\xff" * (field - 1) + part)
+    return b"".join(packets)
+
+
+def test_media_of_other_writers():
+    """Streams after one another with like beginnings, tables over two packets, PES packets of no stated length and without stamps."""
+    for pid, split, stamp in ((0x101, False, True), (0x202, True, True), (0x303, True, False), (0x101, False, False)):
+        payload = bytes(range(256)) * 3
+        s = media.unpack(_foreign(pid, payload, stamp=stamp, split=split, null_first=2))
+        assert (s.program, s.pid, s.payload, s.gaps) == (7, pid, payload, 0)
+        assert s.stamps == ([90000] if stamp else [])
+    own = media.unpack(media.pack(media.payload_of("text")))
+    assert own.payload == media.payload_of("text") and own.gaps == 0
+    broken = bytearray(_foreign(0x101, b"x" * 10))
+    broken[180] ^= 1
+    with pytest.raises(ValueError, match="damaged|no program|cut"):
+        media.unpack(bytes(broken))
+    with pytest.raises(ValueError, match="no table"):
+        media.unpack(bytes([0x47, 0x1F, 0xFF, 0x10]) + b"\xff" * 184)
+
+
+def test_secret_candidates_of_long_texts_take_one_pass():
+    import time
+
+    unit = "deadbeefdeadbeef01 password=abcdefghijklmnop Zk3vQ9xW2mRt7LpB4nYc plain words here "
+    took = []
+    for n in (500, 4000):
+        text = unit * n
+        base = secrets.base_spans(text)
+        began = time.perf_counter()
+        found = secrets.candidates(text, base)
+        took.append(time.perf_counter() - began)
+        assert len(found) % n == 0 and found
+    assert took[1] < 20 * took[0] + 0.2
+
+
+def test_token_cache_is_bounded_by_characters():
+    merger = token_counts.Merger(tokenizer("byte_bpe_50k.json"))
+    long = "!" * 3 + "ab" * token_counts.LONG
+    assert merger.count([long, "short words"]) == merger.count([long, "short words"])
+    assert long not in merger.cache and merger.held == sum(map(len, merger.cache))
+    merger.held = token_counts.CACHE_CHARS + 1
+    assert merger.count(["other"]) and merger.held == len("other")
