@@ -12,7 +12,7 @@ class CalibrationMissing(AssayError, LookupError):
 
 
 class BaselineError(AssayError, ValueError):
-    """A baseline that can't be used, with the reason: unreadable, not_object, future or empty."""
+    """A baseline that can't be used, with the reason: unreadable, several, not_object, future or empty."""
 
 
 class JudgeUnavailable(AssayError):

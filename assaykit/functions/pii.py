@@ -242,6 +242,14 @@ def counts(text: Column, jurisdiction: str = "all", strict: bool = True, extra:
     return F.map_from_entries(met)
 
 
+def examples(text: Column, jurisdiction: str = "all", strict: bool = True, extra: dict[str, str] | None = None) -> Column:
+    """Map of pattern name to its first three surviving matches, 40 characters of each at most, and their number."""
+    one = lambda n, p, low: F.transform(F.array(found(text, n, p, strict, low)), lambda h: F.struct(F.lit(n).alias("k"), F.struct(F.transform(F.slice(h, 1, 3), lambda x: F.substring(x, 1, 40)).alias("some"), F.size(h).alias("n")).alias("v")))
+    every = lambda low: F.concat(*[one(n, p, low) for n, p in patterns(jurisdiction, extra).items()])
+    met = F.element_at(F.transform(F.array(_lowered(text)), lambda low: F.filter(every(low), lambda e: e["v"]["n"] > 0)), 1)
+    return F.map_from_entries(met)
+
+
 SPAN = "struct<kind:string,label:string,start:int,end:int,match:string>"
 _RULES = [("secret", k, re.compile(p)) for k, p in KEYS.items()] + [("pii", k, re.compile(p)) for k, p in PERSONAL.items()]
 _CARD = re.compile(CARD)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import BaselineError
 from ..functions import text
-from ..storage import cut
+from ..storage import cut, read_file, replace_file
 from . import gates, judge
 from .ranks import running
 
@@ -246,8 +247,11 @@ def exit_code(counts: dict[str, int], fail_on: tuple[str, ...] = (), warned: boo
 
 
 def baseline(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
-    """Records of a baseline file, numbered in order."""
-    raw = spark.read.option("wholetext", True).text(path).first()
+    """Records of a baseline file, or of the version in force of a baseline folder, numbered in order."""
+    held = spark.read.option("wholetext", True).text(_in_force(spark, path)).where("value != ''").limit(2).collect()
+    if len(held) > 1:
+        raise BaselineError("several")
+    raw = held[0] if held else None
     try:
         data: Any = json.loads(raw[0]) if raw else None
     except ValueError:
@@ -302,23 +306,37 @@ def gate_reliability(cases: DataFrame, k: int, least: float) -> None:
         raise suite.GateFailure(f"all-of-{k} may be as low as {low:.4f}, below {least}")
 
 
+#: The file of a baseline folder that names the version in force.
+CURRENT = "_current"
+
+
 def write_baseline(sites: DataFrame, path: str, version: int = 1) -> None:
-    """Writes a baseline as one JSON document and puts it in place in one step; a reader sees the old or the new one.
+    """Writes a baseline as one JSON document into a folder and puts it in force in one step; a reader sees the old or the new one.
 
-    A baseline holds the prompt sites of one code base, so it is one row.
+    Each baseline is a version of its own; a small file names the one in force, and is renamed over the
+    file before it. Older versions go afterwards. A baseline holds the prompt sites of one code base, so it is one row.
     """
     from .lineage import SITE
 
     names = [f.split()[0] for f in SITE.split(", ")]
     records = F.array_sort(F.collect_list(F.struct(*names)))
-    spark, fresh = sites.sparkSession, f"{path.rstrip('/')}.new"
+    spark, name = sites.sparkSession, f"v-{uuid.uuid4().hex}"
     document = sites.agg(records.alias("records")).select(F.to_json(F.struct(F.lit(version).alias("schema_version"), "records"), {"ignoreNullFields": "false"}).alias("value"))
-    document.coalesce(1).write.mode("overwrite").text(fresh)
-    at, new = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh))
+    document.coalesce(1).write.text(f"{path.rstrip('/')}/{name}")
+    replace_file(spark, f"{path.rstrip('/')}/{CURRENT}", name)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.delete(at, True)
-    if not files.rename(new, at):
-        raise OSError(f"{path} could not be replaced")
+    for old in files.listStatus(at):
+        if old.getPath().getName().startswith("v-") and old.getPath().getName() != name:
+            files.delete(old.getPath(), True)
+
+
+def _in_force(spark: SparkSession, path: str) -> str:
+    """Where the document of a baseline is: the folder's version in force, or the path itself."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{CURRENT}")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return path
+    return f"{path.rstrip('/')}/{read_file(spark, at.toString())}"
 
 
 PROVENANCE_VERSION = 1
@@ -379,18 +397,19 @@ def trace_cases(traces: DataFrame, key: str) -> DataFrame:
 TIERS = ("primary", "secondary", "guardrail")
 
 
-def merged_recommendations(heuristic: DataFrame, judged: DataFrame, most: int = 6, buildable: Column | None = None) -> DataFrame:
-    """rank, evaluator, tier, source of two sets of recommendations (evaluator, tier, rank): judged ones win, tiers go in order, the first ``most`` stay.
+def merged_recommendations(heuristic: DataFrame, judged: DataFrame, most: int = 6, buildable: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """rank, evaluator, tier, source of two sets of recommendations (evaluator, tier, rank): judged ones win, then lower ranks, then earlier tiers; tiers go in order, the first ``most`` stay.
 
     Evaluators that can't be built (column buildable over evaluator) are left out before
-    the count. A product's recommendations are a few rows.
+    the count. ``by`` names the columns of what they are for, a case or a product, each with a few rows.
     """
     order = F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.col("tier"))
-    both = judged.select("evaluator", "tier", "rank", F.lit("judged").alias("source")).unionByName(heuristic.select("evaluator", "tier", "rank", F.lit("heuristic").alias("source")))
+    side = lambda df, name: df.select(*by, "evaluator", "tier", "rank", F.lit(name).alias("source"))
+    both = side(judged, "judged").unionByName(side(heuristic, "heuristic"))
     both = both.where(buildable) if buildable is not None else both
-    best = both.groupBy("evaluator").agg(F.max_by(F.struct("tier", "rank", "source"), F.struct(F.col("source"), -F.col("rank"))).alias("b")).select("evaluator", "b.*")
-    ranked = best.withColumn("nth", F.row_number().over(Window.orderBy(order, F.col("source").desc(), "rank", "evaluator")))
-    return ranked.where(F.col("nth") <= most).select((F.col("nth") - 1).alias("rank"), "evaluator", "tier", "source")
+    best = both.groupBy(*by, "evaluator").agg(F.max_by(F.struct("tier", "rank", "source"), F.struct(F.col("source"), -F.col("rank"), -order)).alias("b")).select(*by, "evaluator", "b.*")
+    ranked = best.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(order, F.col("source").desc(), "rank", "evaluator")))
+    return ranked.where(F.col("nth") <= most).select(*by, (F.col("nth") - 1).alias("rank"), "evaluator", "tier", "source")
 
 
 def exported_talks(said: DataFrame, personas: DataFrame) -> DataFrame:

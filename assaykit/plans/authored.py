@@ -146,15 +146,17 @@ def trace_cases(spark, sf_dir):
     return authoring.trace_cases(_traces(spark, sf_dir), "conv_id")
 
 
-@query("""WITH a AS (SELECT unnest(['faithfulness', 'relevance', 'vqa_faithfulness', 'not_empty']) AS e, unnest(['primary', 'secondary', 'primary', 'guardrail']) AS t, unnest([0, 1, 2, 3]) AS r)
-    SELECT unnest([0, 1, 2, 3])::INT AS "rank", unnest(['faithfulness', 'relevance', 'coherence', 'not_empty']) AS evaluator, unnest(['primary', 'primary', 'secondary', 'guardrail']) AS tier, unnest(['heuristic', 'judged', 'judged', 'heuristic']) AS source""")
+@query("""WITH h AS (SELECT user_id, event_id, event_type AS evaluator, ['primary', 'secondary', 'guardrail'][1 + event_id % 3] AS tier, event_id % 7 AS rank, CASE WHEN event_id % 4 = 0 THEN 'judged' ELSE 'heuristic' END AS source FROM events WHERE event_type <> 'error'),
+    f AS (SELECT *, row_number() OVER (PARTITION BY user_id, evaluator ORDER BY source DESC, rank, list_position(['primary', 'secondary', 'guardrail'], tier)) AS nth FROM h),
+    o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY list_position(['primary', 'secondary', 'guardrail'], tier), source DESC, rank, evaluator) AS place FROM f WHERE nth = 1)
+    SELECT user_id, (place - 1)::INT AS rank, evaluator, tier, source FROM o WHERE place <= 3""")
 def merged_recommendations(spark, sf_dir):
-    """Heuristic and judged recommendations; one evaluator can't be built, one is moved to another tier by the judge."""
-    own = spark.createDataFrame([("faithfulness", "primary", 0), ("relevance", "secondary", 1), ("vqa_faithfulness", "primary", 2), ("not_empty", "guardrail", 3)], "evaluator string, tier string, rank int")
-    judged = spark.createDataFrame([("relevance", "primary", 1), ("coherence", "secondary", 2)], "evaluator string, tier string, rank int")
-    out = authoring.merged_recommendations(own, judged, 6, F.col("evaluator") != "vqa_faithfulness")
-    order = F.row_number().over(Window.orderBy(F.col("tier") != "primary", F.col("tier") != "secondary", "evaluator")) - 1
-    return out.select(order.cast("int").alias("rank"), "evaluator", "tier", "source")
+    """Heuristic and judged recommendations for each user: judged ones win, one evaluator can't be built, three stay."""
+    e = table(spark, sf_dir, "events")
+    tier = F.element_at(F.array(*[F.lit(t) for t in ("primary", "secondary", "guardrail")]), (F.col("event_id") % 3 + 1).cast("int"))
+    made = e.select("user_id", "event_id", F.col("event_type").alias("evaluator"), tier.alias("tier"), (F.col("event_id") % 7).alias("rank"))
+    own, judged = (made.where(F.col("event_id") % 4 != 0), made.where(F.col("event_id") % 4 == 0))
+    return authoring.merged_recommendations(own, judged, 3, F.col("evaluator") != "error", ("user_id",))
 
 
 @query("""WITH s AS (SELECT CASE page_id % 10 WHEN 2 THEN 'removed' WHEN 3 THEN 'changed' WHEN 5 THEN 'changed' WHEN 9 THEN 'unknown' ELSE 'unchanged' END AS status, page_id // 3 AS case_id, page_id % 10 AS k FROM pages),

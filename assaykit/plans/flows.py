@@ -245,15 +245,23 @@ def mutate_cases(spark, sf_dir):
     return generate.mutated(p).select("case_index", "mutation", "attempt", "mutant", "expectation", "bucket")
 
 
-@query("""SELECT a.x AS tone, b.x AS lang, c.x AS size, 'Write a ' || a.x || ' note in ' || b.x || ', ' || c.x || '.' AS input FROM (VALUES ('calm'), ('brisk')) a(x), (VALUES ('en'), ('de'), ('fr')) b(x), (VALUES ('short'), ('long')) c(x)""")
+def template_axes(spark, sf_dir):
+    """Axes whose values tables give: priorities of orders as tones, languages of documents, types of events as topics."""
+    return generate.axes_of({"tone": (table(spark, sf_dir, "orders"), "o_orderpriority"), "lang": (table(spark, sf_dir, "documents"), "lang"), "topic": (table(spark, sf_dir, "events"), "event_type")})
+
+
+AXES = "a AS (SELECT DISTINCT o_orderpriority AS tone FROM orders), b AS (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL), c AS (SELECT DISTINCT event_type AS topic FROM events)"
+
+
+@query(f"WITH {AXES} SELECT tone, lang, topic, 'Write a ' || tone || ' note in ' || lang || ' on ' || topic || '.' AS input FROM a, b, c")
 def template_grid(spark, sf_dir):
-    g = generate.grid(spark, {"tone": ["calm", "brisk"], "lang": ["en", "de", "fr"], "size": ["short", "long"]})
-    return generate.filled(g, "Write a {tone} note in {lang}, {size}.")
+    g = generate.grid(spark, template_axes(spark, sf_dir))
+    return generate.filled(g, "Write a {tone} note in {lang} on {topic}.")
 
 
 @query()
 def template_pairwise(spark, sf_dir):
-    return generate.grid(spark, {"tone": ["calm", "brisk"], "lang": ["en", "de", "fr"], "size": ["short", "long", "tiny"]}, "pairwise")
+    return generate.grid(spark, template_axes(spark, sf_dir), "pairwise")
 
 
 def _sites(spark, sf_dir, moved: bool):

@@ -81,6 +81,15 @@ def ev_pii_detection(spark, sf_dir):
     return scored.select("doc_id", F.when(F.size(names) == 0, 1.0).otherwise(0.0).alias("score"), F.array_join(names, ",").alias("patterns"))
 
 
+@query("WITH f AS (" + " UNION ALL ".join(_found_sql(n, p) for n, p in _PLAIN_CCPA.items()) + """), g AS (SELECT doc_id, string_agg('  ' || pattern || ': "[REDACTED-' || upper(pattern) || ']"' || CASE WHEN n > 1 THEN ', "[REDACTED-' || upper(pattern) || ']"' ELSE '' END || ' (' || n || ' match)', chr(10) ORDER BY pattern) AS reason FROM f WHERE n > 0 GROUP BY doc_id)
+    SELECT doc_id, coalesce(reason, '') AS reason FROM documents LEFT JOIN g USING (doc_id)""")
+def ev_pii_reasons(spark, sf_dir):
+    """What the evaluator says of its findings, with redacted examples; patterns with checksums are left out, as SQL has none."""
+    scored = ev.score(table(spark, sf_dir, "documents"), [ev.pii_detection("ccpa", strict=False, out="text", reasons="redacted")], ["doc_id"])
+    plain = F.filter(F.split("reason", "\n"), lambda r: (r != "") & ~F.regexp_extract(r, r"^  (\w+):", 1).isin(*pii.CHECKS))
+    return scored.select("doc_id", F.array_join(plain, "\n").alias("reason"))
+
+
 @query("""WITH s AS (SELECT doc_id, 'A-' || (doc_id * 37 % 1000) || ' and B-x, a-7' AS t FROM documents) SELECT doc_id, array_to_string(regexp_extract_all(t, '(?i)\\b(?:a)-(\\d+)\\b', 1), ',') AS badges FROM s""")
 def pii_own_pattern(spark, sf_dir):
     """A pattern of one's own beside the fixed ones, its group taken; one that doesn't compile is left out."""

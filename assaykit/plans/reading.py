@@ -10,6 +10,7 @@ from ..operators import generate
 from ..sources import sinks, tables
 from ..storage import new_path
 from .base import CASES, PAIRS, rounded, runs, table, turn_pairs
+from .flows import AXES, template_axes
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -48,11 +49,13 @@ def read_cases_jsonl(spark, sf_dir):
     return got.select("case_index", "input", "expected_output", "context", "context_is_list", F.array_join("tags", ",").alias("tags"))
 
 
-@query("""SELECT doc_id::VARCHAR AS input, CASE WHEN doc_id % 3 <> 0 THEN text END AS expected_output, CASE WHEN doc_id % 2 = 0 THEN source END AS context, lang || ',' || source AS tags FROM documents WHERE text IS NOT NULL AND text <> '' AND NOT contains(text, chr(13))""")
+@query("""SELECT doc_id::VARCHAR AS input, CASE WHEN doc_id % 3 <> 0 THEN nullif(text || CASE WHEN doc_id % 5 = 0 THEN chr(13) || chr(10) || 'x' WHEN doc_id % 5 = 1 THEN chr(13) || 'y' ELSE '' END, '') END AS expected_output,
+    CASE WHEN doc_id % 2 = 0 THEN source END AS context, lang || ',' || source AS tags FROM documents""")
 def read_cases_csv(spark, sf_dir):
-    """Texts with quotes, commas and line breaks; empty fields are null."""
-    d = table(spark, sf_dir, "documents").where("text is not null and text != '' and not contains(text, char(13))")
-    rows = d.select(F.col("doc_id").cast("string").alias("input"), F.when(F.col("doc_id") % 3 != 0, F.col("text")).otherwise("").alias("expected_output"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("").alias("context"), F.concat("lang", F.lit(" , ,"), "source").alias("tags"))
+    """All texts, some with line breaks of two other kinds added, with quotes and commas; empty fields are null."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id") % 5
+    text = F.concat("text", F.when(k == 0, "\r\nx").when(k == 1, "\ry").otherwise(""))
+    rows = d.select(F.col("doc_id").cast("string").alias("input"), F.when(F.col("doc_id") % 3 != 0, text).otherwise("").alias("expected_output"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("").alias("context"), F.concat("lang", F.lit(" , ,"), "source").alias("tags"))
     path = new_path(spark) + ".csv"
     rows.write.option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
     got = tables.cases(spark, path)
@@ -180,13 +183,12 @@ def span_places(spark, sf_dir):
     return s.withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
 
 
-@query("""SELECT * FROM (VALUES ('tone', 'lang'), ('tone', 'size'), ('lang', 'size')) p(a, b), LATERAL (SELECT x.v AS av, y.v AS bv FROM
-    (VALUES ('tone', 'calm'), ('tone', 'brisk'), ('lang', 'en'), ('lang', 'de'), ('lang', 'fr'), ('size', 'short'), ('size', 'long'), ('size', 'tiny')) x(k, v), (VALUES ('tone', 'calm'), ('tone', 'brisk'), ('lang', 'en'), ('lang', 'de'), ('lang', 'fr'), ('size', 'short'), ('size', 'long'), ('size', 'tiny')) y(k, v) WHERE x.k = a AND y.k = b)""")
+@query(f"WITH {AXES} SELECT 'tone' AS a, 'lang' AS b, tone AS av, lang AS bv FROM a, b UNION ALL SELECT 'tone', 'topic', tone, topic FROM a, c UNION ALL SELECT 'lang', 'topic', lang, topic FROM b, c")
 def template_pairs_covered(spark, sf_dir):
     """The pairs of values that a pairwise cover holds: all of them, in fewer rows than the product."""
-    g = generate.grid(spark, {"tone": ["calm", "brisk"], "lang": ["en", "de", "fr"], "size": ["short", "long", "tiny"]}, "pairwise")
+    g = generate.grid(spark, template_axes(spark, sf_dir), "pairwise")
     pair = lambda a, b: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("av"), F.col(b).alias("bv"))
-    return g.select(F.inline(F.array(pair("tone", "lang"), pair("tone", "size"), pair("lang", "size")))).distinct()
+    return g.select(F.inline(F.array(pair("tone", "lang"), pair("tone", "topic"), pair("lang", "topic")))).distinct()
 
 
 _FRESH = "SELECT user_id % 30 AS a, user_id % 20 AS f, event_id, event_type FROM events WHERE event_id % 2 = {h}"

@@ -14,7 +14,8 @@ ALIASES = {
     "output": ("output", "answer", "completion", "response", "assistant_message"),
     "context": ("context", "retrieved_context", "documents", "passages"),
 }
-TRACE_CAP = 10_000
+#: Blocks of files whose numbers are sent to all executors at most; beyond, they are joined by a shuffle.
+SMALL_SIDE = 100_000
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -25,7 +26,9 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b")).withColumn("i", F.monotonically_increasing_id())
     sizes = raw.groupBy("f", "b").agg(F.count("*").alias("n"), F.min("i").alias("start"))
     sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return raw.join(F.broadcast(sizes.select("f", "b", "start", "before")), ["f", "b"]).select((F.col("before") + F.col("i") - F.col("start")).alias("line_no"), "value")
+    sizes = sizes.select("f", "b", "start", "before")
+    small = sizes.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
+    return raw.join(F.broadcast(sizes) if small else sizes, ["f", "b"]).select((F.col("before") + F.col("i") - F.col("start")).alias("line_no"), "value")
 
 
 def cases_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -43,8 +46,11 @@ def cases_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cases_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Cases from CSV with a header: empty fields are null, tags are split at commas."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    """Cases from CSV with a header: empty fields are null, tags are split at commas. Fields in quotes keep line breaks of any kind."""
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("lineSep", "\n").csv(path)
+    if (end := df.columns[-1]).endswith("\r"):
+        # Lines of this file end with two characters, of which the last field has kept one.
+        df = df.withColumn(end, F.nullif(F.regexp_replace(F.col(f"`{end}`"), "\r$", ""), F.lit(""))).withColumnRenamed(end, end[:-1])
     for c in ("expected_output", "context", "tags"):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
@@ -60,8 +66,8 @@ def cases(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"cases are read from .jsonl and .csv, not {path}")
 
 
-def traces(spark: SparkSession, path: str, cap: int | None = TRACE_CAP) -> DataFrame:
-    """Traces with aliases folded, in file order, the first ``cap`` that have an input; all with a cap of None.
+def traces(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
+    """All traces that have an input, with aliases folded, in file order; with a cap the first so many.
 
     Lines that start with // or # are comments. A malformed last line is left out
     (a log may still be written); a malformed line before it is an error.

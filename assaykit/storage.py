@@ -39,3 +39,31 @@ def cut(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    """A small text file of any file system that Spark knows."""
+    at, files = _path(spark, path)
+    stream = files.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def replace_file(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small text file under another name and renames it over the one that is there: a reader sees the old or the new text."""
+    jvm = spark.sparkContext._jvm
+    at, files = _path(spark, path)
+    temp, _ = _path(spark, f"{path}.{uuid.uuid4().hex}")
+    out = files.create(temp, False)
+    out.write(text.encode())
+    out.close()
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(temp, at, how)

@@ -93,6 +93,29 @@ def test_baselines(spark, tmp_path):
     assert [authoring.exit_code({"changed": 1}, f, w) for f, w in ((("changed",), False), (("removed",), True), ((), False))] == [1, 2, 0]
 
 
+def test_baselines_are_replaced_in_one_step(spark, tmp_path):
+    """A reader between the new version and the pointer sees the old baseline; a stray file beside it changes nothing."""
+    from assaykit.operators.lineage import SITE
+
+    at = tmp_path / "base"
+    row = lambda name: ("a.py", 1, "openai", "c", "user", 0, name, "fp", "loose", False)
+    write = lambda *names: authoring.write_baseline(spark.createDataFrame([row(n) for n in names], SITE), str(at))
+    read = lambda: [r.qualname for r in authoring.baseline(spark, str(at)).orderBy("id").collect()]
+    write("f")
+    assert read() == ["f"]
+    (at / "v-half").mkdir()
+    (at / "v-half/part-0.txt").write_text("{")
+    assert read() == ["f"]
+    write("g", "h")
+    assert read() == ["g", "h"] and len(list(at.glob("v-*"))) == 1
+    many = tmp_path / "many"
+    many.mkdir()
+    for n in "ab":
+        (many / f"{n}.json").write_text('{"records": []}')
+    with pytest.raises(authoring.BaselineError, match="several"):
+        authoring.baseline(spark, str(many))
+
+
 def test_contrast_and_targets(spark):
     cases = spark.createDataFrame([(1, "q", "Yes"), (2, "q2", "no"), (3, "q3", None)], "case_id long, input string, expected_output string")
     got = authoring.contrast_pairs(cases, lambda ps: [" yes " for p in ps])

@@ -259,6 +259,59 @@ def test_one_rate_for_a_whole_job(spark, workers):
     assert starts[-1] - starts[0] >= (len(starts) - workers) / 40 * 0.9
 
 
+def test_pii_reasons(spark):
+    df = spark.createDataFrame([(1, "mail a@b.example, c@d.example and e@f.example or call"), (2, "nothing")], "k long, output string")
+    said = lambda how: {r.k: r.reason for r in ev.score(df, [ev.pii_detection("ccpa", reasons=how)], ["k"]).collect()}
+    assert said("names")[1] == "email"
+    assert said("redacted") == {1: '  email: "[REDACTED-EMAIL]", "[REDACTED-EMAIL]" (3 match)', 2: ""}
+    assert said("shown") == {1: '  email: "a@b.example", "c@d.example" (3 match)', 2: ""}
+    with pytest.raises(ValueError):
+        ev.pii_detection(reasons="all")
+
+
+def test_csv_lines_that_end_with_two_characters(spark, tmp_path):
+    p = tmp_path / "c.csv"
+    p.write_bytes(b'input,expected_output,tags\r\nq,"a\r\nb",x\r\nr,,\r\n')
+    got = [(r.input, r.expected_output, r.tags) for r in tables.cases(spark, str(p)).collect()]
+    assert got == [("q", "a\r\nb", ["x"]), ("r", None, [])]
+
+
+def test_axes_of_tables(spark):
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "v string")
+    assert generate.axes_of({"x": (df, "v")}) == {"x": ["a", "b"]}
+    with pytest.raises(ValueError, match="more than"):
+        generate.axes_of({"x": (spark.range(3000), "id")})
+
+
+def test_case_files_and_verdicts(spark, tmp_path):
+    """Case files by name and by content, broken lines with reasons, cases by the state of their provenance."""
+    root = tmp_path / "repo"
+    target = {"source": "static", "file_path": "a.py", "line": 1, "sdk": "openai", "call_site": "create", "role": "user", "role_position": 0, "qualname": "f", "is_dynamic": False, "fingerprint": "x", "loose_fingerprint": "x"}
+    stamp = lambda **k: json.dumps({"input": "q", "metadata": {"_provenance": {"schema_version": 1, "case_uid": "u", **k}}})
+    gone = {**target, "qualname": "gone", "fingerprint": "g", "loose_fingerprint": "g"}
+    files = {
+        "seed_cases.jsonl": ["{broken", "", "[1]", json.dumps({"input": "q"}), stamp(), stamp(targets=[target]), stamp(targets=[target, gone]), stamp(schema_version=9)],
+        "deep/evals.jsonl": [stamp(targets=[gone]), json.dumps({"other": 1}), json.dumps({"input": "r"})],
+        "deep/log.jsonl": [json.dumps({"event": i}) for i in range(3)] + [json.dumps({"input": "x"})],
+        "build/seed_cases.jsonl": [stamp()], ".hidden/seed_cases.jsonl": [stamp()],
+    }
+    for name, lines in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("\n".join(lines) + "\n")
+    lines = lineage.case_lines(spark, str(root))
+    assert {(r.file_path, r["index"], r.reason) for r in lines.where("reason is not null").collect()} == {("seed_cases.jsonl", 0, "no JSON"), ("seed_cases.jsonl", 1, "no object")}
+    live = spark.createDataFrame([site(0)], "id long, " + lineage.SITE)
+    got = {(r.file_path, r["index"]): (r.state, r.status) for r in lineage.case_verdicts(lines, live).collect()}
+    assert got == {
+        ("seed_cases.jsonl", 0): ("unreadable", None), ("seed_cases.jsonl", 1): ("unreadable", None), ("seed_cases.jsonl", 2): ("unstamped", None), ("seed_cases.jsonl", 3): ("stamped", None),
+        ("seed_cases.jsonl", 4): ("bound", "unchanged"), ("seed_cases.jsonl", 5): ("bound", "changed"), ("seed_cases.jsonl", 6): ("unreadable", None),
+        ("deep/evals.jsonl", 0): ("bound", "removed"), ("deep/evals.jsonl", 1): ("unstamped", None), ("deep/evals.jsonl", 2): ("unstamped", None),
+    }
+    skipped = spark.createDataFrame([("a.py",)], "file_path string")
+    one = lineage.case_verdicts(lines.where("file_path = 'deep/evals.jsonl' and index = 0"), live, skipped).first()
+    assert one.status == "unknown"
+
+
 def test_costs_are_unknown_with_an_unpriced_model(spark):
     calls = spark.createDataFrame([("p", "m", 10, 1), ("p", "m", 20, 2), ("p", "n", 5, 5)], "provider string, model string, input_tokens long, output_tokens long")
     prices = spark.createDataFrame([("m", 1.0, 2.0)], "model string, input_per_million double, output_per_million double")
