@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import BaselineError
 from ..functions import text
 from ..storage import cut, read_file, replace_file
-from . import gates, judge
+from . import gates, judge, lineage
 from .ranks import running
 
 #: Ways in which an adversarial case can try to make a model fail.
@@ -361,15 +361,70 @@ def validation_verdict(results: DataFrame) -> DataFrame:
     return g.select(F.when(nothing, "NOTHING_VALIDATED").when(F.col("_broken") > 0, "BROKEN").otherwise("OK").alias("status"), "cases", "informative", (F.col("cases") - F.col("_none")).alias("validated"))
 
 
-def drift_report(verdicts: DataFrame, added: DataFrame, cases: DataFrame | None = None) -> DataFrame:
-    """name, value lines of a drift report: site counts, and counts of case verdicts where cases (from ``lineage.rollup``) are given."""
+def drift_report(verdicts: DataFrame, added: DataFrame, cases: DataFrame | None = None, live: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """name, value lines of a drift report: site counts; counts of case verdicts where cases (from ``lineage.rollup``) are given.
+
+    With ``live`` sites, how many are static and dynamic (what a scan can tell of at all); with ``targets`` of cases too (fingerprint,
+    anchor, source, is_dynamic), how many static sites they cover: at least, as a text covers all sites that have it.
+    Targets from outside, observed at run time or dynamic cover nothing.
+    """
     counts = verdict_counts(verdicts, added)
-    rows = counts.select(F.inline(F.array(*[F.struct(F.lit(f"sites.{c}").alias("name"), F.col(c).alias("value")) for c in counts.columns])))
+    lines = lambda df, group: df.select(F.inline(F.array(*[F.struct(F.lit(f"{group}.{c}").alias("name"), F.col(c).cast("long").alias("value")) for c in df.columns])))
+    rows = lines(counts, "sites")
     if cases is not None:
         rows = rows.unionByName(cases.groupBy(F.concat(F.lit("cases."), "status").alias("name")).agg(F.count("*").alias("value")))
+    if live is not None:
+        d = F.col("is_dynamic")
+        rows = rows.unionByName(lines(live.agg(F.count("*").alias("call_sites"), F.count_if(~d).alias("static"), F.count_if(d).alias("dynamic")), "live"))
+        if targets is not None:
+            told = targets.where("not coalesce(is_dynamic, false) and coalesce(source, '') not in ('external', 'runtime')")
+            rows = rows.unionByName(lines(lineage.coverage(live.where(~d), told), "coverage"))
     return rows
 
 
+#: Sections of a report's sites, in order.
+SECTIONS = ("changed", "removed", "unscannable", "unknown", "moved", "added")
+
+
+def drift_sites(verdicts: DataFrame, base: DataFrame, live: DataFrame, added: DataFrame, bound: DataFrame | None = None, most: int = 5) -> DataFrame:
+    """section, file_path, line, site, tags, fingerprints, cases: what a report says of each site that isn't as it was.
+
+    A site stands where it is now, else where it was. ``bound`` has the targets of cases (case_uid, fingerprint,
+    anchor): a site shows the first ``most`` cases that are bound to its text or to its place, and how many there are.
+    """
+    b = base.select("id", *[F.col(c).alias(f"b_{c}") for c in ("file_path", "line", "sdk", "role", "qualname", "fingerprint")], F.to_json(F.struct(*lineage.ANCHOR)).alias("_anchor"))
+    v = live.select(F.col("id").alias("live_id"), *[F.col(c).alias(f"l_{c}") for c in ("file_path", "line", "sdk", "role", "qualname", "fingerprint")])
+    has = lambda k: F.contains("label", F.lit(k))
+    section = F.when(F.col("status").isin("changed", "removed"), F.col("status")).when(has("unscannable"), "unscannable").when(F.col("status") == "unknown", "unknown").when(has("moved"), "moved")
+    x = verdicts.withColumn("section", section).where("section is not null").join(b, "id").join(v, "live_id", "left")
+    if bound is not None:
+        by = x.select("id", F.col("b_fingerprint").alias("fingerprint")).join(bound.select("fingerprint", "case_uid"), "fingerprint").select("id", "case_uid").union(x.select("id", F.col("_anchor").alias("anchor")).join(bound.select("anchor", "case_uid"), "anchor").select("id", "case_uid"))
+        nth = F.row_number().over(Window.partitionBy("id").orderBy("case_uid"))
+        few = by.distinct().withColumn("_nth", nth).groupBy("id").agg(F.count("*").alias("_n"), F.array_sort(F.collect_list(F.when(F.col("_nth") <= most, F.col("case_uid")))).alias("_few"))
+        x = x.join(few, "id", "left").withColumn("cases", F.when(F.col("_n") > 0, F.concat(F.array_join("_few", ", "), F.when(F.col("_n") > most, F.concat(F.lit(" of "), F.col("_n").cast("string"))).otherwise(""))).otherwise(""))
+    else:
+        x = x.withColumn("cases", F.lit(""))
+    now = lambda c: F.coalesce(F.col(f"l_{c}"), F.col(f"b_{c}"))
+    name = lambda f: F.concat(f("sdk"), F.lit("."), f("role"), F.lit(" in "), f("qualname"))
+    tags = F.concat_ws("; ", F.nullif("label", F.lit("")), F.when(F.col("confidence") == "ambiguous", "confidence=ambiguous"))
+    prints = F.when(F.col("section") == "changed", F.concat(F.substring("b_fingerprint", 1, 8), F.lit(" to "), F.substring("l_fingerprint", 1, 8))).otherwise("")
+    rows = x.select("section", now("file_path").alias("file_path"), now("line").alias("line"), name(now).alias("site"), tags.alias("tags"), prints.alias("fingerprints"), "cases")
+    fresh = added.select(F.lit("added").alias("section"), "file_path", "line", name(F.col).alias("site"), *[F.lit("").alias(c) for c in ("tags", "fingerprints", "cases")])
+    return rows.unionByName(fresh)
+
+
+def drift_lines(sites: DataFrame, style: str = "text") -> DataFrame:
+    """section_no, file_path, line, value of ``drift_sites``: one line a site, to be sorted by the first three; a table row in Markdown."""
+    number = F.array_position(F.array(*[F.lit(x) for x in SECTIONS]), F.col("section"))
+    place = F.concat("file_path", F.lit(":"), F.col("line").cast("string"))
+    if style == "markdown":
+        value = F.concat(F.lit("| "), F.concat_ws(" | ", "section", place, "site", "tags", "fingerprints", "cases"), F.lit(" |"))
+    else:
+        bracket = lambda c, a, z: F.when(F.col(c) != "", F.concat(F.lit(a), c, F.lit(z)))
+        value = F.concat_ws(" ", F.upper("section"), place, "site", bracket("tags", "[", "]"), bracket("fingerprints", "fp ", ""), bracket("cases", "cases ", ""))
+    return sites.select(number.cast("int").alias("section_no"), "file_path", "line", value.alias("value"))
+
+
 def drift_text(report: DataFrame, style: str = "text") -> str:
     """A drift report, a few dozen lines by nature, as text, Markdown or JSON."""
     rows = sorted((r["name"], r["value"]) for r in report.collect())

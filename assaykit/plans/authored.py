@@ -159,13 +159,31 @@ def merged_recommendations(spark, sf_dir):
     return authoring.merged_recommendations(own, judged, 3, F.col("evaluator") != "error", ("user_id",))
 
 
-@query("""WITH s AS (SELECT CASE page_id % 10 WHEN 2 THEN 'removed' WHEN 3 THEN 'changed' WHEN 5 THEN 'changed' WHEN 9 THEN 'unknown' ELSE 'unchanged' END AS status, page_id // 3 AS case_id, page_id % 10 AS k FROM pages),
+@query("""WITH s AS (SELECT CASE page_id % 10 WHEN 2 THEN 'removed' WHEN 3 THEN 'changed' WHEN 5 THEN 'changed' WHEN 9 THEN 'unknown' ELSE 'unchanged' END AS status, page_id, page_id // 3 AS case_id, page_id % 10 AS k FROM pages),
     r AS (SELECT case_id, CASE WHEN bool_and(status = 'removed') THEN 'removed' WHEN bool_or(status IN ('changed', 'removed')) THEN 'changed' WHEN bool_or(status = 'unknown') THEN 'unknown' ELSE 'unchanged' END AS status FROM s GROUP BY case_id),
-    g AS (SELECT count(*) FILTER (k NOT IN (2, 3, 5, 7, 9)) AS unchanged, count(*) FILTER (k = 7) AS moved, count(*) FILTER (k IN (3, 5)) AS changed, count(*) FILTER (k = 5) AS formatting_only, count(*) FILTER (k = 2) AS removed, count(*) FILTER (k = 9) AS unknown FROM s)
-    SELECT unnest(['sites.unchanged', 'sites.moved', 'sites.changed', 'sites.formatting_only', 'sites.removed', 'sites.unknown', 'sites.unscannable', 'sites.added']) AS name, unnest([unchanged, moved, changed, formatting_only, removed, unknown, 0, 0]) AS value FROM g
+    g AS (SELECT count(*) FILTER (k NOT IN (2, 3, 5, 7, 9)) AS unchanged, count(*) FILTER (k = 7) AS moved, count(*) FILTER (k IN (3, 5)) AS changed, count(*) FILTER (k = 5) AS formatting_only, count(*) FILTER (k = 2) AS removed, count(*) FILTER (k = 9) AS unknown,
+        count(*) FILTER (k <> 2) AS sites, count(*) FILTER (k = 9) AS dynamic, count(*) FILTER (k NOT IN (2, 9) AND page_id % 3 = 0 AND page_id % 7 <> 0) AS covered FROM s)
+    SELECT unnest(['sites.unchanged', 'sites.moved', 'sites.changed', 'sites.formatting_only', 'sites.removed', 'sites.unknown', 'sites.unscannable', 'sites.added', 'live.call_sites', 'live.static', 'live.dynamic', 'coverage.sites', 'coverage.covered']) AS name,
+        unnest([unchanged, moved, changed, formatting_only, removed, unknown, 0, 0, sites, sites - dynamic, dynamic, sites - dynamic, covered]) AS value FROM g
     UNION ALL SELECT 'cases.' || status, count(*) FROM r GROUP BY status""")
 def drift_report(spark, sf_dir):
+    """Counts of sites and cases, what a scan can tell of, and what cases cover; targets seen at run time cover nothing."""
     base, live = _sites(spark, sf_dir, False), _sites(spark, sf_dir, True)
     v = cut(lineage.match(base, live))
     cases = lineage.rollup(v.select(F.floor(F.col("id") / 3).alias("case_id"), "status"))
-    return authoring.drift_report(v, lineage.added(base, live, v), cases)
+    source = F.when(F.col("id") % 7 == 0, "runtime").otherwise("static").alias("source")
+    targets = base.where("id % 3 = 0").select("fingerprint", F.to_json(F.struct(*lineage.ANCHOR)).alias("anchor"), source, "is_dynamic")
+    return authoring.drift_report(v, lineage.added(base, live, v), cases, live, targets)
+
+
+@query("""WITH p AS (SELECT page_id AS i, page_id % 10 AS k, 'src/' || split_part(split_part(url, '//', 2), '/', 1) || '.py' AS f FROM pages),
+    r AS (SELECT *, CASE k WHEN 3 THEN 1 WHEN 5 THEN 1 WHEN 2 THEN 2 WHEN 9 THEN 4 WHEN 7 THEN 5 END AS section_no, CASE k WHEN 7 THEN 'lib/' || f ELSE f END AS file FROM p WHERE k IN (2, 3, 5, 7, 9)),
+    t AS (SELECT section_no, file AS file_path, i::INT AS line, ['CHANGED', 'REMOVED', 'UNSCANNABLE', 'UNKNOWN', 'MOVED'][section_no] || ' ' || file || ':' || i || ' openai.user in f' || i || CASE k WHEN 5 THEN ' [formatting-only]' WHEN 7 THEN ' [moved]' WHEN 9 THEN ' [dynamic]' ELSE '' END
+        || CASE k WHEN 3 THEN ' fp ' || left(sha256(i::VARCHAR), 8) || ' to ' || left(sha256(i || 'new'), 8) WHEN 5 THEN ' fp ' || left(sha256(i::VARCHAR), 8) || ' to ' || left(sha256(i || ' '), 8) ELSE '' END || CASE WHEN i % 3 = 0 THEN ' cases c' || i // 6 ELSE '' END AS value FROM r)
+    SELECT section_no, file_path, line, value FROM t""")
+def drift_lines(spark, sf_dir):
+    """A line for each site that isn't as it was, with the cases that are bound to it."""
+    base, live = _sites(spark, sf_dir, False), _sites(spark, sf_dir, True)
+    v = cut(lineage.match(base, live))
+    bound = base.where("id % 3 = 0").select(F.concat(F.lit("c"), F.floor(F.col("id") / 6).cast("string")).alias("case_uid"), "fingerprint", F.to_json(F.struct(*lineage.ANCHOR)).alias("anchor"))
+    return authoring.drift_lines(authoring.drift_sites(v, base, live, lineage.added(base, live, v), bound))

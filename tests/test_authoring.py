@@ -116,6 +116,27 @@ def test_baselines_are_replaced_in_one_step(spark, tmp_path):
         authoring.baseline(spark, str(many))
 
 
+def test_drift_sites_name_their_cases(spark):
+    from assaykit.operators import lineage
+
+    site = lambda i, name, fp, dynamic=False: (i, "a.py", i, "openai", "create", "user", 0, name, fp, fp, dynamic)
+    schema = "id long, " + lineage.SITE
+    base = spark.createDataFrame([site(0, "f", "x"), site(1, "g", "y"), site(2, "h", "z", True)], schema)
+    live = spark.createDataFrame([site(0, "f", "new"), site(5, "k", "fresh"), site(2, "h", "z", True)], schema)
+    v = lineage.match(base, live, spark.createDataFrame([("b.py",)], "file_path string"))
+    added = lineage.added(base, live, v)
+    bound = spark.createDataFrame([(f"case-{i}", "x", "none") for i in range(7)] + [("other", "none", "none")], "case_uid string, fingerprint string, anchor string")
+    lines = authoring.drift_lines(authoring.drift_sites(v, base, live, added, bound, most=2))
+    assert [r.value for r in lines.orderBy("section_no", "line").collect()] == [
+        "CHANGED a.py:0 openai.user in f fp x to new cases case-0, case-1 of 7", "REMOVED a.py:1 openai.user in g", "UNKNOWN a.py:2 openai.user in h [dynamic]", "ADDED a.py:5 openai.user in k",
+    ]
+    table = authoring.drift_lines(authoring.drift_sites(v, base, live, added), "markdown").where("section_no = 6").first()
+    assert table.value.startswith("| added | a.py:5 | openai.user in k |")
+    targets = spark.createDataFrame([("new", "none", "static", False), ("fresh", "none", "runtime", False)], "fingerprint string, anchor string, source string, is_dynamic boolean")
+    told = {r.name: r.value for r in authoring.drift_report(v, added, None, live, targets).collect()}
+    assert (told["live.call_sites"], told["live.static"], told["live.dynamic"], told["coverage.sites"], told["coverage.covered"]) == (3, 2, 1, 2, 1)
+
+
 def test_contrast_and_targets(spark):
     cases = spark.createDataFrame([(1, "q", "Yes"), (2, "q2", "no"), (3, "q3", None)], "case_id long, input string, expected_output string")
     got = authoring.contrast_pairs(cases, lambda ps: [" yes " for p in ps])
