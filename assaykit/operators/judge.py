@@ -97,15 +97,21 @@ CACHE = "prompt_key string, reply string, created_at double"
 
 
 def stored_cache(spark: SparkSession, path: str, now: float | None = None, ttl: float | None = None) -> DataFrame:
-    """Live entries (prompt_key, reply) of a cache folder, the newest of a key. A cache is advisory: one that can't be read is empty."""
+    """Live entries (prompt_key, reply) of a cache folder, the newest of a key. A cache is advisory: one that can't be read, in whole, is empty.
+
+    It is read once, into the shared folder, so that no later step can fail for it.
+    """
+    from ..storage import cut
+
+    def live(held: DataFrame) -> DataFrame:
+        if ttl is not None and now is not None:
+            held = held.where(F.col("created_at") >= now - ttl)
+        return held.groupBy("prompt_key").agg(F.max_by("reply", "created_at").alias("reply"))
+
     try:
-        held = spark.read.schema(CACHE).parquet(path)
-        held.limit(1).count()
+        return cut(live(spark.read.schema(CACHE).parquet(path)))
     except Exception:  # noqa: BLE001 - any failure means that calls are made
-        held = spark.createDataFrame([], CACHE)
-    if ttl is not None and now is not None:
-        held = held.where(F.col("created_at") >= now - ttl)
-    return held.groupBy("prompt_key").agg(F.max_by("reply", "created_at").alias("reply"))
+        return live(spark.createDataFrame([], CACHE))
 
 
 def store_replies(new: DataFrame, path: str, now: float) -> None:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..errors import GateFailure
 from ..functions import stats, text
-from ..storage import cut
+from ..storage import cut, exists
 from . import compare, evaluators, judge, report
 from .ranks import numbered
 from .evaluators import Evaluator
@@ -192,11 +192,9 @@ def validate(cases: DataFrame, graders: list[Evaluator], contrast: bool = True)
 
 
 def record_run(spark: SparkSession, path: str, experiment: str, run_id: str, summary: DataFrame, by_evaluator: DataFrame, tags: dict[str, str] | None = None) -> None:
-    """Appends a run to an experiment's log; seq keeps the order of appends."""
-    try:
-        seq = (spark.read.parquet(path).where(F.col("experiment") == experiment).agg(F.max("seq")).first()[0] or 0) + 1
-    except Exception:  # noqa: BLE001 - the first run finds no log
-        seq = 1
+    """Appends a run to an experiment's log; seq keeps the order of appends. A log that is there but can't be read is an error."""
+    last = spark.read.parquet(path).where(F.col("experiment") == experiment).agg(F.max("seq")).first()[0] if exists(spark, path) else None
+    seq = (last or 0) + 1
     scores = by_evaluator.agg(F.collect_list(F.struct("evaluator", "n", F.round(F.col("pass_rate") * F.col("n")).cast("long").alias("passed"), "avg_score")).alias("evaluators"))
     tag = F.from_json(F.lit("{%s}" % ", ".join(f'"{k}": "{v}"' for k, v in (tags or {}).items())), "map<string,string>")
     row = summary.select(F.lit(experiment).alias("experiment"), F.lit(run_id).alias("run_id"), F.lit(seq).cast("long").alias("seq"), F.current_timestamp().alias("at"), "total", "evaluated", "passed", "failed", "errors", "pass_rate", "avg_score", "flaky_count", "stability", "runs_per_case", tag.alias("tags"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,11 +24,43 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Paths made inside the scopes that are open, innermost last.
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the intermediate tables that are made inside, when it ends; gives a ``cut`` whose tables stay.
+
+    What is computed inside must be written before the scope ends, by that cut or elsewhere: a frame
+    that still reads an intermediate table can't be computed afterwards.
+    """
+    made: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        _scopes.append([])
+        try:
+            return cut(df)
+        finally:
+            _scopes.pop()
+
+    _scopes.append(made)
+    try:
+        yield keep
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            at, files = _path(spark, path)
+            files.delete(at, True)
+
+
 def new_path(spark: SparkSession) -> str:
-    """A path under the shared folder that is deleted when the application ends."""
+    """A path under the shared folder that is deleted when the scope it is made in ends, or the application."""
     path = f"{shared_dir(spark).rstrip('/')}/assaykit/{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    if _scopes:
+        _scopes[-1].append(path)
     return path
 
 
@@ -46,6 +80,12 @@ def _path(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there; a store that can't be asked is an error."""
+    at, files = _path(spark, path)
+    return files.exists(at)
+
+
 def read_file(spark: SparkSession, path: str) -> str:
     """A small text file of any file system that Spark knows."""
     at, files = _path(spark, path)

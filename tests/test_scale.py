@@ -254,3 +254,33 @@ def test_tracers_make_steps(spark):
     rows = t.spans(spark).orderBy("seq").collect()
     assert [(r.kind, r.name, r.output, r.error) for r in rows] == [("llm", "plan", "look", None), ("tool", "search", None, None), ("tool", "fetch", None, "ValueError: no")]
     assert [(r.step_no, r.calls) for r in authoring.steps(t.spans(spark)).collect()] == [(1, ["search", "fetch"])]
+
+
+def test_a_scope_deletes_what_it_made(spark):
+    from pathlib import Path
+
+    outer = storage.cut(spark.range(3))
+    at = Path(storage.shared_dir(spark).removeprefix("file:")) / "assaykit"
+    held = lambda: {p.name for p in at.glob("*") if not p.name.startswith(".")}
+    before = held()
+    with storage.scope(spark) as keep:
+        inner = storage.cut(outer.withColumn("x", F.col("id") * 2))
+        with storage.scope(spark):
+            storage.cut(inner)
+            assert len(held() - before) == 2
+            kept = keep(inner.where("x > 0"))
+        assert len(held() - before) == 2
+    assert len(held() - before) == 1 and kept.count() == 2 and outer.count() == 3
+    with pytest.raises(ValueError):
+        with storage.scope(spark):
+            storage.cut(outer)
+            raise ValueError
+    assert len(held() - before) == 1
+
+
+def test_a_damaged_cache_is_empty_and_a_damaged_log_an_error(spark, tmp_path):
+    cache = tmp_path / "cache"
+    judge.store_replies(spark.createDataFrame([("k", "yes")], "prompt_key string, reply string"), str(cache), 1.0)
+    assert judge.stored_cache(spark, str(cache)).collect()[0].reply == "yes"
+    (cache / "part-9.parquet").write_bytes(b"torn")
+    assert judge.stored_cache(spark, str(cache)).count() == 0 == judge.stored_cache(spark, str(tmp_path / "none")).count()
