@@ -120,7 +120,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
     Workers serve many tasks, and idle ones stay: what the tasks before left free
     goes back to the system at the start, and this task's at the end.
     """
-    _trim()
+    trim()
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -131,14 +131,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
         edges = [0, *cuts.tolist(), n]
         for a, b in zip(edges, edges[1:], strict=False):
             yield batch.slice(a, b - a)
-    _trim()
+    trim()
 
 
-def _trim() -> None:
+def trim() -> None:
+    """Gives memory that is free back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
+    if release := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        release(0)
 
 
 def renames(columns: Iterable[str], added: Iterable[str]) -> dict[str, str]:

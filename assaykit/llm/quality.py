@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import apart, mix64, renames, slices, texts_of, word_names
+from .common import apart, mix64, renames, slices, texts_of, trim, word_names
 
 #: Longest n-grams of shapes, characters and words, and bits of their hashes.
 SHAPES, CHARS, WORDS = 4, 4, 2
@@ -81,6 +81,7 @@ class Features:
     def __init__(self, kinds: tuple[str, ...] = KINDS) -> None:
         self.kinds = kinds
         self.table = _classes()
+        self.mixed = mix64(np.arange(1, 0x3001).astype(np.uint64))
         self.flags = np.zeros(self.size, bool)
 
     def grams(self, x: np.ndarray, longest: int, base: int, bits: int) -> None:
@@ -106,7 +107,8 @@ class Features:
             inside = (self.table[np.minimum(points, 0x2FFF)] & ~np.uint32(1)) != 4
             edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
             start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            self.grams(word_names(mix64(points.astype(np.uint64) + np.uint64(1)), start, end), WORDS, base, WORD_BITS)
+            mixed = self.mixed[points] if points.max(initial=0) < len(self.mixed) else mix64(points.astype(np.uint64) + np.uint64(1))
+            self.grams(word_names(mixed, start, end), WORDS, base, WORD_BITS)
         base += 1 << WORD_BITS
         lines = [s for s in text.split("\n") if s]
         words = text.split()
@@ -203,7 +205,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").mapInArrow(indexes, "doc_id string, quality int, f binary")
     held = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "f").limit(sample).select("quality", "f").toArrow()
     index = [np.frombuffer(x.as_buffer(), np.uint16) for x in held.column("f")]
-    return fit(index, np.array(held.column("quality").to_pylist(), np.int64))
+    model = fit(index, np.array(held.column("quality").to_pylist(), np.int64))
+    del held, index
+    trim()
+    return model
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text", drop_text: bool = True) -> DataFrame:

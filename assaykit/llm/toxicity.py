@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import apart, cut, mix64, renames, slices, texts_of
+from .common import apart, cut, mix64, renames, slices, texts_of, trim
 from .quality import logistic
 
 LENGTHS, SPREAD, DECAY = (3, 4), 3, 0.7
@@ -305,6 +305,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 _add(toxic if label else clean, found)
     unseen = [r for r in best if not r[1]]
     unseen = unseen if len({r[0] for r in unseen}) == 2 else best
+    del clean, toxic, counts
+    trim()
     slope, offset = logistic(np.array([r[3] for r in unseen]), np.array([r[0] for r in unseen], float))
     return model._replace(slope=slope, offset=offset)
 

@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.llm import jaccard, mixing, pieces, quality, secrets
-from assaykit.llm.common import cut, documents, restored
+from assaykit.llm.common import documents, restored
 from assaykit.llm.queries import tokenizer
 from assaykit.session import ship
+from assaykit.storage import scope
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -77,5 +78,7 @@ STAGES: list[tuple[str, Stage]] = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+        # A stage's own tables go with it; what it returns stays.
+        with scope(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir))
     return docs
