@@ -23,6 +23,10 @@ class ProvenanceError(AssayError, ValueError):
     """A stamp or target that can't be read."""
 
 
+class EvidenceError(AssayError, ValueError):
+    """A package of evidence that can't be written or doesn't hold what it was sealed with."""
+
+
 class GateFailure(AssayError, SystemExit):
     """A report that misses its thresholds; uncaught, it ends the process with code 1."""
 

@@ -82,10 +82,15 @@ def case_digests(cases: DataFrame) -> DataFrame:
 
 def cases_hash(cases: DataFrame, width: int = 4096) -> DataFrame:
     """One hash of all cases in order: digests hash per block of cases, block hashes hash in order, so no task holds all cases."""
-    d = case_digests(cases).withColumn("block", F.floor(F.col("case_index") / width))
+    return ordered_hash(case_digests(cases), "case_index", width).select(F.col("n").alias("cases"), F.col("hash").alias("cases_hash"))
+
+
+def ordered_hash(rows: DataFrame, order: str, width: int = 4096) -> DataFrame:
+    """n and hash of rows (order, from 0 on, and digest): blocks of ``width`` rows hash apart, then the blocks' hashes in order."""
+    d = rows.withColumn("block", F.floor(F.col(order) / width))
     fold = lambda c, o: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(o, c))), lambda s: s[c]), "\n"), 256)
-    by = d.groupBy("block").agg(fold("digest", "case_index").alias("digest"), F.count("*").alias("n"))
-    return by.agg(F.sum("n").alias("cases"), fold("digest", "block").alias("cases_hash"))
+    by = d.groupBy("block").agg(fold("digest", order).alias("digest"), F.count("*").alias("n"))
+    return by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), fold("digest", "block").alias("hash"))
 
 
 def lock(evaluators: list[dict], cases: str | None, judge: dict | None = None) -> dict:

@@ -114,6 +114,16 @@ def lower_order_statistic(groups: DataFrame, key: str, value: str, share: float)
     return counted(groups, value, (key,)).where(at_rank(F.floor(F.lit(share) * (F.col("size") - 1)))).select(key, F.col("size").alias("n"), value)
 
 
+def index(cases: DataFrame, by: str = "path") -> DataFrame:
+    """A row a report: total, evaluated, passed, errors, pass_rate and its interval (low, high), of the cases of many reports."""
+    g = cases.groupBy(by).agg(
+        F.count("*").alias("total"), F.count_if(F.col("status").isin(*EVALUATED)).alias("evaluated"),
+        F.count_if(F.col("status") == "passed").alias("passed"), F.count_if(F.col("status").isin(*ERRORS)).alias("errors"),
+    )
+    low, high = stats.wilson(F.col("passed"), F.col("evaluated"))
+    return g.withColumns({"pass_rate": _rate(F.col("passed"), F.col("evaluated")), "low": low, "high": high})
+
+
 def failing(cases: DataFrame, results: DataFrame, evaluator: str) -> DataFrame:
     """Cases that a named evaluator failed."""
     return cases.join(results.where((F.col("evaluator") == evaluator) & ~F.col("passed")).select("case_id"), "case_id", "left_semi")

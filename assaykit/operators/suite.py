@@ -169,10 +169,22 @@ def self_agreement(rows: DataFrame, ask: judge.Judge, share: float = 0.1, seed:
     return x.join(y, "prompt_key").agg(F.count("*").alias("n"), F.avg(F.col("a").eqNullSafe(F.col("b")).cast("double")).alias("agreement"))
 
 
+def with_references(cases: DataFrame, make: Model | CaseModel) -> DataFrame:
+    """Cases with reference_output and reference_error from a function that makes references.
+
+    Batches are made once and stored. A case without a made reference takes its
+    expected_output; a case whose reference could not be made keeps the error and has none.
+    """
+    made = Suite("references").outputs(cases, make).select("case_id", F.col("output").alias("_made"), F.col("model_error").alias("reference_error"))
+    both = cases.drop("reference_output", "reference_error").join(made, "case_id")
+    given = F.col("expected_output") if "expected_output" in cases.columns else F.lit(None).cast("string")
+    return both.withColumn("reference_output", F.when(F.col("reference_error").isNull(), F.coalesce("_made", given))).drop("_made")
+
+
 def validate(cases: DataFrame, graders: list[Evaluator], contrast: bool = True) -> DataFrame:
     """case_id, status of each case's reference_output under the suite's graders.
 
-    broken: the reference fails a grader. no_discrimination: a grader passes the
+    broken: the reference fails a grader, or could not be made (reference_error, where cases carry it). no_discrimination: a grader passes the
     reference and a known bad output of the case's pair. unvalidatable: no reference
     or no grader that applies. ok otherwise. Cases carry pair_id and bad_output.
     """
@@ -184,11 +196,12 @@ def validate(cases: DataFrame, graders: list[Evaluator], contrast: bool = True)
         bad = cases.drop("bad_output").join(twins, "pair_id").where("twin != case_id").groupBy("case_id").agg(F.min_by("bad_output", "twin").alias("output"))
         other = evaluators.score(cases.drop("output", "bad_output").join(bad, "case_id"), graders, ["case_id"])
         lenient = other.where("passed and not skipped").groupBy("case_id").agg(F.collect_set("evaluator").alias("lenient"))
-    x = cases.select("case_id").join(state, "case_id", "left")
+    unmade = F.col("reference_error") if "reference_error" in cases.columns else F.lit(None).cast("string")
+    x = cases.select("case_id", unmade.isNotNull().alias("unmade")).join(state, "case_id", "left")
     x = x.join(lenient, "case_id", "left") if lenient is not None else x.withColumn("lenient", F.lit(None).cast("array<string>"))
     blunt = F.coalesce(F.size(F.array_intersect("passing", "lenient")) > 0, F.lit(False))
     none = F.coalesce(F.col("executed"), F.lit(0)) == 0
-    return x.select("case_id", F.when(F.col("failed") > 0, "broken").when(none, "unvalidatable").when(blunt, "no_discrimination").otherwise("ok").alias("status"))
+    return x.select("case_id", F.when(F.col("unmade") | (F.col("failed") > 0), "broken").when(none, "unvalidatable").when(blunt, "no_discrimination").otherwise("ok").alias("status"))
 
 
 def record_run(spark: SparkSession, path: str, experiment: str, run_id: str, summary: DataFrame, by_evaluator: DataFrame, tags: dict[str, str] | None = None) -> None:

@@ -44,6 +44,21 @@ def compare_pairs(spark, sf_dir):
     return compare.paired(*_reports(spark, sf_dir)).withColumn("occurrence", F.col("occurrence").cast("long"))
 
 
+@query(f"""WITH {_PAIRED}, k AS (SELECT *, coalesce(direction, presence) AS kind FROM pairs),
+    l AS (SELECT list_position(['regressed', 'improved', 'removed', 'added', 'unchanged'], kind) AS place, case_input, occurrence,
+        '<tr class="' || kind || '"><td>' || case_input || '</td><td>' || occurrence || '</td><td>' || coalesce(base_status, '') || '</td><td>' || coalesce(new_status, '') || '</td></tr>' AS line FROM k)
+    SELECT row_number() OVER (ORDER BY place, case_input, occurrence) AS seq, line FROM l UNION ALL SELECT count(*) + 1, '</table>' FROM l
+    UNION ALL SELECT 0, '<!DOCTYPE html><meta charset=utf-8><title>odd &amp; even</title><h1>odd &amp; even</h1><p>' || count(*) FILTER (presence = 'both') || ' paired, ' || count(*) FILTER (direction = 'regressed') || ' regressed, '
+        || count(*) FILTER (direction = 'improved') || ' improved, ' || count(*) FILTER (presence = 'added') || ' added, ' || count(*) FILTER (presence = 'removed')
+        || ' removed</p><table><tr><th>input</th><th>occurrence</th><th>base</th><th>new</th></tr>' FROM k""")
+def diff_page(spark, sf_dir):
+    """The page that compares orders of even and odd keys."""
+    from ..sources import sinks
+
+    pairs = compare.paired(*_reports(spark, sf_dir))
+    return sinks.diff_lines(pairs, compare.diff_summary(pairs), "odd & even")
+
+
 def _sql_tail(stat: str) -> str:
     """Two-sided tail of a non-negative statistic, as a DuckDB expression."""
     x = f"(({stat}) / sqrt(2.0))"

@@ -277,6 +277,20 @@ def grader_validation(spark, sf_dir):
     return suite.validate(cases, [ev.contains(["o"]), ev.word_count(0, 3)])
 
 
+@query(f"""WITH {PAIRS}, r AS (SELECT case_id, CASE WHEN case_id % 5 <> 0 AND input IS NOT NULL THEN 'said ' || input ELSE output END AS output FROM pairs)
+    SELECT case_id, CASE WHEN case_id % 7 = 0 THEN 'broken' WHEN output IS NULL THEN 'unvalidatable' WHEN {_N} BETWEEN 20 AND 60 THEN 'ok' ELSE 'broken' END AS status FROM r""")
+def made_references(spark, sf_dir):
+    """References made by a function, which fails for some cases and has none for others; these take the expected output."""
+
+    def make(rows):
+        if any(r["case_id"] % 7 == 0 for r in rows):
+            raise ValueError("no reference")
+        return [None if r["case_id"] % 5 == 0 or r["input"] is None else "said " + r["input"] for r in rows]
+
+    cases = turn_pairs(spark, sf_dir).select("case_id", "input", F.col("output").alias("expected_output"))
+    return suite.validate(suite.with_references(cases, suite.CaseModel(make)), [ev.word_count(20, 60)], contrast=False)
+
+
 @query("""WITH r AS (SELECT event_id, user_id % 9 AS p, user_id, value, event_type FROM events)
     SELECT 'persona ' || p AS persona, count(DISTINCT user_id) AS conversations, round(avg((event_type = 'purchase')::INT), 6) AS goal_rate, round(avg(value) FILTER (event_type <> 'error'), 6) AS avg_score FROM r GROUP BY p""")
 def persona_scores(spark, sf_dir):

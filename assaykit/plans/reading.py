@@ -9,7 +9,7 @@ from ..operators import authoring, lineage, report, suite
 from ..operators import generate
 from ..sources import sinks, tables
 from ..storage import new_path
-from .base import CASES, PAIRS, rounded, runs, table, turn_pairs
+from .base import CASES, PAIRS, rounded, runs, sql_wilson, table, turn_pairs
 from .flows import AXES, template_axes
 
 QUERIES: dict = {}
@@ -62,10 +62,10 @@ def read_cases_csv(spark, sf_dir):
     return got.select("input", "expected_output", "context", F.array_join("tags", ",").alias("tags"))
 
 
-@query(f"""WITH {PAIRS} SELECT input, output, CASE WHEN case_id % 3 = 2 THEN input END AS context FROM pairs WHERE case_id % 11 <> 5 AND input <> '' AND output <> ''""")
+@query(f"""WITH {PAIRS} SELECT input, nullif(output, '') AS output, CASE WHEN case_id % 3 = 2 THEN input END AS context FROM pairs WHERE case_id % 11 <> 5 AND input <> ''""")
 def read_traces(spark, sf_dir):
-    """Traces under three sets of field names, with comment lines, and some without an input."""
-    p, k = turn_pairs(spark, sf_dir).where("input != '' and output != ''"), F.col("case_id") % 3
+    """Traces under three sets of field names, with comment lines; those without an input go."""
+    p, k = turn_pairs(spark, sf_dir), F.col("case_id") % 3
     named = lambda a, b, *c: F.to_json(F.struct(F.col("input").alias(a), F.col("output").alias(b), *c))
     line = F.when(F.col("case_id") % 11 == 5, F.to_json(F.struct("output"))).when(k == 0, named("query", "answer")).when(k == 1, named("user_message", "completion")).otherwise(named("prompt", "response", F.col("input").alias("retrieved_context")))
     rows = p.select("case_id", line.alias("value")).union(p.where("case_id % 5 = 0").select("case_id", F.when(F.col("case_id") % 2 == 0, "// a note").otherwise("  # a note")))
@@ -228,12 +228,18 @@ def named_targets(spark, sf_dir):
     return authoring.site_targets(s, "app/3.py:10#f10").select("qualname").union(authoring.site_targets(s, "app/4.py").select("qualname"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, list_transform(regexp_split_to_array(text, '\r\n|\n|\r'), lambda l: rtrim(l, ' ' || chr(9))) AS l, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[\x20-\x7e\n\t]*$'))
-    SELECT doc_id, sha256(trim(array_to_string(l, chr(10)), ' ' || chr(10) || chr(9))) AS fingerprint, sha256(array_to_string(w, ' ')) AS loose_fingerprint FROM d""")
+#: White space and line ends of Unicode.
+_SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, text, list_transform(regexp_split_to_array(nfc_normalize(text), '{_BREAKS}'), lambda l: regexp_replace(l, '{_SPACES}$', '')) AS l,
+        list_filter(regexp_split_to_array(nfc_normalize(text), '{_SPACES}'), lambda x: x <> '') AS w FROM documents)
+    SELECT doc_id, CASE WHEN text IS NOT NULL THEN sha256(regexp_replace(array_to_string(l, chr(10)), '^{_SPACES}|{_SPACES}$', '', 'g')) END AS fingerprint,
+        CASE WHEN text IS NOT NULL THEN sha256(array_to_string(w, ' ')) END AS loose_fingerprint FROM d""")
 def prompt_fingerprints(spark, sf_dir):
-    """Strict and loose fingerprints of all ASCII documents (SQL has no NFC); others are in the tests."""
-    d = table(spark, sf_dir, "documents").where(r"text is not null and text rlike '^[\\x20-\\x7e\\n\\t]*\\z'")
-    return d.select("doc_id", lineage.fingerprints(F.col("text")).alias("f")).select("doc_id", "f.*")
+    """Strict and loose fingerprints of all documents."""
+    return table(spark, sf_dir, "documents").select("doc_id", lineage.fingerprints(F.col("text")).alias("f")).select("doc_id", "f.*")
 
 
 @query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS line_no, 'r' || o_orderkey AS run_id, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS pass_rate, o_custkey AS total FROM orders ORDER BY line_no DESC LIMIT 40")
@@ -285,3 +291,46 @@ def bootstrap_files(spark, sf_dir):
     scores = table(spark, sf_dir, "events").where("event_type in ('click', 'view')").select(F.col("event_type").alias("evaluator"), (F.col("value") / 200).alias("score"))
     counts = authoring.bootstrap(_traces(spark, sf_dir), "conv_id", new_path(spark), scores)
     return spark.createDataFrame([(k, v) for k, v in counts.items() if k != "recommendations"], "part string, lines long")
+
+
+@query("""SELECT 'orders' AS part, sha256('{"record_id":"o' || o_orderkey || '","cents":' || CAST(round(o_totalprice * 100) AS BIGINT) || '}') AS digest FROM orders
+    UNION ALL SELECT 'events', sha256('{"record_id":"e' || event_id || '","user":' || coalesce(user_id::VARCHAR, 'null') || '}') FROM events""")
+def evidence_package(spark, sf_dir):
+    """A package of a record for every order and event, sealed, verified file by file and read back."""
+    from ..operators import evidence
+
+    o, e, path = table(spark, sf_dir, "orders"), table(spark, sf_dir, "events"), new_path(spark)
+    named = lambda mark, key: F.concat(F.lit(mark), F.col(key).cast("string")).alias("record_id")
+    parts = {"orders": o.select(named("o", "o_orderkey"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents")), "events": e.select(named("e", "event_id"), F.col("user_id").alias("user"))}
+    evidence.write(spark, path, parts)
+    read = [evidence.lines(spark, path, n).select(F.lit(n).alias("part"), F.sha2("value", 256).alias("digest")) for n in parts]
+    return read[0].unionByName(read[1])
+
+
+@query("""WITH c AS (SELECT o_orderpriority AS p, CASE WHEN o_orderkey %% 7 = 0 THEN CASE WHEN o_totalprice > 100000 THEN 'passed' ELSE 'failed_quality' END WHEN o_orderstatus = 'F' THEN 'passed' ELSE 'failed_quality' END AS status FROM orders),
+    g AS (SELECT p, count(*) AS total, count(*) AS evaluated, count(*) FILTER (status = 'passed') AS passed FROM c GROUP BY p)
+    SELECT total, evaluated, passed, 0::BIGINT AS errors, round(passed::DOUBLE / evaluated, 6) AS pass_rate, round(%s, 6) AS low, round(%s, 6) AS high FROM g""" % sql_wilson("passed", "evaluated"))
+def report_index(spark, sf_dir):
+    """A row for each report of a folder, which holds other files too."""
+    files = tables.report_files(spark, _report_files(spark, sf_dir))
+    return rounded(report.index(tables.report_cases(files)), "pass_rate", "low", "high").drop("path")
+
+
+@query("""WITH m AS (SELECT DISTINCT r_name AS control_id, n_name AS evaluator FROM nation JOIN region ON n_regionkey = r_regionkey), u AS (SELECT DISTINCT n_name AS evaluator FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 2 = 0),
+    c AS (SELECT r_name AS id, 'region ' || r_regionkey AS said, string_agg(u.evaluator, ', ' ORDER BY u.evaluator) AS used FROM region LEFT JOIN m ON r_name = control_id LEFT JOIN u USING (evaluator) GROUP BY ALL),
+    p AS (SELECT DISTINCT o_orderpriority AS id FROM orders), x AS (SELECT evaluator FROM u EXCEPT SELECT evaluator FROM m),
+    l AS (SELECT 0 AS place, '' AS key, '# nations: ' || count(used) || ' of ' || count(*) || ' measurable controls are exercised' AS line FROM c
+        UNION ALL SELECT 1, id, CASE WHEN used IS NULL THEN '- [ ] **' || id || '** ' || said || ' (gap)' ELSE '- [x] **' || id || '** ' || said || ' (by ' || used || ')' END FROM c
+        UNION ALL SELECT 2, '', '## Process controls, which no evaluator can satisfy' UNION ALL SELECT 3, id, '- **' || id || '** by hand' FROM p
+        UNION ALL SELECT 4, '', '## Evaluators without a control' FROM x HAVING count(*) > 0 UNION ALL SELECT 5, evaluator, '- ' || evaluator FROM x)
+    SELECT row_number() OVER (ORDER BY place, key) - 1 AS seq, line FROM l""")
+def coverage_page(spark, sf_dir):
+    """Regions as controls, nations of suppliers as evaluators, priorities of orders as controls of process."""
+    from ..operators import audit
+
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    mapping = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("control_id"), F.col("n_name").alias("evaluator"))
+    used = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("evaluator"))
+    measurable = audit.control_coverage(region.select(F.col("r_name").alias("control_id"), F.concat(F.lit("region "), F.col("r_regionkey").cast("string")).alias("description")), mapping, used)
+    process = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("control_id"), F.lit("by hand").alias("description")).distinct()
+    return sinks.coverage_lines(measurable.select("control_id", "description", "evaluators", "covered"), process, audit.unmapped(mapping, used), "nations")

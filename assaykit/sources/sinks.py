@@ -67,6 +67,75 @@ def html_lines(cases: DataFrame, summary: DataFrame, title: str) -> DataFrame:
     return body.select("seq", "line").unionByName(ends)
 
 
+def _page(body: DataFrame, order: list[str | Column], title: str, intro: DataFrame, heads: tuple[str, ...]) -> DataFrame:
+    """seq and line of an HTML page: a heading, the intro's one text, and a table with a row for each line of the body, in order."""
+    rows = numbered(body, *order, name="seq", start=1).select("seq", "line")
+    top = F.concat(
+        F.lit("<!DOCTYPE html><meta charset=utf-8><title>"), _escaped(F.lit(title)), F.lit("</title><h1>"), _escaped(F.lit(title)), F.lit("</h1><p>"),
+        _escaped(F.col("said")), F.lit("</p><table><tr>" + "".join(f"<th>{h}</th>" for h in heads) + "</tr>"),
+    )
+    last = body.agg(F.count("*").alias("n")).select((F.col("n") + 1).alias("seq"), F.lit("</table>").alias("line"))
+    return rows.unionByName(intro.select(F.lit(0).cast("long").alias("seq"), top.alias("line"))).unionByName(last)
+
+
+def _row(mark: Column, *cells: Column) -> Column:
+    cell = lambda c: F.concat(F.lit("<td>"), _escaped(F.coalesce(c.cast("string"), F.lit(""))), F.lit("</td>"))
+    return F.concat(F.lit('<tr class="'), mark, F.lit('">'), *[cell(c) for c in cells], F.lit("</tr>"))
+
+
+def diff_lines(pairs: DataFrame, summary: DataFrame, title: str, reasons: DataFrame | None = None) -> DataFrame:
+    """seq and line of a page that compares two reports (``compare.paired`` and ``compare.diff_summary``).
+
+    Regressed pairs come first, then improved ones, cases on one side alone and the rest, each by input
+    and occurrence. ``reasons`` (case_input, reason) adds why a case of the new report failed.
+    """
+    kind = F.coalesce("direction", "presence")
+    place = F.array_position(F.array(*[F.lit(k) for k in ("regressed", "improved", "removed", "added", "unchanged")]), kind)
+    if reasons is not None:
+        said = reasons.groupBy("case_input").agg(F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("reason"))
+        pairs = pairs.join(said, "case_input", "left")
+    why = [F.when(F.col("new_status") != "passed", F.col("reason"))] if reasons is not None else []
+    line = _row(kind, F.col("case_input"), F.col("occurrence"), F.col("base_status"), F.col("new_status"), *why)
+    said = F.concat_ws(", ", *[F.concat(F.col(c).cast("string"), F.lit(f" {c}")) for c in ("paired", "regressed", "improved", "added", "removed")])
+    heads = ("input", "occurrence", "base", "new", *(("reason",) if why else ()))
+    return _page(pairs.select(place.alias("place"), "case_input", "occurrence", line.alias("line")), ["place", "case_input", "occurrence"], title, summary.select(said.alias("said")), heads)
+
+
+def directory_lines(index: DataFrame, files: DataFrame, title: str, by: str = "path", descending: bool = False) -> DataFrame:
+    """seq and line of a page of the reports of a folder (``report.index``), in the order of one column and then by path; files that are no reports are counted."""
+    first = F.desc(by) if descending else F.asc(by)
+    percent = lambda c: F.format_string("%.1f%%", F.col(c) * 100)
+    line = _row(F.lit("report"), F.col("path"), F.col("passed"), F.col("evaluated"), F.col("errors"), percent("pass_rate"), F.concat(percent("low"), F.lit(" to "), percent("high")))
+    counts = files.agg(F.count_if("valid").alias("good"), F.count_if(~F.col("valid")).alias("bad"))
+    said = F.concat(F.col("good").cast("string"), F.lit(" reports, "), F.col("bad").cast("string"), F.lit(" other files"))
+    body = index.select(*dict.fromkeys((by, "path")), line.alias("line"))
+    return _page(body, [first, F.asc("path")], title, counts.select(said.alias("said")), ("report", "passed", "evaluated", "errors", "pass rate", "interval"))
+
+
+def coverage_lines(measurable: DataFrame, process: DataFrame, unmapped: DataFrame, title: str) -> DataFrame:
+    """seq and line of a framework's coverage page in Markdown.
+
+    Takes measurable controls (control_id, description, evaluators, covered), process controls
+    (control_id, description) and evaluators without a control: three catalogues, small next to the logs they are about.
+    """
+    shown = F.concat(F.lit("**"), "control_id", F.lit("** "), "description")
+    by = F.when(F.col("covered"), F.concat(F.lit(" (by "), F.array_join("evaluators", ", "), F.lit(")"))).otherwise(" (gap)")
+    row = lambda df, place, line: df.select(F.lit(place).alias("place"), F.col(df.columns[0]).alias("key"), line.alias("line"))
+    text = lambda df, place, line: df.select(F.lit(place).alias("place"), F.lit("").alias("key"), line.alias("line"))
+    counts = measurable.agg(F.count("*").alias("n"), F.count_if("covered").alias("c"))
+    head = F.concat(F.lit(f"# {title}: "), F.col("c").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" measurable controls are exercised"))
+    some = lambda df, place, title: text(df.agg(F.count("*").alias("n")).where("n > 0"), place, F.lit(title))
+    parts = [
+        text(counts, 0, head), row(measurable, 1, F.concat(F.when(F.col("covered"), "- [x] ").otherwise("- [ ] "), shown, by)),
+        some(process, 2, "## Process controls, which no evaluator can satisfy"), row(process, 3, F.concat(F.lit("- "), shown)),
+        some(unmapped, 4, "## Evaluators without a control"), row(unmapped, 5, F.concat(F.lit("- "), F.col(unmapped.columns[0]))),
+    ]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return numbered(every, "place", "key", name="seq").select("seq", "line")
+
+
 def write_html(cases: DataFrame, summary: DataFrame, title: str, path: str) -> None:
     """The page as one text file in a folder, streamed by one task."""
     html_lines(cases, summary, title).orderBy("seq").select("line").coalesce(1).write.text(path)
