@@ -414,15 +414,17 @@ def merged_targets(spark, sf_dir):
     return users.select("user_id", F.array_join(F.transform(authoring.merge_targets(t("b", "c", "d"), new), lambda x: x["anchor"]), ",").alias("anchors"))
 
 
-@query("SELECT count(DISTINCT s_nationkey) AS n FROM supplier")
+@query("""SELECT DISTINCT kind, n_name AS evaluator FROM supplier JOIN nation ON s_nationkey = n_nationkey, (VALUES ('some', 1), ('none', 0)) k(kind, mapped)
+    WHERE mapped = 0 OR n_regionkey % 2 = 1""")
 def unmapped_evaluators(spark, sf_dir):
-    """Evaluators that no control names: nations of suppliers against an empty mapping, and against a full one."""
+    """Evaluators that no control names: nations of suppliers against the nations of every other region, and against an empty mapping."""
     from ..operators import audit
 
-    used = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("evaluator"))
-    none = audit.unmapped(used.where("false"), used).agg(F.count("*").alias("n"))
-    assert audit.unmapped(used, used).count() == 0
-    return none
+    nation = table(spark, sf_dir, "nation")
+    used = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("evaluator"))
+    mapping = nation.where("n_regionkey % 2 = 0").select(F.col("n_regionkey").alias("control_id"), F.col("n_name").alias("evaluator"))
+    kinds = [audit.unmapped(m, used).select(F.lit(k).alias("kind"), "evaluator") for k, m in (("some", mapping), ("none", mapping.where("false")))]
+    return kinds[0].unionByName(kinds[1])
 
 
 @query("""SELECT p_partkey::VARCHAR AS trace_id, 'question ' || p_partkey AS input, CASE WHEN p_partkey % 2 = 0 THEN 'answer' END AS output FROM part""")

@@ -43,6 +43,38 @@ def pii_matches(spark, sf_dir):
     return d.groupBy("pattern").agg(F.sum("n").cast("long").alias("n"), F.count("*").alias("documents"))
 
 
+#: Patterns that look ahead to a word in the rest of the line, as (pattern, word).
+LOOKING = {n: p[:-1].split("(?=.*") for n, p in pii.patterns().items() if "(?=" in p}
+
+
+def _ahead_sql(name: str, pattern: str, word: str) -> str:
+    """Matches in each line up to the last place of the word: no match reaches into it, as one has digits and the other has none."""
+    flags = "" if name in pii.CASE_SENSITIVE else "(?i)"
+    return f"""SELECT '{name}' AS pattern, doc_id, sum(len(regexp_extract_all(regexp_extract(line, '{flags}^.*{word}'), '{flags}{pattern}'))) AS n FROM lines GROUP BY doc_id"""
+
+
+@query(f"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents UNION ALL SELECT event_id + 1000000000, CASE event_id % 6
+            WHEN 0 THEN (10000 + event_id % 80000) || '-' || (1000 + user_id % 9000) || ' main street' WHEN 1 THEN (10000000000 + event_id) || ' is a PESEL'
+            WHEN 2 THEN '19' || (100000 + event_id % 800000) || '-' || (1000 + user_id % 9000) || ' personnummer' WHEN 3 THEN (100000 + event_id % 800000) || '-' || (1000 + user_id % 9000) || ', a cpr'
+            WHEN 4 THEN (1000000 + event_id % 9000000) || 'WA in PPSN' ELSE (10000 + event_id % 80000) || ' without a word' END FROM events),
+    f AS ({" UNION ALL ".join(_ahead_sql(n, *p) for n, p in LOOKING.items())})
+    SELECT pattern, CAST(sum(n) AS BIGINT) AS n, count(*) AS documents FROM f WHERE n > 0 GROUP BY pattern""")
+def pii_lookahead(spark, sf_dir):
+    """Matches of the patterns that look ahead, before checksums, over all documents and a line for every event."""
+    e, k, u = table(spark, sf_dir, "events"), F.col("event_id"), F.col("user_id")
+    code = F.concat((100000 + k % 800000).cast("string"), F.lit("-"), (1000 + u % 9000).cast("string"))
+    said = [
+        F.concat((10000 + k % 80000).cast("string"), F.lit("-"), (1000 + u % 9000).cast("string"), F.lit(" main street")), F.concat((10000000000 + k).cast("string"), F.lit(" is a PESEL")),
+        F.concat(F.lit("19"), code, F.lit(" personnummer")), F.concat(code, F.lit(", a cpr")), F.concat((1000000 + k % 9000000).cast("string"), F.lit("WA in PPSN")),
+        F.concat((10000 + k % 80000).cast("string"), F.lit(" without a word")),
+    ]
+    lines = e.select((k + 1000000000).alias("doc_id"), F.element_at(F.array(*said), (k % 6 + 1).cast("int")).alias("text"))
+    counted = pii.counts(F.col("text"), strict=False)
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(lines)
+    d = d.select(F.explode(F.map_filter(counted, lambda k, _: k.isin(*LOOKING))).alias("pattern", "n"))
+    return d.groupBy("pattern").agg(F.sum("n").cast("long").alias("n"), F.count("*").alias("documents"))
+
+
 _TIMES, _POWERS = pii._dihedral()
 _FLAT = lambda rows: "[" + ", ".join(str(x) for r in rows for x in r) + "]"
 
