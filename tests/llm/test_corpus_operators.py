@@ -413,9 +413,20 @@ def test_mixing_edges(spark):
     assert mixing.apply_mix(spark.createDataFrame([], schema)).count() == 0
 
 
-def test_every_query_gives_a_row_per_document(spark, sf_dir):
+#: Queries whose contract is a report by group, not a row per document: the group's column and its most rows.
+RANKED = {"op11_ranked_lexical_search": ("item_id", 20), "op13_phrase_collocations": ("lang", 2000)}
+
+
+def test_every_query_gives_a_row_per_document_or_a_ranked_report(spark, sf_dir):
     n = documents(spark, sf_dir).count()
     for name, f in queries.queries().items():
+        if name in RANKED:
+            by, most = RANKED[name]
+            ranks = {}
+            for r in f(spark, sf_dir).select(by, "rank").collect():
+                ranks.setdefault(r[by], []).append(r["rank"])
+            assert ranks and all(sorted(x) == list(range(1, len(x) + 1)) and len(x) <= most for x in ranks.values()), name
+            continue
         want = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct().count() + 1 if name.startswith("op1_") else n
         assert f(spark, sf_dir).count() == want, name
 
