@@ -17,7 +17,9 @@ from .graphs import first_independent
 BEHAVIOUR_KEYS = ("expected_behavior", "expected_behaviour", "expected_response", "expected")
 JACCARD = 0.85
 #: Hash buckets of token counts; their number decides order and cost, never results.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 21
+#: Words of 64 bits in a sketch of a set: they decide how many pairs are compared in whole, never results.
+WORDS = 4
 
 
 def _filled(c: Column) -> Column:
@@ -45,8 +47,10 @@ def near_pairs(df: DataFrame, key: str, tokens: str, threshold: float = JACCARD)
     Rows with equal sets are one class, paired through their first row alone: links
     between copies follow from class members. Tokens sort rarest first, by counts in
     BUCKETS hash buckets (on the driver, whatever the input), so that each row orders its
-    own set and no token but those of prefixes is shuffled; pairs meet on a token of both prefixes only, by its hash, and
-    whole sets decide. Empty sets are alike and form one class.
+    own set and no token but those of prefixes is shuffled; pairs meet on a token of both prefixes only, by its hash. Each
+    prefix row carries a sketch of its set, the parities of its tokens by hash: sketches differ in no more
+    places than their sets have tokens apart, so pairs too far apart end where they meet. Whole sets decide on the
+    rest. Empty sets are alike and form one class.
     """
     sets = df.select(F.col(key).alias("k"), F.sort_array(F.array_distinct(tokens)).alias("s"))
     # Tokens are taken apart once; classes are found from digests alone.
@@ -55,12 +59,12 @@ def near_pairs(df: DataFrame, key: str, tokens: str, threshold: float = JACCARD)
     copies = sets.select(F.col("k").alias("b"), "h").join(first, "h").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
     rep = cut(sets.where(F.size("s") > 0).join(first.select("h", F.col("a").alias("k")), ["h", "k"], "left_semi").select("k", "s").dropDuplicates(["k"]))
     named = rep.select("k", F.transform("s", lambda t: F.xxhash64(t)).alias("h"))
-    counts = np.zeros(BUCKETS, np.int64)
+    counts = np.zeros(BUCKETS, np.int32)
     found = named.select(F.explode("h").alias("t")).groupBy(F.pmod("t", F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("c")).toArrow()
     counts[found.column("b").to_numpy()] = found.column("c").to_numpy()
     sketch = df.sparkSession.sparkContext.broadcast(counts)
 
-    @F.pandas_udf("struct<p:array<int>,t:array<bigint>>")
+    @F.pandas_udf("struct<p:array<int>,t:array<bigint>,w:array<bigint>>")
     def prefix(h: pd.Series) -> pd.DataFrame:
         rows = []
         for t in h:
@@ -68,14 +72,18 @@ def near_pairs(df: DataFrame, key: str, tokens: str, threshold: float = JACCARD)
             order = np.lexsort((t, c))[: len(t) - math.ceil(len(t) * threshold - 1e-9) + 1]
             # A token that is alone in its bucket is in one set.
             place = np.flatnonzero(c[order] > 1)
-            rows.append((place + 1, t[order[place]]))
-        return pd.DataFrame(rows, columns=["p", "t"])
-
-    short = named.select("k", F.size("h").alias("n"), prefix("h").alias("x")).select("k", "n", F.explode(F.arrays_zip("x.p", "x.t")).alias("x"))
-    short = cut(short.select("k", "n", "x.p", "x.t"))
-    x, y = (short.select("t", F.col("k").alias(f"k{i}"), F.col("n").alias(f"n{i}"), F.col("p").alias(f"p{i}")) for i in "xy")
+            odd = np.bincount((t >> 32) % (64 * WORDS), minlength=64 * WORDS) % 2 == 1
+            rows.append((place + 1, t[order[place]], np.packbits(odd).view(np.int64)))
+        return pd.DataFrame(rows, columns=["p", "t", "w"])
+
+    words = [f"w{i}" for i in range(WORDS)]
+    short = named.select("k", F.size("h").alias("n"), prefix("h").alias("x")).select("k", "n", *[F.col("x.w")[i].alias(w) for i, w in enumerate(words)], F.explode(F.arrays_zip("x.p", "x.t")).alias("x"))
+    short = cut(short.select("k", "n", *words, "x.p", "x.t"))
+    x, y = (short.select("t", *[F.col(c).alias(f"{c}{i}") for c in ("k", "n", "p", *words)]) for i in "xy")
+    apart = sum((F.bit_count(F.col(f"{w}x").bitwiseXOR(F.col(f"{w}y"))) for w in words), F.lit(0))
+    near = apart <= (F.col("nx") + F.col("ny")) * (1 - threshold) / (1 + threshold) + 1e-9
     fits = (F.least("nx", "ny") >= F.greatest("nx", "ny") * threshold - 1e-9) & (F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) + 1 >= (F.col("nx") + F.col("ny")) * threshold / (1 + threshold) - 1e-9)
-    met = x.join(y, "t").where((F.col("kx") < F.col("ky")) & fits).select(F.col("kx").alias("a"), F.col("ky").alias("b")).distinct()
+    met = x.join(y, "t").where((F.col("kx") < F.col("ky")) & fits & near).select(F.col("kx").alias("a"), F.col("ky").alias("b")).distinct()
     u, v = rep.select(F.col("k").alias("a"), F.col("s").alias("sa")), rep.select(F.col("k").alias("b"), F.col("s").alias("sb"))
     sim = text.set_jaccard(F.col("sa"), F.col("sb"))
     return met.join(u, "a").join(v, "b").withColumn("similarity", sim).where(F.col("similarity") >= threshold).select("a", "b", "similarity").unionByName(copies)

@@ -284,3 +284,14 @@ def test_a_damaged_cache_is_empty_and_a_damaged_log_an_error(spark, tmp_path):
     assert judge.stored_cache(spark, str(cache)).collect()[0].reply == "yes"
     (cache / "part-9.parquet").write_bytes(b"torn")
     assert judge.stored_cache(spark, str(cache)).count() == 0 == judge.stored_cache(spark, str(tmp_path / "none")).count()
+
+
+def test_sets_far_apart_do_not_reach_the_whole_comparison(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, [f"g{j}" for j in range(15)] * (i < 40) + rng.sample([f"w{j}" for j in range(120)], 85)) for i in range(80)]
+    df = spark.createDataFrame([*rows, (80, rows[0][1][:-1] + ["one"])], "k long, tokens array<string>")
+    assert [(r.a, r.b) for r in gates.near_pairs(df, "k", "tokens").collect()] == [(0, 80)]
+    monkeypatch.setattr(gates.text, "set_jaccard", lambda a, b: F.lit(1.0))
+    assert gates.near_pairs(df, "k", "tokens").count() < 20
