@@ -45,11 +45,30 @@ def set_jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def verdict(reply: Column) -> Column:
-    """true, false, or null for unknown: the leading word decides, else the only one of yes and no that occurs."""
+def ascii_classes(pattern: str) -> str:
+    """A pattern for Java whose word bounds, white space, words and digits are ASCII's, as SQL engines have them."""
+    out, inside, i = "", False, 0
+    while i < len(pattern):
+        step = 2 if pattern[i] == "\\" else 1
+        piece = pattern[i : i + step]
+        inside = piece == "[" or inside and piece != "]"
+        if piece == r"\s":
+            piece = r"\t\n\f\r " if inside else r"[\t\n\f\r ]"
+        elif piece == r"\b" and not inside:
+            piece = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+        out, i = out + piece, i + step
+    return out
+
+
+def verdict(reply: Column, ascii_words: bool = False) -> Column:
+    """true, false, or null for unknown: the leading word decides, else the only one of yes and no that occurs.
+
+    Words are Unicode's; with ``ascii_words`` an accented letter ends one, as in SQL.
+    """
     low = F.lower(F.coalesce(reply, F.lit("")))
-    lead = F.regexp_extract(low, r"(?U)^\W*(yes|no)\b", 1)
-    yes, no = low.rlike(r"(?U)\byes\b"), low.rlike(r"(?U)\bno\b")
+    rule = ascii_classes if ascii_words else lambda p: "(?U)" + p
+    lead = F.regexp_extract(low, rule(r"^\W*(yes|no)\b"), 1)
+    yes, no = low.rlike(rule(r"\byes\b")), low.rlike(rule(r"\bno\b"))
     return F.when(lead != "", lead == "yes").when(yes & ~no, True).when(no & ~yes, False)
 
 

@@ -204,3 +204,9 @@ def test_schema_agrees_with_the_library():
     for _ in range(2000):
         s, v = make(rng.randint(0, 3)), value(rng.randint(0, 3))
         assert len(list(library.Draft7Validator(s).iter_errors(v))) == len(schemas.errors(v, s)), (s, v)
+
+
+def test_ascii_words_end_at_accented_letters(spark):
+    df = spark.createDataFrame([("Noñas que",), ("sí, yesé no",), ("no\x0bla",)], "t string")
+    assert [r.v for r in df.select(text.verdict(F.col("t"), ascii_words=True).alias("v")).collect()] == [False, None, False]
+    assert [r.v for r in df.select(text.verdict(F.col("t")).alias("v")).collect()] == [None, False, False]
