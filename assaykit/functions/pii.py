@@ -7,6 +7,7 @@ Patterns run as Java regular expressions with Unicode classes, so ``\\b`` and
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 from functools import reduce
 from operator import or_
 
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import ascii_classes
+
 # Patterns of identifiers by jurisdiction, in their published order.
 BASE = {
     "email": r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b",
@@ -219,12 +222,16 @@ def _lowered(text: Column) -> Column:
     return F.lower(F.translate(F.coalesce(text, F.lit("")), "\u017f\u212a", "sk"))
 
 
-def found(text: Column, name: str, pattern: str, strict: bool = True, low: Column | None = None) -> Column:
-    """Matches of one pattern: its group where it has one, checked where a check exists. ``low`` is the text as cues see it, where a caller has it."""
+def found(text: Column, name: str, pattern: str, strict: bool = True, low: Column | None = None, ascii_words: bool = False) -> Column:
+    """Matches of one pattern: its group where it has one, checked where a check exists. ``low`` is the text as cues see it, where a caller has it.
+
+    ``ascii_words`` takes word bounds, white space and digits as ASCII's, as SQL does.
+    """
     group = re.compile(pattern).groups
-    flags = "(?U)" if name in CASE_SENSITIVE else "(?iU)"
+    cased = name in CASE_SENSITIVE
+    rule = ("(?d)" if cased else "(?iud)") + ascii_classes(pattern) if ascii_words else ("(?U)" if cased else "(?iU)") + pattern
     text = F.coalesce(text, F.lit(""))
-    hits = F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(1 if group else 0))
+    hits = F.regexp_extract_all(text, F.lit(rule), F.lit(1 if group else 0))
     if pattern in (BASE | HIPAA | GDPR | CCPA | DPDP).values() and (name in WITH_DIGIT or name in CUES):
         worth = text.rlike(r"(?U)\d") if name in WITH_DIGIT else F.lit(True)
         if name in CUES:
@@ -234,17 +241,18 @@ def found(text: Column, name: str, pattern: str, strict: bool = True, low: Colum
     return F.filter(hits, CHECKS[name]) if strict and name in CHECKS else hits
 
 
-def counts(text: Column, jurisdiction: str = "all", strict: bool = True, extra: dict[str, str] | None = None) -> Column:
-    """Map of pattern name to number of surviving matches, for the patterns that have any."""
-    pairs = lambda low: [F.struct(F.lit(n).alias("k"), F.size(found(text, n, p, strict, low)).alias("v")) for n, p in patterns(jurisdiction, extra).items()]
+def counts(text: Column, jurisdiction: str = "all", strict: bool = True, extra: dict[str, str] | None = None, only: Collection[str] | None = None, ascii_words: bool = False) -> Column:
+    """Map of pattern name to number of surviving matches, for the patterns that have any; with ``only``, no others are searched."""
+    chosen = {n: p for n, p in patterns(jurisdiction, extra).items() if only is None or n in only}
+    pairs = lambda low: [F.struct(F.lit(n).alias("k"), F.size(found(text, n, p, strict, low, ascii_words)).alias("v")) for n, p in chosen.items()]
     # Each text is lowered once, for all patterns.
     met = F.element_at(F.transform(F.array(_lowered(text)), lambda low: F.filter(F.array(*pairs(low)), lambda e: e["v"] > 0)), 1)
     return F.map_from_entries(met)
 
 
-def examples(text: Column, jurisdiction: str = "all", strict: bool = True, extra: dict[str, str] | None = None) -> Column:
+def examples(text: Column, jurisdiction: str = "all", strict: bool = True, extra: dict[str, str] | None = None, ascii_words: bool = False) -> Column:
     """Map of pattern name to its first three surviving matches, 40 characters of each at most, and their number."""
-    one = lambda n, p, low: F.transform(F.array(found(text, n, p, strict, low)), lambda h: F.struct(F.lit(n).alias("k"), F.struct(F.transform(F.slice(h, 1, 3), lambda x: F.substring(x, 1, 40)).alias("some"), F.size(h).alias("n")).alias("v")))
+    one = lambda n, p, low: F.transform(F.array(found(text, n, p, strict, low, ascii_words)), lambda h: F.struct(F.lit(n).alias("k"), F.struct(F.transform(F.slice(h, 1, 3), lambda x: F.substring(x, 1, 40)).alias("some"), F.size(h).alias("n")).alias("v")))
     every = lambda low: F.concat(*[one(n, p, low) for n, p in patterns(jurisdiction, extra).items()])
     met = F.element_at(F.transform(F.array(_lowered(text)), lambda low: F.filter(every(low), lambda e: e["v"]["n"] > 0)), 1)
     return F.map_from_entries(met)

@@ -210,3 +210,11 @@ def test_ascii_words_end_at_accented_letters(spark):
     df = spark.createDataFrame([("Noñas que",), ("sí, yesé no",), ("no\x0bla",)], "t string")
     assert [r.v for r in df.select(text.verdict(F.col("t"), ascii_words=True).alias("v")).collect()] == [False, None, False]
     assert [r.v for r in df.select(text.verdict(F.col("t")).alias("v")).collect()] == [None, False, False]
+
+
+def test_personal_data_with_ascii_words_and_chosen_patterns(spark):
+    df = spark.createDataFrame([("12 calle Stán",), ("ñ123-45-6789",), ("12\xa0mon St",)], "t string")
+    found = lambda **how: [r.c for r in df.select(pii.counts(F.col("t"), "ccpa", strict=False, only=["address", "ssn"], **how).alias("c")).collect()]
+    assert found(ascii_words=True) == [{"address": 1}, {"ssn": 1}, {}]
+    assert found() == [{}, {}, {"address": 1}]
+    assert text.ascii_classes(r"\b[\s\d]\]\s") == r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))[\t\n\f\r \d]\][\t\n\f\r ]"
