@@ -6,9 +6,10 @@ import hashlib
 import io
 import json
 import zipfile
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import numbered
@@ -20,19 +21,58 @@ CHAIN_VERSION = 1
 def payload_hash(payload: dict) -> str:
     """SHA-256 of the compact JSON in its own key order, without the record's hash."""
     rest = {k: v for k, v in payload.items() if k != "record_hash"}
-    return hashlib.sha256(json.dumps(rest, separators=(",", ":")).encode()).hexdigest()
+    return hashlib.sha256(_compact(rest).encode()).hexdigest()
 
 
 def chained(payloads: list[dict], prev: str = GENESIS) -> list[str]:
     """Log lines for the payloads of one append, linked to the log's last hash."""
-    lines = []
-    for p in payloads:
-        p = {**p, "chain_version": CHAIN_VERSION, "prev_hash": prev}
-        prev = payload_hash(p)
-        lines.append(json.dumps({**p, "record_hash": prev}, separators=(",", ":")))
+    return linked([chain_head(p) for p in payloads], prev)
+
+
+_compact = json.JSONEncoder(separators=(",", ":")).encode
+
+
+def chain_head(payload: dict) -> str:
+    """A log line up to the hash before it, which is all that needs the line before: heads can be made in many tasks."""
+    p = {**{k: v for k, v in payload.items() if k not in ("prev_hash", "record_hash")}, "chain_version": CHAIN_VERSION}
+    return _compact(p)[:-1] + ',"prev_hash":"'
+
+
+def linked(heads: Iterable[str], prev: str = GENESIS) -> list[str]:
+    """Log lines of heads in order: a hash each, nothing is encoded anew."""
+    lines, sha = [], hashlib.sha256
+    for head in heads:
+        body = f'{head}{prev}"'
+        prev = sha(f"{body}}}".encode()).hexdigest()
+        lines.append(f'{body},"record_hash":"{prev}"}}')
     return lines
 
 
+def heads(payload: Column) -> Column:
+    """Heads of log lines of payloads in JSON."""
+
+    @F.pandas_udf("string")
+    def run(c: pd.Series) -> pd.Series:
+        return c.map(lambda p: chain_head(json.loads(p)))
+
+    return run(payload)
+
+
+def links(line: int = 0, prev: str = GENESIS) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For mapInPandas over one partition's heads in order: line_no, value. A chain is written by one task, which streams."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, before = line, prev
+        for pdf in batches:
+            lines = linked(pdf["head"], before)
+            if lines:
+                before = lines[-1][-66:-2]
+                yield pd.DataFrame({"line_no": range(at, at + len(lines)), "value": lines})
+                at += len(lines)
+
+    return run
+
+
 def verify_chain(lines: DataFrame) -> DataFrame:
     """line_no, record_id, verdict of (line_no, value): ok, legacy, tampered, chain_broken or unreadable.
 

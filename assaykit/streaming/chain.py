@@ -19,14 +19,13 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.audit import GENESIS, chained
+from ..operators.audit import GENESIS, heads, links
 
 Anchor = Callable[[int, str], None]
 
@@ -165,18 +164,9 @@ def _hash(line: str) -> str:
 
 
 def _linked(payloads: DataFrame, line: int, prev: str) -> DataFrame:
-    """line_no, value of payloads in seq order, linked to the hash before. A chain is written by one task, which streams."""
-
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, before = line, prev
-        for pdf in batches:
-            lines = chained([json.loads(p) for p in pdf["payload"]], before)
-            if lines:
-                before = json.loads(lines[-1])["record_hash"]
-                yield pd.DataFrame({"line_no": range(at, at + len(lines)), "value": lines})
-                at += len(lines)
-
-    return payloads.select("seq", "payload").orderBy("seq", "payload").coalesce(1).mapInPandas(link, "line_no long, value string")
+    """line_no, value of payloads in seq order, linked to the hash before: heads are made by many tasks, the links by one."""
+    made = payloads.select("seq", "payload", heads("payload").alias("head"))
+    return made.orderBy("seq", "payload").select("head").coalesce(1).mapInPandas(links(line, prev), "line_no long, value string")
 
 
 def append_chain(stream: DataFrame, path: str, checkpoint: str, anchor: Anchor | None = None):

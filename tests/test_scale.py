@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assaykit import storage
-from assaykit.operators import authoring, calibration, gates, judge, ranks, report
+from assaykit.operators import audit, authoring, calibration, gates, judge, ranks, report
 from assaykit.operators.suite import Suite
 from assaykit.sources import sinks, tables
 
@@ -316,3 +316,27 @@ def test_reported_latencies_on_a_tie_go_up(spark, tmp_path):
     rows += [(10, datetime(2024, 1, 1), 8, "view", 63.949999999999996, "{}")]
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
     assert {r.seq: r.latency_ms for r in reading.report_json(spark, str(tmp_path)).collect()}[84] == 64.0
+
+
+def test_heads_of_log_lines_need_no_line_before(spark):
+    payloads = [{"record_id": f"r{i}", "said": "ñ\"x", "more": [i, None, 1.5]} for i in range(20)]
+    df = spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(payloads)], "seq long, payload string").repartition(5)
+    heads = [r.head for r in df.select("seq", audit.heads(F.col("payload")).alias("head")).orderBy("seq").collect()]
+    prev = audit.GENESIS
+    for line, p in zip(audit.linked(heads), payloads, strict=True):
+        held = json.loads(line)
+        assert held == {**p, "chain_version": 1, "prev_hash": prev, "record_hash": audit.payload_hash(held)}
+        prev = held["record_hash"]
+    assert audit.linked(heads) == audit.chained(payloads)
+
+
+def test_json_lines_are_sorted_and_written_by_many_tasks(spark):
+    from pathlib import Path
+
+    from assaykit.plans import reading
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    path = reading._file(spark.range(3000).repartition(6).selectExpr("id", "concat('{\"run_id\": ', id, '}') AS value"), "id", ".jsonl")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len([f for f in Path(path.removeprefix("file:")).glob("part-*") if f.stat().st_size]) > 1
+    assert [r.run_id for r in tables.experiments_jsonl(spark, path, 5).collect()] == ["2999", "2998", "2997", "2996", "2995"]
