@@ -27,9 +27,9 @@ def query(sql: str | None = None):
 
 
 def _file(lines: DataFrame, order: str, ending: str) -> str:
-    """A text file of lines in order, under a path with an ending; a writer of one file is one task that streams."""
-    path = new_path(lines.sparkSession) + ending
-    lines.orderBy(order).coalesce(1).select("value").write.text(path)
+    """Lines in order under a path with an ending. JSON Lines are files whose names sort like their lines, each sorted and written by its own task; others are one file of one task."""
+    path, made = new_path(lines.sparkSession) + ending, lines.orderBy(order)
+    (made if ending == ".jsonl" else made.coalesce(1)).select("value").write.text(path)
     return path
 
 
