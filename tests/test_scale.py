@@ -3,12 +3,13 @@
 import json
 import random
 import statistics
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from assaykit import storage
-from assaykit.operators import audit, authoring, calibration, gates, judge, ranks, report
+from assaykit.operators import audit, authoring, calibration, gates, generate, judge, ranks, report
 from assaykit.operators.suite import Suite
 from assaykit.sources import sinks, tables
 
@@ -340,3 +341,13 @@ def test_json_lines_are_sorted_and_written_by_many_tasks(spark):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len([f for f in Path(path.removeprefix("file:")).glob("part-*") if f.stat().st_size]) > 1
     assert [r.run_id for r in tables.experiments_jsonl(spark, path, 5).collect()] == ["2999", "2998", "2997", "2996", "2995"]
+
+
+def test_the_cells_of_a_long_text_are_ranked_once(spark):
+    text = " ".join(f"Plain words, {i}." for i in range(800))
+    cases = spark.createDataFrame([(1, text, "x")], "case_index long, input string, expected_output string")
+    start = time.monotonic()
+    rows = generate.mutated(cases, ["typo_noise", "case_noise", "unicode_confusable", "whitespace_noise"]).collect()
+    # Ranked again for each cell they take minutes.
+    assert len(rows) == 4 and all(0 < len(set(r.mutant.split(" ")) ^ set(text.split(" "))) <= 6 or r.mutation == "whitespace_noise" for r in rows)
+    assert time.monotonic() - start < 20
