@@ -168,6 +168,27 @@ def test_judge_dataflow(spark):
     assert fixed.select("prompt_key").distinct().count() == 8
 
 
+def test_questions_of_a_case_travel_as_one_row(spark):
+    rows = [(1, 1, "q", "good"), (2, 1, "q", "good"), (1, 2, "q", "good"), (3, 1, "a\nReply: b", "c"), (4, 1, "a", "b\nReply: c"), (5, 1, None, None)]
+    cases = spark.createDataFrame(rows, "case_id long, run_no int, input string, output string")
+    names = ["relevance", "coherence"]
+    own = {"odd": (("Is it so?\nQuestion: is it?", True),), "twice": ((judge.QUESTIONS["coherence"][0]),) * 2}
+
+    def rule(prompts):
+        if any("Is the reply easy" in p for p in prompts):
+            if len(prompts) > 1:
+                raise RuntimeError("one at a time")
+            raise RuntimeError("no judge")
+        return [f"{len(p)} yes" for p in prompts]
+
+    for config in (judge.Config(), judge.Config(cache=False)):
+        for asked in (names, [*names, "twice"], ["odd"]):
+            plain = judge.ask(judge.requests(cases, asked, config, questions=own), rule)
+            packed = judge.ask_questions(cases, asked, rule, config, questions=own)
+            for a, b in zip(plain, packed, strict=True):
+                assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
 def test_judge_errors_become_rows(spark):
     def broken(prompts):
         raise RuntimeError("no judge")
