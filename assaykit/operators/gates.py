@@ -57,10 +57,11 @@ def near_pairs(df: DataFrame, key: str, tokens: str, threshold: float = JACCARD)
     sets = cut(sets.withColumn("h", F.sha2(F.to_json("s"), 256)))
     first = sets.groupBy("h").agg(F.min("k").alias("a"))
     copies = sets.select(F.col("k").alias("b"), "h").join(first, "h").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
-    rep = cut(sets.where(F.size("s") > 0).join(first.select("h", F.col("a").alias("k")), ["h", "k"], "left_semi").select("k", "s").dropDuplicates(["k"]))
-    named = rep.select("k", F.transform("s", lambda t: F.xxhash64(t)).alias("h"))
+    # A key that is repeated with different sets stands for one of them.
+    own = cut(first.groupBy(F.col("a").alias("k")).agg(F.min("h").alias("h")))
+    named = sets.where(F.size("s") > 0).select("k", "h", F.transform("s", lambda t: F.xxhash64(t)).alias("x"))
     counts = np.zeros(BUCKETS, np.int32)
-    found = named.select(F.explode("h").alias("t")).groupBy(F.pmod("t", F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("c")).toArrow()
+    found = named.select(F.explode("x").alias("t")).groupBy(F.pmod("t", F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("c")).toArrow()
     counts[found.column("b").to_numpy()] = found.column("c").to_numpy()
     sketch = df.sparkSession.sparkContext.broadcast(counts)
 
@@ -77,16 +78,30 @@ def near_pairs(df: DataFrame, key: str, tokens: str, threshold: float = JACCARD)
         return pd.DataFrame(rows, columns=["p", "t", "w"])
 
     words = [f"w{i}" for i in range(WORDS)]
-    short = named.select("k", F.size("h").alias("n"), prefix("h").alias("x")).select("k", "n", *[F.col("x.w")[i].alias(w) for i, w in enumerate(words)], F.explode(F.arrays_zip("x.p", "x.t")).alias("x"))
+    # A row's prefix travels as one row to where it is told whether the row stands for its class.
+    short = named.select("k", "h", F.size("x").alias("n"), prefix("x").alias("x")).join(own, ["k", "h"], "left_semi").groupBy("k", "h").agg(F.first("n").alias("n"), F.first("x").alias("x"))
+    short = short.select("k", "n", *[F.col("x.w")[i].alias(w) for i, w in enumerate(words)], F.explode(F.arrays_zip("x.p", "x.t")).alias("x"))
     short = cut(short.select("k", "n", *words, "x.p", "x.t"))
     x, y = (short.select("t", *[F.col(c).alias(f"{c}{i}") for c in ("k", "n", "p", *words)]) for i in "xy")
     apart = sum((F.bit_count(F.col(f"{w}x").bitwiseXOR(F.col(f"{w}y"))) for w in words), F.lit(0))
     near = apart <= (F.col("nx") + F.col("ny")) * (1 - threshold) / (1 + threshold) + 1e-9
     fits = (F.least("nx", "ny") >= F.greatest("nx", "ny") * threshold - 1e-9) & (F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) + 1 >= (F.col("nx") + F.col("ny")) * threshold / (1 + threshold) - 1e-9)
-    met = x.join(y, "t").where((F.col("kx") < F.col("ky")) & fits & near).select(F.col("kx").alias("a"), F.col("ky").alias("b")).distinct()
-    u, v = rep.select(F.col("k").alias("a"), F.col("s").alias("sa")), rep.select(F.col("k").alias("b"), F.col("s").alias("sb"))
-    sim = text.set_jaccard(F.col("sa"), F.col("sb"))
-    return met.join(u, "a").join(v, "b").withColumn("similarity", sim).where(F.col("similarity") >= threshold).select("a", "b", "similarity").unionByName(copies)
+    met = cut(x.join(y, "t").where((F.col("kx") < F.col("ky")) & fits & near).select(F.col("kx").alias("a"), F.col("ky").alias("b")).distinct())
+    # Whole sets travel as text, which is a third of their size as arrays, and only those whose keys share a bucket with a key that met another.
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+    marks = np.zeros(BUCKETS, bool)
+    marks[met.select(F.explode(F.array("a", "b")).alias("k")).select(bucket("k").alias("b")).distinct().toArrow().column("b").to_numpy()] = True
+    marked = df.sparkSession.sparkContext.broadcast(np.packbits(marks))
+
+    @F.pandas_udf("boolean")
+    def asked(b: pd.Series) -> pd.Series:
+        return pd.Series(marked.value[b // 8] >> (7 - b % 8) & 1 == 1)
+
+    whole = sets.where(asked(bucket("k"))).select("k", "h", F.to_json("s").alias("s")).groupBy("k", "h").agg(F.first("s").alias("s"))
+    u, v = (whole.toDF(side, f"h{side}", f"s{side}") for side in "ab")
+    keyed = met.join(own.toDF("a", "ha"), "a").join(own.toDF("b", "hb"), "b")
+    sim = text.set_jaccard(*[F.from_json(f"s{side}", "array<string>") for side in "ab"])
+    return keyed.join(u, ["a", "ha"]).join(v, ["b", "hb"]).withColumn("similarity", sim).where(F.col("similarity") >= threshold).select("a", "b", "similarity").unionByName(copies)
 
 
 def accepted(df: DataFrame, key: str, tokens: str, threshold: float = JACCARD) -> DataFrame:
