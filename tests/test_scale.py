@@ -351,3 +351,22 @@ def test_the_cells_of_a_long_text_are_ranked_once(spark):
     # Ranked again for each cell they take minutes.
     assert len(rows) == 4 and all(0 < len(set(r.mutant.split(" ")) ^ set(text.split(" "))) <= 6 or r.mutation == "whitespace_noise" for r in rows)
     assert time.monotonic() - start < 20
+
+
+def test_only_sets_that_met_another_travel_whole(spark):
+    rng = random.Random(5)
+    words = [f"{rng.getrandbits(160):040x}" for _ in range(1200)]
+    rows = [(i, rng.sample(words, 400)) for i in range(100)]
+    rows += [(500, [*rows[7][1][:-3], 'a "b"', "c\n"]), (501, rows[7][1]), (501, rows[7][1]), (502, [])]
+    df = spark.createDataFrame(rows, "k long, tokens array<string>").repartition(4)
+    sc = spark.sparkContext
+
+    def shuffled():
+        stages = sc._jsc.sc().statusStore().stageList(sc._jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in map(stages.apply, range(stages.size()))}
+
+    before = shuffled()
+    got = {(r.a, r.b): round(r.similarity, 6) for r in gates.near_pairs(df, "k", "tokens").collect()}
+    assert got == {(7, 500): round(397 / 402, 6), (7, 501): 1.0}
+    # The sets are 1.7 MB; each of the joins moved all of them.
+    assert sum(n for k, n in shuffled().items() if k not in before) < 2_500_000
