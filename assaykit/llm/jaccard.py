@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import count_sketch, cut, mix64, slices, texts_of, word_names
+from .common import count_sketch, cut, mix64, slices, texts_of, trim, word_names
 from .components import components
 
 WIDTH, PERCENT = 5, 80
@@ -228,6 +228,7 @@ def _same_ids(sets: DataFrame, classes: DataFrame) -> DataFrame | None:
 def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id of every row."""
     sets, classes, shared = _posted(docs, percent, width)
+    trim(docs.sparkSession)
     found = None
     stars = shared.where((F.col("size") > HOT) & (F.col("rep") != F.col("lead")))
     if stars.limit(1).count():
@@ -236,6 +237,7 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
         found = cut(verified(_matched(cut(near), classes, percent), docs, percent, width))
         group = components(found).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
         shared = cut(shared.join(group, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")))
+        trim(docs.sparkSession)
     else:
         shared = shared.withColumn("comp", F.col("rep"))
 
@@ -249,7 +251,10 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     same_ids = _same_ids(sets, classes)
     if same_ids is not None:
         links = links.union(same_ids.where("rep != first").select("first", "rep"))
-    linked = components(cut(links))
+    links = cut(links)
+    trim(docs.sparkSession)
+    linked = components(links)
+    trim(docs.sparkSession)
 
     class_of = classes.select("n", "set_key", "rep").join(linked, F.col("rep") == F.col("node"), "left").select("n", "set_key", "rep", F.coalesce("component", "rep").alias("comp"))
     # Rows without shingles have no class; apart, they don't meet in one join key.

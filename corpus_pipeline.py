@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.llm import jaccard, mixing, pieces, quality, secrets
-from assaykit.llm.common import documents, restored
+from assaykit.llm.common import documents, restored, trim
 from assaykit.llm.queries import tokenizer
 from assaykit.session import ship
 from assaykit.storage import scope
@@ -32,7 +32,11 @@ def staged(f: Stage) -> Stage:
     @functools.wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
-        return f(spark, docs, sf_dir)
+        # What the stages before left in the driver goes before this one's plans add to it.
+        trim(spark)
+        out = f(spark, docs, sf_dir)
+        trim(spark)
+        return out
 
     return run
 
