@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -20,6 +21,8 @@ JACCARD = 0.85
 BUCKETS = 1 << 21
 #: Words of 64 bits in a sketch of a set: they decide how many pairs are compared in whole, never results.
 WORDS = 4
+#: Rows in a block of a large group of rows that met: it decides how often a set travels and what a task holds, never results.
+BLOCK = 500
 
 
 def _filled(c: Column) -> Column:
@@ -97,11 +100,44 @@ def near_pairs(df: DataFrame, key: str, tokens: str, threshold: float = JACCARD)
     def asked(b: pd.Series) -> pd.Series:
         return pd.Series(marked.value[b // 8] >> (7 - b % 8) & 1 == 1)
 
-    whole = sets.where(asked(bucket("k"))).select("k", "h", F.to_json("s").alias("s")).groupBy("k", "h").agg(F.first("s").alias("s"))
-    u, v = (whole.toDF(side, f"h{side}", f"s{side}") for side in "ab")
-    keyed = met.join(own.toDF("a", "ha"), "a").join(own.toDF("b", "hb"), "b")
-    sim = text.set_jaccard(*[F.from_json(f"s{side}", "array<string>") for side in "ab"])
-    return keyed.join(u, ["a", "ha"]).join(v, ["b", "hb"]).withColumn("similarity", sim).where(F.col("similarity") >= threshold).select("a", "b", "similarity").unionByName(copies)
+    whole = sets.where(asked(bucket("k"))).select("k", "h", F.to_json("s").alias("s")).join(own, ["k", "h"], "left_semi").groupBy("k").agg(F.first("s").alias("s"))
+    return _compared(met, whole, threshold).unionByName(copies)
+
+
+def _compared(met: DataFrame, whole: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of those pairs met whose whole sets (k, s as JSON) are alike enough.
+
+    A pair belongs to the smallest row that its first row met, so near copies of one another share a
+    group; a group of many rows is dealt into blocks of about BLOCK, by hash, and its pairs to cells of two
+    blocks. A set travels once a cell, not once a pair, and a task holds one cell's sets.
+    """
+    low = met.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("g"))
+    grouped = cut(met.join(low, "a", "left").select("a", "b", F.coalesce("g", "a").alias("g")))
+    members = lambda df, *by: df.select(*by, F.explode(F.array("a", "b")).alias("k")).distinct()
+    # No more groups than one in BLOCK rows are large.
+    large = members(grouped, "g").groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("g", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    i, j = (F.pmod(F.xxhash64(c), F.coalesce("blocks", F.lit(1))) for c in "ab")
+    cells = cut(grouped.join(F.broadcast(large), "g", "left").select("g", F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), "a", "b"))
+    by = ["g", "i", "j"]
+    held = members(cells, *by).join(whole, "k").select(*[F.col(c).alias(f"of_{c}") for c in by], "k", "s")
+    kind = met.schema["a"].dataType.simpleString()
+
+    def compare(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        tokens = [json.loads(s) for s in sets["s"]]
+        size = np.array([len(t) for t in tokens], np.int64)
+        codes = np.split(pd.factorize(np.array([x for t in tokens for x in t], object))[0], np.cumsum(size)[:-1])
+        at, keys = pd.Index(sets["k"]), pairs.sort_values("a")
+        a, b = at.get_indexer(keys["a"]), at.get_indexer(keys["b"])
+        mark, common = np.zeros(1 + max(c.max() for c in codes), bool), np.zeros(len(a), np.int64)
+        starts = np.flatnonzero(np.diff(a, prepend=-1))
+        for x, y in zip(starts, [*starts[1:], len(a)], strict=True):
+            mark[codes[a[x]]] = True
+            common[x:y] = np.add.reduceat(mark[np.concatenate([codes[r] for r in b[x:y]])], np.cumsum(size[b[x:y]]) - size[b[x:y]], dtype=np.int64)
+            mark[codes[a[x]]] = False
+        out = pd.DataFrame({"a": keys["a"].to_numpy(), "b": keys["b"].to_numpy(), "similarity": common / (size[a] + size[b] - common)})
+        return out[out["similarity"] >= threshold]
+
+    return cells.groupBy(*by).cogroup(held.groupBy(*[f"of_{c}" for c in by])).applyInPandas(compare, f"a {kind}, b {kind}, similarity double")
 
 
 def accepted(df: DataFrame, key: str, tokens: str, threshold: float = JACCARD) -> DataFrame:
