@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,8 @@ BUCKETS = 1 << 21
 WORDS = 4
 #: Rows in a block of a large group of rows that met: it decides how often a set travels and what a task holds, never results.
 BLOCK = 500
+#: Words of 64 bits in a wide sketch of a set that met another, with the same effect.
+WIDE = 32
 
 
 def _filled(c: Column) -> Column:
@@ -101,32 +104,23 @@ def near_pairs(df: DataFrame, key: str, tokens: str, threshold: float = JACCARD)
         return pd.Series(marked.value[b // 8] >> (7 - b % 8) & 1 == 1)
 
     whole = sets.where(asked(bucket("k"))).select("k", "h", F.to_json("s").alias("s")).join(own, ["k", "h"], "left_semi").groupBy("k").agg(F.first("s").alias("s"))
-    return _compared(met, whole, threshold).unionByName(copies)
-
-
-def _compared(met: DataFrame, whole: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of those pairs met whose whole sets (k, s as JSON) are alike enough.
-
-    A pair belongs to the smallest row that its first row met, so near copies of one another share a
-    group; a group of many rows is dealt into blocks of about BLOCK, by hash, and its pairs to cells of two
-    blocks. A set travels once a cell, not once a pair, and a task holds one cell's sets.
-    """
-    low = met.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("g"))
-    grouped = cut(met.join(low, "a", "left").select("a", "b", F.coalesce("g", "a").alias("g")))
-    members = lambda df, *by: df.select(*by, F.explode(F.array("a", "b")).alias("k")).distinct()
-    # No more groups than one in BLOCK rows are large.
-    large = members(grouped, "g").groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("g", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    i, j = (F.pmod(F.xxhash64(c), F.coalesce("blocks", F.lit(1))) for c in "ab")
-    cells = cut(grouped.join(F.broadcast(large), "g", "left").select("g", F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), "a", "b"))
-    by = ["g", "i", "j"]
-    held = members(cells, *by).join(whole, "k").select(*[F.col(c).alias(f"of_{c}") for c in by], "k", "s")
+    # Long sets that have little in common differ in half the places of a short sketch: a wide one, still far smaller than its set, ends them first.
+    wide = sets.where(asked(bucket("k"))).select("k", "h", F.size("s").alias("n"), _wide(F.transform("s", lambda t: F.xxhash64(t))).alias("w")).join(own, ["k", "h"], "left_semi").groupBy("k").agg(F.first("n").alias("n"), F.first("w").alias("w"))
     kind = met.schema["a"].dataType.simpleString()
 
-    def compare(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-        tokens = [json.loads(s) for s in sets["s"]]
+    def close(pairs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        at, n, w = pd.Index(held["k"]), held["n"].to_numpy(), np.frombuffer(b"".join(held["w"]), np.uint64).reshape(len(held), WIDE)
+        a, b = at.get_indexer(pairs["a"]), at.get_indexer(pairs["b"])
+        apart = np.zeros(len(a), np.int64)
+        for c in range(WIDE):
+            apart += np.bitwise_count(w[a, c] ^ w[b, c])
+        return pairs.loc[apart <= (n[a] + n[b]) * (1 - threshold) / (1 + threshold) + 1e-9, ["a", "b"]]
+
+    def compare(pairs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        tokens = [json.loads(s) for s in held["s"]]
         size = np.array([len(t) for t in tokens], np.int64)
         codes = np.split(pd.factorize(np.array([x for t in tokens for x in t], object))[0], np.cumsum(size)[:-1])
-        at, keys = pd.Index(sets["k"]), pairs.sort_values("a")
+        at, keys = pd.Index(held["k"]), pairs.sort_values("a")
         a, b = at.get_indexer(keys["a"]), at.get_indexer(keys["b"])
         mark, common = np.zeros(1 + max(c.max() for c in codes), bool), np.zeros(len(a), np.int64)
         starts = np.flatnonzero(np.diff(a, prepend=-1))
@@ -137,7 +131,34 @@ def _compared(met: DataFrame, whole: DataFrame, threshold: float) -> DataFrame:
         out = pd.DataFrame({"a": keys["a"].to_numpy(), "b": keys["b"].to_numpy(), "similarity": common / (size[a] + size[b] - common)})
         return out[out["similarity"] >= threshold]
 
-    return cells.groupBy(*by).cogroup(held.groupBy(*[f"of_{c}" for c in by])).applyInPandas(compare, f"a {kind}, b {kind}, similarity double")
+    left = cut(_by_cell(met, wide, close, f"a {kind}, b {kind}"))
+    return _by_cell(left, whole, compare, f"a {kind}, b {kind}, similarity double").unionByName(copies)
+
+
+@F.pandas_udf("binary")
+def _wide(x: pd.Series) -> pd.Series:
+    """Parities of a set's tokens by hash, in 64 * WIDE places."""
+    return pd.Series([np.packbits(np.bincount((t >> 32) % (64 * WIDE), minlength=64 * WIDE) % 2 == 1).tobytes() for t in x])
+
+
+def _by_cell(pairs: DataFrame, rows: DataFrame, f: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What f makes of pairs (a, b) and what their rows (k and more) hold, cell by cell.
+
+    A pair belongs to the smallest row that its first row met, so near copies of one another share a
+    group; a group of many rows is dealt into blocks of about BLOCK, by hash, and its pairs to cells of two
+    blocks. A row travels once a cell, not once a pair, and a task holds one cell's rows.
+    """
+    low = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("g"))
+    grouped = cut(pairs.join(low, "a", "left").select("a", "b", F.coalesce("g", "a").alias("g")))
+    members = lambda df, *by: df.select(*by, F.explode(F.array("a", "b")).alias("k")).distinct()
+    # No more groups than one in BLOCK members are large.
+    large = members(grouped, "g").groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("g", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    i, j = (F.pmod(F.xxhash64(c), F.coalesce("blocks", F.lit(1))) for c in "ab")
+    cells = cut(grouped.join(F.broadcast(large), "g", "left").select("g", F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), "a", "b"))
+    by = ["g", "i", "j"]
+    held = members(cells, *by).join(rows, "k").withColumnsRenamed({c: f"of_{c}" for c in by})
+    held = held.select(*[F.col(c).alias(c) for c in held.columns])
+    return cells.groupBy(*by).cogroup(held.groupBy(*[f"of_{c}" for c in by])).applyInPandas(f, schema)
 
 
 def accepted(df: DataFrame, key: str, tokens: str, threshold: float = JACCARD) -> DataFrame:
