@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions import text
 from ..storage import cut
@@ -135,7 +136,7 @@ def near_pairs(df: DataFrame, key: str, tokens: str, threshold: float = JACCARD)
     return _by_cell(left, whole, compare, f"a {kind}, b {kind}, similarity double").unionByName(copies)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _wide(x: pd.Series) -> pd.Series:
     """Parities of a set's tokens by hash, in 64 * WIDE places."""
     return pd.Series([np.packbits(np.bincount((t >> 32) % (64 * WIDE), minlength=64 * WIDE) % 2 == 1).tobytes() for t in x])
